@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, token_counts, toxicity
+from veilmark.llm import bpe, jaccard_join, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -25,6 +25,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.components(docs, n=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and the text decoded from them, as digests."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,7 +45,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op4_bpe": op4_bpe, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
