@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, jaccard_join, token_counts, toxicity
+from veilmark.llm import bpe, decontaminate, jaccard_join, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -38,6 +38,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that overlap with benchmark items: one row per document and item."""
+    return decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -45,7 +50,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
