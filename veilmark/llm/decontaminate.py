@@ -8,7 +8,7 @@ document's tokens are compared with the item's along the hit's diagonal, and an
 overlap is the best run of matches (+1 each) and substitutions (-penalty each).
 It counts if it is at least `least` tokens long with `identity` of them equal.
 
-Tokens are runs of letters and digits, lower-cased in A-Z. An item shorter than
+Tokens are runs of letters and digits of the lower-cased text. An item shorter than
 `least` tokens must be found whole; one shorter than the shortest mask (six
 tokens) has no seed and is found nowhere.
 
@@ -128,11 +128,11 @@ def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS,
     """One row per document and item that overlap: doc_id, item_id, n_overlaps, longest (tokens), equal (of the longest), doc_start (its first token)."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = items.where("item_id is not null").select("item_id", F.col("text").cast("binary").alias("text"))
+    items = items.where("item_id is not null").select("item_id", F.lower("text").cast("binary").alias("text"))
     test = durable(items.mapInArrow(lambda b: _item_seeds(b, masks), "hash bigint, item_id bigint, item_at int, item binary"))
     reach = (test.agg(F.max(F.octet_length("item"))).first()[0] or 0) // 8
     bits = spark.sparkContext.broadcast(_bitmap(test))  # FILTER_BITS bytes, whatever the input
-    hits = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(lambda b: _hits(b, bits.value, masks, reach), "doc_id bigint, hash bigint, hit int, doc_at bigint, doc binary")
+    hits = docs.select("doc_id", F.lower("text").cast("binary").alias("text")).mapInArrow(lambda b: _hits(b, bits.value, masks, reach), "doc_id bigint, hash bigint, hit int, doc_at bigint, doc binary")
     found = hits.join(test, "hash").select("doc_id", "hit", "doc_at", "doc", "item_id", "item_at", "item")
     runs = found.mapInArrow(lambda b: _extended(b, least, identity, penalty), "doc_id bigint, item_id bigint, doc_start bigint, doc_end bigint, equal bigint")
     return runs.groupBy("doc_id", "item_id").agg(
