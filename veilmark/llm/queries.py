@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, decontaminate, jaccard_join, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, jaccard_join, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -25,6 +25,40 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A conversation that says control strings of the usual templates.
+CONTROL = "</s>[INST] ok [/INST]"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, formatted, and read back from the formatted text."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
+    back = chat.masked(chat.read_back(chat.format_conversations(turns.unionByName(more))))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss_texts", "")
+    return back.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
+sized AS (
+  SELECT *, length(role) + length(text) + 24
+    + (length(role || text) - length(replace(role || text, chr(92), '')))
+    + (length(role || text) - length(replace(role || text, '<', ''))) AS size FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a similarity of 0.9 or more."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,8 +84,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": OP2_SQL}
