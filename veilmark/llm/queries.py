@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, chat, decontaminate, jaccard_join, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, jaccard_join, mpeg_audio, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -72,6 +72,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as an MPEG stream, and what reading the stream back gives."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    back = mpeg_audio.digests(mpeg_audio.store(docs))
+    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that overlap with benchmark items: one row per document and item."""
     return decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
@@ -84,7 +91,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
