@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, chat, decontaminate, jaccard_join, mpeg_audio, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, jaccard_join, mpeg_audio, pii, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -84,6 +84,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: the rules' spans, and all spans."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("bigint").alias(f"n_{k}") for k in pii.RULES]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,7 +100,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
