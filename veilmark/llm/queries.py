@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, chat, decontaminate, jaccard_join, mpeg_audio, pii, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, jaccard_join, lm_scores, mpeg_audio, pii, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -72,6 +72,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every whole text under interpolated n-grams; fold 2 of 7 is held out, fold 3 sets the weights."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    part = fold("doc_id", 7)
+    scored = lm_scores.score(docs, train=part != 2, tune=part == 3)
+    return scored.select("doc_id", (part == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as an MPEG stream, and what reading the stream back gives."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -100,7 +108,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_lm_scores": op5_lm_scores, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
