@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, chat, decontaminate, jaccard_join, lm_scores, mpeg_audio, pii, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, jaccard_join, lm_scores, mpeg_audio, pii, quality, token_counts, toxicity
 from veilmark.llm.common import fold, read
 
 
@@ -92,6 +92,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from co-trained views; learnt from labelled rows outside the held-out fold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text_score", "meta_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text: the rules' spans, and all spans."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,7 +116,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_lm_scores": op5_lm_scores, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_lm_scores": op5_lm_scores, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
