@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,17 +29,28 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, read back from the shared checkpoint folder, so that a lost executor loses none of them."""
-    sc = df.sparkSession.sparkContext
+def _checkpoints(spark: SparkSession) -> None:
+    """Sees to it that there is a checkpoint folder: the cluster's, or on one machine a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if shared is None and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints"))
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows, read back from the shared checkpoint folder, so that a lost executor loses none of them."""
+    _checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path inside the shared checkpoint folder."""
+    _checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Regroups rows so that each batch holds about `most` bytes of a string or binary column, one row at least."""
     held: list[pa.RecordBatch] = []

@@ -18,8 +18,8 @@ DataFrame, so the items may outgrow any broadcast. A hit carries the document's
 tokens within `reach` of it, the length of the longest item, so no text is read
 twice; neighbouring hits of a mask on one diagonal are one hit.
 
-Nulls: a null text has no tokens; rows with a null doc_id are compared like
-others. Copies and repeated ids hit one by one. Empty tables give no rows.
+Nulls: a null text has no tokens; a row with a null doc_id is compared like
+others, and as nothing names it, `clean` keeps it. Copies and repeated ids hit one by one. Empty tables give no rows.
 Other columns are left out by `overlaps`; `clean` keeps all of them.
 """
 
