@@ -17,7 +17,7 @@ def short_hash(*parts: Column | str, n: int = 12) -> Column:
 
 def stable_seed(*parts: Column | str) -> Column:
     """A positive 63-bit seed from the first 16 hex digits."""
-    return (F.conv(F.substring(digest(*parts), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit(9223372036854775808).cast("decimal(20,0)")).cast("bigint")
+    return (F.conv(F.substring(digest(*parts), 1, 16), 16, 10).cast("decimal(20,0)") % F.lit("9223372036854775808").cast("decimal(20,0)")).cast("bigint")
 
 
 def draw(n: Column, *parts: Column | str) -> Column:
