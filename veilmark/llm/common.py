@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,6 +52,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The same rows as a Parquet table in the shared folder, smaller than a checkpoint, that goes when the block ends: nothing lazy may outlive it."""
+    spark = df.sparkSession
+    path = shared_folder(spark)
+    df.write.parquet(path)
+    try:
+        yield spark.read.parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Regroups rows so that each batch holds about `most` bytes of a string or binary column, one row at least."""
     held: list[pa.RecordBatch] = []

@@ -19,10 +19,11 @@ elements, the domain of fingerprints is parted by their high bits:
   that both sign remains. z and e follow from the expected sizes, and keep
   empty parts, on which unlike sets would meet, from signing.
 
-Sets with a common signature are candidates, and candidates are verified on the
-whole sets, so the signatures lose no link and add none. Within a signature's
-bucket not all pairs are formed: first each set meets the bucket's smallest
-one; what the links found connect needs no further test; then the buckets that
+Sets with a common signature are candidates. Those whose sizes and parity
+sketches prove them unlike are dropped, the others are verified on the whole
+sets, so no link is lost and none added. Within a signature's
+bucket not all pairs are formed: first each set meets the bucket's first and
+last one; what the links found connect needs no further test; then the buckets that
 still hold several components compare the members outside of the largest one
 with the rest. If that would be too many pairs, further stars, around other
 members, come first. The components are those of all links.
@@ -41,19 +42,23 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, durable, schema_of, small_batches
+from veilmark.llm.common import by_bytes, durable, schema_of, small_batches, stored
 from veilmark.llm.components import connected_components
 from veilmark.llm.tokens import grams, mix, word_hashes
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 SUBSETS = 5
+#: Bits of a set's parity sketch: two sets differ in at least as many elements as their sketches in bits.
+SKETCH = 512
 #: Bits of the filter that keeps sets which no candidate pair names from leaving their task.
 FILTER_BITS = 1 << 24
-#: Further pairs are enumerated if they are at most so many, or so many times the rows of shared buckets.
-MANY, TIMES = 1_000_000, 4
+#: Members that remain are compared once that takes at most so many looks at sketches, or so many times the rows of shared buckets.
+MANY, TIMES = 20_000_000, 64
+#: Before, stars around so many members of a bucket, then so many times more of them.
+PIVOTS = 8
 SEEN = 500_000
 
 _U = np.uint64
@@ -111,12 +116,12 @@ class Levels:
         z = math.ceil((k + 1) * p + 3 * math.sqrt((k + 1) * p)) if e else 0
         return k, k + 1 + z, e, z
 
-    def sign(self, found: np.ndarray) -> np.ndarray:
-        """All signatures of a sorted set that isn't empty."""
+    def sign(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All signatures of a sorted set that isn't empty, at its own band's level and at the next."""
         band = int(np.searchsorted(self.ends, len(found)))
         salted = mix(found)
         high = found >> _U(32)
-        return np.concatenate([self._at(level, salted, high) for level in (band, band + 1)])
+        return self._at(band, salted, high), self._at(band + 1, salted, high)
 
     def _at(self, level: int, salted: np.ndarray, high: np.ndarray) -> np.ndarray:
         k, parts, e, z = self.scheme(level)
@@ -147,37 +152,53 @@ def _raw(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("binary").alias("__raw"))
 
 
+def sketch(found: np.ndarray) -> list[int]:
+    """For each of SKETCH classes of fingerprints, the parity of the set's number of them, as 64-bit words."""
+    odd = np.bincount((found & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
+
+
+def close(num: int, den: int, a: str = "_x", b: str = "_y") -> Column:
+    """Whether sizes and sketches leave open that two sets are similar enough (columns n and sketch with these endings)."""
+    na, nb, sa, sb = (F.col(f"{c}{e}") for c in ("n", "sketch") for e in (a, b))
+    apart = sum((F.bit_count(sa[k].bitwiseXOR(sb[k])) for k in range(SKETCH // 64)), F.lit(0))
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
+
+
 def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """docs with node (null for an empty set) and n_shingles."""
+    """docs with node (null for an empty set), n_shingles and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _rows(batches, n):
             i = batch.schema.get_field_index("__raw")
-            out = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *out], [*(c for c in batch.schema.names if c != "__raw"), "node", "n_shingles"])
+            out = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *out], [*(c for c in batch.schema.names if c != "__raw"), "node", "n_shingles", "sketch"])
 
-    plain = docs.drop("node", "n_shingles")
-    return plain.withColumn("__raw", F.col("text").cast("binary")).drop("text").mapInArrow(run, schema_of(plain.drop("text"), ("node", "bigint"), ("n_shingles", "bigint")))
+    plain = docs.drop("node", "n_shingles", "sketch")
+    return plain.withColumn("__raw", F.col("text").cast("binary")).drop("text").mapInArrow(run, schema_of(plain.drop("text"), ("node", "bigint"), ("n_shingles", "bigint"), ("sketch", "array<bigint>")))
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, node); a task signs a set once, however many copies it reads."""
+    """(sig, node, up: at the level above its own band); a task signs a set once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
         for _, sets in _rows(batches, n):
-            sigs, own = [], []
+            sigs, own, ups = [], [], []
             for s in sets:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    sigs.append(levels.sign(s))
-                    own.append(node)
+                    for up, found in enumerate(levels.sign(s)):
+                        sigs.append(found)
+                        own.append(node)
+                        ups.append(bool(up))
             if len(seen) > SEEN:
                 seen.clear()
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(own, np.int64), [len(x) for x in sigs]))], ["sig", "node"])
+                each = [len(x) for x in sigs]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(v, t), each)) for v, t in ((own, np.int64), (ups, bool)))], ["sig", "node", "up"])
 
-    return _raw(docs).mapInArrow(run, "sig bigint, node bigint")
+    return _raw(docs).mapInArrow(run, "sig bigint, node bigint, up boolean")
 
 
 def _filter_words(wanted: DataFrame) -> np.ndarray:
@@ -216,11 +237,6 @@ def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose sets are similar enough."""
-    wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = durable(whole_sets(docs, n, wanted))
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").select("a", "b", "fa", "fb")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -234,51 +250,61 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> D
                 keep.append(den * shared >= num * (len(p) + len(q) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    with stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()) as wanted, stored(whole_sets(docs, n, wanted)) as sets:
+        with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
+        both = with_b.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").select("a", "b", "fa", "fb")
+        return durable(both.mapInArrow(run, "a bigint, b bigint"))
 
 
-def links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Component of each node that has a link: node, component."""
+def links(docs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Component of each node that has a link: node, component. known: node, n, sketch."""
     bucket = Window.partitionBy("sig")
-    # The smallest member of each bucket; buckets of one member end here.
-    shared = durable(
-        signatures(docs, n, num, den).withColumn("hub", F.min("node").over(bucket)).withColumn("far", F.max("node").over(bucket)).where("hub <> far").select("sig", "node", "hub").distinct()
-    )
-    stars = durable(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    edges = durable(verified(docs, stars, n, num, den))
-    tested = stars
-    members = shared.select("sig", "node")
-    turn = 1
+    base = F.when(~F.col("up"), F.col("node"))
+    # Two sets below a level's band meet at the level of their own, so a bucket needs a member of the band.
+    signed = signatures(docs, n, num, den).withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).withColumn("hub", F.min(base).over(bucket)).withColumn("far", F.max(base).over(bucket))
+    with stored(signed.where("hub is not null and least <> most").select("sig", "node", "up", "hub", "far")) as shared:
+        return _connected(docs, known, shared, n, num, den)
+
+
+def _connected(docs: DataFrame, known: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    stars = shared.select("node", F.explode(F.array("hub", "far")).alias("end")).where("node <> end")
+    tested = durable(stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
+    of = lambda c, e: known.select(F.col("node").alias(c), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"sketch{e}"))
+    open_ = durable(tested.join(of("a", "_x"), "a").join(of("b", "_y"), "b").where(close(num, den)).select("a", "b"))
+    edges = verified(docs, open_, n, num, den)
+    done, pivots = 0, PIVOTS
     while True:
         found = connected_components(edges)
-        placed = members.join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("sig").agg(F.max_by("component", "n").alias("major"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most")
-        left = durable(placed.join(mixed, "sig"))
-        more = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("all"))), F.lit(0)).alias("pairs")).first()
-        if not more["rows"]:
-            return found
-        all_of = left.select("sig", F.col("node").alias("y"), F.col("component").alias("cy"))
-        last = more["pairs"] <= max(MANY, TIMES * more["rows"])
-        if last:
-            some = left.where("component <> major").select("sig", F.col("node").alias("x"), F.col("component").alias("cx"))
-        else:
-            order = Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
-            some = left.withColumn("at", F.row_number().over(order)).where(F.col("at") == turn).select("sig", F.col("node").alias("x"), F.col("component").alias("cx"))
-        pairs = some.join(all_of, "sig").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
+        placed = shared.select("sig", "node", "up").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
+        mixed = sizes.groupBy("sig").agg(F.max_by("component", "k").alias("major"), F.sum("k").alias("all"), F.max("k").alias("most")).where("all > most").drop("most")
+        with stored(placed.join(mixed, "sig").join(known, "node")) as left:
+            more = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("all"))), F.lit(0)).alias("pairs")).first()
+            if not more["rows"]:
+                return found
+            last = more["pairs"] <= max(MANY, TIMES * more["rows"])
+            if last:
+                some = left.where("component <> major")
+            else:
+                order = Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
+                some = left.withColumn("at", F.row_number().over(order)).where(F.col("at").between(done + 1, pivots))
+            x, y = (t.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "up", "n", "sketch"))) for t, k in ((some, "x"), (left, "y")))
+            meet = x.join(y, (x["sig"] == y["sig"]) & (F.col("component_x") != F.col("component_y")) & ~(F.col("up_x") & F.col("up_y")) & close(num, den))
+            pairs = meet.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+            pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
         edges = durable(edges.unionByName(verified(docs, pairs, n, num, den)))
         if last:
             return connected_components(edges)
         tested = durable(tested.unionByName(pairs))
-        turn += 1
+        done, pivots = pivots, pivots * PIVOTS
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """All columns of docs but text, with n_shingles and component_id: the smallest doc_id that links reach, itself included."""
     small_batches(docs.sparkSession)
     placed = durable(nodes(docs, n))
-    found = links(docs.select("text"), n, num, den)
-    placed = placed.drop("component_id", "component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = durable(placed.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    found = links(docs.select("text"), known, n, num, den)
+    placed = placed.drop("component_id", "component", "sketch").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(first, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("node", "component")
+    return placed.join(first, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("node", "component", "sketch")

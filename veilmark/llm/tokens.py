@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         up = np.full(size, _BASE, np.uint64)
         down = np.full(size, pow(_BASE, -1, 2**64), np.uint64)
         up[0] = down[0] = 1
@@ -56,7 +56,9 @@ def word_hashes(texts: list[bytes | None], parts: np.ndarray = BLANK) -> tuple[n
     starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
     up, down = _power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * up[: len(raw)], out=sums[1:])
+    terms = _TABLE[raw]
+    terms *= up[: len(raw)]
+    np.cumsum(terms, out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return words, np.searchsorted(starts, at)
 
