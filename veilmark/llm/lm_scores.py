@@ -44,7 +44,7 @@ from veilmark.llm.common import durable, joined, small_batches
 from veilmark.llm.tokens import mix, word_hashes
 
 ORDER = 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 6 << 20
 SHARD = 2_000_000
 LEAST_BITS = 5
 ROUNDS = 60
@@ -73,6 +73,15 @@ def unpack(value: bytes) -> list[np.ndarray]:
     return out
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """Small numbers byte by byte of their 32 bits, all first bytes first, which compresses well."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def from_planes(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 class Batch:
     """A batch's token stream and its distinct n-grams."""
 
@@ -90,8 +99,11 @@ class Batch:
         inner = np.ones(len(tokens), bool)
         inner[ends] = False
         tokens[inner], tokens[ends] = words, _END
-        types, ids = np.unique(tokens, return_inverse=True)
-        return cls(types, ids, sizes, train, tune)
+        types, ids, n = np.unique(tokens, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent types
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        return cls(types[order], rank[ids], sizes, train, tune)
 
     def ngrams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For n = 1 to order: fingerprints of the distinct n-grams, and each token's n-gram among them."""
@@ -124,7 +136,7 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = [rows.column(c).to_numpy(zero_copy_only=False).astype(np.uint8) for c in ("train", "tune")]
         b = Batch.of(rows.column("text").to_pylist(), *flags)
         ids = rows.column("doc_id")
-        blob = pack(b.types, b.ids.astype(np.uint32), b.sizes.astype(np.int32), *flags, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+        blob = pack(b.types, planes(b.ids), b.sizes.astype(np.int32), *flags, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
         k += 1
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([tune]), pa.array([len(b.ids)], pa.int64()), pa.array([blob], pa.binary())], ["batch_id", "tune", "tokens", "blob"])
 
@@ -149,7 +161,7 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _load(blob: bytes) -> tuple[Batch, np.ndarray, np.ndarray]:
     types, ids, sizes, train, tune, doc_ids, null = unpack(blob)
-    return Batch(types, ids, sizes, train, tune), doc_ids, null
+    return Batch(types, from_planes(ids), sizes, train, tune), doc_ids, null
 
 
 def _split(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +170,13 @@ def _split(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(prints[order] >> _U(64 - bits), np.arange((1 << bits) + 1).astype(_U))
 
 
+def _width(n: int) -> int:
+    """Bytes of a fingerprint below its shard's bits; a shard's size is bounded, so the chance of two alike is, too."""
+    return 6 if n == 1 else 5
+
+
 def _ask(rows: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """(n, shard, batch_id, blob): fingerprints (48 bits below the shard's) with the batch's training and tune counts."""
+    """(n, shard, batch_id, blob): fingerprints with the batch's training and tune counts."""
     for batch in rows:
         for batch_id, blob in zip(batch.column("batch_id").to_pylist(), batch.column("blob").to_pylist(), strict=True):
             b, _, _ = _load(blob)
@@ -167,10 +184,10 @@ def _ask(rows: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.R
             for n, (prints, each) in enumerate(b.ngrams(order), 1):
                 counts = [np.bincount(each[flag], minlength=len(prints)).astype(np.uint32) for flag in (train, tune)]
                 at, cut = _split(prints, bits)
-                low = ((prints[at] << _U(bits)) >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                low = ((prints[at] << _U(bits)) >> _U(64 - 8 * _width(n))).view(np.uint8).reshape(-1, 8)[:, : _width(n)]
                 for shard in np.flatnonzero(np.diff(cut)).tolist():
                     part = slice(cut[shard], cut[shard + 1])
-                    value = pack(low[part].ravel(), *(c[at[part]] for c in counts))
+                    value = pack(low[part].ravel(), *(planes(c[at[part]]) for c in counts))
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((n, pa.int32()), (shard, pa.int32()), (batch_id, pa.int64()), (value, pa.binary()))], ["n", "shard", "batch_id", "blob"])
 
 
@@ -180,18 +197,19 @@ _ANSWERS = pa.schema([("batch_id", pa.int64()), ("n", pa.int32()), ("shard", pa.
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up a shard; a row for each batch, and one (batch_id null) with the shard's numbers of types and tokens."""
     parts = [unpack(v) for v in table.column("blob").to_pylist()]
-    sizes = np.array([len(p[1]) for p in parts])
+    sizes = np.array([len(p[1]) // 4 for p in parts])
+    n, shard = table.column("n")[0].as_py(), table.column("shard")[0].as_py()
     keys = np.zeros((sizes.sum(), 8), np.uint8)
-    keys[:, :6] = np.concatenate([p[0] for p in parts]).reshape(-1, 6)
+    keys[:, : _width(n)] = np.concatenate([p[0] for p in parts]).reshape(-1, _width(n))
     keys = keys.view(_U).ravel()
     order = np.argsort(keys)
     begin = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
-    every, less = (np.add.reduceat(x[order].astype(np.int64), begin) for x in (np.concatenate([p[1] for p in parts]), np.concatenate([p[1] - p[2] for p in parts])))
+    every, tuned = (np.add.reduceat(np.concatenate([from_planes(p[k]) for p in parts])[order], begin) for k in (1, 2))
+    less = every - tuned
     group = np.empty(len(keys), np.int64)
     group[order] = np.repeat(np.arange(len(begin)), np.diff(np.concatenate((begin, [len(keys)]))))
     cut = np.concatenate(([0], np.cumsum(sizes)))
-    n, shard = table.column("n")[0].as_py(), table.column("shard")[0].as_py()
-    rows = [(i, n, shard, pack(every[group[a:b]].astype(np.uint32), less[group[a:b]].astype(np.uint32)), 0, 0, 0, 0) for i, a, b in zip(table.column("batch_id").to_pylist(), cut, cut[1:])]
+    rows = [(i, n, shard, pack(planes(every[group[a:b]]), planes(tuned[group[a:b]])), 0, 0, 0, 0) for i, a, b in zip(table.column("batch_id").to_pylist(), cut, cut[1:])]
     rows.append((None, n, shard, b"", int((every > 0).sum()), int(every.sum()), int((less > 0).sum()), int(less.sum())))
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ANSWERS, strict=True)], schema=_ANSWERS)
 
@@ -205,13 +223,13 @@ def _estimates(b: Batch, answers: pa.Table, order: int, bits: int, less: bool, t
     for n, (prints, each) in enumerate(b.ngrams(order), 1):
         at, cut = _split(prints, bits)
         counts = np.zeros(len(prints), np.int64)
-        filled = [unpack(got[n, s])[1 if less else 0] for s in np.flatnonzero(np.diff(cut)).tolist()]
-        counts[at] = np.concatenate(filled)
+        filled = [[from_planes(x) for x in unpack(got[n, s])] for s in np.flatnonzero(np.diff(cut)).tolist()]
+        counts[at] = np.concatenate([every - tuned if less else every for every, tuned in filled])
         mine = counts[each].astype(float)
         if n == 1:
             out.append(mine / max(total, 1))
             own = mine
-            starts = float(counts[np.searchsorted(b.types, _END)])  # as many starts as ends
+            starts = float(counts[np.flatnonzero(b.types == _END)[0]])  # as many starts as ends
         else:
             out.append(np.divide(mine, context, out=np.zeros(len(mine)), where=context > 0))
         # A longer context does not reach beyond its text's start: there the shorter one's estimate is all there is.
