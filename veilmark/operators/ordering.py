@@ -29,5 +29,8 @@ def running(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column
 
 
 def row_number(df: DataFrame, key: str, *order: str, name: str = "rank") -> DataFrame:
-    """df with its rank, from 1, in the order of key, then order."""
-    return running(df, key, [F.col(c) for c in order], {name: F.lit(1).cast("bigint")})
+    """df with its rank, from 1, in the order of key, then order. Text keys are ranked by their hashes, then by themselves: an order, if not the alphabet's."""
+    one = {name: F.lit(1).cast("bigint")}
+    if dict(df.dtypes)[key] == "string":
+        return running(df.withColumn("__hash", F.xxhash64(key)), "__hash", [F.col(c) for c in (key, *order)], one).drop("__hash")
+    return running(df, key, [F.col(c) for c in order], one)

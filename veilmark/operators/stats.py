@@ -34,7 +34,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", name: str = "name", q: fl
     return adjusted.withColumn("rejected", F.col("p_adjusted") <= q).drop("__rank", "__m")
 
 
-def _draws(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
+def cluster_draws(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
     """clusters (c_ord from 0, n clusters in all) with how often each is drawn in each draw: draw, c_ord, weight."""
     n = clusters.agg(F.count("*").alias("n"))
     slots = clusters.select(F.col("c_ord").alias("slot")).crossJoin(F.broadcast(clusters.sparkSession.range(draws).select(F.col("id").alias("draw")))).crossJoin(F.broadcast(n))
@@ -45,7 +45,7 @@ def bootstrap_mean(values: DataFrame, cluster: str, value: str, draws: int = 200
     """Mean and percentile interval under resampling of clusters; a cluster enters as its sum and count."""
     sums = values.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
     placed = row_number(sums, cluster, name="c_ord").withColumn("c_ord", F.col("c_ord") - 1)
-    per_draw = _draws(placed, draws, seed).join(placed, "c_ord").groupBy("draw").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("k"))).alias("m"))
+    per_draw = cluster_draws(placed, draws, seed).join(placed, "c_ord").groupBy("draw").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("k"))).alias("m"))
     tail = (1 - level) / 2
     ends = per_draw.agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
     point = placed.agg((F.sum("s") / F.sum("k")).alias("point"), F.count("*").alias("n_clusters"))
@@ -56,7 +56,7 @@ def bootstrap_mean(values: DataFrame, cluster: str, value: str, draws: int = 200
 def auc_bootstrap(scored: DataFrame, pair: str = "pair_id", score: str = "score", label: str = "label", draws: int = 100, level: float = 0.95, seed: str = "auc") -> DataFrame:
     """AUC and percentile interval under resampling of pairs, each row weighing as often as its pair is drawn; draws of one class are dropped."""
     pairs = row_number(scored.select(pair).distinct(), pair, name="c_ord").withColumn("c_ord", F.col("c_ord") - 1)
-    weighted = _draws(pairs, draws, seed).join(pairs, "c_ord").join(scored, pair)
+    weighted = cluster_draws(pairs, draws, seed).join(pairs, "c_ord").join(scored, pair)
     counts = weighted.groupBy("draw", score).agg(F.sum(F.when(F.col(label) == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, F.col("weight")).otherwise(0)).alias("neg"))
     w = Window.partitionBy("draw").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
     per_draw = counts.withColumn("upto", F.sum("neg").over(w)).groupBy("draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2.0)).alias("wins")).where("p > 0 and q > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilmark.plans import corpus_queries, leak_queries, stats_queries
+from veilmark.plans import audit_queries, corpus_queries, leak_queries, stats_queries
 
-QUERIES = {**leak_queries.QUERIES, **stats_queries.QUERIES, **corpus_queries.QUERIES}
+QUERIES = {**leak_queries.QUERIES, **stats_queries.QUERIES, **corpus_queries.QUERIES, **audit_queries.QUERIES}
 SQL = {**leak_queries.SQL, **stats_queries.SQL, **corpus_queries.SQL}
