@@ -109,7 +109,7 @@ class Levels:
         low = self.ends[level - 2] + 1 if level > 1 else 1
         e, p, term = 0, 0.0, math.exp(-low / (k + 1))
         mean = low / (k + 1)
-        while p + term <= 0.015:
+        while p + term <= (0.1 if e < 2 else 0.015):  # a lone shingle may be one that many texts share
             p += term
             e += 1
             term *= mean / e
@@ -279,11 +279,12 @@ def _connected(docs: DataFrame, known: DataFrame, shared: DataFrame, n: int, num
         sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
         mixed = sizes.groupBy("sig").agg(F.max_by("component", "k").alias("major"), F.sum("k").alias("all"), F.max("k").alias("most")).where("all > most").drop("most")
         with stored(placed.join(mixed, "sig").join(known, "node")) as left:
-            more = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("all"))), F.lit(0)).alias("pairs")).first()
+            more = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("all"))), F.lit(0)).alias("pairs"), F.max("all").alias("largest")).first()
             if not more["rows"]:
                 return found
-            last = more["pairs"] <= max(MANY, TIMES * more["rows"])
-            if last:
+            few = more["pairs"] <= max(MANY, TIMES * more["rows"])
+            last = few or pivots >= more["largest"]  # then every member has been a star's centre
+            if few:
                 some = left.where("component <> major")
             else:
                 order = Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
