@@ -182,15 +182,16 @@ def parse(raw: bytes) -> Stream:
         end -= 128
         out.tags.setdefault("TIT2", raw[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
     follows = lambda p, h: p == end or raw[p : p + 3] == b"ID3" or (n := header(p)) is not None and (n.version, n.layer, n.hz) == (h.version, h.layer, h.hz)
-    synced = False
+    synced, tag = False, 0
     while at < end:
         if raw[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(raw, at, out)
             continue
         h = header(at)
         if h is None or at + h.size > end or not (synced or follows(at + h.size, h)):
-            nxt = raw.find(b"\xff", at + 1, end)
-            nxt = end if nxt < 0 else nxt
+            if tag <= at:
+                tag = raw.find(b"ID3", at + 1, end) % (end + 1)  # no tag ahead: the end
+            nxt = min(tag, raw.find(b"\xff", at + 1, end) % (end + 1))
             out.skipped += nxt - at
             at, synced = nxt, False
             continue
