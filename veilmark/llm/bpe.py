@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import by_bytes, schema_of, small_batches
 
-BATCH_BYTES = 8 << 20
-MEMO = 300_000
+BATCH_BYTES = 4 << 20
+MEMO = 200_000
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,8 +66,22 @@ def stored(df: DataFrame) -> Iterator[DataFrame]:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Gives a worker's free memory back to the system, for it is kept for the next task and shares a node with its executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Regroups rows so that each batch holds about `most` bytes of a string or binary column, one row at least."""
+    try:
+        yield from _by_bytes(batches, column, most)
+    finally:
+        release()
+
+
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
