@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches
+from veilmark.llm.common import by_bytes, schema_of, small_batches, stored
 from veilmark.llm.tokens import NOT_ALNUM, grams, mix, word_hashes
 
 PER_CLASS = 3000
 CALIBRATION = 4000
 SPARE = 3.0
 WINDOW = 2
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -151,41 +151,46 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
     if len(shares) < 2:
         return ToxicityModel(Lookup(), Lookup(), Lookup(), 0.0, window, constant=float(1 in shares))
     runs = chosen.where("use = 0").select("text", "toxic").mapInArrow(_expressions, "run bigint, pair bigint, first bigint, second bigint, toxic int")
-    counts = (
+    pairs = (
         runs.groupBy("run", "pair", "first", "second").agg(*(F.max((F.col("toxic") == c).cast("int")).alias(f"n{c}") for c in (0, 1)))
-        .groupBy("pair", "first", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # of a bounded sample
+        .groupBy("pair", "first", "second").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
     )
-    model = _estimate({n: counts.column(n).to_numpy() for n in counts.column_names}, spare, window)
+    with stored(pairs) as counted:
+        model = _estimate(counted, spare, window)
     held = chosen.where("use = 1").select("text", "toxic").mapInArrow(lambda batches: _evidence(batches, model), "mean double, best double, toxic int").toArrow()
     x = np.stack([np.ones(held.num_rows), held.column("mean").to_numpy(), held.column("best").to_numpy()], 1)
     model.curve = _logistic(x, held.column("toxic").to_numpy().astype(float))
     return model
 
 
-def _estimate(t: dict[str, np.ndarray], spare: float, window: int) -> ToxicityModel:
-    pair, left, right = (t[k].view(_U) for k in ("pair", "first", "second"))
-    m = np.stack([t["n0"], t["n1"]]).astype(float)  # distinct words before the pair, by class
-    words = np.unique(np.concatenate([left, right]))
-    n = np.stack([np.bincount(np.searchsorted(words, right), m[c] > 0, len(words)) for c in (0, 1)])  # distinct words before the word
-    follows = np.bincount(np.searchsorted(words, right), minlength=len(words)).astype(float)  # distinct left contexts, both classes
-    shared = (follows + 1) / (follows.sum() + len(words) + 1)
-    spared = lambda c: np.minimum(c, spare * np.sqrt(c))
-    total = np.maximum(n.sum(1, keepdims=True), 1)
-    left_over = np.maximum(spared(n).sum(1, keepdims=True), 1e-9) / total
-    p = (n - spared(n)) / total + left_over * shared
-    kept = (n > spared(n)).any(0)
-    unseen = math.log(left_over[1, 0] / left_over[0, 0])
-    at_left, at_right = np.searchsorted(words, left), np.searchsorted(words, right)
-    ctx_n = np.stack([np.bincount(at_left, m[c], len(words)) for c in (0, 1)])
-    ctx_spared = np.stack([np.bincount(at_left, spared(m[c]), len(words)) for c in (0, 1)])
-    lam = np.where(ctx_n > 0, ctx_spared / np.maximum(ctx_n, 1), 1.0)
-    lam = np.maximum(lam, 1e-6)
-    alive = (m > spared(m)).any(0)
-    pp = (m - spared(m))[:, alive] / np.maximum(ctx_n[:, at_left[alive]], 1) + lam[:, at_left[alive]] * p[:, at_right[alive]]
-    contexts = (lam < 1).any(0)
+def _estimate(pairs: DataFrame, spare: float, window: int) -> ToxicityModel:
+    """pairs: pair, first, second, and in n0 and n1 the distinct words before the pair, by class. Only what keeps some count comes to the driver."""
+    spared = lambda c: F.least(F.col(c), spare * F.sqrt(c))
+    keeps = (F.col("n0") > spared("n0")) | (F.col("n1") > spared("n1"))
+    alive = pairs.where(keeps)
+    contexts = pairs.groupBy("first").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.sum(spared(f"n{c}")).alias(f"s{c}") for c in (0, 1))).where("s0 < n0 or s1 < n1")
+    words = pairs.groupBy("second").agg(*(F.sum((F.col(f"n{c}") > 0).cast("double")).alias(f"n{c}") for c in (0, 1)), F.count("*").cast("double").alias("follows"))
+    ends = alive.select("second").distinct().withColumn("ends", F.lit(True))
+    needed = words.join(ends, "second", "left").where(keeps | F.col("ends"))
+    total = words.agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.sum(spared(f"n{c}")).alias(f"s{c}") for c in (0, 1)), F.sum("follows").alias("follows")).first()
+    types = pairs.select(F.explode(F.array("first", "second")).alias("w")).distinct().count()
+    p, c, w = ({n: t.column(n).to_numpy() for n in t.column_names if n != "ends"} for t in (alive.toArrow(), contexts.toArrow(), needed.toArrow()))
+    both = lambda t, k: np.stack([t[f"{k}0"], t[f"{k}1"]])
+    give = lambda n: np.minimum(n, spare * np.sqrt(n))
+    size = np.maximum([[total["n0"] or 0], [total["n1"] or 0]], 1)
+    left_over = np.maximum([[total["s0"] or 0], [total["s1"] or 0]], 1e-9) / size
+    order = np.argsort(w["second"].view(_U))
+    names, n, follows = w["second"].view(_U)[order], both(w, "n")[:, order], w["follows"][order]
+    chance = (n - give(n)) / size + left_over * (follows + 1) / ((total["follows"] or 0) + types + 1)
+    kept = (n > give(n)).any(0)
+    order = np.argsort(c["first"].view(_U))
+    firsts, context = c["first"].view(_U)[order], both(c, "n")[:, order]
+    lam = np.maximum(np.where(context > 0, both(c, "s")[:, order] / np.maximum(context, 1), 1.0), 1e-6)
+    left, right, m = np.searchsorted(firsts, p["first"].view(_U)), np.searchsorted(names, p["second"].view(_U)), both(p, "n")
+    joint = (m - give(m)) / np.maximum(context[:, left], 1) + lam[:, left] * chance[:, right]
     return ToxicityModel(
-        Lookup.of(pair[alive], np.log(pp[1] / pp[0])), Lookup.of(words[contexts], np.log(lam[1, contexts] / lam[0, contexts])),
-        Lookup.of(words[kept], np.log(p[1, kept] / p[0, kept])), unseen, window,
+        Lookup.of(p["pair"].view(_U), np.log(joint[1] / joint[0])), Lookup.of(firsts, np.log(lam[1] / lam[0])),
+        Lookup.of(names[kept], np.log(chance[1, kept] / chance[0, kept])), math.log(left_over[1, 0] / left_over[0, 0]), window,
     )
 
 
