@@ -6,7 +6,9 @@ in either class. The models' own counts are continuation counts too: a pair of
 words counts the distinct words before it, a word the distinct words before it,
 so that a text which was copied many times adds no more than one text. An
 expression with count c gives up `spare * sqrt(c)` of it (at most all) to the
-backoff, so rare ones tell the classes apart little or not at all, and only the
+backoff; `spare` is such that what is said in less than a share `rare` of the
+documents gives up everything. So rare ones tell the classes apart little or
+not at all, families of near copies have no words of their own, and only the
 expressions that keep some count are part of the model.
 
 A document's evidence is the difference of length-normalised log-likelihoods,
@@ -40,7 +42,8 @@ from veilmark.llm.tokens import NOT_ALNUM, grams, mix, word_hashes
 
 PER_CLASS = 3000
 CALIBRATION = 4000
-SPARE = 3.0
+#: Share of the smaller class's documents below which an expression gives up all of its count.
+RARE = 0.02
 WINDOW = 2
 BATCH_BYTES = 1 << 20
 
@@ -138,7 +141,7 @@ def sample(labelled: DataFrame, per_class: int, salt: str) -> DataFrame:
     return labelled.where("toxic = 1").orderBy(rank, "doc_id").limit(per_class).unionByName(labelled.where("toxic = 0").orderBy(rank, "doc_id").limit(per_class))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, spare: float = SPARE, window: int = WINDOW) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, rare: float = RARE, window: int = WINDOW) -> ToxicityModel:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1). Every fourth labelled id, by hash, calibrates."""
     small_batches(docs.sparkSession)
     labelled = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -155,6 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
         runs.groupBy("run", "pair", "first", "second").agg(*(F.max((F.col("toxic") == c).cast("int")).alias(f"n{c}") for c in (0, 1)))
         .groupBy("pair", "first", "second").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
     )
+    sizes = {r["toxic"]: r["n"] for r in ids.where("use = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    spare = max(1.5, math.sqrt(rare * min(sizes.get(c, 0) for c in (0, 1))))
     with stored(pairs) as counted:
         model = _estimate(counted, spare, window)
     held = chosen.where("use = 1").select("text", "toxic").mapInArrow(lambda batches: _evidence(batches, model), "mean double, best double, toxic int").toArrow()
