@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.common import by_bytes, schema_of, small_batches
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 MEMO = 200_000
 _ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\r\x0b\x0ca-z0-9]+")
 
@@ -234,6 +234,7 @@ def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True, d
             if digests:
                 out += [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (coded, texts)]
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *out], [*(c for c in batch.schema.names if c != "__raw"), *(n for n, _ in extra)])
+        codec.memo.clear()  # what the next task of this worker needs may be another's
 
     plain = docs.drop(*(n for n, _ in extra))
     return plain.withColumn("__raw", F.col("text").cast("binary")).mapInArrow(run, schema_of(plain, *extra))
