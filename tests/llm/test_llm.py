@@ -286,6 +286,22 @@ def test_pii_trees_add_secrets(spark):
     assert sum("secret" in kinds[i] for i in range(100)) > 90 and not any("secret" in kinds[i] for i in range(100, 200))
 
 
+def test_pii_copies_do_not_crowd_out_the_sample(spark):
+    r = random.Random(7)
+    common = [f"item {'1' * n} and {'x' * k}2345678901234567 here" for n in (8, 9) for k in range(1, 21)]
+    rows = [(i, f'note token = "{r.getrandbits(160):040x}" end') for i in range(60)] + [(100 + i, common[i % 40]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for most in (20, 40):
+        trees = pii.fit(df, most=most)
+        assert trees is not None
+        kinds = {row.doc_id: [s.kind for s in row.spans] for row in pii.find(df, trees).collect()}
+        assert sum("secret" in kinds[i] for i in range(60)) > 54 and not any(kinds[100 + i] for i in range(1600))
+    each = df.select(F.explode(pii.proposals(F.col("text"), pii.base_spans(F.col("text")))).alias("c")).select("c.kind", "c.f", "c.y")
+    got = {(row.kind, row.y): row for row in pii.sample(each, 20).groupBy("kind", "y").agg(F.sum("trains").alias("trains"), F.sum("held").alias("held"), F.count("*").alias("vectors")).collect()}
+    whole = {(row.kind, row.y): row["count"] for row in each.groupBy("kind", "y").count().collect()}
+    assert got.keys() == whole.keys() and all(round(got[k].trains + got[k].held) == whole[k] and got[k].held > 0 and got[k].trains > 0 for k in whole) and sum(row.vectors for row in got.values()) <= 20
+
+
 def labelled(spark, kind):
     r = random.Random(6)
     rows, labels = [], []

@@ -12,11 +12,16 @@ format (length, digits, letters, separators, groups, variety) and context (the
 text before, the characters around). There are no labelled spans, so the trees
 learn from the rules at a distance: a proposal is positive if it covers a
 checked span of a rule or follows a word such as "token =", negative otherwise.
-They are trained on at most `most` proposals (a documented bound: those with
-the smallest hashes), of which a fifth is held out to calibrate, for each
-generator, the lowest threshold whose precision is `precision` or more; without
-one the generator selects nothing. The trees are then written as one SQL
-expression, so scoring is part of the documents' scan.
+Equal proposals (generator, features, label) are counted, and the trees learn
+from the distinct ones, weighted by their counts. At most `most` of them are
+taken (a documented bound): each generator and label has its share, what it does
+not need goes to the others, and those with the smallest hashes fill it; they
+then weigh as much as all that they stand for. A fifth of the rows of each
+generator and label, one at least, is held out to calibrate, for each generator,
+the lowest threshold whose precision is `precision` or more and whose step adds
+something right; without one the generator selects nothing. The only row of its kind and label serves for both.
+The trees are then written as one SQL expression, so scoring is part of the
+documents' scan.
 
 Spans are (kind, start, end) in code points, end exclusive. Base spans stay;
 selected ones are added unless a base span covers them.
@@ -181,24 +186,45 @@ def _tree(node) -> dict:
     return {"feature": int(node.split().featureIndex()), "at": float(node.split().threshold()), "low": _tree(node.leftChild()), "high": _tree(node.rightChild())}
 
 
+def sample(each: DataFrame, most: int) -> DataFrame:
+    """each: kind, f, y. Its distinct rows, at most `most`, with the weight that `trains` and the one that is `held` out: every fifth copy, and something of every kind and label on either side."""
+    counted = durable(each.groupBy("kind", "f", "y").agg(F.count("*").alias("n")).withColumn("rank", F.xxhash64("kind", "f", "y")))
+    # Two rows for each generator at most.
+    strata = sorted(counted.groupBy("kind", "y").agg(F.count("*").alias("vectors"), F.sum("n").alias("n")).collect(), key=lambda s: (s["vectors"], s["kind"], s["y"]))
+    chosen, room = counted.limit(0).withColumn("all", F.lit(0.0)), most
+    for i, s in enumerate(strata):
+        share = max(room // (len(strata) - i), 1)
+        part = counted.where((F.col("kind") == s["kind"]) & (F.col("y") == s["y"]))
+        part = part.orderBy("rank", "f").limit(share) if s["vectors"] > share else part
+        chosen, room = chosen.unionByName(part.withColumn("all", F.lit(float(s["n"])))), room - min(share, s["vectors"])
+    chosen = durable(chosen)
+    ends = chosen.groupBy("kind", "y").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.sum("n").alias("taken"))
+    turn = F.pmod("rank", F.lit(5))
+    held = F.floor((turn + F.col("n") - 1) / 5) + (turn == 0).cast("int")
+    first, last = F.col("rank") == F.col("low"), F.col("rank") == F.col("high")
+    held = F.when(last, F.greatest(held, F.lit(1))).when(first, F.least(held, F.col("n") - 1)).otherwise(held)
+    trains = F.when(first, F.greatest(F.col("n") - held, F.lit(1))).otherwise(F.col("n") - held)
+    whole = F.col("all") / F.col("taken")
+    return chosen.join(F.broadcast(ends), ["kind", "y"]).select("kind", "f", "y", (trains * whole).alias("trains"), (held * whole).alias("held"))
+
+
 def fit(docs: DataFrame, most: int = MOST, precision: float = PRECISION) -> Trees | None:
     """Trees for these documents' proposals; None without proposals of both classes."""
     text = F.coalesce("text", F.lit(""))
     seen = docs.where(F.col("text").rlike("[0-9@]")).select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
     each = seen.select(F.explode(proposals(F.col("text"), F.col("base"))).alias("c")).select("c.kind", "c.f", "c.y")
-    rank = F.xxhash64("kind", "f", "y")
-    chosen = durable(each.orderBy(rank, "kind", "f").limit(most).withColumn("held", F.pmod(rank, F.lit(5)) == 0))
-    if chosen.where("not held").select(F.count_distinct("y")).first()[0] < 2:
+    chosen = sample(each, most)
+    if chosen.where("trains > 0").select(F.count_distinct("y")).first()[0] < 2:
         return None
-    rows = chosen.where("not held").select(array_to_vector("f").alias("features"), F.col("y").cast("double").alias("label")).coalesce(2)
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(rows)
+    rows = chosen.where("trains > 0").select(array_to_vector("f").alias("features"), F.col("y").cast("double").alias("label"), "trains").coalesce(2)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="trains").fit(rows)
     trees = Trees([(float(w), _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
-    bins = chosen.where("held").select("kind", F.floor(trees.probability(F.col("f")) * 50).alias("bin"), "y").groupBy("kind", "bin").agg(F.sum("y").alias("right"), F.count("*").alias("n")).collect()
+    bins = chosen.where("held > 0").select("kind", F.floor(trees.probability(F.col("f")) * 50).alias("bin"), "y", "held").groupBy("kind", "bin").agg(F.sum(F.col("y") * F.col("held")).alias("right"), F.sum("held").alias("n")).collect()
     for kind in GENERATORS:
         right = n = 0
         for b in sorted((b for b in bins if b["kind"] == kind), key=lambda b: -b["bin"]):
             right, n = right + b["right"], n + b["n"]
-            if right >= precision * n and not math.isclose(right, 0):
+            if right >= precision * n and not math.isclose(b["right"], 0):
                 trees.thresholds[kind] = b["bin"] / 50
     return trees
 
