@@ -302,6 +302,20 @@ def test_pii_copies_do_not_crowd_out_the_sample(spark):
     assert got.keys() == whole.keys() and all(round(got[k].trains + got[k].held) == whole[k] and got[k].held > 0 and got[k].trains > 0 for k in whole) and sum(row.vectors for row in got.values()) <= 20
 
 
+def test_pii_finds_contacts_and_secrets_without_digits(spark):
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("bcdfghklmnpqrstvwxz") for _ in range(n))
+    secrets = [word(r.randrange(24, 33)) for _ in range(60)]
+    contacts = [f"{word(5)} {at} {word(6)} {dot} org" for at, dot in (("(at)", "(dot)"), ("[at]", "[dot]")) for _ in range(30)]
+    rows = [(i, f"mail: {c}, thanks") for i, c in enumerate(contacts)] + [(100 + i, f'token = "{s}" end') for i, s in enumerate(secrets)] + [(200 + i, f"the {word(17)} was {word(4)} at {word(5)}. Then") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    trees = pii.fit(df)
+    got = {row.doc_id: row.text for row in pii.redact(df, trees).collect()}
+    assert sum(got[i] == "mail: [CONTACT], thanks" for i in range(60)) > 54
+    assert sum(got[100 + i] == 'token = "[SECRET]" end' for i in range(60)) > 54
+    assert all(got[i] == text for i, text in rows if i >= 200)
+
+
 def labelled(spark, kind):
     r = random.Random(6)
     rows, labels = [], []
