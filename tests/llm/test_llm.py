@@ -70,13 +70,47 @@ def test_jaccard_components_are_those_of_brute_force(spark, n, num):
     assert got == brute_components(rows, n, num, 100)
 
 
-def test_jaccard_stars_before_enumeration_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "MANY", 0)
-    monkeypatch.setattr(jaccard_join, "TIMES", 0)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    rows = near_copies(9)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(df, 5, 80, 100).collect()} == brute_components(rows, 5, 80, 100)
+def family(seed, members, words, most):
+    """Copies of one text with up to `most` words replaced: some linked to one another, some to none; and texts that share a passage only."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(members):
+        w = list(base)
+        for k in r.sample(range(words), r.randrange(most)):
+            w[k] = f"n{i}x{k}"
+        out.append(" ".join(w))
+    out += [" ".join([f"own{i}x{k}" for k in range(words // 2)] + base[: words // 2]) for i in range(members // 4)]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize(("n", "num", "most"), [(3, 90, 5), (5, 80, 8)])
+def test_jaccard_of_a_large_family(spark, monkeypatch, n, num, most):
+    monkeypatch.setattr(jaccard_join, "REPS", 1)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 5000)
+    rows = family(n, 300, 120, most)
+    want = brute_components(rows, n, num, 100)
+    assert len({low for _, low in want.values()}) > 80  # many stay outside of the large component
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(df, n, num, 100).collect()} == want
+
+
+def test_jaccard_signatures_are_shared_by_similar_sets():
+    """Whatever the size: a set and one at the limit of similarity share as many signatures as either counts on."""
+    r = np.random.default_rng(1)
+    for num in (80, 90):
+        levels = jaccard_join.Levels(num, 100)
+        for size in (9, 20, 21, 40, 77, 150, 400, 1500):
+            for _ in range(15):
+                x = np.unique(r.integers(0, 2**64, size, np.uint64))
+                y = x[: int(np.ceil(len(x) * num / 100))] if r.random() < 0.3 else np.unique(np.concatenate([x[(len(x) * (100 - num)) // (100 + num) :], r.integers(0, 2**64, (len(x) * (100 - num)) // (100 + num), np.uint64)]))
+                both = len(np.intersect1d(x, y))
+                assert 100 * both >= num * (len(x) + len(y) - both)
+                a, b = ({level: (set(s.tolist()), need) for level, (s, need) in enumerate(levels.sign(v), int(np.searchsorted(levels.ends, len(v))))} for v in (x, y))
+                for level in a.keys() & b.keys():
+                    for mine in (a, b):
+                        assert len(a[level][0] & b[level][0]) >= mine[level][1]
+                assert len(x) < 10 or a.keys() & b.keys()
 
 
 def test_jaccard_odd_inputs(spark):

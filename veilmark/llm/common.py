@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,17 +54,62 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark keeps it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Tables:
+    """Parquet tables in the shared folder, smaller than checkpoints, that go when the block ends: nothing lazy may outlive it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The same rows, written and read again."""
+        path = shared_folder(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 @contextlib.contextmanager
 def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The same rows as a Parquet table in the shared folder, smaller than a checkpoint, that goes when the block ends: nothing lazy may outlive it."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
-    df.write.parquet(path)
-    try:
-        yield spark.read.parquet(path)
-    finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    """One such table."""
+    with Tables(df.sparkSession) as tables:
+        yield tables.put(df)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bitmap(keys: DataFrame, count: int, most: int) -> np.ndarray:
+    """A filter of the table's only column (bigint): bits, some 32 for each of `count` keys but at most `most` in all, as 64-bit words. Past that it lets more through, never less."""
+    size = 1 << min(most.bit_length() - 1, max(16, (32 * max(count, 1) - 1).bit_length()))
+    bit = f"pmod(`{keys.columns[0]}`, {size}L)"
+    rows = keys.groupBy(F.expr(f"{bit} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("b")).toArrow()
+    words = np.zeros(size // 64, np.int64)
+    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return words.view(np.uint64)
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64 bits, unsigned) the filter lets through."""
+    at = keys & np.uint64(len(words) * 64 - 1)
+    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def release() -> None:

@@ -1,11 +1,11 @@
-"""Connected components of an edge table by alternating large and small stars, with a durable table after each round."""
+"""Connected components of an edge table by alternating large and small stars, with a written table after each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import durable
+from veilmark.llm.common import Tables, durable
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -15,19 +15,18 @@ def _smallest(pairs: DataFrame) -> DataFrame:
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: a, b (bigint). Returns node, component (the smallest node of it) for every node of an edge."""
-    state = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        # Large star: every neighbour above u hangs on the smallest node that u knows.
-        both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = durable(large)
-        # Small star: u and its neighbours below it hang on the smallest of them.
-        least = _smallest(large)
-        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = durable(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = tuple(state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with Tables(edges.sparkSession) as tables:
+        state = tables.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+        while True:
+            # Done when each node hangs on one other that hangs on none.
+            inner = state.join(state.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+            if not inner and not state.groupBy("u").count().where("count > 1").limit(1).count():
+                break
+            # Large star: every neighbour above u hangs on the smallest node that u knows.
+            both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            large = tables.put(both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            # Small star: u and its neighbours below it hang on the smallest of them.
+            least = _smallest(large)
+            hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            state = tables.put(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        return durable(state.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

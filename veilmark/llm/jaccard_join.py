@@ -8,60 +8,67 @@ least num/den differ in at most (den-num)/(den+num) of their joint size.
 Signatures. Sizes fall into bands whose ends differ by the factor den/num, so
 that similar sets lie in one band or in neighbours; a set signs at its own
 band's level and at the next one's. At a level where sets differ in at most k
-elements, the domain of fingerprints is parted by their high bits:
-
-* k = 0: one part, one signature of the whole set;
-* k up to `SUBSETS`: k + 2 parts, of which two agree; all subsets of two parts
-  are enumerated;
-* larger k: k + 1 + z first-level parts, of which z + 1 agree. A part with
-  fewer than e elements is no signature, unless a set has over z such parts,
-  when all of its parts sign: as parts that agree are alike on both sides, one
-  that both sign remains. z and e follow from the expected sizes, and keep
-  empty parts, on which unlike sets would meet, from signing.
-
-Sets with a common signature are candidates. Those whose sizes and parity
-sketches prove them unlike are dropped, the others are verified on the whole
-sets, so no link is lost and none added. Within a signature's
-bucket not all pairs are formed: first each set meets the bucket's first and
-last one; what the links found connect needs no further test; then the buckets that
-still hold several components compare the members outside of the largest one
-with the rest. If that would be too many pairs, further stars, around other
-members, come first. The components are those of all links.
+elements, the domain of fingerprints is parted, by their high bits, into
+n1 = k div 2 + 1 + z first-level parts and each of these into three second-level
+ones. In all but k div 2 first-level parts similar sets differ in one element at
+most, hence agree on two of the three second-level parts: every such subset of
+two signs. So similar sets share at least one signature for each such part,
+less those in which a subset is empty (empty ones sign only if nothing else is
+sure to). How many they must share follows from a set's own size and its empty
+subsets; a set that shares fewer has no partner. z keeps that number above the
+one or two that a common passage makes two unlike texts share.
+
+A task signs about `CHUNK` signatures at once; a signature that several of its
+sets share is told to the others by two rows, whatever their number, so a common
+signature comes twice a chunk, and no key gathers all rows of a group of copies.
+
+Pairs. A bucket may hold many sets, and all its pairs are never formed. The
+elements of all sets that share enough signatures are counted, and each set's
+elements ordered by that count, then by value, the same order for all. Two
+similar sets have their first common element among the first elements of both,
+so far from the end that enough can follow (`_fits`). A set whose own words
+differ too much has its own elements first and meets nobody. The sets that have
+a common first element make a group; each meets its representative, the set with
+the fewest elements before it in proportion, and pairs are verified on whole
+sets. What links connect needs no more tests. Of the sets outside of a group's
+largest component, further representatives (`REPS`, then eight times more, and
+so on) meet the group's other sets until every one of them has been one or joined. So no
+link between different components is missed, and none is added.
 
 Nulls: a null text is empty; a null doc_id counts in no component's smallest
-id. Copies and repeated rows are one node each and come back row by row. Other
-columns pass through `components` by name. An empty table gives no rows.
+id. Copies and repeated rows are one node each and come back row by row; ties in
+any order are broken by fingerprint. A very long text is one set in one task.
+Other columns pass through `components` by name, but `n_shingles` and
+`component_id` are overwritten. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, durable, schema_of, small_batches, stored
+from veilmark.llm.common import Tables, bitmap, by_bytes, durable, passes, schema_of, small_batches, spare
 from veilmark.llm.components import connected_components
 from veilmark.llm.tokens import grams, mix, word_hashes
 
 BATCH_BYTES = 1 << 20
-SUBSETS = 5
-#: Bits of a set's parity sketch: two sets differ in at least as many elements as their sketches in bits.
-SKETCH = 512
-#: Bits of the filter that keeps sets which no candidate pair names from leaving their task.
-FILTER_BITS = 1 << 24
-#: Members that remain are compared once that takes at most so many looks at sketches, or so many times the rows of shared buckets.
-MANY, TIMES = 20_000_000, 64
-#: Before, stars around so many members of a bucket, then so many times more of them.
-PIVOTS = 8
+#: Signatures, or elements, that a task combines at once.
+CHUNK = 1 << 20
+#: Bits at most of the filters that keep sets and elements which nothing needs in their tasks.
+FILTER_BITS = 1 << 26
+#: Representatives of a group in the first round after the stars, then so many times more.
+REPS = 8
+#: Nodes a task remembers to have dealt with.
 SEEN = 500_000
 
 _U = np.uint64
+#: The subsets of two of three second-level parts.
+_PAIRS = np.array([[0, 1], [0, 2], [1, 2]])
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -99,213 +106,240 @@ class Levels:
             end = max(end + 1, (end + 1) * den // num)
             self.ends.append(end)
 
+    def differ(self, a: int, b: int) -> int:
+        """Elements in which similar sets of these sizes differ at most."""
+        return (self.den - self.num) * (a + b) // (self.den + self.num)
+
     @cache
-    def scheme(self, level: int) -> tuple[int, int, int, int]:
-        """(k, parts, e, z) of a level."""
-        end = self.ends[level]
-        k = 2 * end * (self.den - self.num) // (self.den + self.num)
-        if k <= SUBSETS:
-            return k, (1 if k == 0 else k + 2), 0, 0
-        low = self.ends[level - 2] + 1 if level > 1 else 1
-        e, p, term = 0, 0.0, math.exp(-low / (k + 1))
-        mean = low / (k + 1)
-        while p + term <= (0.1 if e < 2 else 0.015):  # a lone shingle may be one that many texts share
-            p += term
-            e += 1
-            term *= mean / e
-        z = math.ceil((k + 1) * p + 3 * math.sqrt((k + 1) * p)) if e else 0
-        return k, k + 1 + z, e, z
-
-    def sign(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All signatures of a sorted set that isn't empty, at its own band's level and at the next."""
+    def scheme(self, level: int) -> tuple[int, int]:
+        """(k, first-level parts) of a level."""
+        k = self.differ(self.ends[level], self.ends[level])
+        parts = k // 2 + 1
+        return k, parts + parts // 20 + (parts > 2)
+
+    def sign(self, found: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """The signatures of a sorted set that isn't empty, at its own band's level and at the next, each with the number of them that a similar set shares."""
         band = int(np.searchsorted(self.ends, len(found)))
-        salted = mix(found)
-        high = found >> _U(32)
-        return self._at(band, salted, high), self._at(band + 1, salted, high)
-
-    def _at(self, level: int, salted: np.ndarray, high: np.ndarray) -> np.ndarray:
-        k, parts, e, z = self.scheme(level)
-        own = _U(level) << _U(40)
-        if parts == 1:
-            return mix(np.array([salted.sum(dtype=_U) + own]))
-        part = ((high * _U(parts)) >> _U(32)).astype(np.int64)  # rises with the fingerprint
-        cut = np.searchsorted(part, np.arange(parts + 1))
-        sums = np.concatenate(([_U(0)], np.cumsum(salted, dtype=_U)))
-        body = sums[cut[1:]] - sums[cut[:-1]]
-        if k <= SUBSETS:
-            body = mix(body + np.arange(parts).astype(_U))
-            i, j = (np.array(x) for x in zip(*combinations(range(parts), 2), strict=True))
-            return mix(mix(body[i]) + body[j] + own + (i * parts + j).astype(_U))
-        sizes = np.diff(cut)
-        use = sizes >= e
-        if parts - use.sum() > z:
-            use[:] = True
-        return mix(mix(body[use]) + own + np.flatnonzero(use).astype(_U))
-
-
-def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-        yield batch, shingle_sets(batch.column(batch.schema.get_field_index("__raw")).to_pylist(), n)
+        widest = len(found) * self.den // self.num
+        for level in (band, band + 1):
+            k, parts = self.scheme(level)
+            if k:  # else only equal sets are similar
+                yield self._at(level, parts, found, self.differ(len(found), min(widest, self.ends[level])))
+
+    def _at(self, level: int, parts: int, found: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+        part = ((found >> _U(32)) * _U(3 * parts) >> _U(32)).astype(np.int64)  # rises with the fingerprint
+        cut = np.searchsorted(part, np.arange(3 * parts + 1))
+        sums = np.concatenate(([_U(0)], np.cumsum(mix(found), dtype=_U)))
+        body = mix(sums[cut[1:]] - sums[cut[:-1]] + np.arange(3 * parts).astype(_U)).reshape(parts, 3)
+        filled = np.diff(cut).reshape(parts, 3)[:, _PAIRS].sum(2) > 0
+        sigs = mix(mix(body[:, _PAIRS[:, 0]] + (_U(level) << _U(40)) + _PAIRS[:, 0].astype(_U)) + body[:, _PAIRS[:, 1]])
+        need = parts - k // 2 - int((~filled).any(1).sum())
+        return (sigs[filled], need) if need > 0 else (sigs.ravel(), 1)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], column: str, n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in by_bytes(batches, column, BATCH_BYTES):
+        yield batch, shingle_sets(batch.column(batch.schema.get_field_index(column)).to_pylist(), n)
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(node, set) of each set that a task meets first."""
+    seen: set[int] = set()
+    for _, sets in _sets(batches, "raw", n):
+        if len(seen) > SEEN:
+            seen.clear()
+        new = []
+        for s in sets:
+            if len(s) and (node := node_of(s)) not in seen:
+                seen.add(node)
+                new.append((node, s))
+        yield new
 
 
 def _raw(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("text").cast("binary").alias("__raw"))
-
-
-def sketch(found: np.ndarray) -> list[int]:
-    """For each of SKETCH classes of fingerprints, the parity of the set's number of them, as 64-bit words."""
-    odd = np.bincount((found & _U(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1
-    return np.packbits(odd, bitorder="little").view(np.int64).tolist()
-
-
-def close(num: int, den: int, a: str = "_x", b: str = "_y") -> Column:
-    """Whether sizes and sketches leave open that two sets are similar enough (columns n and sketch with these endings)."""
-    na, nb, sa, sb = (F.col(f"{c}{e}") for c in ("n", "sketch") for e in (a, b))
-    apart = sum((F.bit_count(sa[k].bitwiseXOR(sb[k])) for k in range(SKETCH // 64)), F.lit(0))
-    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * apart <= (den - num) * (na + nb))
+    return docs.select(F.col("text").cast("binary").alias("raw"))
 
 
-def nodes(docs: DataFrame, n: int) -> DataFrame:
-    """docs with node (null for an empty set), n_shingles and sketch."""
+def nodes(docs: DataFrame, n: int, name: str = "node") -> DataFrame:
+    """docs without text, with n_shingles and the set's node under this name (null for an empty set)."""
+    plain = docs.drop(name, "n_shingles", "text")
+    raw = spare(plain, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _rows(batches, n):
-            i = batch.schema.get_field_index("__raw")
-            out = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *out], [*(c for c in batch.schema.names if c != "__raw"), "node", "n_shingles", "sketch"])
-
-    plain = docs.drop("node", "n_shingles", "sketch")
-    return plain.withColumn("__raw", F.col("text").cast("binary")).drop("text").mapInArrow(run, schema_of(plain.drop("text"), ("node", "bigint"), ("n_shingles", "bigint"), ("sketch", "array<bigint>")))
+        for batch, sets in _sets(batches, raw, n):
+            i = batch.schema.get_field_index(raw)
+            out = [pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *out], [*(c for c in batch.schema.names if c != raw), name, "n_shingles"])
+
+    return docs.select(*plain.columns, F.col("text").cast("binary").alias(raw)).mapInArrow(run, schema_of(plain, (name, "bigint"), ("n_shingles", "bigint")))
+
+
+def _told(signed: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (sig, node, mark, local) of a chunk's (node, mark, signatures). local: 0 for a signature that one set of the chunk has; -1 for two of those that share one; else how many a node shares inside of the chunk."""
+    sigs = np.concatenate([s for _, _, s in signed])
+    sizes = [len(s) for _, _, s in signed]
+    node, mark = np.array([x[0] for x in signed], np.int64), np.array([x[1] for x in signed], np.int32)
+    own = np.repeat(np.arange(len(signed)), sizes)
+    order = np.argsort(sigs, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(sigs[order]) != 0)))
+    count = np.diff(np.concatenate((begin, [len(order)])))
+    alone, first = order[begin[count == 1]], begin[count > 1]
+    shared = np.bincount(own[order[np.repeat(count > 1, count)]], minlength=len(signed))
+    has = np.flatnonzero(shared)
+    told = np.concatenate([alone, order[first], order[first + 1]])
+    away = mix(node[has].view(_U) + np.arange(len(has)).astype(_U))  # keys of no signature, spread over all tasks
+    rows = [
+        np.concatenate([sigs[told], away]).view(np.int64), np.concatenate([node[own[told]], node[has]]), np.concatenate([mark[own[told]], mark[has]]),
+        np.concatenate([np.repeat([0, -1], [len(alone), 2 * len(first)]), shared[has]]).astype(np.int32),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], ["sig", "node", "mark", "local"])
 
 
 def signatures(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(sig, node, up: at the level above its own band); a task signs a set once, however many copies it reads."""
+    """(sig, node, mark, local), see `_told`; mark: twice the number of signatures that a similar set shares, and one for the level above the set's own band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = Levels(num, den), set()
-        for _, sets in _rows(batches, n):
-            sigs, own, ups = [], [], []
-            for s in sets:
-                if len(s) and (node := node_of(s)) not in seen:
-                    seen.add(node)
-                    for up, found in enumerate(levels.sign(s)):
-                        sigs.append(found)
-                        own.append(node)
-                        ups.append(bool(up))
-            if len(seen) > SEEN:
-                seen.clear()
-            if sigs:
-                each = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), *(pa.array(np.repeat(np.array(v, t), each)) for v, t in ((own, np.int64), (ups, bool)))], ["sig", "node", "up"])
-
-    return _raw(docs).mapInArrow(run, "sig bigint, node bigint, up boolean")
-
-
-def _filter_words(wanted: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits of the wanted nodes' hashes."""
-    bit = f"pmod(node, {FILTER_BITS}L)"
-    rows = wanted.groupBy(F.expr(f"{bit} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("b")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return words.view(_U)
+        levels, held, size = Levels(num, den), [], 0
+        for new in _new_sets(batches, n):
+            for node, s in new:
+                for up, (sigs, need) in enumerate(levels.sign(s)):
+                    held.append((node, 2 * need + up, sigs))
+                    size += len(sigs)
+            if size > CHUNK:
+                yield _told(held)
+                held, size = [], 0
+        if held:
+            yield _told(held)
+
+    return _raw(docs).mapInArrow(run, "sig bigint, node bigint, mark int, local int")
+
+
+def candidates(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(node): the sets that share as many signatures with others as a similar one would."""
+    bucket = Window.partitionBy("sig")
+    told = signatures(docs, n, num, den).withColumn("low", F.min("node").over(bucket)).withColumn("high", F.max("node").over(bucket))
+    shares = told.select("node", "mark", F.when(F.col("local") > 0, F.col("local")).when((F.col("local") == 0) & (F.col("low") != F.col("high")), 1).otherwise(0).alias("shared")).where("shared > 0")
+    return shares.groupBy("node", "mark").agg(F.sum("shared").alias("shared")).where("shared >= mark div 2").select("node").distinct()
 
 
 def whole_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, found): the sets of the wanted nodes, as bytes."""
-    words = docs.sparkSession.sparkContext.broadcast(_filter_words(wanted))  # FILTER_BITS / 8 bytes, whatever the input
+    """(node, found): the sets of the wanted nodes, once each, as bytes."""
+    words = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, wanted.count(), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = words.value, set()
-        for _, sets in _rows(batches, n):
-            own, found = [], []
-            for s in sets:
-                if len(s):
-                    node = node_of(s)
-                    at = node % FILTER_BITS
-                    if node not in seen and int(bits[at >> 6]) >> (at & 63) & 1:
-                        seen.add(node)
-                        own.append(node)
-                        found.append(s.tobytes())
-            if len(seen) > SEEN:
-                seen.clear()
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(found, pa.binary())], ["node", "found"])
+        for new in _new_sets(batches, n):
+            keep = passes(words.value, np.array([node for node, _ in new], np.int64).view(_U))
+            rows = [x for x, k in zip(new, keep, strict=True) if k]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1].tobytes() for x in rows], pa.binary())], ["node", "found"])
 
     sets = _raw(docs).mapInArrow(run, "node bigint, found binary")
     return sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(elem, k): a chunk's distinct elements and in how many of its sets each is."""
+    for batch in by_bytes(batches, "found", 8 * CHUNK):
+        elem, k = np.unique(np.frombuffer(b"".join(batch.column("found").to_pylist()), _U), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(elem.view(np.int64)), pa.array(k)], ["elem", "k"])
+
+
+def first_elements(sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """(elem, node, n, rank): of each set the elements, by their count in all sets, at which its first common one with a similar set can be. rank counts from 0."""
+    common = tables.put(sets.mapInArrow(_counted, "elem bigint, k bigint").groupBy("elem").agg(F.sum("k").alias("df")).where("df > 1"))
+    words = sets.sparkSession.sparkContext.broadcast(bitmap(common.select("elem"), common.count(), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "found", 8 * CHUNK):
+            found = batch.column("found").to_pylist()
+            elem = np.frombuffer(b"".join(found), _U)
+            size = np.array([len(x) // 8 for x in found])
+            keep = passes(words.value, elem)
+            own = np.repeat(np.arange(len(found)), size)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(elem[keep].view(np.int64)), batch.column("node").take(pa.array(own)), pa.array(size[own])], ["elem", "node", "n"])
+
+    own = Window.partitionBy("node")
+    rows = sets.mapInArrow(run, "elem bigint, node bigint, n bigint").join(common, "elem")
+    # Elements that no other set has come first; the rest follows by its count.
+    ranked = rows.withColumn("rank", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "elem")) - 1)
+    return ranked.where(f"rank <= n - (({num}L * n + {den - 1}) div {den})").select("elem", "node", "n", "rank")
+
+
+def _fits(num: int, den: int, a: str, b: str) -> Column:
+    """Whether sets of these sizes can be similar when their first common element has these ranks (columns n and rank with these endings)."""
+    na, nb, ra, rb = (F.col(f"{c}{e}") for c in ("n", "rank") for e in (a, b))
+    return (den * F.least(na, nb) >= num * F.greatest(na, nb)) & ((den + num) * F.least(na - ra, nb - rb) >= num * (na + nb))
+
+
+def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose sets are similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                if den * min(len(p), len(q)) < num * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]))
+                both = np.sort(np.concatenate([np.frombuffer(x, _U), np.frombuffer(y, _U)]))
                 shared = int((both[1:] == both[:-1]).sum())
-                keep.append(den * shared >= num * (len(p) + len(q) - shared))
+                keep.append(den * shared >= num * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()) as wanted, stored(whole_sets(docs, n, wanted)) as sets:
-        with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
-        both = with_b.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").select("a", "b", "fa", "fb")
-        return durable(both.mapInArrow(run, "a bigint, b bigint"))
-
-
-def links(docs: DataFrame, known: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Component of each node that has a link: node, component. known: node, n, sketch."""
-    bucket = Window.partitionBy("sig")
-    base = F.when(~F.col("up"), F.col("node"))
-    # Two sets below a level's band meet at the level of their own, so a bucket needs a member of the band.
-    signed = signatures(docs, n, num, den).withColumn("least", F.min("node").over(bucket)).withColumn("most", F.max("node").over(bucket)).withColumn("hub", F.min(base).over(bucket)).withColumn("far", F.max(base).over(bucket))
-    with stored(signed.where("hub is not null and least <> most").select("sig", "node", "up", "hub", "far")) as shared:
-        return _connected(docs, known, shared, n, num, den)
-
-
-def _connected(docs: DataFrame, known: DataFrame, shared: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    stars = shared.select("node", F.explode(F.array("hub", "far")).alias("end")).where("node <> end")
-    tested = durable(stars.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
-    of = lambda c, e: known.select(F.col("node").alias(c), F.col("n").alias(f"n{e}"), F.col("sketch").alias(f"sketch{e}"))
-    open_ = durable(tested.join(of("a", "_x"), "a").join(of("b", "_y"), "b").where(close(num, den)).select("a", "b"))
-    edges = verified(docs, open_, n, num, den)
-    done, pivots = 0, PIVOTS
-    while True:
-        found = connected_components(edges)
-        placed = shared.select("sig", "node", "up").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("k"))
-        mixed = sizes.groupBy("sig").agg(F.max_by("component", "k").alias("major"), F.sum("k").alias("all"), F.max("k").alias("most")).where("all > most").drop("most")
-        with stored(placed.join(mixed, "sig").join(known, "node")) as left:
-            more = left.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.when(F.col("component") != F.col("major"), F.col("all"))), F.lit(0)).alias("pairs"), F.max("all").alias("largest")).first()
-            if not more["rows"]:
+    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")), "b")
+    both = with_b.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")), "a").select("a", "b", "fa", "fb")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pairs(meet: DataFrame, x: str, y: str) -> DataFrame:
+    return meet.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def links(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Component of each node that has a link: node, component."""
+    with Tables(docs.sparkSession) as tables:
+        hot = tables.put(candidates(docs, n, num, den))
+        sets = tables.put(whole_sets(docs, n, hot))
+        first = tables.put(first_elements(sets, num, den, tables))
+        order = F.struct((F.col("rank") / F.col("n")).alias("share"), F.col("node"))
+        centre = first.groupBy("elem").agg(F.min_by(F.struct("node", "n", "rank"), order).alias("c"), F.count("*").alias("k")).where("k > 1").select("elem", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("node", "n", "rank")))
+        stars = first.join(centre, "elem").where(F.col("node") != F.col("node_c")).where(_fits(num, den, "", "_c"))
+        tested = tables.put(_pairs(stars, "node", "node_c"))
+        edges = tables.put(verified(sets, tested, num, den))
+        done, reps = None, REPS
+        while True:
+            found = connected_components(edges)
+            placed = tables.put(first.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+            groups = placed.groupBy("elem", "component").agg(F.count("*").alias("k"), F.min("n").alias("least")).groupBy("elem").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.sum("k").alias("all"), F.max("k").alias("most"), F.min("least").alias("least")).where("all > most")
+            # A set that cannot be similar to the group's smallest, nor lead a pair with a larger one, has no partner here.
+            outside = placed.join(groups.select("elem", "major", "least"), "elem").where(F.col("component") != F.col("major")).where(f"{den + num} * (n - rank) >= {num} * (n + least)")
+            if done is not None:
+                outside = outside.join(done, ["elem", "node"], "left_anti")
+            turn = outside.withColumn("at", F.row_number().over(Window.partitionBy("elem").orderBy(order)))
+            turn = tables.put(turn.select("elem", "node", "n", "rank", "component", "at"))
+            last = turn.agg(F.max("at")).first()[0]
+            if last is None:
                 return found
-            few = more["pairs"] <= max(MANY, TIMES * more["rows"])
-            last = few or pivots >= more["largest"]  # then every member has been a star's centre
-            if few:
-                some = left.where("component <> major")
-            else:
-                order = Window.partitionBy("sig").orderBy(F.xxhash64("node"), "node")
-                some = left.withColumn("at", F.row_number().over(order)).where(F.col("at").between(done + 1, pivots))
-            x, y = (t.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "up", "n", "sketch"))) for t, k in ((some, "x"), (left, "y")))
-            meet = x.join(y, (x["sig"] == y["sig"]) & (F.col("component_x") != F.col("component_y")) & ~(F.col("up_x") & F.col("up_y")) & close(num, den))
-            pairs = meet.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-            pairs = durable(pairs.join(tested, ["a", "b"], "left_anti"))
-        edges = durable(edges.unionByName(verified(docs, pairs, n, num, den)))
-        if last:
-            return connected_components(edges)
-        tested = durable(tested.unionByName(pairs))
-        done, pivots = pivots, pivots * PIVOTS
+            now = turn.where(F.col("at") <= reps)
+            x, y = (t.select("elem", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "rank"))) for t, k in ((now, "x"), (placed, "y")))
+            meet = x.join(y, "elem").where(F.col("component_x") != F.col("component_y")).where(_fits(num, den, "_x", "_y"))
+            pairs = tables.put(_pairs(meet, "node_x", "node_y").join(tested, ["a", "b"], "left_anti"))
+            new = tables.put(verified(sets, pairs, num, den))
+            edges = edges.unionByName(new)
+            if last <= reps:
+                return connected_components(edges) if new.limit(1).count() else found
+            tested = tested.unionByName(pairs)
+            done = now.select("elem", "node") if done is None else done.unionByName(now.select("elem", "node"))
+            reps *= 8
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """All columns of docs but text, with n_shingles and component_id: the smallest doc_id that links reach, itself included."""
     small_batches(docs.sparkSession)
-    placed = durable(nodes(docs, n))
-    known = durable(placed.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
-    found = links(docs.select("text"), known, n, num, den)
-    placed = placed.drop("component_id", "component", "sketch").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    first = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(first, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))).drop("node", "component", "sketch")
+    docs = docs.drop("n_shingles", "component_id")
+    node, of = spare(docs, "node"), spare(docs, "of")
+    placed = durable(nodes(docs, n, node))
+    found = links(docs.select("text"), n, num, den)
+    own = placed.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("node")).agg(F.min("doc_id").alias("least"))
+    member = own.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_node = durable(member.join(first, "component").select(F.col("node").alias(of), "component_id"))
+    kept = [F.col(c) for c in placed.columns if c != node]
+    return placed.join(of_node, F.col(node) == F.col(of), "left").select(*kept, F.when(F.col(node).isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
