@@ -1,29 +1,36 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary documents, are smoothed through one
-shared backoff distribution: the number of distinct words that precede a word
-in either class. The models' own counts are continuation counts too: a pair of
-words counts the distinct words before it, a word the distinct words before it,
-so that a text which was copied many times adds no more than one text. An
-expression with count c gives up `spare * sqrt(c)` of it (at most all) to the
-backoff; `spare` is such that what is said in less than a share `rare` of the
-documents gives up everything. So rare ones tell the classes apart little or
-not at all, families of near copies have no words of their own, and only the
-expressions that keep some count are part of the model.
-
-A document's evidence is the difference of length-normalised log-likelihoods,
-over the whole text and over its most toxic run of `window` words; a logistic
-curve fitted on labelled rows that gave no counts turns the two into a score.
+shared backoff. Interpolated Kneser-Ney smoothing takes the class as the first
+word of each context, so its levels are
+
+* class and word before: the number of distinct words that stand before the
+  pair in that class (a text copied many times adds no more than one text);
+* class: the number of distinct words before a word in that class;
+* shared: the number of classes, one or two, in which a word occurs at all;
+* one more type, of any word that no class has.
+
+Each level gives up one absolute discount from each of its counts to the next
+one, n1 / (n1 + 2 n2) with n1 and n2 the counts that are one and two. So a rare
+expression leans on the shared counts, where the classes are alike, and a
+frequent one of one class only stands out the more the oftener it is said.
+
+A document's evidence is the difference of length-normalised log-likelihoods
+over its whole text, and that of its most toxic expression (word, by the class
+level). A logistic curve fitted on labelled rows that gave no counts turns the
+two into a score.
 
 Fitting takes at most `per_class` labelled documents a class for the counts and
 `calibration` for the curve (documented bounds; the smallest hashes of doc_id
-are taken). The model then holds a few thousand entries, and is sent to the
-tasks; the bound on the sample bounds it.
-
-Nulls: a null text is an empty one; a null label is no label. Empty texts get
-the score of no evidence. Copies and repeated ids are scored row by row. With
-no rows of one of the classes every score is the toxic share of the labelled
-rows (0.0 if there are none). Other columns pass through.
+are taken, ties by doc_id). The model holds the sample's distinct pairs, which
+its bound bounds, and is sent to the tasks once.
+
+Nulls: a null text is an empty one; a null label is no label. Empty texts have
+no evidence and get the curve's score for none. Very long texts are scored whole, one at
+a time if need be. Copies, repeated rows and repeated ids are scored row by row;
+of repeated labels of an id the larger counts. With no rows of one of the classes
+every score is the toxic share of the labelled rows (0.0 if there are none).
+Other columns pass through, but `score` is overwritten.
 """
 
 from __future__ import annotations
@@ -37,14 +44,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches, stored
+from veilmark.llm.common import by_bytes, schema_of, small_batches, spare, stored
 from veilmark.llm.tokens import NOT_ALNUM, grams, mix, word_hashes
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 CALIBRATION = 4000
-#: Share of the smaller class's documents below which an expression gives up all of its count.
-RARE = 0.02
-WINDOW = 2
 BATCH_BYTES = 1 << 20
 
 _U = np.uint64
@@ -71,45 +75,39 @@ class Lookup:
 
 @dataclass
 class ToxicityModel:
-    """Log-likelihood ratios a word adds, and the calibration curve's weights (bias, document, window)."""
+    """Log-likelihood ratios a word adds, and the curve's weights (bias, whole text, strongest expression)."""
 
     pairs: Lookup
     contexts: Lookup
     words: Lookup
     unseen: float
-    window: int = WINDOW
     curve: tuple[float, float, float] = (0.0, 1.0, 1.0)
     constant: float | None = None
 
     def evidence(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-likelihood ratio of each text, and that of its most toxic window."""
+        """Mean log-likelihood ratio of each text, and the largest one of its words."""
         words, first = word_hashes(texts, NOT_ALNUM)
         n = np.diff(first)
-        ratio = self.words.get(words, self.unseen)
+        alone = self.words.get(words, self.unseen)
+        ratio = alone
         if len(words) > 1:
             inner = np.ones(len(words), bool)
             inner[first[:-1][n > 0]] = False
             before = words[np.maximum(np.arange(len(words)) - 1, 0)]
-            both = _pair(before, words)
-            ratio = np.where(inner, self.pairs.get(both, ratio + self.contexts.get(before, 0.0)), ratio)
+            ratio = np.where(inner, self.pairs.get(_pair(before, words), alone + self.contexts.get(before, 0.0)), alone)
         sums = np.concatenate(([0.0], np.cumsum(ratio)))
         mean = (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1)
-        best = np.zeros(len(texts))
-        full = n > 0
-        if full.any():
-            end = np.repeat(first[1:], n)
-            stop = np.minimum(np.arange(len(words)) + self.window, end)
-            start = np.maximum(np.repeat(first[:-1], n), stop - self.window)
-            runs = (sums[stop] - sums[start]) / (stop - start)
-            best[full] = np.maximum.reduceat(runs, first[:-1][full])
-        return mean, best
+        most = np.zeros(len(texts))
+        if (n > 0).any():
+            most[n > 0] = np.maximum.reduceat(alone, first[:-1][n > 0])
+        return mean, most
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        mean, best = self.evidence(texts)
+        mean, most = self.evidence(texts)
         bias, a, b = self.curve
-        return 1.0 / (1.0 + np.exp(-np.clip(bias + a * mean + b * best, -50, 50)))
+        return 1.0 / (1.0 + np.exp(-np.clip(bias + a * mean + b * most, -50, 50)))
 
 
 def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,7 +139,7 @@ def sample(labelled: DataFrame, per_class: int, salt: str) -> DataFrame:
     return labelled.where("toxic = 1").orderBy(rank, "doc_id").limit(per_class).unionByName(labelled.where("toxic = 0").orderBy(rank, "doc_id").limit(per_class))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION, rare: float = RARE, window: int = WINDOW) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibration: int = CALIBRATION) -> ToxicityModel:
     """docs: doc_id, text. labels: doc_id, toxic (0 or 1). Every fourth labelled id, by hash, calibrates."""
     small_batches(docs.sparkSession)
     labelled = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -152,57 +150,56 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
     chosen = texts.join(F.broadcast(ids), "doc_id").select("text", "toxic", "use")
     shares = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(shares) < 2:
-        return ToxicityModel(Lookup(), Lookup(), Lookup(), 0.0, window, constant=float(1 in shares))
-    runs = chosen.where("use = 0").select("text", "toxic").mapInArrow(_expressions, "run bigint, pair bigint, first bigint, second bigint, toxic int")
-    pairs = (
-        runs.groupBy("run", "pair", "first", "second").agg(*(F.max((F.col("toxic") == c).cast("int")).alias(f"n{c}") for c in (0, 1)))
-        .groupBy("pair", "first", "second").agg(F.sum("n0").cast("double").alias("n0"), F.sum("n1").cast("double").alias("n1"))
-    )
-    sizes = {r["toxic"]: r["n"] for r in ids.where("use = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    spare = max(1.5, math.sqrt(rare * min(sizes.get(c, 0) for c in (0, 1))))
-    with stored(pairs) as counted:
-        model = _estimate(counted, spare, window)
-    held = chosen.where("use = 1").select("text", "toxic").mapInArrow(lambda batches: _evidence(batches, model), "mean double, best double, toxic int").toArrow()
-    x = np.stack([np.ones(held.num_rows), held.column("mean").to_numpy(), held.column("best").to_numpy()], 1)
+        return ToxicityModel(Lookup(), Lookup(), Lookup(), 0.0, constant=float(1 in shares))
+    with stored(chosen) as sampled:
+        runs = sampled.where("use = 0").select("text", "toxic").mapInArrow(_expressions, "run bigint, pair bigint, first bigint, second bigint, toxic int")
+        pairs = (
+            runs.groupBy("run", "pair", "first", "second").agg(*(F.max((F.col("toxic") == c).cast("int")).alias(f"n{c}") for c in (0, 1)))
+            .groupBy("pair", "first", "second").agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"))
+        )
+        t = pairs.toArrow()  # the sample's distinct pairs
+        model = estimate(*(t.column(c).to_numpy().view(_U) for c in ("pair", "first", "second")), np.stack([t.column("n0").to_numpy(), t.column("n1").to_numpy()]))
+        del t
+        told = docs.sparkSession.sparkContext.broadcast(model)
+        held = sampled.where("use = 1").select("text", "toxic").mapInArrow(lambda batches: _evidence(batches, told.value), "mean double, most double, toxic int").toArrow()
+    x = np.stack([np.ones(held.num_rows), held.column("mean").to_numpy(), held.column("most").to_numpy()], 1)
     model.curve = _logistic(x, held.column("toxic").to_numpy().astype(float))
     return model
 
 
-def _estimate(pairs: DataFrame, spare: float, window: int) -> ToxicityModel:
-    """pairs: pair, first, second, and in n0 and n1 the distinct words before the pair, by class. Only what keeps some count comes to the driver."""
-    spared = lambda c: F.least(F.col(c), spare * F.sqrt(c))
-    keeps = (F.col("n0") > spared("n0")) | (F.col("n1") > spared("n1"))
-    alive = pairs.where(keeps)
-    contexts = pairs.groupBy("first").agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.sum(spared(f"n{c}")).alias(f"s{c}") for c in (0, 1))).where("s0 < n0 or s1 < n1")
-    words = pairs.groupBy("second").agg(*(F.sum((F.col(f"n{c}") > 0).cast("double")).alias(f"n{c}") for c in (0, 1)), F.count("*").cast("double").alias("follows"))
-    ends = alive.select("second").distinct().withColumn("ends", F.lit(True))
-    needed = words.join(ends, "second", "left").where(keeps | F.col("ends"))
-    total = words.agg(*(F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)), *(F.sum(spared(f"n{c}")).alias(f"s{c}") for c in (0, 1)), F.sum("follows").alias("follows")).first()
-    types = pairs.select(F.explode(F.array("first", "second")).alias("w")).distinct().count()
-    p, c, w = ({n: t.column(n).to_numpy() for n in t.column_names if n != "ends"} for t in (alive.toArrow(), contexts.toArrow(), needed.toArrow()))
-    both = lambda t, k: np.stack([t[f"{k}0"], t[f"{k}1"]])
-    give = lambda n: np.minimum(n, spare * np.sqrt(n))
-    size = np.maximum([[total["n0"] or 0], [total["n1"] or 0]], 1)
-    left_over = np.maximum([[total["s0"] or 0], [total["s1"] or 0]], 1e-9) / size
-    order = np.argsort(w["second"].view(_U))
-    names, n, follows = w["second"].view(_U)[order], both(w, "n")[:, order], w["follows"][order]
-    chance = (n - give(n)) / size + left_over * (follows + 1) / ((total["follows"] or 0) + types + 1)
-    kept = (n > give(n)).any(0)
-    order = np.argsort(c["first"].view(_U))
-    firsts, context = c["first"].view(_U)[order], both(c, "n")[:, order]
-    lam = np.maximum(np.where(context > 0, both(c, "s")[:, order] / np.maximum(context, 1), 1.0), 1e-6)
-    left, right, m = np.searchsorted(firsts, p["first"].view(_U)), np.searchsorted(names, p["second"].view(_U)), both(p, "n")
-    joint = (m - give(m)) / np.maximum(context[:, left], 1) + lam[:, left] * chance[:, right]
-    return ToxicityModel(
-        Lookup.of(p["pair"].view(_U), np.log(joint[1] / joint[0])), Lookup.of(firsts, np.log(lam[1] / lam[0])),
-        Lookup.of(names[kept], np.log(chance[1, kept] / chance[0, kept])), math.log(left_over[1, 0] / left_over[0, 0]), window,
-    )
+def discount(counts: np.ndarray) -> float:
+    """One absolute discount in (0, 1) from the counts that are one and two; a half without either."""
+    one, two = int((counts == 1).sum()), int((counts == 2).sum())
+    return min(max(one / (one + 2 * two), 0.01), 0.99) if one or two else 0.5
+
+
+def estimate(pair: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> ToxicityModel:
+    """The model of distinct pairs (fingerprints of the pair and its words) with n, a row for each class, of distinct words before each."""
+    words, word = np.unique(second, return_inverse=True)
+    firsts, context = np.unique(first, return_inverse=True)
+    types = len(np.union1d(words, firsts))
+    m = np.stack([np.bincount(word, row > 0, len(words)) for row in n])
+    classes = (m > 0).sum(0)
+    base = discount(classes)
+    shared = np.maximum(classes - base, 0) / classes.sum() + base * len(words) / classes.sum() / (types + 1)
+    alone, left_over, joint, spared = [], [], [], []
+    for c in (0, 1):
+        d = discount(m[c])
+        size = max(m[c].sum(), 1)
+        left_over.append(d * (m[c] > 0).sum() / size if m[c].any() else 1.0)
+        alone.append(np.maximum(m[c] - d, 0) / size + left_over[c] * shared)
+        d = discount(n[c])
+        size = np.bincount(context, n[c], len(firsts))
+        spared.append(np.where(size > 0, d * np.bincount(context, n[c] > 0, len(firsts)) / np.maximum(size, 1), 1.0))
+        joint.append(np.maximum(n[c] - d, 0) / np.maximum(size[context], 1) + spared[c][context] * alone[c][word])
+    ratio = lambda both: np.log(both[1] / both[0])
+    return ToxicityModel(Lookup.of(pair, ratio(joint).astype(np.float32)), Lookup(firsts, ratio(spared).astype(np.float32)), Lookup(words, ratio(alone)), math.log(left_over[1] / left_over[0]))
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
     for batch in by_bytes(batches, "text", BATCH_BYTES):
-        mean, best = model.evidence(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(mean), pa.array(best), batch.column("toxic")], ["mean", "best", "toxic"])
+        mean, most = model.evidence(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(mean), pa.array(most), batch.column("toxic")], ["mean", "most", "toxic"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
@@ -226,12 +223,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with `score` (0 to 1) of the whole text; `text` stays as it is."""
     small_batches(docs.sparkSession)
+    told = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    plain = docs.drop("score")
+    raw = spare(plain, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-            i = batch.schema.get_field_index("__raw")
-            out = pa.array(model.scores(batch.column(i).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), out], [*(c for c in batch.schema.names if c != "__raw"), "score"])
+        for batch in by_bytes(batches, raw, BATCH_BYTES):
+            i = batch.schema.get_field_index(raw)
+            out = pa.array(told.value.scores(batch.column(i).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), out], [*(c for c in batch.schema.names if c != raw), "score"])
 
-    plain = docs.drop("score")
-    return plain.withColumn("__raw", F.col("text").cast("binary")).mapInArrow(run, schema_of(plain, ("score", "double")))
+    return plain.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema_of(plain, ("score", "double")))
