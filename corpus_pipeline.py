@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.llm import bpe, decontaminate, jaccard_join, pii, toxicity
-from veilmark.llm.common import fold, read, shared_folder
+from veilmark.llm.common import delete, fold, read, shared_folder, spare
 from veilmark.llm.queries import tokenizer_path
 
 
@@ -21,11 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (5-word shingles, similarity of 0.8 or more) stays: the smallest doc_id."""
     # Rows are told apart by id and text, so repeated rows leave one and rows that share an id by mistake are not mixed up.
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    placed = jaccard_join.components(keyed.select("doc_id", "text", "__text"))
-    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__text").alias("__print")).distinct()
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(first["__id"]) & (keyed["__text"] == first["__print"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    mark = spare(docs, "mark")
+    keyed = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
+    placed = jaccard_join.components(keyed.select("doc_id", "text", mark))
+    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(mark).distinct()
+    return keyed.join(first, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,12 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last through a Parquet table in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each but the last through a Parquet table in the shared folder; a stage's table goes once the next one's is written."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             path = f"{shared_folder(spark)}/{name}"
             docs.write.mode("overwrite").parquet(path)
-            docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            docs, before = spark.read.parquet(path), path
     return docs
