@@ -259,19 +259,56 @@ def test_mpeg_odd_inputs(spark):
     assert mpeg_audio.store(empty_docs(spark)).count() == 0
 
 
+def brute_overlaps(doc, item, least=10, identity=0.8, penalty=2.0):
+    """Whether some diagonal holds a best-scoring stretch that is long and alike enough."""
+    d, t = (re.findall(r"[a-z0-9\x80-\U0010ffff]+", x.lower()) for x in (doc or "", item or ""))
+    for shift in range(-len(t) + 1, len(d)):
+        low, high = max(0, shift), min(len(d), len(t) + shift)
+        start, total, best, at = low, 0.0, 0.0, None
+        for i in range(low, high):
+            if total <= 0:
+                start, total = i, 0.0
+            total += 1 if d[i] == t[i - shift] else -penalty
+            if total > best:
+                best, at = total, (start, i + 1)
+        if at and at[1] - at[0] >= min(least, len(t)) and sum(d[i] == t[i - shift] for i in range(*at)) >= identity * (at[1] - at[0]):
+            return True
+    return False
+
+
 def test_decontamination(spark):
     r = random.Random(2)
     item = [f"q{i}" for i in range(30)]
     noise = lambda n: [r.choice(WORDS) for _ in range(n)]
     changed = [w if i % 7 else "other" for i, w in enumerate(item)]
-    docs = [(0, " ".join(noise(50) + item + noise(50))), (1, " ".join(noise(30) + changed)), (2, " ".join(noise(200))), (3, " ".join(item[:6] + noise(40))), (4, ", ".join(w.upper() for w in item)), (5, None), (6, ""), (7, " ".join(noise(5000) + item))]
+    docs = [(0, " ".join(noise(50) + item + noise(50))), (1, " ".join(noise(30) + changed)), (2, " ".join(noise(200))), (3, " ".join(item[:6] + noise(40))), (4, ", ".join(w.upper() for w in item)), (5, None), (6, ""), (7, " ".join(noise(50_000) + item)), (7, "another text of that id"), (None, " ".join(item)), (None, "a clean one"), (8, "so very short an item"), (0, " ".join(item + noise(9) + item))]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
-    items = spark.createDataFrame([(9, " ".join(item)), (8, None), (7, "short"), (None, "q1 q2 q3 q4 q5 q6 q7 q8")], "item_id bigint, text string")
+    items = spark.createDataFrame([("i9", " ".join(item)), ("i8", None), ("i7", "very, SHORT"), (None, "q1 q2 q3 q4 q5 q6 q7 q8"), ("i9", " ".join(item))], "item_id string, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.overlaps(df, items).collect()}
-    assert set(got) == {(0, 9), (1, 9), (4, 9), (7, 9)} and got[0, 9].longest == 30 and got[0, 9].doc_start == 50 and got[1, 9].equal < got[1, 9].longest
-    assert {r.doc_id for r in decontaminate.clean(df, items).collect()} == {2, 3, 5, 6}
+    whole = {0, 4, 7, None}
+    assert set(got) == {(d, "i9") for d in {1, *whole}} | {(8, "i7")} | {(d, None) for d in whole}
+    assert got[0, "i9"].longest == 30 and got[0, "i9"].n_overlaps == 3 and got[0, "i9"].doc_start == 0 and got[1, "i9"].equal < got[1, "i9"].longest
+    assert sorted((r.doc_id or -1, r.text[:9] if r.text else r.text) for r in decontaminate.clean(df, items).collect() if r.text) == [(-1, "a clean o"), (2, docs[2][1][:9]), (3, docs[3][1][:9]), (7, "another t")]
+    assert decontaminate.clean(df, items).where("text is null or text = ''").count() == 2
     assert decontaminate.overlaps(df, items.limit(0)).count() == decontaminate.overlaps(df.limit(0), items).count() == 0
-    assert decontaminate.clean(odd_docs(spark, hash=1), items).columns == odd_docs(spark, hash=1).columns
+    assert decontaminate.clean(odd_docs(spark, hash=1, mark=2, key=3), items).columns == odd_docs(spark, hash=1, mark=2, key=3).columns
+
+
+def test_decontamination_recall_and_precision(spark):
+    """Against brute force over all pairs: passages of 10 to 40 tokens at identities from 0.75 to 1."""
+    r = random.Random(12)
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(r.randrange(10, 41)))) for i in range(12)]
+    docs = []
+    for i in range(240):
+        w = items[i % 12][1].split()
+        for k in r.sample(range(len(w)), r.randrange(0, len(w) // 4 + 1)):
+            w[k] = f"s{i}x{k}"
+        docs.append((i, " ".join(r.choices(WORDS, k=20) + w + r.choices(WORDS, k=20))))
+    rows = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in rows}
+    want = {(d, i) for d, text in docs for i, item in items if d % 12 == i and brute_overlaps(text, item)}
+    assert len(got & want) >= 0.9 * len(want) and len(want) > 150
+    assert all(x.doc_id % 12 == x.item_id and x.longest >= 10 and x.equal >= 0.8 * x.longest for x in rows)
 
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -3,24 +3,29 @@
 A seed is a fixed mask over consecutive tokens; it hashes the positions marked
 1 and ignores those marked 0, so a window still hits after tokens at ignored
 positions were substituted. Test items are hashed under all masks, and so is
-every window of every document; equal hashes are joined. Around each hit the
-document's tokens are compared with the item's along the hit's diagonal, and an
-overlap is the best run of matches (+1 each) and substitutions (-penalty each).
-It counts if it is at least `least` tokens long with `identity` of them equal.
-
-Tokens are runs of letters and digits of the lower-cased text. An item shorter than
-`least` tokens must be found whole; one shorter than the shortest mask (six
-tokens) has no seed and is found nowhere.
-
-Documents meet a bitmap of the items' hashes first (`FILTER_BITS` bits, whatever
-the number of items); what passes is joined with the items' hashes as a
-DataFrame, so the items may outgrow any broadcast. A hit carries the document's
-tokens within `reach` of it, the length of the longest item, so no text is read
-twice; neighbouring hits of a mask on one diagonal are one hit.
-
-Nulls: a null text has no tokens; a row with a null doc_id is compared like
-others, and as nothing names it, `clean` keeps it. Copies and repeated ids hit one by one. Empty tables give no rows.
-Other columns are left out by `overlaps`; `clean` keeps all of them.
+every window of every document; equal hashes are joined. All hits of a document
+and an item on one diagonal are one: its tokens are compared along the diagonal,
+and from each hit that no run holds yet the best run of matches (+1 each) and
+substitutions (-penalty each) grows in both directions. A run counts if it is at
+least `least` tokens long with `identity` of them equal.
+
+Tokens are runs of letters and digits of the lower-cased text. An item shorter
+than `least` tokens must be found whole, with that identity; one too short for
+any mask has one seed, all of its tokens, and must be found word for word.
+
+Documents meet a filter of the items' hashes first (sized by their number, up to
+`FILTER_BITS`; beyond, it lets more through); what passes is written with the
+tokens around it, so no text is read twice, and joined with the items' hashes as
+tables, so the items may outgrow any broadcast. Passing windows that lie within
+the longest item's length of one another share one stretch of tokens.
+
+Nulls: a null text has no tokens; null ids of documents and items are compared
+like others, and grouped as one id. Ids may be of any type that can be grouped.
+Copies, repeated rows and repeated ids hit one by one and are counted once per
+distinct run. Ties between runs of an item go to the earliest. Very long
+texts and items are cut into windows whole. Empty tables give no rows. Other
+columns are left out by `overlaps`; `clean` keeps all of them, and judges each
+row by its own text, also where rows share an id.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, durable, small_batches
+from veilmark.llm.common import Tables, bitmap, by_bytes, durable, passes, small_batches, spare
 from veilmark.llm.tokens import NOT_ALNUM, mix, word_hashes
 
 #: Fixed masks: weight 6 within 8 or 9 tokens.
@@ -40,62 +45,68 @@ MASKS = ("11111100", "110110110", "111010011", "101101011")
 LEAST = 10
 IDENTITY = 0.8
 PENALTY = 2.0
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 26
 BATCH_BYTES = 1 << 20
+#: Rows of 8 bytes up to which `clean` sends the contaminated rows' fingerprints to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _U = np.uint64
 
 
-def seeds(words: np.ndarray, first: np.ndarray, masks: tuple[str, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(mask, start position in words, hash) of all windows inside one text; a text shorter than a mask's span gives none."""
+def seeds(words: np.ndarray, first: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(start position in words, hash) of all windows inside one text, for each mask and then for each short length; a text shorter than a mask's span gives none for it."""
     last = np.repeat(first[1:], np.diff(first))
-    for m, mask in enumerate(masks):
+    for m, mask in enumerate([*masks, *("1" * n for n in short)]):
         mask = mask.rstrip("0")
         at = np.arange(len(words))
         at = at[at + len(mask) <= last]
-        h = np.full(len(at), m + 1, _U)
+        h = np.full(len(at), m + 1 if m < len(masks) else 1000 + len(mask), _U)
         for k, c in enumerate(mask):
             if c == "1":
                 h = (h ^ words[at + k]) * _U(0x9E3779B97F4A7C15)
                 h ^= h >> _U(29)
-        yield m, at, h
+        yield at, mix(h)
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch], masks: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """(hash, item_id, at, words): all seeds of the items; a short item gives one hash of all it has."""
+def _item_rows(batches: Iterator[pa.RecordBatch], masks: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(item, item_id, words, hashes, ats): each distinct item by a fingerprint of its id and tokens, its tokens and seeds."""
+    shortest = min(len(m.rstrip("0")) for m in masks)
     for batch in by_bytes(batches, "text", BATCH_BYTES):
-        ids = batch.column("item_id").to_pylist()
         words, first = word_hashes(batch.column("text").to_pylist(), NOT_ALNUM)
-        own = np.repeat(np.arange(len(ids)), np.diff(first))
-        blobs = [words[a:b].tobytes() for a, b in zip(first, first[1:])]
-        for _, at, h in seeds(words, first, masks):
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([ids[k] for k in own[at]], pa.int64()), pa.array((at - first[own[at]]).astype(np.int32)), pa.array([blobs[k] for k in own[at]], pa.binary())], ["hash", "item_id", "item_at", "item"])
+        rows = []
+        for a, b in zip(first, first[1:]):
+            own, few = words[a:b], b - a < shortest
+            found = list(seeds(own, np.array([0, len(own)]), () if few else masks, (len(own),) if few and len(own) else ()))
+            rows.append((own.tobytes(), *(np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (1, 0))))
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1].view(np.int64).tolist() for r in rows], pa.list_(pa.int64())), pa.array([r[2].tolist() for r in rows], pa.list_(pa.int64()))], ["item", "item_id", "words", "hashes", "ats"])
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    bit = f"pmod(hash, {FILTER_BITS}L)"
-    rows = hashes.groupBy(F.expr(f"{bit} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("b")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return np.unpackbits(words.view(np.uint8), bitorder="little")
+def _stretches(batches: Iterator[pa.RecordBatch], bits: np.ndarray, masks: tuple[str, ...], short: tuple[int, ...], reach: int) -> Iterator[pa.RecordBatch]:
+    """(key, stretch, doc_from, words, hashes, ats): windows that pass the filter, by stretches of tokens that hold all within reach of them."""
+    from pyspark import TaskContext
 
-
-def _hits(batches: Iterator[pa.RecordBatch], bits: np.ndarray, masks: tuple[str, ...], reach: int) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, hash, hit, doc_at, doc): the windows that pass the bitmap, with the tokens around them."""
+    task, k = TaskContext.get().partitionId(), 0
     for batch in by_bytes(batches, "text", BATCH_BYTES):
-        ids = batch.column("doc_id").to_pylist()
         words, first = word_hashes(batch.column("text").to_pylist(), NOT_ALNUM)
-        own = np.repeat(np.arange(len(ids)), np.diff(first))
-        for _, at, h in seeds(words, first, masks):
-            found = np.flatnonzero(bits[(h & _U(FILTER_BITS - 1)).astype(np.int64)])
-            if not len(found):
-                continue
-            p, k = at[found], own[at[found]]
-            low, high = np.maximum(p - reach, first[k]), np.minimum(p + reach, first[k + 1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[x] for x in k], pa.int64()), pa.array(h[found].view(np.int64)), pa.array((p - low).astype(np.int32)), pa.array((p - first[k]).astype(np.int64)), pa.array([words[a:b].tobytes() for a, b in zip(low, high)], pa.binary())],
-                ["doc_id", "hash", "hit", "doc_at", "doc"],
-            )
+        found = [(at[ok], h[ok]) for at, h in seeds(words, first, masks, short) if len(ok := np.flatnonzero(passes(bits, h)))]
+        if not found:
+            continue
+        at, h = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        order = np.argsort(at, kind="stable")
+        at, h = at[order], h[order]
+        own = np.searchsorted(first, at, side="right") - 1
+        cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (at[1:] - at[:-1] > 2 * reach))))
+        ends = np.concatenate((cut[1:], [len(at)]))
+        low = np.maximum(at[cut] - reach, first[own[cut]])
+        high = np.minimum(at[ends - 1] + reach, first[own[cut] + 1])
+        ids = (task << 40) + k + np.arange(len(cut))
+        k += len(cut)
+        offsets = pa.array(np.concatenate((cut, [len(at)])).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("key").take(pa.array(own[cut])), pa.array(ids), pa.array(low - first[own[cut]]), pa.array([words[a:b].tobytes() for a, b in zip(low, high)], pa.binary()),
+             pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(at - np.repeat(low, ends - cut)))],
+            ["key", "stretch", "doc_from", "words", "hashes", "ats"],
+        )
 
 
 def best_run(equal: np.ndarray, at: int, penalty: float) -> tuple[int, int]:
@@ -108,40 +119,64 @@ def best_run(equal: np.ndarray, at: int, penalty: float) -> tuple[int, int]:
 
 
 def _extended(batches: Iterator[pa.RecordBatch], least: int, identity: float, penalty: float) -> Iterator[pa.RecordBatch]:
-    """(doc_id, item_id, doc_start, doc_end, equal): hits whose overlap is long and alike enough."""
+    """(key, item_id, doc_start, doc_end, equal): the runs of each diagonal that are long and alike enough."""
     for batch in batches:
-        out: dict[tuple, int] = {}
-        for doc_id, hit, doc_at, doc, item_id, item_at, item in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "hit", "doc_at", "doc", "item_id", "item_at", "item")), strict=True):
+        rows: list[int] = []
+        out: list[tuple[int, int, int]] = []
+        columns = (batch.column(c).to_pylist() for c in ("shift", "ats", "doc_from", "doc", "item"))
+        for row, (shift, ats, doc_from, doc, item) in enumerate(zip(*columns, strict=True)):
             d, t = np.frombuffer(doc, _U), np.frombuffer(item, _U)
-            back, ahead = min(hit, item_at), min(len(d) - hit, len(t) - item_at)
-            equal = d[hit - back : hit + ahead] == t[item_at - back : item_at + ahead]
-            start, end = best_run(equal, back, penalty)
-            same = int(equal[start:end].sum())
-            if end - start >= min(least, len(t)) and same >= identity * (end - start):
-                out[doc_id, item_id, doc_at - back + start, doc_at - back + end] = same
-        if out:
-            cols = list(zip(*(k + (v,) for k, v in out.items()), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "doc_start", "doc_end", "equal"])
-
-
-def overlaps(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, least: int = LEAST, identity: float = IDENTITY, penalty: float = PENALTY) -> DataFrame:
-    """One row per document and item that overlap: doc_id, item_id, n_overlaps, longest (tokens), equal (of the longest), doc_start (its first token)."""
+            low, high = max(0, shift), min(len(d), len(t) + shift)  # shift: the item's start in the stretch
+            equal = d[low:high] == t[low - shift : high - shift]
+            end = -1
+            for at in sorted(ats):
+                if at - low < end:
+                    continue
+                start, end = best_run(equal, at - low, penalty)
+                same = int(equal[start:end].sum())
+                if end - start >= min(least, len(t)) and same >= identity * (end - start):
+                    rows.append(row)
+                    out.append((doc_from + low + start, doc_from + low + end, same))
+        if rows:
+            at = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("item_id").take(at), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], ["key", "item_id", "doc_start", "doc_end", "equal"])
+
+
+def runs(docs: DataFrame, items: DataFrame, tables: Tables, masks: tuple[str, ...] = MASKS, least: int = LEAST, identity: float = IDENTITY, penalty: float = PENALTY) -> DataFrame:
+    """docs: key, text. items: item_id, text. Returns key, item_id, doc_start, doc_end, equal: all overlaps. Valid as long as the tables are."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = items.where("item_id is not null").select("item_id", F.lower("text").cast("binary").alias("text"))
-    test = durable(items.mapInArrow(lambda b: _item_seeds(b, masks), "hash bigint, item_id bigint, item_at int, item binary"))
-    reach = (test.agg(F.max(F.octet_length("item"))).first()[0] or 0) // 8
-    bits = spark.sparkContext.broadcast(_bitmap(test))  # FILTER_BITS bytes, whatever the input
-    hits = docs.select("doc_id", F.lower("text").cast("binary").alias("text")).mapInArrow(lambda b: _hits(b, bits.value, masks, reach), "doc_id bigint, hash bigint, hit int, doc_at bigint, doc binary")
-    found = hits.join(test, "hash").select("doc_id", "hit", "doc_at", "doc", "item_id", "item_at", "item")
-    runs = found.mapInArrow(lambda b: _extended(b, least, identity, penalty), "doc_id bigint, item_id bigint, doc_start bigint, doc_end bigint, equal bigint")
-    return runs.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("doc_start", "doc_end").alias("n_overlaps"), F.max(F.col("doc_end") - F.col("doc_start")).alias("longest"),
-        F.max_by("equal", F.struct(F.col("doc_end") - F.col("doc_start"), F.col("equal"), -F.col("doc_start"))).alias("equal"),
-        F.max_by("doc_start", F.struct(F.col("doc_end") - F.col("doc_start"), F.col("equal"), -F.col("doc_start"))).alias("doc_start"),
-    )
+    key, item_id = docs.schema["key"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    texts = items.select(F.xxhash64("item_id", "text").alias("item"), "item_id", F.lower("text").cast("binary").alias("text")).dropDuplicates(["item"])
+    items = tables.put(texts.mapInArrow(lambda b: _item_rows(b, masks), f"item bigint, item_id {item_id}, words binary, hashes array<bigint>, ats array<bigint>"))
+    test = items.select("item", F.explode(F.arrays_zip("hashes", "ats")).alias("s")).select("item", F.col("s.hashes").alias("hash"), F.col("s.ats").alias("item_at"))
+    size = items.agg(F.max(F.octet_length("words")), F.sum(F.size("hashes"))).first()
+    reach, n = (size[0] or 0) // 8, size[1] or 0
+    shortest = min(len(m.rstrip("0")) for m in masks)
+    short = tuple(sorted(r[0] // 8 for r in items.where(F.octet_length("words").between(8, 8 * shortest - 1)).select(F.octet_length("words")).distinct().collect()))  # fewer than a mask's tokens
+    bits = spark.sparkContext.broadcast(bitmap(test.select("hash"), n, FILTER_BITS))
+    found = tables.put(docs.select("key", F.lower("text").cast("binary").alias("text")).mapInArrow(lambda b: _stretches(b, bits.value, masks, short, reach), f"key {key}, stretch bigint, doc_from bigint, words binary, hashes array<bigint>, ats array<bigint>"))
+    windows = found.select("stretch", F.explode(F.arrays_zip("hashes", "ats")).alias("s")).select("stretch", F.col("s.hashes").alias("hash"), F.col("s.ats").alias("at"))
+    hits = windows.join(test, "hash").groupBy("stretch", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
+    met = hits.join(found.select("stretch", "key", "doc_from", F.col("words").alias("doc")), "stretch").join(items.select(F.col("item").alias("item_no"), "item_id", F.col("words").alias("item")).withColumnRenamed("item", "item_words"), F.col("item") == F.col("item_no"))
+    return met.select("key", "shift", "ats", "doc_from", "doc", "item_id", F.col("item_words").alias("item")).mapInArrow(lambda b: _extended(b, least, identity, penalty), f"key {key}, item_id {item_id}, doc_start bigint, doc_end bigint, equal bigint")
+
+
+def overlaps(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """One row per document and item that overlap: doc_id, item_id, n_overlaps, longest (tokens), equal (of the longest), doc_start (its first token)."""
+    length = F.col("doc_end") - F.col("doc_start")
+    best = F.struct(length, F.col("equal"), -F.col("doc_start"))
+    with Tables(docs.sparkSession) as tables:
+        found = runs(docs.select(F.col("doc_id").alias("key"), "text"), items, tables, **how).withColumnRenamed("key", "doc_id")
+        return durable(found.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_start", "doc_end").alias("n_overlaps"), F.max(length).alias("longest"), F.max_by("equal", best).alias("equal"), F.max_by("doc_start", best).alias("doc_start")))
 
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The documents that overlap with no item, with all their columns."""
-    return docs.join(overlaps(docs, items, **how).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that overlap with no item, with all their columns."""
+    mark = spare(docs, "mark")
+    own = F.xxhash64("doc_id", "text")
+    with Tables(docs.sparkSession) as tables:
+        bad = durable(runs(docs.select(own.alias("key"), "text"), items, tables, **how).select(F.col("key").alias(mark)).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
+    return docs.withColumn(mark, own).join(bad, mark, "left_anti").select(*docs.columns)

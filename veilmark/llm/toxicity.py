@@ -181,7 +181,8 @@ def estimate(pair: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndar
     m = np.stack([np.bincount(word, row > 0, len(words)) for row in n])
     classes = (m > 0).sum(0)
     base = discount(classes)
-    shared = np.maximum(classes - base, 0) / classes.sum() + base * len(words) / classes.sum() / (types + 1)
+    every = max(classes.sum(), 1)
+    shared = np.maximum(classes - base, 0) / every + base * len(words) / every / (types + 1)
     alone, left_over, joint, spared = [], [], [], []
     for c in (0, 1):
         d = discount(m[c])
