@@ -340,51 +340,83 @@ def test_pii_long_uniform_texts_end(spark):
     assert all(r.n == 0 for r in pii.find(df, None).select(F.size("base").alias("n")).collect())
 
 
-def test_pii_redact_and_odd_inputs(spark):
-    df = spark.createDataFrame([(1, "mail a@b.org, call +1 (234) 567-8901."), (2, None), (3, "nothing")], "doc_id int, text string")
-    assert [r.text for r in pii.redact(df, None).orderBy("doc_id").collect()] == ["mail [EMAIL], call [PHONE].", None, "nothing"]
+@pytest.fixture(scope="module")
+def trees(spark):
+    return pii.fit(spark)
+
+
+def test_pii_redact_and_odd_inputs(spark, trees):
+    df = spark.createDataFrame([(1, "mail a@b.org, call +1 (234) 567-8901."), (2, None), (3, "nothing")], "doc_id int, text string").withColumns({"spans": F.lit(1), "base": F.lit(2), "own": F.lit(3)})
+    for t in (None, trees):
+        got = pii.redact(df, t).orderBy("doc_id").collect()
+        assert [r.text for r in got] == ["mail [EMAIL], call [PHONE].", None, "nothing"] and all((r.spans, r.base, r.own) == (1, 2, 3) for r in got)
     docs = odd_docs(spark, base="x", spans="y")
-    assert pii.find(docs, pii.fit(docs)).count() == len(ODD) + 2 and pii.fit(empty_docs(spark)) is None
+    assert pii.find(docs, trees).count() == len(ODD) + 2 and pii.find(empty_docs(spark), trees).count() == pii.redact(empty_docs(spark), trees).count() == 0
 
 
-def test_pii_trees_add_secrets(spark):
-    r = random.Random(5)
-    hexes = ["%040x" % r.getrandbits(160) for _ in range(150)]
-    rows = [(i, f'note token = "{h}" end') for i, h in enumerate(hexes[:100])] + [(100 + i, f"item {r.randrange(10**7, 10**8)} and word{i}2345678901234567 here") for i in range(100)]
-    df = spark.createDataFrame(rows, "doc_id int, text string")
-    trees = pii.fit(df)
-    kinds = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(df, trees).collect()}
-    assert sum("secret" in kinds[i] for i in range(100)) > 90 and not any("secret" in kinds[i] for i in range(100, 200))
+def test_pii_many_matches_in_one_text(spark, trees):
+    df = spark.createDataFrame([(1, "mail a@b.org, " * 5000 + 'token = "0123456789abcdef0123456789abcdef01234567"')], "doc_id int, text string")
+    got = pii.find(df, trees).first()
+    assert len(got.base) == 5000 and got.base[4999].start == 4999 * 14 + 5 and [s.kind for s in got.spans if s["rank"] > 3] == ["secret"]
 
 
-def test_pii_copies_do_not_crowd_out_the_sample(spark):
-    r = random.Random(7)
-    common = [f"item {'1' * n} and {'x' * k}2345678901234567 here" for n in (8, 9) for k in range(1, 21)]
-    rows = [(i, f'note token = "{r.getrandbits(160):040x}" end') for i in range(60)] + [(100 + i, common[i % 40]) for i in range(1600)]
-    df = spark.createDataFrame(rows, "doc_id int, text string")
-    for most in (20, 40):
-        trees = pii.fit(df, most=most)
-        assert trees is not None
-        kinds = {row.doc_id: [s.kind for s in row.spans] for row in pii.find(df, trees).collect()}
-        assert sum("secret" in kinds[i] for i in range(60)) > 54 and not any(kinds[100 + i] for i in range(1600))
-    each = df.select(F.explode(pii.proposals(F.col("text"), pii.base_spans(F.col("text")))).alias("c")).select("c.kind", "c.f", "c.y")
-    got = {(row.kind, row.y): row for row in pii.sample(each, 20).groupBy("kind", "y").agg(F.sum("trains").alias("trains"), F.sum("held").alias("held"), F.count("*").alias("vectors")).collect()}
-    whole = {(row.kind, row.y): row["count"] for row in each.groupBy("kind", "y").count().collect()}
-    assert got.keys() == whole.keys() and all(round(got[k].trains + got[k].held) == whole[k] and got[k].held > 0 and got[k].trains > 0 for k in whole) and sum(row.vectors for row in got.values()) <= 20
-
-
-def test_pii_finds_contacts_and_secrets_without_digits(spark):
+def test_pii_trees_are_the_same_each_time_and_for_every_table(spark, trees):
+    again = pii.fit(spark)
+    assert again.trees == trees.trees and again.thresholds == trees.thresholds and set(trees.thresholds) == set(pii.GENERATORS)
+
+
+def test_pii_trees_add_secrets_and_contacts_and_leave_plain_text(spark, trees):
     r = random.Random(8)
-    word = lambda n: "".join(r.choice("bcdfghklmnpqrstvwxz") for _ in range(n))
-    secrets = [word(r.randrange(24, 33)) for _ in range(60)]
-    contacts = [f"{word(5)} {at} {word(6)} {dot} org" for at, dot in (("(at)", "(dot)"), ("[at]", "[dot]")) for _ in range(30)]
-    rows = [(i, f"mail: {c}, thanks") for i, c in enumerate(contacts)] + [(100 + i, f'token = "{s}" end') for i, s in enumerate(secrets)] + [(200 + i, f"the {word(17)} was {word(4)} at {word(5)}. Then") for i in range(60)]
+    word = lambda n, of="bcdfghklmnpqrstvwxz": "".join(r.choice(of) for _ in range(n))
+    plain = lambda n: "".join(r.choice(("bcdfgklmnprst", "aeiou")[i % 2]) for i in range(n))
+    hexes = [f"{r.getrandbits(160):040x}" for _ in range(40)]
+    keys = ["AKIA" + word(16, "ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(40)]
+    contacts = [f"{plain(5)} {at} {plain(6)} {dot} org" for at, dot in (("(at)", "(dot)"), ("[at]", "[dot]")) for _ in range(20)]
+    rows = (
+        [(i, f'note token = "{h}" end') for i, h in enumerate(hexes)] + [(100 + i, f"mail: {c}, thanks") for i, c in enumerate(contacts)] + [(200 + i, f'token = "{word(r.randrange(24, 31))}" end') for i in range(40)]
+        + [(300 + i, f"use {k} for it") for i, k in enumerate(keys)] + [(400 + i, f"the {plain(17)} was {plain(4)} at {plain(5)}. Item {r.randrange(10**7, 10**8)} of {plain(6)}_{plain(7)}_{plain(5)}, 2021-03-{10 + i % 20}") for i in range(200)]
+    )
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    trees = pii.fit(df)
     got = {row.doc_id: row.text for row in pii.redact(df, trees).collect()}
-    assert sum(got[i] == "mail: [CONTACT], thanks" for i in range(60)) > 54
-    assert sum(got[100 + i] == 'token = "[SECRET]" end' for i in range(60)) > 54
-    assert all(got[i] == text for i, text in rows if i >= 200)
+    assert all(got[i] == 'note token = "[SECRET]" end' for i in range(40))
+    assert sum(got[100 + i] == "mail: [CONTACT], thanks" for i in range(40)) > 36
+    assert sum(got[200 + i] == 'token = "[SECRET]" end' for i in range(40)) > 36
+    assert sum(got[300 + i] == "use [SECRET] for it" for i in range(40)) > 36
+    assert sum(got[i] != text for i, text in rows if i >= 400) <= 6
+
+
+def brute_added(text, trees):
+    """The generators' spans that the trees select, in Python."""
+    import regex
+
+    base = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(text).split(",") if s]
+    out = []
+    for rank, (kind, (_, pattern)) in enumerate(pii.GENERATORS.items(), 4):
+        for m in regex.finditer(pattern, text):
+            a, b, t = m.start(), m.end(), m.group()
+            if any(x <= a and y >= b for x, y in base):
+                continue
+            before, after = text[max(0, a - 24) : a], text[b : b + 1]
+            only = lambda p: len(regex.sub(p, "", t))
+            f = [
+                len(t), only("[^0-9]"), only("[^A-Za-z]"), only("[^A-Z]"), only(r"[^ ()./\-]"), len(regex.split(r"[ ()./\-]+", t)), len(set(t)) / len(t), bool(regex.search("^[0-9a-f]+$", t)), "@" in t, t[0] == "+",
+                bool(regex.search(pii._NAMED, before.lower())), bool(regex.search(r"[=:]\W*$", before)), before[-1:] in tuple("\"'`"), after in tuple("\"'`"), before[-1:].isalpha(), after.isalpha(), only(r"[^.]"),
+            ]
+            walk = lambda n: n["value"] if "value" in n else walk(n["low"] if f[n["feature"]] <= n["at"] else n["high"])
+            if 1 / (1 + np.exp(-2 * sum(w * walk(n) for w, n in trees.trees))) >= trees.thresholds.get(kind, 2):
+                out.append((a, rank, b, kind))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pii_query_against_brute_force(spark, trees):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for row in queries.op9_pii(spark, SF).collect():
+        base = [(int(a), list(pii.RULES).index(k), int(b), k) for k, a, b in (s.split(":") for s in brute_spans(texts[row.doc_id]).split(",") if s)]
+        added = brute_added(texts[row.doc_id], trees)
+        assert row.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + added)) and row.n_spans == len(base + added), row.doc_id
+    said = pii.find(pii.planted(spark, 400), trees).collect()
+    assert all(sorted((s.start, s["rank"], s.end, s.kind) for s in r.spans if s["rank"] > 3) == sorted(brute_added(r.text, trees)) for r in said) and sum(len(r.spans) for r in said) > 150
 
 
 def labelled(spark, kind):
