@@ -450,12 +450,77 @@ def test_quality_held_out(spark):
     docs, labels = labelled(spark, "quality")
     model = quality.fit(docs, labels.where("doc_id % 3 <> 0 and doc_id % 2 = 0"))
     got = quality.score(docs, model).join(labels, "doc_id").where("doc_id % 3 = 0").collect()
-    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) > 0.97 * len(got)
-    assert len(quality.score(odd_docs(spark, score=1.0), model).collect()) == len(ODD) + 2
+    assert sum((r.score >= 0.5) == (r.quality == 1) for r in got) > 0.97 * len(got) and (model.both[:-1] >= 0).all()
+    odd = odd_docs(spark, score=1.0, __raw="mine", text_in="mine", y=3, key=4)
+    rows = quality.score(odd, model).collect()
+    assert len(rows) == len(ODD) + 2 and all(r["__raw"] == r.text_in == "mine" for r in rows)
     assert quality.score(empty_docs(spark), model).count() == 0
     assert quality.fit(docs, labels.limit(0)).constant == 0.5
 
 
+def two_views(spark, hint):
+    """Half of the bad documents show it in the text, half by source and length only (if hint); labels are few."""
+    r = random.Random(16)
+    rows, labels = [], []
+    for i in range(1600):
+        bad = r.random() < 0.3
+        w = [r.choice(WORDS) for _ in range(r.randrange(20, 40))]
+        seen = bad and (not hint or r.random() < 0.5)
+        rows.append((i, " ".join(x.replace("w", "#") for x in w) if seen else " ".join(w), "en", f"src{r.randrange(2) + 2 * (bad and hint)}", 150))
+        labels.append((i, int(not bad), 0))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+
+@pytest.mark.parametrize("hint", [True, False])
+def test_quality_views_together(spark, hint):
+    docs, labels = two_views(spark, hint)
+    model = quality.fit(docs, labels.where("doc_id < 300"), given=100)
+    got = quality.score(docs, model).join(labels, "doc_id").where("doc_id >= 300").collect()
+    right = lambda c: sum((r[c] >= 0.5) == (r.quality == 1) for r in got) / len(got)
+    assert (model.both[:-1] >= 0).all() and right("score") >= right("text_score")
+    assert right("score") > 0.97 and (right("text_score") < 0.9 if hint else right("meta_score") < 0.8)
+    assert model.gives[1] == hint
+
+
+def test_quality_rounds_against_brute_force(spark):
+    """The same rounds over plain lists: who is sure of what, who is given to whom."""
+    docs, labels = two_views(spark, True)
+    model = quality.fit(docs, labels.where("doc_id < 300"), rounds=2, given=40)
+    rank = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit("quality"), F.col("doc_id")).alias("h")).collect()}
+    apart = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("apart"), F.col("doc_id")), F.lit(4)) == 0).collect()}
+    y = {r.doc_id: float(r.quality) for r in labels.collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    key = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k")).collect()}
+
+    def views(ids):
+        ids = sorted(ids, key=key.get)
+        each = [rows[i] for i in ids]
+        f = np.concatenate([quality.text_view([r.text.encode() for r in each]), quality.meta_view([r.lang for r in each], [r.source for r in each], [r.n_chars for r in each], [len(r.text) for r in each])], 1).astype(np.float32).astype(float)
+        return ids, (f[:, : quality.WIDTH], f[:, quality.WIDTH :])
+
+    ids, xs = views([i for i in range(300) if i not in apart])
+    train = [(x, np.array([y[i] for i in ids])) for x in xs]
+    share = train[0][1].mean()
+    kept, away = views([i for i in range(300) if i in apart])
+    t = np.array([y[i] for i in kept])
+    mine, used = quality.fitted(train, away, t, share), set()
+    for _ in range(2):
+        free, xs = views([i for i in rows if i >= 300 and i not in used])
+        sure = mine.sure(xs)
+        for v in (0, 1):
+            if not mine.gives[v]:
+                continue
+            chosen = []
+            for c, n in ((1, round(40 * share)), (0, round(40 * (1 - share)))):
+                chosen += [(i, c) for i in sorted((i for i, s in zip(free, sure[v]) if s == c), key=rank.get)[:n]]
+            told = dict(chosen)
+            new, x = views(told)
+            train[1 - v] = np.concatenate([train[1 - v][0], x[1 - v]]), np.concatenate([train[1 - v][1], [told[i] for i in new]])
+            used |= set(told)
+        mine = quality.fitted(train, away, t, share)
+    assert np.allclose(model.both, mine.both, atol=1e-4) and all(np.allclose(a, b, atol=1e-4) for a, b in zip(model.views, mine.views))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_give_a_row_for_each_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()

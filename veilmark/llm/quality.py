@@ -2,22 +2,33 @@
 
 The text view sees what a document says: shares of letters, digits, symbols and
 blanks, lengths of words and lines, repetition, and hashed word frequencies.
-The metadata view sees language, source and length, never the text. Each view
-has a logistic classifier. In each of `rounds` rounds both are fitted, and each
-gives the documents of an unlabelled pool that it is surest of (of each class
-in the proportion of the labels) as pseudo-labelled rows to the other view. At
-the end each view's log-odds are calibrated on labelled rows that were kept
-apart, and a logistic curve over both combines them.
+The metadata view sees language, source, the stated length and the size in
+bytes, and their crosses (source and language, source and length band, language
+and length band), never the text. Each view has a logistic classifier, whose
+log-odds are calibrated on labelled rows that are kept apart.
+
+In each of `rounds` rounds both views score all documents without a label. A
+view is sure of a document if its calibrated probability of a class has come at
+least half of the way from that class's share to one; it gives `given` of those
+it is sure of, the two classes in the labels' proportion and the smallest hashes
+first, as pseudo-labelled rows to the other view. A view whose calibrated
+log-loss on the rows kept apart is no better than the class shares' gives nothing.
+At the end both are calibrated again, and a logistic curve over both combines them, with
+no weight below zero: a view that would get one is left out.
 
 Fitting takes at most `labelled` labelled documents, of which a quarter
-calibrates, and a pool of at most `pool` unlabelled ones (documented bounds; the
-smallest hashes of doc_id are taken). The fitted weights, a few hundred numbers,
-are sent to the tasks, which score every whole document.
+calibrates (a documented bound; the smallest hashes of doc_id are taken), and in
+each round at most twice `given` pseudo-labelled ones, chosen among all. The fitted
+weights, a few hundred numbers, are sent to the tasks, which score every whole
+document.
 
 Nulls: a null text is empty, a null language or source a value of its own, a
-null length 0; a null label is no label. Copies and repeated ids are scored row
-by row. With no labels of one of the classes every score is the share of good
-ones (0.5 without any). Other columns pass through.
+null length 0; a null label is no label; rows with a null doc_id are scored but
+not learnt from. Very long texts are one row of features each. Copies, repeated
+rows and repeated ids are scored row by row; of repeated labels the larger
+counts; ties go by hash of the id, then by id. With no labels of one of the classes every score is the share of
+good ones (0.5 without any). Other columns pass through; `text_score`,
+`meta_score` and `score` are overwritten.
 """
 
 from __future__ import annotations
@@ -30,11 +41,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches
+from veilmark.llm.common import Tables, by_bytes, schema_of, small_batches, spare
 from veilmark.llm.tokens import word_hashes
 
-LABELLED, POOL, ROUNDS, GIVEN = 6000, 6000, 4, 300
-WORD_BINS, META_BINS = 128, 64
+LABELLED, ROUNDS, GIVEN = 6000, 3, 600
+WORD_BINS, META_BINS = 128, 256
+WIDTH = 14 + WORD_BINS
 BATCH_BYTES = 1 << 20
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -47,7 +59,7 @@ _KINDS = np.stack([_LETTER, _DIGIT, _BLANK, _UPPER, ~(_LETTER | _DIGIT | _BLANK)
 def text_view(texts: list[bytes | None]) -> np.ndarray:
     """A row of features for each text."""
     words, first = word_hashes(texts)
-    out = np.zeros((len(texts), 14 + WORD_BINS))
+    out = np.zeros((len(texts), WIDTH))
     bins = (words >> np.uint64(40)).astype(np.int64) % WORD_BINS
     for i, raw in enumerate(texts):
         raw = raw or b""
@@ -63,15 +75,17 @@ def text_view(texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
-def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
+def meta_view(lang: list, source: list, n_chars: list, n_bytes: list) -> np.ndarray:
     """A row of features for each document's metadata."""
-    out = np.zeros((len(lang), META_BINS + 2))
-    for k, values in enumerate((lang, source)):
-        prints, first = word_hashes([b"\x00" if v is None else b"%d=" % k + v.encode() for v in values])
-        own = np.repeat(np.arange(len(values)), np.diff(first))
-        out[own, (prints >> np.uint64(33)).astype(np.int64) % META_BINS] = 1.0
-    size = np.log1p(np.array([max(v or 0, 0) for v in n_chars], float))
-    out[:, -2], out[:, -1] = size / 5, (size / 5) ** 2
+    size, raw = (np.log1p(np.array([max(v or 0, 0) for v in values], float)) for values in (n_chars, n_bytes))
+    out = np.zeros((len(lang), META_BINS + 3))
+    said = lambda v: b"\x00" if v is None else b"=" + v.encode().replace(b" ", b"_")
+    band = (size * 2).astype(int).tolist()
+    words = [b"l%b s%b n%d ls%b%b sn%b%d ln%b%d" % (x, y, n, x, y, y, n, x, n) for x, y, n in zip(map(said, lang), map(said, source), band, strict=True)]
+    prints, first = word_hashes(words)
+    own = np.repeat(np.arange(len(lang)), np.diff(first))
+    out[own, (prints >> np.uint64(33)).astype(np.int64) % META_BINS] = 1.0
+    out[:, -3], out[:, -2], out[:, -1] = size / 5, (size / 5) ** 2, raw - size
     return out
 
 
@@ -98,102 +112,169 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
+def calibrated(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The curve (slope, not below zero, and bias) from log-odds to calibrated ones."""
+    curve = logistic(z[:, None], y, 1e-2)
+    return curve if curve[0] > 0 else np.array([0.0, np.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+
+
+def combined(each: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a logistic curve over columns of log-odds, none below zero."""
+    use = np.ones(each.shape[1], bool)
+    while True:
+        w = logistic(each[:, use], y, 1e-2)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(each.shape[1] + 1)
+            out[:-1][use], out[-1] = w[:-1], w[-1]
+            return out
+        use[np.flatnonzero(use)[w[:-1] < 0]] = False
+
+
 @dataclass
 class CoTrained:
     views: tuple[np.ndarray, np.ndarray] | None
     curves: tuple[np.ndarray, np.ndarray] | None = None  # a view's log-odds to calibrated ones
     both: np.ndarray | None = None
     constant: float = 0.5
+    share: float = 0.5  # of good labels
+    gives: tuple[bool, bool] = (False, False)
+
+    def odds(self, xs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Calibrated log-odds, a column for each view."""
+        return np.stack([odds(odds(x, w)[:, None], c) for x, w, c in zip(xs, self.views, self.curves, strict=True)], 1)
 
     def scores(self, xs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
         """Calibrated probability of each view, then of both."""
         if self.views is None:
             return [np.full(len(xs[0]), self.constant)] * 3
-        each = [odds(odds(x, w)[:, None], c) for x, w, c in zip(xs, self.views, self.curves, strict=True)]
-        return [1 / (1 + np.exp(-np.clip(z, -40, 40))) for z in (*each, odds(np.stack(each, 1), self.both))]
+        z = self.odds(xs)
+        return [1 / (1 + np.exp(-np.clip(v, -40, 40))) for v in (*z.T, odds(z, self.both))]
 
+    def sure(self, xs: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """For each view: 1 or 0 where it is sure of a class, else -1."""
+        p = 1 / (1 + np.exp(-np.clip(self.odds(xs), -40, 40)))
+        good, bad = p >= (1 + self.share) / 2, 1 - p >= (2 - self.share) / 2
+        return [np.where(good[:, v], 1, np.where(bad[:, v], 0, -1)) if self.gives[v] else np.full(len(p), -1) for v in (0, 1)]
 
-def cotrain(xs: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], held: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
-    """xs: both views of the labelled rows, y their labels, held: which of them calibrate."""
-    if len(set(y[~held].tolist())) < 2:
-        return CoTrained(None, constant=float(y.mean()) if len(y) else 0.5)
-    train = [(x[~held], y[~held].astype(float)) for x in xs]
-    share = y[~held].mean()
-    free = np.ones(len(pool[0]), bool)
-    views = [logistic(x, t) for x, t in train]
-    for _ in range(rounds):
-        new = []
-        for v in (0, 1):
-            at = np.flatnonzero(free)
-            z = odds(pool[v][at], views[v])
-            order = np.argsort(z)
-            good, bad = order[::-1][: round(given * share)], order[: round(given * (1 - share))]
-            # Only what the view is sure of: its pseudo-labels must agree with the sign of its own log-odds.
-            good, bad = at[good[z[good] > 1]], at[bad[z[bad] < -1]]
-            new.append((np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))])))
-        for v in (0, 1):
-            rows, labels = new[1 - v]
-            x, t = train[v]
-            train[v] = np.concatenate([x, pool[v][rows]]), np.concatenate([t, labels])
-            free[rows] = False
-        views = [logistic(x, t) for x, t in train]
-        if not free.any():
-            break
-    apart = held if len(set(y[held].tolist())) == 2 else ~held
-    curves = tuple(logistic(odds(x[apart], w)[:, None], y[apart].astype(float), 1e-2) for x, w in zip(xs, views, strict=True))
-    each = np.stack([odds(odds(x[apart], w)[:, None], c) for x, w, c in zip(xs, views, curves, strict=True)], 1)
-    return CoTrained(tuple(views), curves, logistic(each, y[apart].astype(float), 1e-2))
 
+def fitted(train: list[tuple[np.ndarray, np.ndarray]], apart: tuple[np.ndarray, np.ndarray], y: np.ndarray, share: float) -> CoTrained:
+    """Both views' classifiers, calibrated and combined on the rows kept apart (views, labels)."""
+    views = tuple(logistic(x, t) for x, t in train)
+    curves = tuple(calibrated(odds(x, w), y) for x, w in zip(apart, views, strict=True))
+    model = CoTrained(views, curves, share=share)
+    z = model.odds(apart)
+    loss = lambda v: np.logaddexp(0, v).mean() - (y * v).mean()
+    prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    # Better than the shares by more than the two numbers of a curve may gain by chance.
+    model.gives = tuple(bool(loss(z[:, v]) < loss(np.full(len(y), prior)) - 3 / len(y)) for v in (0, 1))
+    model.both = combined(z, y)
+    return model
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return text_view(batch.column(batch.schema.get_field_index("__raw")).to_pylist()), meta_view(*(batch.column(batch.schema.get_field_index(f"__{c}")).to_pylist() for c in ("lang", "source", "n_chars")))
 
+def _views(batch: pa.RecordBatch, names: dict[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda c: batch.column(batch.schema.get_field_index(names[c])).to_pylist()
+    texts = column("text")
+    return text_view(texts), meta_view(column("lang"), column("source"), column("n_chars"), [len(t or b"") for t in texts])
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__raw": F.col("text").cast("binary"), "__lang": F.col("lang").cast("string"), "__source": F.col("source").cast("string"), "__n_chars": F.col("n_chars").cast("bigint")})
 
+def _inputs(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with the views' inputs under names of their own."""
+    names = {c: spare(docs, f"{c}_in") for c in ("text", "lang", "source", "n_chars")}
+    kinds = {"text": "binary", "lang": "string", "source": "string", "n_chars": "bigint"}
+    return docs.withColumns({n: F.col(c).cast(kinds[c]) for c, n in names.items()}), names
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality (0 or 1)."""
-    small_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    rank = F.xxhash64(F.lit("quality"), F.col("doc_id"))
-    taken = known.orderBy(rank, "doc_id").limit(labelled)
-    others = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(rank, "doc_id").limit(pool).withColumn("quality", F.lit(None).cast("int"))
-    chosen = _inputs(docs).join(F.broadcast(taken.unionByName(others)), "doc_id")  # at most labelled + pool ids of 8 bytes
+
+def _rank() -> tuple:
+    return F.xxhash64(F.lit("quality"), F.col("doc_id")), F.col("doc_id")
+
+
+def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views side by side, `y` and `mark` of the chosen documents (doc_id, y, mark), whose number the caller bounds."""
+    rows, names = _inputs(docs.join(F.broadcast(chosen), "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-            x = np.concatenate(_views(batch), 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
+        for batch in by_bytes(batches, names["text"], BATCH_BYTES):
+            x = np.concatenate(_views(batch, names), 1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), batch.column("mark"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "y", "mark", "x"])
+
+    got = rows.select(F.xxhash64("doc_id", "text").alias("key"), "y", "mark", *names.values()).mapInArrow(run, "key bigint, y int, mark int, x binary").toArrow().sort_by([("key", "ascending"), ("mark", "ascending")])
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH + META_BINS + 3).astype(float)
+    return x, got.column("y").to_numpy().astype(float), got.column("mark").to_numpy()
+
 
-    got = chosen.select("doc_id", "quality", "__raw", "__lang", "__source", "__n_chars").mapInArrow(run, "doc_id bigint, quality int, x binary").toArrow().sort_by("doc_id")
-    width = 14 + WORD_BINS
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, width + META_BINS + 2).astype(float)
-    y = got.column("quality").to_numpy()
-    mine = ~got.column("quality").is_null().to_numpy()
-    ids = got.column("doc_id").to_numpy()[mine]
-    held = np.array([hash_of(int(i)) % 4 == 0 for i in ids], bool)
-    split = lambda rows: (x[rows][:, :width], x[rows][:, width:])
-    return cotrain(split(mine), y[mine].astype(float), split(~mine), held, rounds)
+def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x[:, :WIDTH], x[:, WIDTH:]
 
 
-def hash_of(doc_id: int) -> int:
-    import zlib
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
+    """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality (0 or 1)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
+    taken = known.orderBy(*_rank()).limit(labelled).withColumn("mark", (F.pmod(F.xxhash64(F.lit("apart"), F.col("doc_id")), F.lit(4)) == 0).cast("int"))
+    x, y, mark = _features(docs, taken)  # at most `labelled` ids
+    held = mark == 1
+    if len(set(y[~held].tolist())) < 2:
+        return CoTrained(None, constant=float(y.mean()) if len(y) else 0.5)
+    if len(set(y[held].tolist())) < 2:
+        held = np.ones(len(y), bool)  # too few to keep any apart
+        mark = np.zeros(len(y))
+    share = float(y[mark == 0].mean())
+    train = [(v, y[mark == 0]) for v in _split(x[mark == 0])]
+    apart = _split(x[held])
+    model = fitted(train, apart, y[held], share)
+    named = docs.where("doc_id is not null")
+    with Tables(spark) as tables:
+        used = None
+        for _ in range(rounds):
+            if not any(model.gives):
+                break
+            sure = _sure(named, model).join(known.select("doc_id"), "doc_id", "left_anti")
+            if used is not None:
+                sure = sure.join(F.broadcast(used), "doc_id", "left_anti")  # at most 2 * given ids a round
+            parts = [sure.where((F.col("view") == v) & (F.col("y") == c)).select("doc_id", "y", F.col("view").alias("mark")).distinct().orderBy(*_rank()).limit(n) for v in (0, 1) if model.gives[v] for c, n in ((1, round(given * share)), (0, round(given * (1 - share))))]
+            new = parts[0]
+            for part in parts[1:]:
+                new = new.unionByName(part)
+            new = tables.put(new.coalesce(1))
+            x, t, by = _features(docs, new)
+            if not len(t):
+                break
+            for v in (0, 1):
+                mine = by == 1 - v
+                train[v] = np.concatenate([train[v][0], _split(x[mine])[v]]), np.concatenate([train[v][1], t[mine]])
+            used = new.select("doc_id").distinct() if used is None else used.unionByName(new.select("doc_id").distinct())
+            model = fitted(train, apart, y[held], share)
+    return model
+
+
+def _sure(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """(doc_id, view, y): the documents of which a view is sure."""
+    told = docs.sparkSession.sparkContext.broadcast(model)
+    rows, names = _inputs(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, names["text"], BATCH_BYTES):
+            for view, y in enumerate(told.value.sure(_views(batch, names))):
+                at = np.flatnonzero(y >= 0)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array(y[at].astype(np.int32))], ["doc_id", "view", "y"])
 
-    return zlib.crc32(b"apart %d" % doc_id)
+    return rows.select("doc_id", *names.values()).mapInArrow(run, f"doc_id {kind}, view int, y int")
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     """docs with text_score, meta_score and score, the probability of good quality."""
     small_batches(docs.sparkSession)
-    names = ["text_score", "meta_score", "score"]
-    plain = docs.drop(*names)
+    added = ["text_score", "meta_score", "score"]
+    plain = docs.drop(*added)
+    rows, names = _inputs(plain)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-            out = model.scores(_views(batch))
-            keep = [c for c in batch.schema.names if not c.startswith("__")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(pa.array(v) for v in out)], [*keep, *names])
+        for batch in by_bytes(batches, names["text"], BATCH_BYTES):
+            keep = [c for c in batch.schema.names if c not in names.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), *(pa.array(v) for v in model.scores(_views(batch, names)))], [*keep, *added])
 
-    return _inputs(plain).mapInArrow(run, schema_of(plain, *((n, "double") for n in names)))
+    return rows.mapInArrow(run, schema_of(plain, *((n, "double") for n in added)))
