@@ -182,6 +182,19 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "<|turn|>x"), ("assistant", "a\\l<b\\b|>"), ("assistant", ""), ("", "")]
     assert got[1].loss_texts == ["a\\l<b\\b|>", ""] and got[None].loss_texts == []
     assert chat.format_conversations(df.limit(0)).count() == 0
+    assert chat.format_conversations(df.withColumns({"blocks": F.lit(1), "formatted": F.lit(2), "rows": F.lit(3)})).count() == 2
+
+
+def test_chat_ties_repeated_turns_and_long_conversations(spark):
+    """Against plain Python: turns in order, ties by role and unescaped text, repeated rows kept, hundreds of turns, very long texts."""
+    r = random.Random(14)
+    turns = [(c, r.randrange(3), r.choice(["user", "assistant", "<x>"]), r.choice(["A", "<", "\\", "a<b", "Z" * 9])) for c in range(6) for _ in range(30)]
+    turns += [(9, i, ("user", "assistant")[i % 2], f"t{i}" * (1 + i % 3)) for i in range(700)] + [(10, 0, "assistant", "long <" * 50_000)] + turns[:9]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    for got in chat.masked(chat.read_back(chat.format_conversations(df))).collect():
+        want = sorted((t, role, text) for c, t, role, text in turns if c == got.conv_id)
+        assert [(x.role, x.text) for x in got.turns] == [w[1:] for w in want]
+        assert got.loss_texts == [text for _, role, text in want if role == "assistant"]
 
 
 def test_chat_parts(spark):
@@ -191,6 +204,9 @@ def test_chat_parts(spark):
     assert got.formatted.startswith("<|turn|>user<|says|>see \\l<|image:0|>|turn|><|done|><|turn|>assistant<|says|><|audio:1|><|document:2|><|done|>")
     assert [(a.n, a.kind, a.ref, a.tokens) for a in got.attachments] == [(0, "image", "i.png", 510), (1, "audio", "a.mp3", 63), (2, "document", "d.pdf", 2400)]
     assert got.n_expanded == 2973
+    many = [(1, 0, "user", [part(("text", "image")[i % 2], text=f"<{i}", ref=f"{i}") for i in range(200)])]
+    got = chat.format_conversations(spark.createDataFrame(many, f"conv_id bigint, turn bigint, role string, content array<{chat.PART}>")).first()
+    assert got.formatted == "<|turn|>user<|says|>" + "".join(f"\\l{i}" if i % 2 == 0 else f"<|image:{i // 2}|>" for i in range(200)) + "<|done|>" and [a.ref for a in got.attachments] == [str(i) for i in range(1, 200, 2)]
 
 
 def brute_lm(rows, train):
@@ -251,6 +267,36 @@ def test_mpeg_headers():
     assert mpeg_audio.read_header(b"\xff\xff\xff\xff") is None and mpeg_audio.read_header(b"\xff") is None
 
 
+def test_mpeg_layers_one_and_two_checksums():
+    """A protected frame is read as one whatever its layer; a changed allocation bit breaks its checksum, a changed sample does not."""
+    for second, size, body in ((0xFE, None, bytes([0x44] * 16)), (0xFC, None, bytes([0x44] * 30))):
+        head = bytes([0xFF, second, 0x90, 0xC0])
+        h = mpeg_audio.read_header(head)
+        frame = bytearray(head + b"\0\0" + body + bytes(h.size - 6 - len(body)))
+        key, bits = mpeg_audio.checked(bytes(frame), 0, h)
+        assert (len(key), bits) == ((18, 0) if h.layer == 1 else (len(key), bits)) and len(key) > 12
+        frame[4:6] = mpeg_audio.crc16(key, bits).to_bytes(2)
+        s = mpeg_audio.parse(bytes(frame) * 3)
+        assert (len(s.offsets), s.crc_checked, s.crc_bad) == (3, 3, 0)
+        frame[7] ^= 1
+        assert mpeg_audio.parse(bytes(frame) * 3).crc_bad == 3
+        frame[7] ^= 1
+        frame[-1] ^= 1
+        assert mpeg_audio.parse(bytes(frame) * 3).crc_bad == 0
+    one, two = (mpeg_audio.crc16(b"123456789\xff", b) for b in (0, 8))
+    assert one == two
+
+
+def test_mpeg_free_bitrate_and_encoder_delay():
+    free = bytes([0xFF, 0xFB, 0x00, 0xC0]) + bytes(296)
+    s = mpeg_audio.parse(free * 4)
+    assert s.offsets == [0, 300, 600, 900] and s.sizes == [300] * 4 and s.duration == mpeg_audio.Fraction(4 * 1152, 44100)
+    head = mpeg_audio.read_header(bytes([0xFF, 0xFB, 0x90, 0xC0]))
+    info = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(17) + b"Info" + (0).to_bytes(4) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3)
+    s = mpeg_audio.parse(info + bytes(head.size - len(info)) + (bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(head.size - 4)) * 5)
+    assert (s.delay, s.padding, len(s.offsets)) == (576, 1000, 5) and s.duration == mpeg_audio.Fraction(5 * 1152 - 1576, 44100)
+
+
 def test_mpeg_odd_inputs(spark):
     docs = odd_docs(spark, media="mine")
     rows = mpeg_audio.digests(mpeg_audio.store(docs.drop("media"))).collect()

@@ -17,11 +17,14 @@ excluded.
 
 `read_back` parses a formatted text into turns again and unescapes them.
 
-A conversation is one value of its format, so its turns meet in one row; turns
-are escaped before they are dealt, and only then gathered in order of turn
-(ties: by role, then content). Nulls: a null text or role is an empty one, a
-null content has no parts, a null conv_id is a conversation of its own. Tables
-without rows give none. Other columns are not carried.
+A plain text is a content of one text part and takes the same way through the
+visitor. A conversation is one value of its format, so its turns meet in one row,
+in order of turn (ties: by role, then content, unescaped; repeated rows are
+repeated turns). Positions are summed by blocks, so that long conversations and
+contents cost little more than short ones. Nulls: a null text or role is an
+empty one, a null content has no parts, a null conv_id is a conversation of its
+own. Very long texts pass whole. Tables without rows give none. Other columns
+are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.llm.common import running
+
 TILE, PER_TILE, PER_SECOND, PER_PAGE = 512, 170, 25, 800
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -64,58 +69,36 @@ def placeholder(kind: Column, n: Column) -> Column:
     return F.concat(F.lit("<|"), escape(kind), F.lit(":"), n.cast("string"), F.lit("|>"))
 
 
-def visit(content: Column, offset: Column) -> Column:
-    """Struct of `flat`, the content as one escaped string, and `attachments`, counted from offset."""
-    start = F.struct(F.array().cast("array<string>").alias("flat"), F.array().cast(f"array<{ATTACHMENT}>").alias("attachments"))
+def _is_text(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text")) == "text"
 
-    def step(state: Column, part: Column) -> Column:
-        n = (offset + F.size(state["attachments"])).cast("int")
-        is_text = F.coalesce(part["kind"], F.lit("text")) == "text"
-        shown = F.when(is_text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(placeholder(part["kind"], n))
-        noted = F.array(F.struct(n.alias("n"), part["kind"].alias("kind"), part["ref"].alias("ref"), expanded(part).alias("tokens"))).cast(f"array<{ATTACHMENT}>")
-        return F.struct(F.concat(state["flat"], F.array(shown)).alias("flat"), F.when(is_text, state["attachments"]).otherwise(F.concat(state["attachments"], noted)).alias("attachments"))
 
-    return F.aggregate(F.coalesce(content, F.array().cast(f"array<{PART}>")), start, step, lambda s: F.struct(F.array_join(s["flat"], "").alias("flat"), s["attachments"].alias("attachments")))
+def visit(content: Column, offset: Column) -> Column:
+    """Struct of `flat`, the content as one escaped string, and `attachments`, counted from offset."""
+    at = F.filter(F.transform(content, lambda p, i: F.when(~_is_text(p), i)), lambda i: i.isNotNull())
+    flat = F.transform(content, lambda p, i: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(placeholder(p["kind"], (offset + F.array_position(at, i) - 1).cast("int"))))
+    noted = F.transform(F.filter(content, lambda p: ~_is_text(p)), lambda p, i: F.struct((offset + i).cast("int").alias("n"), p["kind"].alias("kind"), p["ref"].alias("ref"), expanded(p).alias("tokens")))
+    return F.struct(F.array_join(flat, "").alias("flat"), noted.cast(f"array<{ATTACHMENT}>").alias("attachments"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, and content (array of parts) or text. Returns conv_id, formatted, loss (spans), attachments, n_expanded."""
-    content = F.col("content") if "content" in turns.columns else text_part(F.col("text"))
-    plain_text = "content" not in turns.columns
-    role = escape(F.coalesce("role", F.lit("")))
-    if plain_text:
-        flat = turns.select("conv_id", "turn", role.alias("role"), escape(F.coalesce("text", F.lit(""))).alias("flat"), F.array().cast(f"array<{ATTACHMENT}>").alias("attachments"))
-    else:
-        seen = turns.select("conv_id", "turn", role.alias("role"), visit(content, F.lit(0)).alias("v"))
-        flat = seen.select("conv_id", "turn", "role", F.col("v.flat").alias("flat"), F.col("v.attachments").alias("attachments"))
-    rows = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "flat", "attachments"))).alias("rows"))
-    if not plain_text:
-        # Placeholders were numbered from 0 in each turn; they move up by the attachments of the turns before.
-        start = F.struct(F.array().cast("array<struct<role:string,flat:string>>").alias("rows"), F.array().cast(f"array<{ATTACHMENT}>").alias("attachments"))
-
-        def renumber(state: Column, row: Column) -> Column:
-            base = F.size(state["attachments"])
-            moved = F.aggregate(
-                F.reverse(row["attachments"]), row["flat"],
-                lambda s, a: F.replace(s, placeholder(a["kind"], a["n"]), placeholder(a["kind"], a["n"] + base)),
-            )
-            noted = F.transform(row["attachments"], lambda a: F.struct((a["n"] + base).alias("n"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")))
-            return F.struct(F.concat(state["rows"], F.array(F.struct(row["role"].alias("role"), moved.alias("flat")))).alias("rows"), F.concat(state["attachments"], noted).cast(f"array<{ATTACHMENT}>").alias("attachments"))
-
-        rows = rows.select("conv_id", F.aggregate("rows", start, renumber).alias("r")).select("conv_id", F.col("r.rows").alias("rows"), F.col("r.attachments").alias("attachments"))
-    else:
-        rows = rows.withColumn("attachments", F.array().cast(f"array<{ATTACHMENT}>"))
-    written = F.transform("rows", lambda r: F.concat(F.lit(TURN), r["role"], F.lit(SAYS), r["flat"], F.lit(DONE)))
+    content = F.coalesce("content", F.array().cast(f"array<{PART}>")) if "content" in turns.columns else text_part(F.col("text"))
+    rows = turns.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), content.cast(f"array<{PART}>").alias("content")).alias("row"))
+    rows = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    counts = F.transform("rows", lambda r: F.size(F.filter(r["content"], lambda p: ~_is_text(p))))
+    seen = F.zip_with("rows", running(counts), lambda r, offset: F.struct(escape(r["role"]).alias("role"), visit(r["content"], offset).alias("v")))
+    rows = rows.select("conv_id", seen.alias("seen"))
     lead = len(TURN) + len(SAYS)
-    walk = F.aggregate(
-        "rows", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda s, r: F.struct(
-            (s["at"] + F.lit(lead + len(DONE)) + F.char_length(r["role"]) + F.char_length(r["flat"])).cast("bigint").alias("at"),
-            F.when(r["role"] == "assistant", F.concat(s["spans"], F.array(F.struct((s["at"] + F.lit(lead) + F.char_length(r["role"])).cast("bigint").alias("start"), (s["at"] + F.lit(lead) + F.char_length(r["role"]) + F.char_length(r["flat"])).cast("bigint").alias("end"))))).otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return rows.select("conv_id", F.array_join(written, "").alias("formatted"), walk.alias("loss"), "attachments", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]).alias("n_expanded"))
+    starts = running(F.transform("seen", lambda r: F.char_length(r["role"]) + F.char_length(r["v"]["flat"]) + lead + len(DONE)))
+
+    def span(r: Column, at: Column) -> Column:
+        first = at + lead + F.char_length(r["role"])
+        return F.when(r["role"] == "assistant", F.struct(first.alias("start"), (first + F.char_length(r["v"]["flat"])).alias("end")))
+
+    written = F.transform("seen", lambda r: F.concat(F.lit(TURN), r["role"], F.lit(SAYS), r["v"]["flat"], F.lit(DONE)))
+    attachments = F.flatten(F.transform("seen", lambda r: r["v"]["attachments"]))
+    return rows.select("conv_id", F.array_join(written, "").alias("formatted"), F.filter(F.zip_with("seen", starts, span), lambda s: s.isNotNull()).alias("loss"), attachments.alias("attachments")).withColumn("n_expanded", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, a: s + a["tokens"]))
 
 
 def _blocks() -> Column:
@@ -131,13 +114,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def masked(formatted: DataFrame) -> DataFrame:
     """formatted with `loss_texts`: what stands under the loss mask, unescaped, span by span."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    sized = formatted.withColumns({"blocks": _blocks()}).withColumn("starts", running(F.transform("blocks", lambda b: F.char_length(b) + len(TURN))))
 
-    def step(s: Column, block: Column) -> Column:
-        first = (s["at"] + len(TURN)).cast("bigint")  # code point of the block's start
-        span = F.try_element_at("loss", (F.size(s["out"]) + 1).cast("int"))
-        inside = span.isNotNull() & (span["start"] < first + F.char_length(block))
-        cut = F.substring(block, (span["start"] - first + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
-        return F.struct((first + F.char_length(block)).cast("bigint").alias("at"), F.when(inside, F.concat(s["out"], F.array(unescape(cut)))).otherwise(s["out"]).alias("out"))
+    def cut(block: Column, start: Column) -> Column:
+        first = start + len(TURN)  # code point of the block's start
+        inside = F.filter("loss", lambda s: (s["start"] >= first) & (s["end"] <= first + F.char_length(block)))
+        return F.transform(inside, lambda s: unescape(F.substring(block, (s["start"] - first + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
 
-    return formatted.withColumn("loss_texts", F.aggregate(_blocks(), start, step, lambda s: s["out"]))
+    return sized.withColumn("loss_texts", F.flatten(F.zip_with("blocks", "starts", cut))).drop("blocks", "starts")

@@ -156,3 +156,18 @@ def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def schema_of(df: DataFrame, *extra: tuple[str, str]) -> str:
     """DDL of the frame's columns, then the extra ones."""
     return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` {t}" for n, t in extra)])
+
+
+def running(values: Column) -> Column:
+    """The sum of the values (bigint) before each one of an array, by blocks, so that long arrays cost little more than short ones."""
+    values = F.transform(values, lambda v: v.cast("bigint"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / 64).cast("int")), lambda i: F.slice(values, i * 64 + 1, 64))
+    add = lambda a, b: a + b
+    zero = F.lit(0).cast("bigint")
+
+    def ahead(s: Column, block: Column) -> Column:
+        before = F.transform(block, lambda _, i: s["at"] + F.aggregate(F.slice(block, F.lit(1), i), zero, add))
+        return F.struct((s["at"] + F.aggregate(block, zero, add)).alias("at"), F.concat(s["out"], F.array(before)).alias("out"))
+
+    start = F.struct(zero.alias("at"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.when(F.size(values) > 0, F.flatten(F.aggregate(blocks, start, ahead, lambda s: s["out"]))).otherwise(F.array().cast("array<bigint>"))

@@ -9,14 +9,18 @@ any MPEG parser walks.
 `parse` takes any stream of MPEG 1, 2 or 2.5, Layer I, II or III: it skips and
 reads ID3v2 and ID3v1 tags, resynchronises (a header counts only if another
 fitting header, a tag or the end follows its frame), reads Xing, Info and VBRI
-tables, verifies the CRC-16 of protected frames (over the last two header bytes
-and the side information; of Layer I and II, whose checksum covers a varying
-number of bits, the field is skipped), and gives exact durations as
-fractions of seconds and each frame's byte offset.
+tables and the encoder's delay and padding in them, verifies the CRC-16 of
+protected frames (over the last two header bytes and the side information; of
+Layer I the bit allocation; of Layer II the bit allocation and the scale factor
+selection), follows frames of free bitrate, whose size is the distance to the
+next like header, and gives exact durations as fractions of seconds, less delay
+and padding, and each frame's byte offset.
 
 Null texts are empty ones: a payload of one unit. Null media give no frames.
-Damaged bytes are skipped and counted. Rows are handled one by one, so copies,
-repeated ids and further columns pass through.
+Damaged bytes are skipped and counted. Very long media are walked whole, one at
+a time if need be. Rows are handled one by one, so copies, ties, repeated rows
+and ids and further columns pass through; the columns that a function adds are
+overwritten. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 
 import numpy as np
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches
+from veilmark.llm.common import by_bytes, schema_of, small_batches, spare
 
 UNIT = 576
 BATCH_BYTES = 4 << 20
@@ -65,10 +69,14 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int = 0) -> int:
+    """Of whole bytes, and of so many of the first bits of one more."""
     c = 0xFFFF
-    for b in data:
+    for b in data[: len(data) - (bits > 0)]:
         c = (c << 8 & 0xFFFF) ^ _CRC[c >> 8 ^ b]
+    for k in range(bits):
+        out = c >> 15 ^ data[-1] >> 7 - k & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if out else 0)
     return c
 
 
@@ -80,8 +88,9 @@ class Header:
     kbits: int
     hz: int
     channels: int
-    size: int
+    size: int  # 0: free bitrate
     samples: int
+    bound: int  # sub-bands with an allocation for each channel
 
     @property
     def side(self) -> int:
@@ -98,14 +107,41 @@ def read_header(raw: bytes) -> Header | None:
     version = {0: 25, 2: 2, 3: 1}.get(raw[1] >> 3 & 3)
     layer = 4 - (raw[1] >> 1 & 3)
     rate, hz = raw[2] >> 4, raw[2] >> 2 & 3
-    if version is None or layer == 4 or rate in (0, 15) or hz == 3:
+    if version is None or layer == 4 or rate == 15 or hz == 3:
         return None
     kbits = KBITS[1 if version == 1 else 2, layer][rate]
     hertz = HZ[hz] // {1: 1, 2: 2, 25: 4}[version]
     pad = raw[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 1 else 576
     size = (12 * kbits * 1000 // hertz + pad) * 4 if layer == 1 else samples // 8 * kbits * 1000 // hertz + pad
-    return Header(version, layer, not raw[1] & 1, kbits, hertz, 1 if raw[3] >> 6 == 3 else 2, size, samples)
+    mode = raw[3] >> 6
+    return Header(version, layer, not raw[1] & 1, kbits, hertz, 1 if mode == 3 else 2, size if rate else 0, samples, {1: (raw[3] >> 4 & 3) * 4 + 4, 3: 0}.get(mode, 32))
+
+
+def _widths(h: Header) -> list[int]:
+    """Bits of the allocation of each sub-band, Layer I and II. Fixed values of the format."""
+    if h.layer == 1:
+        return [4] * 32
+    if h.version != 1:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = h.kbits // h.channels or 192  # free bitrates use the widest table
+    if each < 56:
+        return [4] * 2 + [3] * (10 if h.hz == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (7 if each >= 96 and h.hz != 48000 else 4)
+
+
+def checked(raw: bytes, at: int, h: Header) -> tuple[bytes, int]:
+    """What the checksum of a Layer I or II frame covers, as bytes and the bits that count of the last one."""
+    body, widths = int.from_bytes(raw[at + 6 : at + 6 + 64], "big"), _widths(h)
+    total = 8 * len(raw[at + 6 : at + 6 + 64])
+    bits = used = 0
+    for band, width in enumerate(widths):
+        for _ in range(2 if band < h.bound and h.channels == 2 else 1):
+            if body >> max(total - bits - width, 0) & (1 << width) - 1:
+                used += 1 if band < h.bound or h.channels == 1 else 2  # scale factor selections that follow
+            bits += width
+    bits += 2 * used * (h.layer == 2)
+    return raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + -(-bits // 8)], bits % 8
 
 
 @dataclass
@@ -125,6 +161,8 @@ class Stream:
     table: str = ""  # Xing, Info or VBRI
     table_frames: int | None = None
     table_bytes: int | None = None
+    delay: int = 0  # samples that the encoder put before the sound
+    padding: int = 0  # and after it
     toc: list[int] = field(default_factory=list)
     tags: dict[str, str] = field(default_factory=dict)
 
@@ -153,7 +191,11 @@ def _table(raw: bytes, at: int, h: Header, out: Stream) -> bool:
         if flags & 2:
             out.table_bytes, p = int.from_bytes(raw[p : p + 4]), p + 4
         if flags & 4:
-            out.toc = list(raw[p : p + 100])
+            out.toc, p = list(raw[p : p + 100]), p + 100
+        p += 4 if flags & 8 else 0
+        if raw[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and p + 24 <= at + h.size:  # delay and padding, 12 bits each
+            both = int.from_bytes(raw[p + 21 : p + 24])
+            out.delay, out.padding = both >> 12, both & 0xFFF
         out.table = name.decode()
         return True
     p = at + 36
@@ -172,11 +214,24 @@ def parse(raw: bytes) -> Stream:
     sums: dict[bytes, int] = {}
     spans: dict[int, int] = {}  # samples by rate
 
+    free: dict[tuple, int] = {}  # size without padding of frames of free bitrate
+
     def header(p: int) -> Header | None:
         key = raw[p : p + 4]
         if key not in headers:
             headers[key] = read_header(key)
-        return headers[key]
+        h = headers[key]
+        if h is None or h.size:
+            return h
+        same, pad, slot = (key[1], key[2] & 0xFC, key[3] >> 6 == 3), key[2] >> 1 & 1, 4 if h.layer == 1 else 1
+        if same not in free:
+            q = raw.find(key[:2], p + 24, p + 8192)
+            while q >= 0 and (q + 4 > end or (raw[q + 2] & 0xFC, raw[q + 3] >> 6 == 3) != same[1:]):
+                q = raw.find(key[:2], q + 1, p + 8192)
+            if q < 0:
+                return None
+            free[same] = q - p - pad * slot
+        return replace(h, size=free[same] + pad * slot)
 
     if raw[-128:-125] == b"TAG":
         end -= 128
@@ -196,10 +251,10 @@ def parse(raw: bytes) -> Stream:
             at, synced = nxt, False
             continue
         synced = follows(at + h.size, h)  # else the next frame must prove itself
-        if h.protected and h.layer == 3:
-            key = raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h.side]
+        if h.protected:
+            key, bits = (raw[at + 2 : at + 4] + raw[at + 6 : at + 6 + h.side], 0) if h.layer == 3 else checked(raw, at, h)
             if key not in sums:
-                sums[key] = crc16(key)
+                sums[key] = crc16(key, bits)
             out.crc_checked += 1
             out.crc_bad += sums[key] != int.from_bytes(raw[at + 4 : at + 6])
         if out.offsets or out.table or not (h.layer == 3 and _table(raw, at, h, out)):
@@ -211,7 +266,7 @@ def parse(raw: bytes) -> Stream:
             spans[h.hz] = spans.get(h.hz, 0) + h.samples
             out.version, out.layer, out.hz = h.version, h.layer, h.hz
         at += h.size
-    out.duration = sum((Fraction(n, hz) for hz, n in spans.items()), Fraction(0))
+    out.duration = max(sum((Fraction(n, hz) for hz, n in spans.items()), Fraction(0)) - (Fraction(out.delay + out.padding, out.hz) if out.hz else 0), Fraction(0))
     return out
 
 
@@ -262,18 +317,19 @@ def features(stream: Stream) -> str:
 
 def _mapped(df: DataFrame, column: str, extra: list[tuple[str, str]], make) -> DataFrame:
     """df with columns that `make` computes from the values of `column`, as bytes or None."""
+    plain = df.drop(*(n for n, _ in extra))
+    raw_name = spare(plain, "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-            i = batch.schema.get_field_index("__raw")
+        for batch in by_bytes(batches, raw_name, BATCH_BYTES):
+            i = batch.schema.get_field_index(raw_name)
             made = list(zip(*map(make, batch.column(i).to_pylist()), strict=True)) or [[]] * len(extra)
             kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *(pa.array(v, kinds[t]) for v, (_, t) in zip(made, extra, strict=True))], [*(c for c in batch.schema.names if c != "__raw"), *(n for n, _ in extra)])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), *(pa.array(v, kinds[t]) for v, (_, t) in zip(made, extra, strict=True))], [*(c for c in batch.schema.names if c != raw_name), *(n for n, _ in extra)])
 
     small_batches(df.sparkSession)
-    plain = df.drop(*(n for n, _ in extra))
-    source = plain.withColumn("__raw", F.col(column).cast("binary")).drop(column)
-    return source.mapInArrow(run, schema_of(source.drop("__raw"), *extra))
+    source = plain.withColumn(raw_name, F.col(column).cast("binary")).drop(column)
+    return source.mapInArrow(run, schema_of(source.drop(raw_name), *extra))
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -297,12 +353,12 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def digests(media: DataFrame, column: str = "media") -> DataFrame:
-    """Columns in place of the media, read back from it: payload and media sizes and digests, features."""
+    """Columns in place of the media, read back from it: payload and media sizes and digests, features, exact seconds, frame offsets."""
 
     def make(raw: bytes | None) -> tuple:
         raw = raw or b""
         s = parse(raw)
         payload = payload_of(raw, s)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(s)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(s), s.duration.numerator, s.duration.denominator, s.offsets
 
-    return _mapped(media, column, [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string")], make)
+    return _mapped(media, column, [("payload_bytes", "bigint"), ("payload_sha256", "string"), ("tail_crc32", "bigint"), ("media_bytes", "bigint"), ("media_sha256", "string"), ("feature", "string"), ("seconds_num", "bigint"), ("seconds_den", "bigint"), ("frame_offsets", "array<bigint>")], make)

@@ -84,7 +84,7 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as an MPEG stream, and what reading the stream back gives."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     back = mpeg_audio.digests(mpeg_audio.store(docs))
-    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return back.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds_num", "seconds_den", "frame_offsets")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,17 @@
 """Token counts: batch encoding inside Arrow functions that returns lengths only.
 
-Rows are regrouped into batches of about `BATCH_BYTES` of text. Long texts are
-cut at safe boundaries, places where the tokenizer could not have put a token
-across: where it parts words at blanks and drops these ("a b", "a  b" and
-"a\\nb" give the tokens of "a" and "b"), at every ASCII blank, and a word then
-needs encoding once for many occurrences; else, for byte-level tokenizers that
-carry one space into the next word, before a single space between two visible
-characters, into pieces of at least `PIECE` characters. Pieces go to the
-library in slices of equal bytes. A .model file is counted by whole text.
-
-The memory a worker holds is bounded: one batch, and a memo of at most `MEMO`
-words. Null texts count as empty: 0 bytes, 0 tokens. Copies, repeated ids and
-further columns pass through row by row; an empty table gives no rows.
+Rows are regrouped into batches of about `BATCH_BYTES` of text, and these go to
+the library in slices of about `SLICE_BYTES`. Texts of over `PIECE` characters
+are split at safe boundaries first: before a single space between two visible
+characters, where neither tokenizers that part words at blanks nor byte-level
+ones that carry one space into the next word can put a token across. A stretch
+without such a boundary stays whole, and a .model file, whose pieces may hold
+blanks, is counted by whole text.
+
+A worker holds one batch (a longer text is one of its own). Null texts count as
+empty: 0 bytes, 0 tokens. Copies, ties, repeated rows and ids and further columns
+pass through row by row; `n_bytes`, `n_tokens` and `over_limit` are overwritten.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches
+from veilmark.llm.common import by_bytes, schema_of, small_batches, spare
 
 BATCH_BYTES = 4 << 20
 SLICE_BYTES = 1 << 18
 PIECE = 1 << 15
-MEMO = 400_000
 _BETWEEN = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -52,10 +51,7 @@ class Counter:
 
             sp = sentencepiece.SentencePieceProcessor(model_proto=content)
             self.lengths = lambda texts: [len(e) for e in sp.encode(texts, num_threads=1)]
-        one = self.lengths(["a", "b", "a b", "a  b", "a\nb", " a\tb "])
-        self.by_word = all(n == one[0] + one[1] for n in one[2:])
         self.pieces = kind == "json"
-        self.memo: dict[bytes, int] = {}
 
     def sliced(self, texts: list[str]) -> list[int]:
         out: list[int] = []
@@ -63,21 +59,13 @@ class Counter:
         size = 0
         for t in texts:
             held.append(t)
-            size += len(t) + 16
+            size += len(t.encode()) + 16
             if size >= SLICE_BYTES:
                 out += self.lengths(held)
                 held, size = [], 0
         return out + (self.lengths(held) if held else [])
 
     def count(self, texts: list[bytes]) -> list[int]:
-        if self.by_word:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            memo = self.memo
-            new = {w for t in texts for w in t.split() if w not in memo}
-            fresh = list(new)
-            memo.update(zip(fresh, self.sliced([w.decode("utf-8", "replace") for w in fresh]), strict=True))
-            return [sum(map(memo.__getitem__, t.split())) for t in texts]
         pieces: list[str] = []
         own: list[int] = []
         for i, raw in enumerate(texts):
@@ -112,14 +100,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         content = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary, of fixed size
     kind = "model" if path.endswith(".model") else "json"
 
+    plain = docs.drop("n_bytes", "n_tokens", "over_limit")
+    raw = spare(plain, "raw")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(content.value, kind)
-        for batch in by_bytes(batches, "__raw", BATCH_BYTES):
-            i = batch.schema.get_field_index("__raw")
+        for batch in by_bytes(batches, raw, BATCH_BYTES):
+            i = batch.schema.get_field_index(raw)
             n = counter.count([t or b"" for t in batch.column(i).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), pa.array(n, pa.int64())], [*(c for c in batch.schema.names if c != "__raw"), "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != i), pa.array(n, pa.int64())], [*(c for c in batch.schema.names if c != raw), "n_tokens"])
 
-    plain = docs.drop("n_bytes", "n_tokens", "over_limit")
-    counted = plain.withColumn("__raw", F.col("text").cast("binary"))
+    counted = plain.withColumn(raw, F.col("text").cast("binary"))
     counted = counted.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"))
-    return counted.mapInArrow(run, schema_of(counted.drop("__raw"), ("n_tokens", "bigint"))).withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.mapInArrow(run, schema_of(counted.drop(raw), ("n_tokens", "bigint"))).withColumn("over_limit", F.col("n_tokens") > limit)
