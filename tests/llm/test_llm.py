@@ -238,6 +238,80 @@ def test_lm_counts_and_held_out_gain(spark):
     assert lm_scores.score(odd_docs(spark), train=F.lit(False), tune=F.lit(False)).count() == len(ODD) + 2
 
 
+def brute_scores(rows, train, weights, order):
+    """Scores by plain counting, with given weights."""
+    from collections import Counter
+
+    streams = {d: [*words_of(t), None] for d, t in rows}
+    begun = {d: ["<s>", *s] for d, s in streams.items()}
+    gram = lambda s, i, n: tuple(s[i + 2 - n : i + 2]) if i + 2 >= n else None
+    c = {n: Counter(g for d, s in begun.items() if train(d) for i in range(len(s) - 1) if (g := gram(s, i, n))) for n in range(1, order + 1)}
+    starts = sum(train(d) for d in streams)
+    total, types = sum(c[1].values()), len(c[1])
+    out = {}
+    for d, s in streams.items():
+        score = 0.0
+        for i, t in enumerate(s):
+            h = c[1][(s[i - 1],)] if i else starts
+            w = weights.get(int(np.floor(np.log2(h))) + 1 if h else 0, weights[-1])
+            p = w[0] / (types + 1) + w[1] * c[1][(t,)] / max(total, 1)
+            for n in range(2, order + 1):
+                g = gram(begun[d], i, n)
+                if g is None:
+                    continue
+                below = starts if g[:-1] == ("<s>",) else c[n - 1][g[:-1]]
+                p += w[n] * c[n][g] / below if below else 0.0
+            score += np.log10(p)
+        out[d] = score
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_lm_scores_against_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(lm_scores, "BATCH_BYTES", 700)
+    r = random.Random(15)
+    rows = [(i, " ".join(r.choices(WORDS[:12], k=r.randrange(0, 40)))) for i in range(90)] + [(90, "unheard of"), (91, "A b A b a B")]
+    weights = {-1: np.full(order + 1, 1 / (order + 1)), **{b: np.arange(1, order + 2)[:: (-1) ** b] / ((order + 1) * (order + 2) / 2) for b in range(0, 9)}}
+    got = {x.doc_id: x.score for x in lm_scores.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), F.col("doc_id") % 3 != 0, F.lit(False), order, weights).collect()}
+    want = brute_scores(rows, lambda d: d % 3 != 0, weights, order)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d]) for d in want)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lm_query_against_brute_force(spark, monkeypatch):
+    learnt = {}
+    inner = lm_scores.fit_weights
+    monkeypatch.setattr(lm_scores, "fit_weights", lambda ratios, order: learnt.setdefault("w", inner(ratios, order)))
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {x.doc_id: x for x in queries.op5_lm_scores(spark, SF).collect()}
+    want = brute_scores(rows, lambda d: zlib.crc32(str(d).encode()) % 7 != 2, learnt["w"], lm_scores.ORDER)
+    assert all(got[d].score == pytest.approx(want[d]) for d in want) and len(got) == len(want)
+
+
+def test_lm_weights_are_those_of_plain_expectation_maximisation(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(b), [float(x), float(y)], int(n)) for b, x, y, n in zip(r.integers(0, 3, 400), r.gamma(1, 3, 400), r.gamma(0.3, 40, 400), r.integers(1, 9, 400))]
+    got = lm_scores.fit_weights(spark.createDataFrame(rows, "bucket bigint, ratios array<double>, n bigint"), 2, polish=25)
+
+    def plain(mine, prior):
+        w = np.full(3, 1 / 3)
+        for _ in range(400):
+            s = np.array([[w[0], w[1] * x, w[2] * y] for _, (x, y), _ in mine])
+            w = (s / s.sum(1, keepdims=True) * np.array([[n] for _, _, n in mine])).sum(0) + prior
+            w /= w.sum()
+        return w
+
+    every = plain(rows, np.full(3, 1e-6))
+    assert np.allclose(got[-1], every, atol=5e-3)
+    assert all(np.allclose(got[b], plain([x for x in rows if x[0] == b], 20 * every), atol=5e-3) for b in range(3))
+
+
+def test_lm_differences():
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64))
+    for k in (keys, keys[:1], keys[:0], np.array([0, 2**64 - 1], np.uint64)):
+        assert (lm_scores.from_differences(lm_scores.differences(k)) == k).all()
+
+
 def test_lm_probabilities_add_up():
     """Weights add up to one in each bucket, so mixtures of distributions are one."""
     w = lm_scores.learn_weights(np.array([0, 0, 1]), np.array([[3, -10_000], [-10_000, -10_000], [2, 9]]), np.array([5, 2, 9]), 2)

@@ -14,20 +14,26 @@ rest. The final counts hold all training documents, the tune fold too.
 
 How counts travel. A task turns about `BATCH_BYTES` of text into one durable
 row: types, token stream, ids. Each batch then asks for the counts of its own
-distinct n-grams: fingerprints with the batch's own counts go, packed, to
-`shards` by their high bits; a shard adds up its fingerprints and answers each
+distinct n-grams: their 64-bit fingerprints, sorted, as differences, go packed to
+`shards` by their high bits, each with the batch's own counts; a shard adds up its fingerprints and answers each
 batch in the batch's order. So all training tokens are counted, nothing is
 held by one machine, a frequent n-gram comes once a batch, and the rows moved
-are at most the distinct n-grams of each batch. The weights' learning sees a
-table of (bucket, ratios of estimates in steps of half a bit) that is bounded by
-the number of steps, and is all the driver gets.
+are at most the distinct n-grams of each batch.
 
-Memory: a task holds one batch or one shard (about `SHARD` fingerprints).
+How weights are learnt. Expectation-maximisation starts on ratios of estimates
+in steps of half a bit, a table bounded by the number of steps, which the driver
+gets; `POLISH` rounds over the exact ratios of all held-out tokens follow, whose
+sums (a row for each bucket) are all that the driver gets.
+
+Memory: a task holds one batch (a longer text is one of its own) or one shard
+(about `SHARD` fingerprints).
 
 Nulls: a null text is empty (its end is a token); a null doc_id is an id of its
-own row. Rows are scored one by one, so copies and repeated ids all come back;
-other columns do not. Without training tokens every known estimate is 0 and the
-uniform one counts. Without held-out tokens the weights are equal.
+own row; ids must be whole numbers. Rows are scored one by one, so copies, ties,
+repeated rows and repeated ids all come back; other columns do not, whatever
+their names. Without training tokens every known estimate is 0 and the
+uniform one counts. Without held-out tokens the weights are equal. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import durable, joined, small_batches
+from veilmark.llm.common import Tables, durable, joined, small_batches
 from veilmark.llm.tokens import mix, word_hashes
 
 ORDER = 2
@@ -49,6 +55,7 @@ SHARD = 2_000_000
 LEAST_BITS = 5
 ROUNDS = 60
 STEPS = 2  # of a ratio's logarithm, a bit
+POLISH = 5
 
 _U = np.uint64
 _END, _START = _U(0xE17D_0C0F_FEE0_0001), _U(0x57A2_70F7_E870_0002)
@@ -82,6 +89,16 @@ def from_planes(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def differences(keys: np.ndarray) -> np.ndarray:
+    """Sorted 64-bit numbers as their differences, byte by byte, all last bytes first: the high bytes are mostly 0."""
+    steps = np.diff(keys, prepend=_U(0))
+    return np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).ravel()
+
+
+def from_differences(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view("<u8").ravel(), dtype=_U)
+
+
 class Batch:
     """A batch's token stream and its distinct n-grams."""
 
@@ -170,11 +187,6 @@ def _split(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(prints[order] >> _U(64 - bits), np.arange((1 << bits) + 1).astype(_U))
 
 
-def _width(n: int) -> int:
-    """Bytes of a fingerprint below its shard's bits; a shard's size is bounded, so the chance of two alike is, too."""
-    return 6 if n == 1 else 5
-
-
 def _ask(rows: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.RecordBatch]:
     """(n, shard, batch_id, blob): fingerprints with the batch's training and tune counts."""
     for batch in rows:
@@ -184,10 +196,9 @@ def _ask(rows: Iterator[pa.RecordBatch], order: int, bits: int) -> Iterator[pa.R
             for n, (prints, each) in enumerate(b.ngrams(order), 1):
                 counts = [np.bincount(each[flag], minlength=len(prints)).astype(np.uint32) for flag in (train, tune)]
                 at, cut = _split(prints, bits)
-                low = ((prints[at] << _U(bits)) >> _U(64 - 8 * _width(n))).view(np.uint8).reshape(-1, 8)[:, : _width(n)]
                 for shard in np.flatnonzero(np.diff(cut)).tolist():
                     part = slice(cut[shard], cut[shard + 1])
-                    value = pack(low[part].ravel(), *(planes(c[at[part]]) for c in counts))
+                    value = pack(differences(prints[at[part]]), *(planes(c[at[part]]) for c in counts))
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((n, pa.int32()), (shard, pa.int32()), (batch_id, pa.int64()), (value, pa.binary()))], ["n", "shard", "batch_id", "blob"])
 
 
@@ -199,10 +210,8 @@ def _answer(table: pa.Table) -> pa.Table:
     parts = [unpack(v) for v in table.column("blob").to_pylist()]
     sizes = np.array([len(p[1]) // 4 for p in parts])
     n, shard = table.column("n")[0].as_py(), table.column("shard")[0].as_py()
-    keys = np.zeros((sizes.sum(), 8), np.uint8)
-    keys[:, : _width(n)] = np.concatenate([p[0] for p in parts]).reshape(-1, _width(n))
-    keys = keys.view(_U).ravel()
-    order = np.argsort(keys)
+    keys = np.concatenate([from_differences(p[0]) for p in parts])
+    order = np.argsort(keys, kind="stable")
     begin = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
     every, tuned = (np.add.reduceat(np.concatenate([from_planes(p[k]) for p in parts])[order], begin) for k in (1, 2))
     less = every - tuned
@@ -240,13 +249,44 @@ def _estimates(b: Batch, answers: pa.Table, order: int, bits: int, less: bool, t
 
 
 def _ratios(tokens: pa.Table, answers: pa.Table, order: int, bits: int, total: int, types: int) -> pa.Table:
-    """(bucket, steps of each order's ratio to the uniform estimate, n) of a tune batch."""
+    """(bucket, each order's ratio to the uniform estimate, n) of a tune batch."""
     b, _, _ = _load(tokens.column("blob")[0].as_py())
     _, p, bucket = _estimates(b, answers, order, bits, True, total)
-    steps = [np.where(x > 0, np.round(STEPS * np.log2(np.maximum(x * (types + 1), 1e-300))), -10_000).astype(np.int64) for x in p]
     keep = np.repeat(b.train & b.tune, b.sizes)
-    rows, n = np.unique(np.stack([bucket, *steps], 1)[keep], axis=0, return_counts=True)
-    return pa.table({"bucket": rows[:, 0], "steps": pa.array(rows[:, 1:].tolist(), pa.list_(pa.int64())), "n": n.astype(np.int64)}, schema=pa.schema([("bucket", pa.int64()), ("steps", pa.list_(pa.int64())), ("n", pa.int64())]))
+    rows, n = np.unique(np.stack([bucket, *(x * (types + 1) for x in p)], 1)[keep], axis=0, return_counts=True)
+    return pa.table({"bucket": rows[:, 0].astype(np.int64), "ratios": pa.array(rows[:, 1:].tolist(), pa.list_(pa.float64())), "n": n.astype(np.int64)}, schema=pa.schema([("bucket", pa.int64()), ("ratios", pa.list_(pa.float64())), ("n", pa.int64())]))
+
+
+def _posteriors(batches: Iterator[pa.RecordBatch], weights: dict[int, np.ndarray], order: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, own, every): each bucket's sums of the estimates' shares, under its own weights and under those of all."""
+    for batch in batches:
+        bucket, n = batch.column("bucket").to_numpy(), batch.column("n").to_numpy()
+        estimate = np.concatenate([np.ones((len(n), 1)), batch.column("ratios").flatten().to_numpy().reshape(-1, order)], 1)
+        names, at = np.unique(bucket, return_inverse=True)
+        out = []
+        for w in (np.stack([weights.get(b, weights[-1]) for b in names.tolist()] or [weights[-1]])[at], weights[-1]):
+            share = estimate * w
+            share *= (n / share.sum(1))[:, None]
+            sums = np.zeros((len(names), order + 1))
+            np.add.at(sums, at, share)
+            out.append(pa.array(sums.tolist(), pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *out], ["bucket", "own", "every"])
+
+
+def fit_weights(ratios: DataFrame, order: int, polish: int = POLISH) -> dict[int, np.ndarray]:
+    """Mixture weights by bucket, -1 for all of them. ratios: bucket, ratios, n."""
+    step = F.transform("ratios", lambda r: F.when(r > 0, F.round(F.log2(r) * STEPS)).otherwise(-10_000).cast("bigint"))
+    held = ratios.groupBy("bucket", step.alias("steps")).agg(F.sum("n").alias("n")).toArrow()  # bounded by the steps
+    weights = learn_weights(held.column("bucket").to_numpy(), np.array(held.column("steps").to_pylist(), np.int64).reshape(-1, order), held.column("n").to_numpy(), order)
+    for _ in range(polish if held.num_rows else 0):
+        rows = ratios.mapInArrow(lambda batches, w=dict(weights): _posteriors(batches, w, order), "bucket bigint, own array<double>, every array<double>")
+        sums = rows.groupBy("bucket").agg(*(F.sum(F.col(c)[i]).alias(f"{c}{i}") for c in ("own", "every") for i in range(order + 1))).collect()  # a row for each power of two
+        every = sum((np.array([r[f"every{i}"] for i in range(order + 1)]) for r in sums), np.full(order + 1, 1e-6))
+        weights[-1] = np.maximum(every / every.sum(), 1e-9)
+        for r in sums:
+            w = np.array([r[f"own{i}"] for i in range(order + 1)]) + 20 * weights[-1]
+            weights[r["bucket"]] = np.maximum(w / w.sum(), 1e-9)
+    return {b: w / w.sum() for b, w in weights.items()}
 
 
 def learn_weights(bucket: np.ndarray, steps: np.ndarray, n: np.ndarray, order: int, rounds: int = ROUNDS) -> dict[int, np.ndarray]:
@@ -282,8 +322,8 @@ def _scored(tokens: pa.Table, answers: pa.Table, order: int, bits: int, total: i
     return pa.table([pa.array(doc_ids, pa.int64(), mask=null.astype(bool)), pa.array(b.sizes), pa.array(add((own > 0).astype(np.int64))), pa.array(np.full(len(doc_ids), total)), pa.array(add(base)), pa.array(add(np.log10(mixed)))], schema=schema)
 
 
-def score(docs: DataFrame, train: Column, tune: Column, order: int = ORDER) -> DataFrame:
-    """docs: doc_id (bigint), text; train and tune: which rows are learnt from, and which of these set the weights.
+def score(docs: DataFrame, train: Column, tune: Column, order: int = ORDER, weights: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """docs: doc_id (bigint), text; train and tune: which rows are learnt from, and which of these set the weights, unless they are given.
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (add-one unigrams), score (log10 of the text's probability).
     """
@@ -297,12 +337,11 @@ def score(docs: DataFrame, train: Column, tune: Column, order: int = ORDER) -> D
     answers = durable(asked.groupBy("n", "shard").applyInArrow(_answer, "batch_id bigint, n int, shard int, blob binary, types bigint, total bigint, types_less bigint, total_less bigint"))
     s = answers.where("batch_id is null and n = 1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "total", "types_less", "total_less"))).first()
     replies = answers.where("batch_id is not null").select("batch_id", "n", "shard", "blob")
-    tuning = tokens.where("tune").select("batch_id", "blob")
-    theirs = replies.join(tuning.select("batch_id"), "batch_id", "left_semi")
-    ratios = tuning.groupBy("batch_id").cogroup(theirs.groupBy("batch_id")).applyInArrow(lambda a, b: _ratios(a, b, order, bits, s["total_less"], s["types_less"]), "bucket bigint, steps array<bigint>, n bigint")
-    held = ratios.groupBy("bucket", "steps").agg(F.sum("n").alias("n")).toArrow()  # bounded by the steps
-    steps = np.array(held.column("steps").to_pylist(), np.int64).reshape(-1, order)
-    weights = learn_weights(held.column("bucket").to_numpy(), steps, held.column("n").to_numpy(), order)
+    if weights is None:
+        tuning = tokens.where("tune").select("batch_id", "blob")
+        theirs = replies.join(tuning.select("batch_id"), "batch_id", "left_semi")
+        ratios = tuning.groupBy("batch_id").cogroup(theirs.groupBy("batch_id")).applyInArrow(lambda a, b: _ratios(a, b, order, bits, s["total_less"], s["types_less"]), "bucket bigint, ratios array<double>, n bigint")
+        with Tables(spark) as tables:
+            weights = fit_weights(tables.put(ratios.groupBy("bucket", "ratios").agg(F.sum("n").alias("n"))), order)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     return tokens.select("batch_id", "blob").groupBy("batch_id").cogroup(replies.groupBy("batch_id")).applyInArrow(lambda a, b: _scored(a, b, order, bits, s["total"], s["types"], weights, schema), "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
