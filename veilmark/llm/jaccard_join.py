@@ -183,7 +183,7 @@ def _told(signed: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     order = np.argsort(sigs, kind="stable")
     begin = np.flatnonzero(np.concatenate(([True], np.diff(sigs[order]) != 0)))
     count = np.diff(np.concatenate((begin, [len(order)])))
-    alone, first = order[begin[count == 1]], begin[count > 1]
+    alone, first = np.sort(order[begin[count == 1]]), begin[count > 1]  # a node's rows stay together, which compresses well
     shared = np.bincount(own[order[np.repeat(count > 1, count)]], minlength=len(signed))
     has = np.flatnonzero(shared)
     told = np.concatenate([alone, order[first], order[first + 1]])
