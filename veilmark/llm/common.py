@@ -97,8 +97,8 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 def bitmap(keys: DataFrame, count: int, most: int) -> np.ndarray:
-    """A filter of the table's only column (bigint): bits, some 32 for each of `count` keys but at most `most` in all, as 64-bit words. Past that it lets more through, never less."""
-    size = 1 << min(most.bit_length() - 1, max(16, (32 * max(count, 1) - 1).bit_length()))
+    """A filter of the table's only column (bigint): bits, some 16 for each of `count` keys but at most `most` in all, as 64-bit words. Past that it lets more through, never less."""
+    size = 1 << min(most.bit_length() - 1, max(16, (16 * max(count, 1) - 1).bit_length()))
     bit = f"pmod(`{keys.columns[0]}`, {size}L)"
     rows = keys.groupBy(F.expr(f"{bit} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("b")).toArrow()
     words = np.zeros(size // 64, np.int64)
