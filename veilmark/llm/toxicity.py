@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from veilmark.llm.common import by_bytes, schema_of, small_batches, spare, stored
 from veilmark.llm.tokens import NOT_ALNUM, grams, mix, word_hashes
 
-PER_CLASS = 2000
+PER_CLASS = 1500
 CALIBRATION = 4000
 BATCH_BYTES = 1 << 20
 
