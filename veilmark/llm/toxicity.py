@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.common import by_bytes, schema_of, small_batches, spare, stored
+from veilmark.llm.common import by_bytes, release, schema_of, small_batches, spare, stored
 from veilmark.llm.tokens import NOT_ALNUM, grams, mix, word_hashes
 
 PER_CLASS = 1500
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, calibrat
         t = pairs.toArrow()  # the sample's distinct pairs
         model = estimate(*(t.column(c).to_numpy().view(_U) for c in ("pair", "first", "second")), np.stack([t.column("n0").to_numpy(), t.column("n1").to_numpy()]))
         del t
+        release()
         told = docs.sparkSession.sparkContext.broadcast(model)
         held = sampled.where("use = 1").select("text", "toxic").mapInArrow(lambda batches: _evidence(batches, told.value), "mean double, most double, toxic int").toArrow()
     x = np.stack([np.ones(held.num_rows), held.column("mean").to_numpy(), held.column("most").to_numpy()], 1)
