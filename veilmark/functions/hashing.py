@@ -26,5 +26,17 @@ def draw(n: Column, *parts: Column | str) -> Column:
 
 
 def content_hash(rows: Column) -> Column:
-    """Aggregate: a hash of all rows' texts that does not depend on their order."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(rows, 256))), ""), 256)
+    """Aggregate: a hash of all rows' texts that does not depend on their order: the sums of their digests' words and the count, hashed.
+
+    Sums are decimals, so they combine on the way and no task holds the rows.
+    """
+    one = F.sha2(rows, 256)
+    words = [F.sum(F.conv(F.substring(one, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
+    return F.sha2(F.concat_ws("|", *(F.coalesce(w, F.lit(0).cast("decimal(38,0)")).cast("string") for w in words), F.count(rows).cast("string")), 256)
+
+
+def set_hash(ids: Column) -> Column:
+    """Aggregate: the same of distinct ids. Nulls do not count."""
+    one = F.sha2(ids.cast("string"), 256)
+    words = [F.sum_distinct(F.conv(F.substring(one, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+    return F.sha2(F.concat_ws("|", *(F.coalesce(w, F.lit(0).cast("decimal(38,0)")).cast("string") for w in words), F.count_distinct(ids).cast("string")), 256)

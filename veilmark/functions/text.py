@@ -72,11 +72,27 @@ def char_trigrams(text: Column) -> Column:
     return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))))
 
 
+def trigram_hashes(text: Column) -> Column:
+    """Hashes of the same; the text is cut into characters once (a lambda's argument is computed once, an outer expression for each element)."""
+    cut = F.regexp_extract_all(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit("(?s)."), F.lit(0))
+    at = lambda c, i: F.element_at(c, i.cast("int"))
+    runs = F.transform(F.array(cut), lambda c: F.when(F.size(c) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(c) - 2, F.lit(1))), lambda i: F.xxhash64(at(c, i), at(c, i + 1), at(c, i + 2)))))
+    return F.array_distinct(runs[0])
+
+
 def to_number(text: Column) -> Column:
-    """The number a text shows once all but digits, points and signs is dropped; null if that is none."""
+    """The number a text shows once all but digits, points and signs is dropped, to ten digits; null if that is none."""
     return F.regexp_replace(text, r"[^0-9.\-+]", "").try_cast("double")
 
 
+def ten_digits(x: Column) -> Column:
+    """A number's normal form as text: ten significant digits, no zeros at the end."""
+    power = F.when(x == 0, 0).otherwise(9 - F.floor(F.log10(F.abs(x))))
+    scale = F.pow(F.lit(10.0), power.cast("double"))
+    shown = F.format_string("%.15f", F.rint(x * scale) / scale)
+    return F.regexp_replace(F.regexp_replace(shown, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
 def numeric_candidates(text: Column) -> Column:
     """All numbers in a text, in digits or as words up to twelve."""
     shown = F.filter(F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), to_number), lambda x: x.isNotNull())
@@ -89,10 +105,10 @@ def reveals_number(text: Column, target: Column) -> Column:
     return F.exists(numeric_candidates(text), lambda x: (x == target) | ((target != 0) & (F.abs(x - target) / F.abs(target) <= REL_TOL)))
 
 
-def reveals(text: Column, value: Column, numeric: Column) -> Column:
-    """Whether a text reveals a protected value: numeric fields by number, others by soft substring. Empty texts and values reveal nothing."""
+def reveals(text: Column, value: Column) -> Column:
+    """Whether a text reveals a protected value: by number if the value shows one, else by soft substring. Empty texts and values reveal nothing."""
     by_text = (soft(value) != "") & F.contains(soft(text), soft(value))
-    return F.coalesce(F.when(numeric, reveals_number(text, to_number(value))).otherwise(by_text), F.lit(False))
+    return F.coalesce(F.when(to_number(value).isNotNull(), reveals_number(text, to_number(value))).otherwise(by_text), F.lit(False)) & (F.coalesce(text, F.lit("")) != "")
 
 
 def strip_markup(raw: Column) -> Column:
@@ -107,6 +123,18 @@ def first_match(text: Column, patterns: tuple[str, ...]) -> Column:
     return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns))
 
 
+def first_span(text: Column, patterns: tuple[str, ...]) -> Column:
+    """The same with its place: struct of value, start and end (characters from 0, end exclusive)."""
+
+    def one(p: str) -> Column:
+        value = F.regexp_extract(text, p, 1)
+        whole = F.regexp_extract(text, p, 0)
+        start = F.regexp_instr(text, F.lit(p)) - 1 + F.position(value, whole) - 1
+        return F.when((F.trim(value) != "") & value.isNotNull(), F.struct(F.trim(value).alias("value"), start.cast("int").alias("start"), (start + F.char_length(value)).cast("int").alias("end")))
+
+    return F.coalesce(*map(one, patterns))
+
+
 def clean_name(name: Column) -> Column:
     squeezed = F.regexp_replace(F.regexp_replace(name, r"\s+", " "), r"^[ .,;:]+|[ .,;:]+$", "")
     return F.trim(F.regexp_replace(squeezed, r"(?i)\s+(inc|corp|corporation|co|ltd|llc|plc)\.?$", ""))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions.hashing import short_hash
-from veilmark.functions.metrics import detectability_state
-from veilmark.operators import containment, corpus, detector, features, leaks, stats
+from veilmark.operators import containment, corpus, detector, features, leaks, splits, stats
 from veilmark.operators.backend import Backend, stand_in
 from veilmark.operators.durable import durable
 
@@ -24,10 +24,12 @@ class Workspace:
     fields: DataFrame
     probes: DataFrame
     documents: DataFrame
+    pairs: DataFrame  # pair_id, split
+    artifacts: DataFrame
 
 
-def prepare(spark: SparkSession, n_deals: int, seed: str = "11") -> Workspace:
-    """Seeded deals, each with a matched control; fields, probes, public and private documents."""
+def prepare(spark: SparkSession, n_deals: int, seed: str = "11", dev_fraction: float = 0.3) -> Workspace:
+    """Seeded deals, each with a matched control; fields, probes, public and private documents; pairs on a dev and an eval side."""
     deals = corpus.synthetic_deals(spark, n_deals, seed)
     pair = short_hash("pair", F.col("deal_id"))
     controls = deals.select("deal_id", F.concat(F.lit("Control of "), F.col("target_name")).alias("display_name"), pair.alias("pair_id"))
@@ -40,10 +42,14 @@ def prepare(spark: SparkSession, n_deals: int, seed: str = "11") -> Workspace:
         F.struct(F.lit("announcement_date").alias("name"), F.col("announcement_date").alias("value"), F.lit(False).alias("numeric")),
     )).alias("f")).select("deal_id", "f.*").withColumn("field_id", short_hash(F.col("deal_id"), F.col("name")))
     probes = corpus.probe_suite(entities, fields, corpus.templates(spark))
-    private = corpus.artifacts(deals).join(restricted.select("deal_id", "entity_id"), "deal_id").select("entity_id", "text", F.lit(True).alias("is_private"))
-    public = entities.select("entity_id", F.concat("display_name", F.lit(" files its accounts in time; nothing unusual was announced.")).alias("text"), F.lit(False).alias("is_private"))
+    artifacts = corpus.artifacts(deals)
+    private = artifacts.join(restricted.select("deal_id", "entity_id"), "deal_id").select("entity_id", "text", F.lit(True).alias("is_private"))
+    public = entities.select("entity_id", corpus.background(F.col("display_name"), F.lit("")).alias("text"), F.lit(False).alias("is_private"))
     # Small tables that every method reads.
-    return Workspace(durable(entities), durable(fields), durable(probes), durable(public.unionByName(private)))
+    pairs = stats.pair_split(entities.select("pair_id").distinct(), "pair_id", dev_fraction, seed)
+    ws = Workspace(durable(entities), durable(fields), durable(probes), durable(public.unionByName(private)), durable(pairs.select("pair_id", "split")), durable(artifacts))
+    splits.check(ws.pairs, ws.entities)
+    return ws
 
 
 def generate(ws: Workspace, method: containment.Method, k: int, backend: Backend = stand_in) -> DataFrame:
@@ -61,30 +67,60 @@ def generate(ws: Workspace, method: containment.Method, k: int, backend: Backend
     return method.post_generate(backend(asked), backend)
 
 
+def fitted(ws: Workspace, name: str, k: int = 4, backend: Backend = stand_in, **how) -> containment.Method:
+    """A method that has seen the dev side only: its artifacts, and what its controls say."""
+    method = containment.build(name, **how).fit(splits.dev_artifacts(ws.artifacts, ws.entities, ws.pairs))
+    if not isinstance(method, containment.Substitute):
+        return method
+    dev = Workspace(ws.entities, ws.fields, splits.require(splits.dev_control_probes(ws.probes, ws.entities, ws.pairs), ws.entities, ws.pairs), ws.documents, ws.pairs, ws.artifacts)
+    return method.calibrate(generate(dev, containment.build("none"), k, backend).select("text"))
+
+
 def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, backend: Backend = stand_in, **how) -> tuple[DataFrame, DataFrame]:
-    """(leak results by family, one row with AUC, interval and state) of a method."""
-    made = durable(generate(ws, containment.build(name, **how), k, backend).withColumn("trace", F.lit(None).cast("struct<topm_logprobs:array<array<double>>,chosen_logprobs:array<double>>")))
+    """(leak results by family, a row for each detector) of a method. Detectors see the eval side only, if it has two pairs or more."""
+    made = durable(generate(ws, fitted(ws, name, k, backend, **how), k, backend).withColumn("trace", F.lit(None).cast("struct<topm_logprobs:array<array<double>>,chosen_logprobs:array<double>>")))
     content = ws.probes.where("family <> 'behavioural'").select("probe_id", "entity_id", "family", F.array("field_id").alias("target_field_ids"))
-    verdicts = leaks.verdicts(made.where("family <> 'behavioural'"), content, ws.fields.select("field_id", F.col("value").alias("value_normalized"), "numeric"))
-    leak = leaks.leak_results(verdicts, "family", k)
+    verdicts = leaks.verdicts(made.where("family <> 'behavioural'"), content, ws.fields.select("field_id", F.col("value").alias("value_normalized")))
+    leak = leaks.leak_intervals(verdicts, "family", "entity_id", k)
+    side = splits.entities_of(ws.entities, ws.pairs, "eval").select("entity_id")
     behave = made.where("family = 'behavioural'")
-    rows = features.feature_rows(behave, behave.select("probe_id", "entity_id", "pair_id", "entity_class", "template_id", "tools_exposed").distinct())
-    vectors = durable(features.primary_vectors(rows, ["entity_id", "pair_id", "entity_class"], tuple(USED)).withColumn("label", (F.col("entity_class") == "restricted").cast("int")))
-    scores = durable(detector.out_of_fold(vectors, USED, repeats))
-    mean = scores.groupBy("entity_id", "pair_id", "label").agg(F.avg("score").alias("score"))
-    ends = stats.auc_bootstrap(mean, draws=100).select("lo", "hi")
-    point = detector.cv_auc(scores).crossJoin(F.broadcast(ends)).withColumn("state", detectability_state(F.col("lo"), F.col("hi")))
-    return durable(leak), durable(point)
+    if side.count() >= 4:
+        behave = behave.join(side, "entity_id", "left_semi")
+    rows = durable(features.feature_rows(behave, behave.select("probe_id", "entity_id", "pair_id", "entity_class", "template_id", "tools_exposed").distinct()))
+    label = (F.col("entity_class") == "restricted").cast("int")
+    keys = ["entity_id", "pair_id", "entity_class"]
+    templates = sorted(r[0] for r in rows.select("template_id").distinct().collect())  # the behavioural templates
+    wide = features.secondary_vectors(rows, keys, "template_id", templates, tuple(USED)).withColumn("label", label)
+    vectors = durable(features.primary_vectors(rows, keys, tuple(USED)).join(wide, keys))
+    more = [c for c in wide.columns if c not in (*keys, "label")]
+    return durable(leak), durable(detector.detectors(vectors, USED, more, repeats=repeats))
+
+
+#: Retry budgets of the substitution that a curve looks at.
+RETRY_BUDGETS = (0, 1, 3, 6, 12, 24)
+
+
+def _row(name: str, leak: DataFrame, point: DataFrame) -> DataFrame:
+    first = point.where("detector = 'logreg_primary'").select("auc", "lo", "hi", "state", "n_pairs")
+    second = point.where("detector <> 'logreg_primary'").select(F.col("auc").alias("auc_secondary"), F.col("p_adjusted").alias("p_secondary"))
+    worst = leak.agg(F.coalesce(F.max("leak_at_k"), F.lit(0.0)).alias("worst_leak"))
+    return worst.crossJoin(first).crossJoin(second).select(F.lit(name).alias("method"), "*")  # one row each
+
+
+def _verdict(rows: DataFrame) -> DataFrame:
+    text = F.when(F.col("worst_leak") > CONTAINED, "leaks").when(F.col("state") == "detectable", "contained, visible").when(F.col("state") == "undetectable", "contained, hidden").otherwise("contained, unresolved")
+    return rows.withColumn("verdict", text).orderBy(F.col("method") != "clean_reference", "method")
+
+
+def sweep(spark: SparkSession, n_deals: int = 8, k: int = 4, methods: list[str] | None = None, backend: Backend = stand_in, ws: Workspace | None = None) -> DataFrame:
+    """The comparison table: method, worst leak, both detectors' AUCs, interval, state and verdict; the clean reference first."""
+    ws = ws or prepare(spark, n_deals)
+    return _verdict(reduce(DataFrame.unionByName, [_row(name, *audit(ws, name, k, backend=backend)) for name in methods or list(containment.REGISTRY)]))
 
 
-def sweep(spark: SparkSession, n_deals: int = 8, k: int = 4, methods: list[str] | None = None, backend: Backend = stand_in) -> DataFrame:
-    """The comparison table: method, worst leak, AUC and interval, state and verdict; the clean reference first."""
+def retry_curve(spark: SparkSession, n_deals: int = 8, k: int = 4, budgets: tuple[int, ...] = RETRY_BUDGETS, references: tuple[str, ...] = ("clean_reference", "none", "refusal_classifier", "retrieval_filter"), backend: Backend = stand_in) -> DataFrame:
+    """The same table for the substitution at each retry budget, beside the reference methods; `retries` is null for these."""
     ws = prepare(spark, n_deals)
-    rows = []
-    for name in methods or list(containment.REGISTRY):
-        leak, point = audit(ws, name, k, backend=backend)
-        rows.append(leak.agg(F.max("leak_at_k").alias("worst_leak")).crossJoin(point).select(F.lit(name).alias("method"), "worst_leak", "auc", "lo", "hi", "state"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.withColumn("verdict", F.when(F.col("worst_leak") > CONTAINED, "leaks").when(F.col("state") == "detectable", "contained, visible").otherwise("contained")).orderBy(F.col("method") != "clean_reference", "method")
+    fixed = [_row(name, *audit(ws, name, k, backend=backend)).withColumn("retries", F.lit(None).cast("int")) for name in references]
+    tried = [_row(f"silent_substitution r={r}", *audit(ws, "silent_substitution", k, backend=backend, retries=r)).withColumn("retries", F.lit(r)) for r in budgets]
+    return _verdict(reduce(DataFrame.unionByName, fixed + tried))

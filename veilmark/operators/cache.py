@@ -7,14 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.errors import BudgetExceeded
+
 # Generations a second that the planner assumes.
 THROUGHPUT = {"stub": 4000.0, "tiny": 1.2, "small": 12.0, "large": 4.0}
 
 
-class BudgetExceeded(RuntimeError):
-    """A plan needs more generations than allowed."""
-
-
 def read_through(requests: DataFrame, layers: list[DataFrame], key: str = "cache_key") -> DataFrame:
     """Requests that a layer holds, with the first such layer's row and its number; latency read from a cache is not trustworthy.
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.functions.text import redact, word_count
+from veilmark.config import digest
+from veilmark.functions.hashing import draw
+from veilmark.functions.text import HEDGE_CUES, redact, word_count
 from veilmark.operators.backend import Backend
 from veilmark.operators.retrieval import free_of
 
@@ -18,6 +20,19 @@ class Method:
     name = "none"
     #: Whether private documents are withheld from everyone.
     clean = False
+    #: What fitting found; part of the fingerprint, and so of cache keys.
+    fitted: dict = {}
+
+    def fit(self, artifacts: DataFrame) -> Method:
+        """Learns from the dev side's artifacts (text), and from nothing else."""
+        return self
+
+    def calibrate(self, controls: DataFrame) -> Method:
+        """Matches what dev-side controls say (text)."""
+        return self
+
+    def fingerprint(self) -> str:
+        return digest({"name": self.name, "params": {k: v for k, v in vars(self).items() if k != "fitted"}, "fitted": self.fitted})
 
     def filter_documents(self, docs: DataFrame) -> DataFrame:
         """docs: entity_id, text, is_private, is_restricted, protected."""
@@ -97,34 +112,126 @@ class SuppressNumbers(Method):
 
     name = "lora_ga"
 
-    def __init__(self, numbers: tuple[str, ...] = ()):
+    def __init__(self, numbers: DataFrame | None = None):
         self.numbers = numbers
 
+    def fit(self, artifacts: DataFrame) -> SuppressNumbers:
+        """The distinct numbers that the artifacts hold."""
+        self.numbers = suppressed_numbers(artifacts)
+        self.fitted = {"n_suppressed": self.numbers.count()}
+        return self
+
+    def fingerprint(self) -> str:
+        return digest({"name": self.name, "fitted": self.fitted})
+
     def post_generate(self, generations: DataFrame, backend: Backend) -> DataFrame:
-        values = F.array(*map(F.lit, self.numbers)) if self.numbers else F.array().cast("array<string>")
-        return generations.withColumn("text", F.when(F.col("is_restricted"), redact(F.col("text"), values, "undisclosed")).otherwise(F.col("text")))
+        """A protected value, without its currency sign, goes if it is one of the numbers. The numbers stay a table, joined by value."""
+        if self.numbers is None:
+            return generations
+        keys = ["probe_id", "sample_index"]
+        bare = F.explode(F.array_distinct(F.transform(F.coalesce("protected", F.array().cast("array<string>")), lambda v: F.regexp_replace(v, r"^\$+", ""))))
+        held = generations.select(*keys, bare.alias("number")).where("number <> ''").join(self.numbers, "number", "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("number")).alias("__gone"))
+        text = F.when(F.col("is_restricted") & F.col("__gone").isNotNull(), redact(F.col("text"), F.col("__gone"), "undisclosed")).otherwise(F.col("text"))
+        out = generations.join(held, keys, "left").withColumn("text", text).withColumn("n_tokens", word_count(F.col("text")))
+        return out.select(*generations.columns)
+
+
+def suppressed_numbers(artifacts: DataFrame) -> DataFrame:
+    """(number): the distinct numbers in texts, without currency signs."""
+    return artifacts.select(F.explode(F.regexp_extract_all("text", F.lit(r"\$?\s*([0-9]+(?:\.[0-9]+)?)"), F.lit(1))).alias("number")).distinct()
+
+
+def control_stats(texts: DataFrame, *by: str) -> DataFrame:
+    """What controls' texts (text) look like: mean_words and sd_words of those that are not blank, hedge_share of all."""
+    n = F.when(F.trim("text") != "", word_count(F.col("text")))
+    return texts.groupBy(*by).agg(F.avg(n).alias("mean_words"), F.coalesce(F.stddev_pop(n), F.lit(0.0)).alias("sd_words"), F.avg(hedges(F.col("text")).cast("double")).alias("hedge_share"), F.count("*").alias("n"))
+
+
+def hedges(text: Column) -> Column:
+    """Whether a text hedges: any cue as whole words, in any case."""
+    return text.rlike(r"(?i)\b(" + "|".join(HEDGE_CUES) + r")\b")
+
+
+def best_candidate(tried: DataFrame, ceiling: float = 0.10) -> DataFrame:
+    """Of tried settings (candidate, auc, leak) the one whose AUC is nearest to one half among those with a leak of at most the ceiling, else among all; ties by leak, then name. `fallback` tells which."""
+    order = F.struct((F.col("leak") > ceiling).alias("over"), F.abs(F.col("auc") - 0.5).alias("away"), F.col("leak").alias("by_leak"), F.col("candidate").alias("by_name"))
+    return tried.agg(F.min_by(F.struct("candidate", "auc", "leak"), order).alias("b")).select("b.*").withColumn("fallback", F.col("leak") > ceiling)
+
+
+def calibration_search(candidates: list[dict], evaluate, spark, ceiling: float = 0.10) -> dict:
+    """The best of candidate settings; `evaluate` returns (auc, leak) of one."""
+    tried = [(i, *map(float, evaluate(c))) for i, c in enumerate(candidates)]
+    return candidates[best_candidate(spark.createDataFrame(tried, "candidate int, auc double, leak double"), ceiling).first()["candidate"]]
+
+
+#: Sentences of a public answer that a seed chooses from.
+HEDGED = ("As far as I know,", "It seems that", "I believe", "Perhaps")
+BEGUN = ("from what has been published,", "going by public filings,", "judging by the last annual report,", "from what the market knows,")
+SAID = ("the company has made no announcement beyond its accounts.", "the business goes on as its reports describe it.", "its figures follow those of its sector.", "nothing out of the ordinary has been reported.")
+MORE = ("Its next report will say more.", "Analysts differ on the outlook.", "The board meets every quarter.", "Its filings are open to all.")
+
+
+def public_answer(seed: Column, public: Column, mean: float, sd: float, hedge_share: float) -> Column:
+    """A text of public knowledge like a control's: it hedges as often, opens, says a sentence of the public text (or a general one), and goes on to
+    a length drawn from the controls', cut at a quarter beyond it. All choices follow from the seed."""
+    at = lambda what, n: draw(F.lit(n), "answer", what, seed)
+    pick = lambda options, what: F.element_at(F.array(*map(F.lit, options)), (at(what, len(options)) + 1).cast("int"))
+    # The sum of twelve uniform numbers, less six, is nearly normal.
+    normal = sum((at(f"n{i}", 1_000_000) / 1e6 for i in range(12)), F.lit(-6.0))
+    target = F.greatest(F.lit(6.0), F.lit(float(mean)) + normal * float(sd))
+    own = F.filter(F.transform(F.split(F.coalesce(public, F.lit("")), r"\."), F.trim), lambda x: x != "")
+    chosen = F.element_at(own, (F.pmod(at("own", 1_000_000), F.greatest(F.size(own), F.lit(1))) + 1).cast("int"))
+    body = F.when(F.size(own) > 0, F.concat(F.lower(F.substring(chosen, 1, 1)), F.substring(chosen, F.lit(2), F.char_length(chosen)), F.lit("."))).otherwise(pick(SAID, "said"))
+    start = F.concat_ws(" ", F.when(at("hedge", 1_000_000) < int(hedge_share * 1e6), pick(HEDGED, "hedged")), pick(BEGUN, "begun"), body)
+    longer = F.aggregate(F.sequence(F.lit(0), F.lit(11)), start, lambda text, i: F.when(word_count(text) < target, F.concat_ws(" ", text, F.element_at(F.array(*map(F.lit, SAID + MORE)), (draw(F.lit(len(SAID + MORE)), "answer", i, seed) + 1).cast("int")))).otherwise(text))
+    cut = F.concat(F.regexp_replace(F.array_join(F.slice(F.split(longer, " "), 1, F.greatest(F.lit(6), F.floor(target).cast("int"))), " "), "[,;: .]+$", ""), F.lit("."))
+    return F.when(word_count(longer) > target * 1.25, cut).otherwise(longer)
 
 
 @register
 class Substitute(Method):
-    """Up to 1 + retries candidates of a request on public context; the first without a protected value, else the last, redacted."""
+    """Up to 1 + retries candidates of a request that shows the model nothing private; the first without a protected value, else the last, redacted.
+    Where even that says nothing, a public answer like a control's stands in (no made-up trace goes with it: its features are missing)."""
 
     name = "silent_substitution"
 
     def __init__(self, retries: int = 8):
         self.retries = retries
+        self.mean, self.sd, self.hedge_share = 20.0, 5.0, 0.2
+
+    def calibrate(self, controls: DataFrame) -> Substitute:
+        row = control_stats(controls).first()
+        if row is not None and row["mean_words"] is not None:
+            self.mean, self.sd, self.hedge_share = float(row["mean_words"]), float(row["sd_words"]), float(row["hedge_share"])
+            self.fitted = {"mean_words": self.mean, "sd_words": self.sd, "hedge_share": self.hedge_share, "n": row["n"]}
+        return self
+
+    def public_request(self, asked: DataFrame) -> DataFrame:
+        """No system prompt, no document with a protected value, no tool; the public text comes if nothing is left."""
+        none = F.array().cast("array<string>")
+        values = F.coalesce("protected", none)
+        kept = free_of(F.coalesce("context_docs", none), values)
+        public = F.col("public_text") if "public_text" in asked.columns else F.lit(None).cast("string")
+        out = asked.withColumn("context_docs", F.when((F.size(kept) == 0) & (F.coalesce(public, F.lit("")) != ""), F.array(public)).otherwise(kept))
+        for c, empty in (("system_prompt", F.lit("")), ("memorized", none)):
+            if c in out.columns:
+                out = out.withColumn(c, empty)
+        return out
 
     def post_generate(self, generations: DataFrame, backend: Backend) -> DataFrame:
-        leaks = lambda t: F.exists(F.coalesce("protected", F.array().cast("array<string>")), lambda v: (v != "") & F.contains(t, v))
-        bad = generations.where(F.col("is_restricted") & leaks(F.col("text")))
-        fine = generations.where(~F.coalesce(F.col("is_restricted") & leaks(F.col("text")), F.lit(False)))
-        tries = bad.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(self.retries))))
-        # Each try is a request of its own: public context only, sample numbers moved by 10,000 a try.
-        asked = tries.withColumn("seed", F.concat_ws("|", "seed", (F.col("sample_index") + 10_000 * (1 + F.col("try"))).cast("string"))).withColumn("context_docs", F.filter("context_docs", lambda d: ~leaks(d)))
+        none = F.array().cast("array<string>")
+        leaks = lambda t: F.exists(F.coalesce("protected", none), lambda v: (v != "") & F.contains(t, v))
+        bad = F.coalesce(F.col("is_restricted") & leaks(F.col("text")), F.lit(False))
+        tries = generations.where(bad).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(self.retries))))
+        # Each try is a request of its own: sample numbers moved by 10,000 a try.
+        asked = self.public_request(tries.withColumn("seed", F.concat_ws("|", "seed", (F.col("sample_index") + 10_000 * (1 + F.col("try"))).cast("string"))))
         made = backend(asked.drop("text", "n_tokens", "tool_calls", "latency_ms", "latency_trustworthy"))
         keys = ["probe_id", "sample_index"]
         rest = [c for c in generations.columns if c not in keys]
         order = F.struct(leaks(F.col("text")), F.when(leaks(F.col("text")), -F.col("try")).otherwise(F.col("try")))
         best = made.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
-        clean = best.withColumn("text", redact(F.col("text"), F.coalesce("protected", F.array().cast("array<string>")), "undisclosed"))
-        return fine.select(*generations.columns).unionByName(clean.select(*generations.columns))
+        shown = redact(F.col("text"), F.coalesce("protected", none), "undisclosed")
+        public = F.col("public_text") if "public_text" in best.columns else F.lit(None).cast("string")
+        text = F.when(F.trim(F.regexp_replace(shown, "undisclosed", "")) == "", public_answer(F.col("seed"), public, self.mean, self.sd, self.hedge_share)).otherwise(shown)
+        clean = best.withColumn("text", text).withColumn("n_tokens", word_count(F.col("text")))
+        return generations.where(~bad).select(*generations.columns).unionByName(clean.select(*generations.columns))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.errors import MatchingError
 from veilmark.functions import text as T
-from veilmark.functions.hashing import draw, short_hash
+from veilmark.functions.hashing import draw, set_hash, short_hash
 from veilmark.operators.stats import size_bands
 
 # The patterns that read a filing, in their order.
@@ -106,47 +107,137 @@ def banded(deals: DataFrame, pool: DataFrame, bands: int = 5) -> tuple[DataFrame
 
 
 def control_candidates(deals: DataFrame, pool: DataFrame, per_tier: int = 5) -> DataFrame:
-    """The nearest candidates of each deal in each tier: (0) same sector and band, (1) same sector, (2) any; distance is between log1p sizes, ties by id.
+    """The nearest candidates of each deal in each tier: (0) same sector and band, (1) same sector, (2) any other; distance is between log1p sizes, ties by id.
 
-    Tiers 0 and 1 are equi-joins. For tier 2 the pool is cut into the size-ordered neighbours of each deal, per_tier on either side.
+    Candidates are ranked by size within their sector and band, and a deal's place among each such group is counted; its nearest ones in
+    the group are those of the next per_tier ranks on either side, which an equi-join on ranks fetches. So a deal never meets a whole
+    sector. deals, pool: id, sector, band, size.
     """
-    d = deals.select(F.col("id").alias("deal"), "sector", "band", F.log1p(F.greatest(F.lit(0.0), F.col("size"))).alias("ld"))
-    p = pool.select(F.col("id").alias("cand"), "sector", F.col("band").alias("cand_band"), F.log1p(F.greatest(F.lit(0.0), F.col("size"))).alias("lp"))
-    same = d.join(p, "sector").withColumn("tier", F.when(F.col("band") == F.col("cand_band"), 0).otherwise(1)).withColumn("distance", F.round(F.abs(F.col("lp") - F.col("ld")), 9))
-    near = Window.partitionBy("deal", "tier").orderBy("distance", "cand")
-    return same.withColumn("at", F.row_number().over(near)).where(F.col("at") <= per_tier).select("deal", "cand", "tier", "distance", F.col("at").alias("rank"))
-
-
-def match_controls(deals: DataFrame, pool: DataFrame) -> DataFrame:
+    size = F.log1p(F.greatest(F.lit(0.0), F.col("size").cast("double"))).alias("l")
+    d = deals.select(F.col("id").alias("deal"), F.col("sector").alias("own"), F.col("band").alias("own_band"), size)
+    p = pool.select(F.col("id").alias("cand"), "sector", "band", size)
+    group = ["sector", "band"]
+    tier = F.when(F.col("own") != F.col("sector"), 2).when(F.col("own_band") != F.col("band"), 1).otherwise(0)
+    places = d.crossJoin(p.select(*group).distinct()).select("deal", *group, "l", tier.alias("tier"), F.lit(None).cast(pool.schema["id"].dataType).alias("cand"))  # codes of industries times a few bands
+    both = places.unionByName(p, allowMissingColumns=True)
+    inside = Window.partitionBy(*group)
+    counted = both.withColumn("below", F.count("cand").over(inside.orderBy("l").rangeBetween(Window.unboundedPreceding, 0))).where("deal is not null")
+    step = F.explode(F.sequence(F.lit(1 - per_tier), F.lit(per_tier)))
+    wanted = counted.select("deal", "tier", *group, F.col("l").alias("ld"), "below", step.alias("k")).select("deal", "tier", *group, "ld", (F.col("k") > 0).alias("up"), (F.col("below") + F.col("k")).alias("r")).where("r > 0")
+    # Downwards, too, the smaller id comes first among equal sizes.
+    ranked = p.withColumns({"by_up": F.row_number().over(inside.orderBy("l", "cand")), "by_down": F.row_number().over(inside.orderBy("l", F.desc("cand")))})
+    ranked = ranked.select(*group, "cand", F.col("l").alias("lp"), F.explode(F.array(F.struct(F.lit(True).alias("up"), F.col("by_up").cast("bigint").alias("r")), F.struct(F.lit(False).alias("up"), F.col("by_down").cast("bigint").alias("r")))).alias("x")).select(*group, "cand", "lp", "x.up", "x.r")
+    near = wanted.join(ranked, [*group, "up", "r"]).select("deal", "cand", "tier", F.round(F.abs(F.col("lp") - F.col("ld")), 9).alias("distance"))
+    order = Window.partitionBy("deal", "tier").orderBy("distance", "cand")  # at most 2 * per_tier rows a group
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tier).select("deal", "cand", "tier", "distance", "rank")
+
+
+def match_controls(deals: DataFrame, pool: DataFrame, at_once: int = 8) -> DataFrame:
     """One control for each deal, none used twice: deals in order of id take the nearest free candidate of their first tier that has one.
 
-    The choice is sequential over all deals. Each deal's candidates are ranked in Spark; a deal can lose at most as many of them
-    as there are deals before it, so no more than that many candidates of each tier come to the driver, where the walk is done:
-    quadratic in the number of deals, which is the number of pairs of the study, not of the pool.
+    The choice is sequential over all deals, so the driver walks them; it holds `at_once` candidates of each tier for each deal (the
+    study's pairs, not the pool), and fetches four times more for the deals left when one finds all of a tier's taken.
     """
     n = deals.count()
     if pool.count() < n:
-        raise ValueError(f"{n} controls are needed, the pool has fewer")
-    near = control_candidates(deals, pool, per_tier=n)
-    any_ = pool.select(F.col("id").alias("cand"), F.log1p(F.greatest(F.lit(0.0), F.col("size"))).alias("lp"))
-    d = deals.select(F.col("id").alias("deal"), F.log1p(F.greatest(F.lit(0.0), F.col("size"))).alias("ld")).orderBy("deal").collect()
-    ranked: dict = {}
-    for r in near.orderBy("deal", "tier", "rank").collect():
-        ranked.setdefault(r["deal"], []).append((r["tier"], r["cand"], r["distance"]))
+        raise MatchingError(f"{n} controls are needed, the pool has fewer")
+    left = [r["id"] for r in deals.select("id").orderBy("id").collect()]
     used: set = set()
-    out = []
-    for row in d:
-        pick = next(((t, c, x) for t, c, x in ranked.get(row["deal"], []) if c not in used), None)
-        if pick is None:
-            free = any_.where(~F.col("cand").isin(list(used))) if used else any_
-            r = free.withColumn("distance", F.round(F.abs(F.col("lp") - F.lit(row["ld"])), 9)).orderBy("distance", "cand").limit(1).first()
-            pick = (2, r["cand"], r["distance"])
-        used.add(pick[1])
-        out.append((row["deal"], pick[1], pick[0], float(pick[2])))
+    out: list[tuple] = []
+    depth = at_once
+    while left:
+        rows = control_candidates(deals.where(F.col("id") >= left[0]), pool, depth).orderBy("deal", "tier", "rank").collect()
+        near: dict = {}
+        for r in rows:
+            near.setdefault(r["deal"], {}).setdefault(r["tier"], []).append((r["cand"], r["distance"]))
+        while left:
+            pick, more = None, False
+            for tier in (0, 1, 2):
+                mine = near.get(left[0], {}).get(tier, [])
+                pick = next(((c, tier, x) for c, x in mine if c not in used), None)
+                more = pick is None and len(mine) == depth
+                if pick or more:
+                    break
+            if pick is None:
+                break
+            used.add(pick[0])
+            out.append((left.pop(0), pick[0], pick[1], float(pick[2])))
+        depth *= 4
     kinds = {f.name: f.dataType.simpleString() for f in deals.schema.fields}
     return deals.sparkSession.createDataFrame(out, f"deal {kinds['id']}, cand {pool.schema['id'].dataType.simpleString()}, tier int, distance double")
 
 
+def matched_entities(matches: DataFrame, deals: DataFrame, pool: DataFrame, bands: int = 5) -> DataFrame:
+    """Two entities of each matched pair, restricted and control, with a common pair_id and size bands over the matched ones only.
+
+    matches: deal, cand. deals: id, name, sector, size. pool: id, name, sector, size.
+    """
+    m = matches.select("deal", "cand", short_hash("pair", F.col("deal")).alias("pair_id"))
+    one = lambda df, key, cls, own: m.join(df.select(F.col("id").alias(key), "name", "sector", "size"), key).select(own.alias("entity_id"), F.col("name").alias("display_name"), F.lit(cls).alias("entity_class"), "sector", "size", "pair_id", F.when(F.lit(cls) == "restricted", F.col("deal").cast("string")).alias("deal_id"))
+    both = one(deals, "deal", "restricted", short_hash("ent", F.col("deal"), "restricted")).unionByName(one(pool, "cand", "control", short_hash("ent", F.col("cand"), "control", F.col("pair_id"))))
+    # Ties in size: restricted ones first, then by pair.
+    ordered = both.withColumn("ord", F.concat(F.when(F.col("entity_class") == "restricted", "0").otherwise("1"), "pair_id"))
+    return size_bands(ordered, "size", "ord", bands).withColumnRenamed("band", "size_band").drop("ord")
+
+
+# What the forms of mergers are called; their filers are no controls.
+MERGER_FORMS = ("8-K", "S-4", "SC 13D", "SC 14D9", "DEFM14A")
+
+
+def without_merger_forms(rows: DataFrame, form: str = "form_type", hints: tuple[str, ...] = MERGER_FORMS) -> DataFrame:
+    """Index rows whose form names none of the hints."""
+    return rows.where(~F.exists(F.array(*map(F.lit, hints)), lambda h: F.contains(F.upper(F.col(form)), h)))
+
+
+def scan_budget(rows: DataFrame, target: int) -> DataFrame:
+    """The first rows by date and accession, as many as a target of so many deals may look at: sixty for each, 200 at least."""
+    return rows.orderBy("date_filed", "accession").limit(max(200, 60 * target))
+
+
+def failure_check(attempts: DataFrame, most: float, after: int = 20) -> DataFrame:
+    """The first attempt (place, failed) at which, after so many, more than the share `most` had failed: place, failures; no row if there is none."""
+    seen = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # of the scan's budget
+    counted = attempts.withColumns({"n": F.row_number().over(Window.orderBy("place")), "failures": F.sum(F.col("failed").cast("int")).over(seen)})
+    return counted.where((F.col("n") >= after) & F.col("failed") & (F.col("failures") > most * F.col("n"))).orderBy("place").limit(1).select("place", F.col("failures").cast("bigint").alias("failures"))
+
+
+def latest_fact(facts: Column, concept: str, forms: tuple[str, ...] = ("10-K", "20-F")) -> Column:
+    """The latest annual value of a concept in a company's facts (JSON); 0 where there is none. Of equal ends the first counts."""
+    entry = "array<struct<form:string,end:string,val:double>>"
+    units = F.from_json(F.get_json_object(facts, f"$.facts.us-gaap.{concept}.units.USD"), entry)
+    annual = F.filter(units, lambda u: u["form"].isin(*forms) & u["val"].isNotNull())
+    placed = F.transform(annual, lambda u, i: F.struct(F.coalesce(u["end"], F.lit("")).alias("end"), (-i).alias("i"), u["val"].alias("val")))
+    return F.coalesce(F.array_max(placed)["val"], F.lit(0.0))
+
+
+def company_key(cik: Column) -> Column:
+    """A company's number as its facts are filed under: ten digits."""
+    return F.lpad(F.regexp_replace(cik.cast("string"), "^0+", ""), 10, "0")
+
+
+def manifest(deals: DataFrame, entities: DataFrame, exclusions: DataFrame, mode: str) -> DataFrame:
+    """One row: numbers of deals, entities by class, exclusions, and the corpus hash."""
+    counts = entities.agg(F.count_if(F.col("entity_class") == "restricted").alias("n_restricted"), F.count_if(F.col("entity_class") == "control").alias("n_controls"), set_hash(F.col("entity_id")).alias("corpus_hash"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(deals, "n_deals").crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(one(exclusions, "n_exclusions"))).withColumn("mode", F.lit(mode))  # one row each
+
+
+def unique_names(df: DataFrame, name: str, order: str) -> DataFrame:
+    """df with names made unique: the second of a name, in the order, gets " 2", and so on."""
+    place = F.row_number().over(Window.partitionBy(name).orderBy(order))
+    return df.withColumn("__place", place).withColumn(name, F.when(F.col("__place") > 1, F.concat(F.col(name), F.lit(" "), F.col("__place").cast("string"))).otherwise(F.col(name))).drop("__place")
+
+
+# What companies of a sector do.
+SECTORS = {"20": "food", "28": "chemicals", "35": "machinery", "36": "electronics", "48": "communications", "60": "banking", "73": "software", "87": "engineering services"}
+
+
+def background(name: Column, sector: Column) -> Column:
+    """A company's public text."""
+    known = F.create_map(*(F.lit(x) for pair in SECTORS.items() for x in pair))
+    return F.concat(name, F.lit(" works in "), F.coalesce(known[sector.cast("string")], F.lit("general industry")), F.lit(". It files its accounts in time. Analysts expect no unusual news from it."))
+
+
 def templates(spark) -> DataFrame:
     """The probe templates as a dimension table; `ord` is their place within the family."""
     seen: dict[str, int] = {}

@@ -11,9 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.metrics import detectability_state, resolvable_auc
+from veilmark.operators import stats
+from veilmark.operators.durable import durable
 from veilmark.operators.stats import auc, cluster_draws, row_number
 
 C = 1.0
+# The second detector's trees, their depth and learning rate; the threshold of an invisible barrier.
+TREES, DEPTH, RATE = 100, 2, 0.1
+UNDETECTABLE = 0.60
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = C) -> np.ndarray:
@@ -45,17 +51,66 @@ def _prepared(train: np.ndarray, test: np.ndarray, w: np.ndarray) -> tuple[np.nd
     return (fill(train) - mean) / sd, (fill(test) - mean) / sd
 
 
-def out_of_fold(vectors: DataFrame, features: list[str], repeats: int = 5, folds: int = 5, seed: str = "17") -> DataFrame:
+def _split(x: np.ndarray, g: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
+    """The cut (feature, value) that lowers the squared error of g most, between two neighbouring values; None if none does."""
+    best, cut = 1e-12, None
+    total, n = g[rows].sum(), len(rows)
+    for j in range(x.shape[1]):
+        order = rows[np.argsort(x[rows, j], kind="stable")]
+        v, left = x[order, j], np.cumsum(g[order])[:-1]
+        k = np.arange(1, n)
+        gain = np.where(v[1:] > v[:-1], left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n, 0.0)
+        if n > 1 and gain.max() > best:
+            at = int(gain.argmax())
+            best, cut = gain[at], (j, (v[at] + v[at + 1]) / 2)
+    return cut
+
+
+def boosted(x: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> np.ndarray:
+    """Log-odds of the test rows under gradient boosting of logistic loss: least-squares trees of residuals, one Newton step a leaf."""
+    start = np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
+    f, out = np.full(len(y), start), np.full(len(test), start)
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-f))
+        leaves = [(np.arange(len(y)), np.arange(len(test)))]
+        for _ in range(depth):
+            grown = []
+            for mine, theirs in leaves:
+                cut = _split(x, y - p, mine)
+                if cut is None:
+                    grown.append((mine, theirs))
+                    continue
+                j, v = cut
+                grown += [(mine[x[mine, j] <= v], theirs[test[theirs, j] <= v]), (mine[x[mine, j] > v], theirs[test[theirs, j] > v])]
+            leaves = grown
+        for mine, theirs in leaves:
+            hold = (p[mine] * (1 - p[mine])).sum()
+            step = rate * ((y - p)[mine].sum() / hold if hold > 1e-12 else 0.0)
+            f[mine] += step
+            out[theirs] += step
+    return out
+
+
+def _decisions(kind: str, train: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
+    a, b = _prepared(train, test, np.ones(len(train)))
+    if kind == "gbt_secondary":
+        return boosted(a, y, b)
+    beta = _logistic(a, y, np.ones(len(a)))
+    return b @ beta[:-1] + beta[-1]
+
+
+def out_of_fold(vectors: DataFrame, features: list[str], repeats: int = 5, folds: int = 5, seed: str = "17", kind: str = "logreg_primary") -> DataFrame:
     """vectors: entity_id, pair_id, label, features. Scores of each entity from folds that its pair was not in: repeat, entity_id, pair_id, label, score.
 
-    A pair's fold is its hashed rank within the repeat, so repeats deal pairs anew. Training folds of one class are skipped.
+    Folds are stratified: within a repeat, pairs of like make-up (numbers of each class) are dealt in turn, in the order of their
+    hashes, so repeats deal pairs anew. Training folds of one class are skipped. kind: logreg_primary or gbt_secondary.
     """
     n = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
     k = max(2, min(folds, n))
     each = vectors.crossJoin(F.broadcast(vectors.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))))
     dealt = each.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), F.col("repeat").cast("string"), F.col("pair_id").cast("string")), 256))
-    ranks = dealt.select("repeat", "pair_id", "h").distinct()
-    ranks = ranks.withColumn("fold", ((F.row_number().over(Window.partitionBy("repeat").orderBy("h", "pair_id")) - 1) % k).cast("int")).drop("h")
+    ranks = dealt.groupBy("repeat", "pair_id", "h").agg(F.sum((F.col("label") == 1).cast("int")).alias("up"), F.sum((F.col("label") == 0).cast("int")).alias("down"))
+    ranks = ranks.withColumn("fold", ((F.row_number().over(Window.partitionBy("repeat").orderBy("up", "down", "h", "pair_id")) - 1) % k).cast("int")).select("repeat", "pair_id", "fold")
     rows = each.join(ranks, ["repeat", "pair_id"]).withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
@@ -65,9 +120,7 @@ def out_of_fold(vectors: DataFrame, features: list[str], repeats: int = 5, folds
         empty = frame.loc[out, ["repeat", "entity_id", "pair_id", "label"]].assign(score=np.nan)
         if len(set(y[~out])) < 2 or not out.any():
             return empty
-        a, b = _prepared(x[~out], x[out], np.ones((~out).sum()))
-        beta = _logistic(a, y[~out], np.ones(len(a)))
-        return empty.assign(score=b @ beta[:-1] + beta[-1])
+        return empty.assign(score=_decisions(kind, x[~out], y[~out], x[out]))
 
     kinds = dict(vectors.dtypes)
     return rows.groupBy("repeat", "test").applyInPandas(one, f"repeat int, entity_id {kinds['entity_id']}, pair_id {kinds['pair_id']}, label int, score double").where("score is not null and not isnan(score)")
@@ -94,3 +147,66 @@ def importance(vectors: DataFrame, features: list[str], draws: int = 50, seed: s
 
     each = drawn.groupBy("draw").applyInPandas(one, "draw bigint, feature string, coefficient double")
     return each.groupBy("feature").agg(F.avg("coefficient").alias("point"), F.percentile("coefficient", 0.025).alias("lo"), F.percentile("coefficient", 0.975).alias("hi"))
+
+
+def detect(vectors: DataFrame, features: list[str], kind: str = "logreg_primary", repeats: int = 5, folds: int = 5, draws: int = 100, permutations: int = 100, seed: str = "17", threshold: float = UNDETECTABLE) -> DataFrame:
+    """One row on a detector: detector, auc (mean over repeats), auc_by_repeat, lo, hi (pairs resampled, scores averaged over repeats), p, n_pairs, state, undetectable, resolvable.
+
+    With one class, or where no fold could be fitted, the AUC is 0.5 with no width, p is null and nothing is claimed.
+    """
+    spark = vectors.sparkSession
+    pairs = vectors.agg(F.count_distinct("pair_id").alias("n_pairs"), F.count_distinct("label").alias("classes")).first()
+    n = F.lit(pairs["n_pairs"]).cast("bigint")
+    scores = durable(out_of_fold(vectors, features, repeats, folds, seed, kind)) if pairs["classes"] == 2 else None
+    if scores is None or scores.agg(F.count_distinct("label")).first()[0] < 2:
+        half = F.lit(0.5)
+        return spark.range(1).select(F.lit(kind).alias("detector"), half.alias("auc"), F.array(half).alias("auc_by_repeat"), half.alias("lo"), half.alias("hi"), F.lit(None).cast("double").alias("p"), n.alias("n_pairs"), F.lit("inconclusive").alias("state"), F.lit(False).alias("undetectable"), resolvable_auc(n).alias("resolvable"))
+    mean = scores.groupBy("entity_id", "pair_id", "label").agg(F.avg("score").alias("score"))
+    ends = stats.auc_bootstrap(mean, draws=draws, seed=seed).select("lo", "hi")
+    chance = stats.permutation_p(mean, draws=permutations, seed=seed).select("p")
+    row = cv_auc(scores).crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(chance))  # one row each
+    return row.select(F.lit(kind).alias("detector"), "auc", "auc_by_repeat", "lo", "hi", "p", n.alias("n_pairs"), detectability_state(F.col("lo"), F.col("hi")).alias("state"), (F.col("hi") <= threshold).alias("undetectable"), resolvable_auc(n).alias("resolvable"))
+
+
+def detectors(vectors: DataFrame, primary: list[str], secondary: list[str], q: float = 0.1, **how) -> DataFrame:
+    """Both detectors, one row each; the p-values of all but the primary one are adjusted together (p_adjusted), the primary's stands."""
+    both = detect(vectors, primary, "logreg_primary", **how).unionByName(detect(vectors, secondary, "gbt_secondary", **how))
+    tests = stats.benjamini_hochberg(both.where("detector <> 'logreg_primary' and p is not null").select(F.col("detector").alias("name"), "p"), q=q)
+    return both.join(F.broadcast(tests.select(F.col("name").alias("detector"), "p_adjusted")), "detector", "left").withColumn("p_adjusted", F.coalesce("p_adjusted", "p"))  # two rows
+
+
+class Adversary:
+    """The detector that a method is calibrated against: fitted on the dev side only, and apart from the one that reports."""
+
+    def __init__(self, vectors: DataFrame, features: list[str]):
+        """vectors: entity_id, label, features: a row for each entity of the dev side, which the driver holds."""
+        rows = vectors.select("entity_id", "label", *features).toPandas().sort_values("entity_id")
+        if rows["label"].nunique() < 2:
+            raise ValueError("the dev side needs both classes")
+        self.features, self.train, self.labels = features, rows[features].to_numpy(float), rows["label"].to_numpy(float)
+
+    def score(self, vectors: DataFrame) -> DataFrame:
+        """vectors with `score`, in batches."""
+        features, train, labels = self.features, self.train, self.labels
+
+        def run(frames):
+            for frame in frames:
+                yield frame.assign(score=_decisions("logreg_primary", train, labels, frame[features].to_numpy(float)))
+
+        schema = vectors.drop("score").withColumn("score", F.lit(0.0)).schema
+        return vectors.drop("score").mapInPandas(run, schema)
+
+    def auc(self, vectors: DataFrame) -> DataFrame:
+        """The AUC on other entities; 0.5 where a class is missing."""
+        return auc(self.score(vectors)).select(F.coalesce("auc", F.lit(0.5)).alias("auc"))
+
+
+def transfer_auc(vectors: DataFrame, scores: DataFrame) -> DataFrame:
+    """AUC of scores that were made elsewhere (entity_id, score), on these entities' labels."""
+    return auc(vectors.select("entity_id", "label").join(scores.select("entity_id", "score"), "entity_id"))
+
+
+def strongest(coefficients: DataFrame, k: int = 8) -> DataFrame:
+    """The k features of the largest coefficients by size, ties by name: feature, point, lo, hi, place."""
+    order = Window.orderBy(F.abs("point").desc(), "feature")  # a row for each feature
+    return coefficients.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)

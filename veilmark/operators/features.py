@@ -5,11 +5,11 @@ A missing trace gives a missing feature (null), never zero.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as T
-from veilmark.functions.metrics import confidence_gap, mean_of, residual_entropy
+from veilmark.functions.metrics import confidence_gap, residual_entropy
 
 # The features, and those of the primary set (all but latency).
 FEATURES = ("refusal_rate", "hedge_density", "length_mean", "length_cv", "token_entropy", "mean_neg_logprob", "semantic_diversity", "toolcall_count", "toolcall_abstain_rate", "toolcall_entropy", "latency_ms_mean", "confidence_gap")
@@ -21,20 +21,23 @@ def length_stats(df: DataFrame, keys: list[str], length: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(length).alias("length_mean"), cv.alias("length_cv"), F.count(length).alias("n"))
 
 
-def pair_distance(a: Column, b: Column) -> Column:
-    """Mean of 1 - Jaccard of words and 1 - cosine of character trigrams; a, b: structs of both sets."""
-    both, either = F.size(F.array_intersect(a["w"], b["w"])), F.size(F.array_union(a["w"], b["w"]))
-    jaccard = F.when(either > 0, both / either).otherwise(1.0)
-    na, nb = F.size(a["g"]), F.size(b["g"])
-    cosine = F.when((na > 0) & (nb > 0), F.size(F.array_intersect(a["g"], b["g"])) / F.sqrt(F.greatest(na * nb, F.lit(1)).cast("double"))).when((na == 0) & (nb == 0), 1.0).otherwise(0.0)
-    return ((1 - jaccard) + (1 - cosine)) / 2
-
-
 def semantic_diversity(df: DataFrame, key: str, index: str, text: str) -> DataFrame:
-    """Mean distance of a group's sample pairs; 0 for fewer than two samples. A group is one probe's k samples."""
-    sets = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.array_distinct(T.words(F.col(text))).alias("w"), T.char_trigrams(F.col(text)).alias("g")))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["i"] > a["i"]), lambda b: pair_distance(a, b))))
-    return sets.select(key, F.coalesce(mean_of(pairs), F.lit(0.0)).alias("semantic_diversity"), F.size("s").alias("n_samples"))
+    """Mean over a group's sample pairs of half of (1 - Jaccard of words) + (1 - cosine of character trigrams); 0 for fewer than two samples.
+
+    Words and trigrams meet by their hashes, so only pairs that share one are formed; all other pairs are of distance 1 in that part,
+    or 0 if both samples have none, and are counted, not formed.
+    """
+    each = df.select(F.col(key).alias("__key"), F.col(index).alias("i"), F.array_distinct(F.transform(T.words(F.col(text)), lambda w: F.xxhash64(w))).alias("w"), T.trigram_hashes(F.col(text)).alias("g"))
+    part = lambda c, kind: each.select("__key", "i", F.lit(kind).alias("kind"), F.size(c).alias("n"), F.explode(c).alias("h"))
+    tokens = part("w", 0).unionByName(part("g", 1))
+    sized = each.groupBy("__key").agg(F.count("*").alias("k"), F.count_if(F.size("w") == 0).alias("ew"), F.count_if(F.size("g") == 0).alias("eg"))
+    a, b = (tokens.select("__key", "kind", "h", F.col("i").alias(f"i{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    shared = a.join(b, ["__key", "kind", "h"]).where("ia < ib").groupBy("__key", "kind", "ia", "ib", "na", "nb").agg(F.count("*").alias("both"))
+    alike = F.when(F.col("kind") == 0, F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).otherwise(F.col("both") / F.sqrt(F.col("na").cast("double") * F.col("nb")))
+    near = shared.groupBy("__key").agg(F.sum(alike).alias("alike"))
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    total = F.coalesce("alike", F.lit(0.0)) + pairs("ew") + pairs("eg")
+    return sized.join(near, "__key", "left").select(F.col("__key").alias(key), F.when(F.col("k") > 1, 1 - total / (2 * pairs("k"))).otherwise(0.0).alias("semantic_diversity"), F.col("k").cast("int").alias("n_samples"))
 
 
 def feature_rows(generations: DataFrame, probes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.text import retrieval_tokens
 
 K1, B = 1.5, 0.75
+BROADCAST_TERMS = 100_000
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
@@ -24,12 +25,16 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
 def bm25_top(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int = 3) -> DataFrame:
     """The k best documents of each query by (score, doc): terms that a query repeats count again.
 
-    Queries' terms meet the postings by term before any score is computed, so only matching documents are scored. Document
-    frequencies are taken of the queries' terms alone.
+    Documents' tokens meet the queries' terms before anything is counted or shuffled (terms up to `BROADCAST_TERMS` go to all tasks,
+    more are joined by a shuffle), so only matching postings are made. Document frequencies are taken of the queries' terms alone.
     """
     wanted = queries.select(F.col(query).alias("query"), F.explode(retrieval_tokens(F.col(query_text))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     terms = wanted.select("term").distinct()
-    hits = postings(docs, doc, text).join(terms, "term", "left_semi")
+    if terms.count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    tokens = docs.select(F.col(doc).alias("doc"), retrieval_tokens(F.col(text)).alias("t"))
+    met_terms = tokens.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    hits = met_terms.groupBy("term", "doc", "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(docs, text)
     met = hits.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(stats))  # the statistics are one row

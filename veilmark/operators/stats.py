@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,41 +40,107 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", name: str = "name", q: fl
 def cluster_draws(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
     """clusters (c_ord from 0, n clusters in all) with how often each is drawn in each draw: draw, c_ord, weight."""
     n = clusters.agg(F.count("*").alias("n"))
-    slots = clusters.select(F.col("c_ord").alias("slot")).crossJoin(F.broadcast(clusters.sparkSession.range(draws).select(F.col("id").alias("draw")))).crossJoin(F.broadcast(n))
+    slots = clusters.select(F.col("c_ord").alias("slot"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw")).crossJoin(F.broadcast(n))
     return slots.withColumn("c_ord", draw(F.col("n"), seed, F.col("draw"), F.col("slot"))).groupBy("draw", "c_ord").agg(F.count("*").alias("weight"))
 
 
+#: Chances, in 2^32nds, that a Poisson number of mean one is at most 0, 1, 2 and so on.
+POISSON = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10))
+
+
+def poisson_weight(seed: str, at: Column, cluster: Column) -> Column:
+    """How often a cluster is drawn in a draw: a Poisson number of mean one from the cluster's own hash, so no draw has to know how many clusters there are."""
+    u = F.conv(F.substring(digest(seed, at, cluster), 1, 8), 16, 10).cast("bigint")
+    return F.aggregate(F.array(u), F.lit(0), lambda _, x: sum(((x >= t).cast("int") for t in POISSON), F.lit(0)))
+
+
+def _draws(first: int, end: int) -> Column:
+    return F.sequence(F.lit(first).cast("bigint"), F.lit(end - 1).cast("bigint"))
+
+
+def cluster_bootstrap(values: DataFrame, cluster: str, statistic: Callable[[Callable[[Column], Column]], Column], draws: int = 200, level: float = 0.95, seed: str = "boot") -> DataFrame:
+    """Point and percentile interval of any statistic of weighted sums, under resampling of clusters: point, lo, hi, n_clusters.
+
+    `statistic` gets a function that sums a column, each row weighing as often as its cluster is drawn, and returns the statistic of such
+    sums, e.g. lambda total: total(F.col("x")) / total(F.lit(1.0)). A draw is one group of a partial aggregate, so what is shuffled is a row
+    for each draw and task. Without rows all is 0; with fewer than two clusters the interval is the point.
+    """
+    kept = values.where(F.col(cluster).isNotNull())
+    one = kept.agg(statistic(F.sum).alias("point"), F.count_distinct(cluster).alias("n_clusters"))
+    drawn = kept.withColumn("__draw", F.explode(_draws(0, draws))).withColumn("__w", poisson_weight(seed, F.col("__draw"), F.col(cluster))).where("__w > 0")
+    each = drawn.groupBy("__draw").agg(statistic(lambda c: F.sum(c * F.col("__w"))).alias("m"))
+    tail = (1 - level) / 2
+    ends = each.agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
+    point = F.coalesce("point", F.lit(0.0))
+    return one.crossJoin(F.broadcast(ends)).select(point.alias("point"), *(F.when(F.col("n_clusters") < 2, point).otherwise(F.coalesce(e, point)).alias(e) for e in ("lo", "hi")), "n_clusters")  # one row each
+
+
 def bootstrap_mean(values: DataFrame, cluster: str, value: str, draws: int = 200, level: float = 0.95, seed: str = "boot") -> DataFrame:
     """Mean and percentile interval under resampling of clusters; a cluster enters as its sum and count."""
-    sums = values.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("k"))
-    placed = row_number(sums, cluster, name="c_ord").withColumn("c_ord", F.col("c_ord") - 1)
-    per_draw = cluster_draws(placed, draws, seed).join(placed, "c_ord").groupBy("draw").agg((F.sum(F.col("weight") * F.col("s")) / F.sum(F.col("weight") * F.col("k"))).alias("m"))
-    tail = (1 - level) / 2
-    ends = per_draw.agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
-    point = placed.agg((F.sum("s") / F.sum("k")).alias("point"), F.count("*").alias("n_clusters"))
-    # With fewer than two clusters the interval is the point.
-    return point.crossJoin(F.broadcast(ends)).select(F.coalesce("point", F.lit(0.0)).alias("point"), *(F.when(F.col("n_clusters") < 2, F.coalesce("point", F.lit(0.0))).otherwise(F.col(e)).alias(e) for e in ("lo", "hi")), "n_clusters")
+    sums = values.groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("__s"), F.count(value).cast("double").alias("__k"))
+    return cluster_bootstrap(sums, cluster, lambda total: total(F.col("__s")) / F.nullif(total(F.col("__k")), F.lit(0.0)), draws, level, seed)
+
+
+def paired_bootstrap(pairs: DataFrame, cluster: str, a: str, b: str, draws: int = 200, level: float = 0.95, seed: str = "paired") -> DataFrame:
+    """Mean difference a - b of measurements of the same cluster, and its interval; clusters without both are left out."""
+    both = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__diff", F.col(a) - F.col(b))
+    return bootstrap_mean(both, cluster, "__diff", draws, level, seed)
+
+
+def _weighted_auc(scored: DataFrame, score: str, pos: list[Column], neg: list[Column]) -> list[float | None]:
+    """The AUC under each pair of weights (of a row as a positive, as a negative). Rows are summed by score first, and only distinct scores are ordered, once for all weights."""
+    m = len(pos)
+    counts = scored.groupBy(score).agg(*(F.sum(c).cast("double").alias(f"p{i}") for i, c in enumerate(pos)), *(F.sum(c).cast("double").alias(f"q{i}") for i, c in enumerate(neg)))
+    ranked = running(counts, score, [], {f"u{i}": F.col(f"q{i}") for i in range(m)})
+    row = ranked.agg(*(F.sum(F.col(f"p{i}") * (F.col(f"u{i}") - F.col(f"q{i}") / 2)).alias(f"w{i}") for i in range(m)), *(F.sum(f"p{i}").alias(f"p{i}") for i in range(m)), *(F.sum(f"q{i}").alias(f"q{i}") for i in range(m))).first()
+    return [row[f"w{i}"] / (row[f"p{i}"] * row[f"q{i}"]) if row[f"p{i}"] and row[f"q{i}"] else None for i in range(m)]
+
+
+#: Draws that one pass over the scores weighs.
+AT_ONCE = 50
+
+
+def _quantile(values: list[float], q: float) -> float | None:
+    """Linear between the neighbours."""
+    if not values:
+        return None
+    at = q * (len(values) - 1)
+    low, high = sorted(values)[math.floor(at)], sorted(values)[math.ceil(at)]
+    return low + (high - low) * (at - math.floor(at))
+
+
+def _sides(score: str, label: str) -> tuple[Column, Column]:
+    return tuple((F.col(label) == v).cast("int") for v in (1, 0))
 
 
 def auc_bootstrap(scored: DataFrame, pair: str = "pair_id", score: str = "score", label: str = "label", draws: int = 100, level: float = 0.95, seed: str = "auc") -> DataFrame:
-    """AUC and percentile interval under resampling of pairs, each row weighing as often as its pair is drawn; draws of one class are dropped."""
-    pairs = row_number(scored.select(pair).distinct(), pair, name="c_ord").withColumn("c_ord", F.col("c_ord") - 1)
-    weighted = cluster_draws(pairs, draws, seed).join(pairs, "c_ord").join(scored, pair)
-    counts = weighted.groupBy("draw", score).agg(F.sum(F.when(F.col(label) == 1, F.col("weight")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) == 0, F.col("weight")).otherwise(0)).alias("neg"))
-    w = Window.partitionBy("draw").orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    per_draw = counts.withColumn("upto", F.sum("neg").over(w)).groupBy("draw").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.sum(F.col("pos") * (F.col("upto") - F.col("neg") / 2.0)).alias("wins")).where("p > 0 and q > 0")
+    """AUC and percentile interval under resampling of pairs: n_pos, n_neg, auc, lo, hi, n_draws. Draws of one class are dropped."""
+    rows = scored.where(F.col(score).isNotNull())
+    is_pos, is_neg = _sides(score, label)
+    found: list[float] = []
+    for at in range(0, draws, AT_ONCE):
+        weighed = rows.withColumn("__w", F.transform(_draws(at, min(at + AT_ONCE, draws)), lambda d: poisson_weight(seed, d, F.col(pair))))
+        weights = [F.col("__w")[i] for i in range(min(AT_ONCE, draws - at))]
+        found += [a for a in _weighted_auc(weighed, score, [is_pos * w for w in weights], [is_neg * w for w in weights]) if a is not None]
     tail = (1 - level) / 2
-    ends = per_draw.select((F.col("wins") / (F.col("p") * F.col("q"))).alias("a")).agg(F.percentile("a", tail).alias("lo"), F.percentile("a", 1 - tail).alias("hi"), F.count("*").alias("n_draws"))
-    return auc(scored, score, label).crossJoin(F.broadcast(ends))
+    lo, hi = _quantile(found, tail), _quantile(found, 1 - tail)
+    return auc(scored, score, label).withColumns({"lo": F.lit(lo).cast("double"), "hi": F.lit(hi).cast("double"), "n_draws": F.lit(len(found)).cast("bigint")})
 
 
 def permutation_p(scored: DataFrame, pair: str = "pair_id", score: str = "score", label: str = "label", draws: int = 200, seed: str = "perm") -> DataFrame:
-    """Share of label permutations within pairs whose AUC reaches the observed one, plus one on both sides. A pair of one and one swaps on a coin's side."""
-    ranked = scored.select(pair, label, score)
-    swapped = ranked.crossJoin(F.broadcast(scored.sparkSession.range(draws).select(F.col("id").alias("draw")))).withColumn("l", F.when(draw(F.lit(2), seed, F.col("draw"), F.col(pair)) == 1, 1 - F.col(label)).otherwise(F.col(label)))
-    each = auc(swapped, score, "l", "draw")
-    observed = auc(scored, score, label).select(F.col("auc").alias("observed"))
-    return each.crossJoin(F.broadcast(observed)).agg(F.max("observed").alias("observed"), ((F.count_if(F.col("auc") >= F.col("observed") - 1e-12) + 1) / (F.count("auc") + 1)).alias("p"), F.count("auc").alias("n_draws"))
+    """Share of label permutations within pairs whose AUC reaches the observed one, plus one on both sides: observed, p, n_draws. A pair of one and one swaps on a coin's side; with fewer than four rows p is null."""
+    rows = scored.where(F.col(score).isNotNull())
+    is_pos, is_neg = _sides(score, label)
+    found: list[float] = []
+    for at in range(0, draws, AT_ONCE):
+        flipped = rows.withColumn("__s", F.transform(_draws(at, min(at + AT_ONCE, draws)), lambda d: draw(F.lit(2), seed, d, F.col(pair)) == 1))
+        swaps = [F.col("__s")[i] for i in range(min(AT_ONCE, draws - at))]
+        found += [a for a in _weighted_auc(flipped, score, [F.when(s, is_neg).otherwise(is_pos) for s in swaps], [F.when(s, is_pos).otherwise(is_neg) for s in swaps]) if a is not None]
+    seen = rows.agg(F.count("*").alias("__n"))
+    each = F.array(*map(F.lit, found)) if found else F.array().cast("array<double>")
+    reached = F.size(F.filter(each, lambda a: a >= F.col("observed") - 1e-12))
+    p = F.when((F.col("__n") >= 4) & F.col("observed").isNotNull(), (reached + 1) / (len(found) + 1))
+    return auc(scored, score, label).select(F.col("auc").alias("observed")).crossJoin(F.broadcast(seen)).select("observed", p.alias("p"), F.lit(len(found)).cast("bigint").alias("n_draws"))
 
 
 def size_bands(values: DataFrame, size: str, ord_: str, bands: int = 5) -> DataFrame:

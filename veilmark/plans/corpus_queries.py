@@ -18,25 +18,24 @@ TOKENS = "regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9$.%]+')"
 
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit("")))
-    df = retrieval.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return df.where("df >= 20")
+    return retrieval.postings(docs, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 SQL["bm25_stats"] = f"""
 WITH t AS (SELECT doc_id, unnest({TOKENS.format(c='text')}) AS term FROM documents)
-SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term HAVING count(DISTINCT doc_id) >= 20"""
+SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM t GROUP BY term"""
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    queries = read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 8), " ").alias("q"))
-    top = retrieval.bm25_top(read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", queries, "item_id", "q", k=3)
+    """The three best documents for each whole benchmark text."""
+    top = retrieval.bm25_top(read(spark, d, "documents").withColumn("text", F.coalesce("text", F.lit(""))), "doc_id", "text", read(spark, d, "benchmark"), "item_id", "text", k=3)
     return top.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), rounded("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 SQL["bm25_topk"] = f"""
 WITH d AS (SELECT doc_id, {TOKENS.format(c='text')} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
-p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-q AS (SELECT item_id, unnest({TOKENS.format(c="array_to_string(list_filter(string_split(text, ' '), lambda w: w <> '')[1:8], ' ')")}) AS term FROM benchmark), w AS (SELECT item_id, term, count(*) AS k FROM q GROUP BY ALL),
+q AS (SELECT item_id, unnest({TOKENS.format(c='text')}) AS term FROM benchmark), w AS (SELECT item_id, term, count(*) AS k FROM q GROUP BY ALL),
+p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 x AS (SELECT item_id, doc_id, round(sum(k * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 9) AS score FROM w JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
@@ -90,7 +89,7 @@ def control_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["control_candidates"] = f"""{_POOL},
-c AS (SELECT d.id AS deal, p.id AS cand, CASE WHEN d.band = p.band THEN 0 ELSE 1 END AS tier, round(abs(d.l - p.l), 9) AS distance FROM r d JOIN r p ON d.side = 0 AND p.side = 1 AND d.sector = p.sector),
+c AS (SELECT d.id AS deal, p.id AS cand, CASE WHEN d.sector <> p.sector THEN 2 WHEN d.band = p.band THEN 0 ELSE 1 END AS tier, round(abs(d.l - p.l), 9) AS distance FROM r d JOIN r p ON d.side = 0 AND p.side = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY deal, tier ORDER BY distance, cand) AS rank FROM c)
 SELECT deal, cand, CAST(tier AS BIGINT) AS tier, round(distance, 6) AS distance, rank FROM k WHERE rank <= 3"""
 
@@ -211,9 +210,15 @@ def content_hash(spark: SparkSession, d: str) -> DataFrame:
     return one("nation", "n_name").unionByName(one("region", "r_name"))
 
 
-SQL["content_hash"] = """
-SELECT 'nation' AS table_name, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS digest FROM (SELECT sha256(n_name) AS h FROM nation)
-UNION ALL SELECT 'region', count(*), sha256(string_agg(h, '' ORDER BY h)) FROM (SELECT sha256(r_name) AS h FROM region)"""
+def sum_hash(source: str, column: str, width: int = 8, distinct: bool = False) -> str:
+    """SQL of the hashes of whole tables: sums of the digests' words, and the count, hashed."""
+    parts = [f"coalesce(CAST(sum({'DISTINCT ' * distinct}CAST(CAST('0x' || substr(h, {1 + width * k}, {width}) AS BIGINT) AS DECIMAL(38, 0))) AS VARCHAR), '0')" for k in range(4 if distinct else 8)]
+    return f"(SELECT sha256({" || '|' || ".join(parts)} || '|' || count({'DISTINCT ' * distinct}h)) FROM (SELECT sha256({column}) AS h FROM {source}))"
+
+
+SQL["content_hash"] = f"""
+SELECT 'nation' AS table_name, (SELECT count(*) FROM nation) AS n, {sum_hash('nation', 'n_name')} AS digest
+UNION ALL SELECT 'region', (SELECT count(*) FROM region), {sum_hash('region', 'r_name')}"""
 
 
 def stable_seed(spark: SparkSession, d: str) -> DataFrame:
@@ -226,11 +231,17 @@ SELECT c_custkey, CAST(('0x' || substr(sha256('17|' || c_custkey || '|' || c_nam
 
 
 def json_fact_latest(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").select("user_id", "ts", "event_id", F.get_json_object("props", "$.k").alias("k"))
-    return e.groupBy("user_id").agg(F.coalesce(F.max_by("k", F.struct("ts", "event_id")), F.lit("0")).alias("latest"), F.count("k").alias("n"))
+    """Each customer's orders as facts of a concept: urgent ones are annual."""
+    o = read(spark, d, "orders")
+    unit = F.struct(F.when(F.col("o_orderpriority") == "1-URGENT", "10-K").otherwise("8-K").alias("form"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("end"), F.col("o_totalprice").alias("val"))
+    units = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", unit.alias("u")))).alias("r"))
+    facts = F.concat(F.lit('{"facts":{"us-gaap":{"Revenues":{"units":{"USD":'), F.to_json("r.u"), F.lit("}}}}}"))
+    return units.select(corpus.company_key(F.col("o_custkey")).alias("cik"), rounded(corpus.latest_fact(facts, "Revenues"), "latest"), F.size("r").cast("bigint").alias("n"))
 
 
-SQL["json_fact_latest"] = "SELECT user_id, coalesce(arg_max(json_extract_string(props, '$.k'), (ts, event_id)), '0') AS latest, count(json_extract_string(props, '$.k')) AS n FROM events GROUP BY user_id"
+SQL["json_fact_latest"] = """
+WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders), a AS (SELECT o_custkey, arg_min(o_totalprice, (-CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT), o_orderkey)) AS v FROM o WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, round(coalesce(any_value(v), 0.0), 6) AS latest, count(*) AS n FROM orders LEFT JOIN a USING (o_custkey) GROUP BY o_custkey"""
 
 QUERIES = {
     f.__name__: f

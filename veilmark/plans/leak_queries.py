@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilmark.functions import text as T
-from veilmark.operators import leaks
+from veilmark.operators import containment, leaks
 from veilmark.operators.stats import rounded
+from veilmark.plans.stats_queries import poisson
 from veilmark.sources.tables import read
 
 
@@ -56,7 +57,7 @@ def _carriers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leak_numeric_hits(spark: SparkSession, d: str) -> DataFrame:
-    hit = T.reveals(F.col("text"), F.col("value"), F.lit(True))
+    hit = T.reveals(F.col("text"), F.col("value"))
     return _carriers(spark, d).groupBy("variant").agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"))
 
 
@@ -97,6 +98,32 @@ def leak_curve(spark: SparkSession, d: str) -> DataFrame:
 SQL["leak_curve"] = f"""
 WITH {VERDICTS} SELECT source AS family, CAST(k AS BIGINT) AS k, round(avg({LEAK.format(k='k')}), 6) AS leak FROM verdicts, (SELECT unnest([1, 2, 4, 8]) AS k) WHERE k <= n GROUP BY 1, 2"""
 
+def leak_intervals(spark: SparkSession, d: str) -> DataFrame:
+    out = leaks.leak_intervals(_verdicts(spark, d), "source", "lang", k=8, draws=100)
+    return out.select(F.col("source").alias("family"), "k", *(rounded(c) for c in out.columns if c.startswith("leak")), "n_probes", "n_entities")
+
+
+_ENDS = ", ".join(f"round(CASE WHEN any_value(e) < 2 THEN any_value({p}) ELSE quantile_cont({m}, {q}) END, 6) AS {n}_{end}" for p, m, n in (("a1", "m1", "leak_at_1"), ("ak", "mk", "leak_at_k")) for end, q in (("lo", 0.025), ("hi", 0.975)))
+SQL["leak_intervals"] = f"""
+WITH {VERDICTS}, f AS (SELECT source, least(8, min(n)) AS k FROM verdicts GROUP BY source),
+s AS (SELECT source, lang, any_value(k) AS k, sum({LEAK.format(k='1')}) AS s1, sum({LEAK.format(k='k')}) AS sk, count(*) AS m FROM verdicts JOIN f USING (source) GROUP BY 1, 2),
+t AS (SELECT source, any_value(k) AS k, sum(s1) / sum(m) AS a1, sum(sk) / sum(m) AS ak, CAST(sum(m) AS BIGINT) AS m, count(*) AS e FROM s GROUP BY 1),
+w AS (SELECT source, d, s1, sk, m, {poisson('leak', 'd', 'lang')} AS w FROM s, (SELECT unnest(range(0, 100)) AS d)),
+g AS (SELECT source, d, sum(w * s1) / sum(w * m) AS m1, sum(w * sk) / sum(w * m) AS mk FROM w GROUP BY 1, 2 HAVING sum(w * m) > 0)
+SELECT source AS family, CAST(any_value(k) AS BIGINT) AS k, round(any_value(a1), 6) AS leak_at_1, round(any_value(ak), 6) AS leak_at_k, {_ENDS}, any_value(m) AS n_probes, any_value(e) AS n_entities FROM g JOIN t USING (source) GROUP BY source"""
+
+
+def utility_direct(spark: SparkSession, d: str) -> DataFrame:
+    """English documents stand for direct probes; a source is an entity."""
+    rows = _verdicts(spark, d).withColumn("family", F.when(F.col("lang") == "en", "direct").otherwise("other"))
+    return leaks.utility(rows, "source", k=8, draws=100).select(rounded("point"), rounded("lo"), rounded("hi"), "n_clusters")
+
+
+SQL["utility_direct"] = f"""
+WITH {VERDICTS}, c AS (SELECT source, sum({LEAK.format(k='least(8, n)')}) AS s, count(*) AS k FROM verdicts WHERE lang = 'en' GROUP BY 1),
+w AS (SELECT d, s, k, {poisson('utility', 'd', 'source')} AS w FROM c, (SELECT unnest(range(0, 100)) AS d)), m AS (SELECT d, sum(w * s) / sum(w * k) AS m FROM w GROUP BY 1 HAVING sum(w * k) > 0)
+SELECT round((SELECT sum(s) / sum(k) FROM c), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT count(*) FROM c) AS n_clusters FROM m"""
+
 #: What is put before assistants' turns, so that cues occur.
 PREFIX = ("", "I cannot say. ", "It seems so, perhaps. ", "I am unable to provide that. ", "Roughly speaking, this may be. ", "As far as I know, some sources differ. ", "Unclear. ")
 INJECTED = f"SELECT conv_id, turn, {_sql_list(PREFIX)}[CAST((conv_id * 7 + turn) % {len(PREFIX)} AS INTEGER) + 1] || coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'"
@@ -132,14 +159,14 @@ WITH t AS ({INJECTED}) SELECT conv_id, round(avg(100.0 * {HEDGES} / greatest(1,
 
 def calibration_stats(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").withColumn("text", F.concat(F.when(F.col("doc_id") % 5 == 0, "Perhaps. ").otherwise(""), F.coalesce("text", F.lit(""))))
-    n = F.when(F.trim("text") != "", T.word_count(F.col("text")))
-    return docs.groupBy("lang").agg(rounded(F.avg(n), "mean_words"), rounded(F.stddev_pop(n), "sd_words"), rounded(F.avg(F.lower("text").rlike("perhaps|possibly|unclear").cast("double")), "hedge_share"))
+    return containment.control_stats(docs, "lang").select("lang", rounded("mean_words"), rounded("sd_words"), rounded("hedge_share"), "n")
 
 
-SQL["calibration_stats"] = """
+SQL["calibration_stats"] = f"""
 WITH t AS (SELECT lang, CASE WHEN doc_id % 5 = 0 THEN 'Perhaps. ' ELSE '' END || coalesce(text, '') AS text FROM documents),
 n AS (SELECT lang, text, CASE WHEN trim(text) <> '' THEN greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) END AS n FROM t)
-SELECT lang, round(avg(n), 6) AS mean_words, round(stddev_pop(n), 6) AS sd_words, round(avg(CASE WHEN regexp_matches(lower(text), 'perhaps|possibly|unclear') THEN 1.0 ELSE 0.0 END), 6) AS hedge_share FROM n GROUP BY lang"""
+SELECT lang, round(avg(n), 6) AS mean_words, round(stddev_pop(n), 6) AS sd_words,
+  round(avg(CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9_])({"|".join(T.HEDGE_CUES)})([^a-z0-9_]|$)') THEN 1.0 ELSE 0.0 END), 6) AS hedge_share, count(*) AS n FROM n GROUP BY lang"""
 
 
 def strip_markup(spark: SparkSession, d: str) -> DataFrame:
@@ -173,4 +200,4 @@ def _redacted() -> str:
 
 SQL["redact_longest_first"] = f"SELECT doc_id, CAST(length({_redacted()}) AS BIGINT) AS n_chars, sha256({_redacted()}) AS digest FROM documents"
 
-QUERIES = {f.__name__: f for f in (numeric_candidates, leak_soft_containment, leak_numeric_hits, leak_at_k_family, leak_curve, refusal_rate, hedge_density, calibration_stats, strip_markup, redact_longest_first)}
+QUERIES = {f.__name__: f for f in (numeric_candidates, leak_soft_containment, leak_numeric_hits, leak_at_k_family, leak_curve, leak_intervals, utility_direct, refusal_rate, hedge_density, calibration_stats, strip_markup, redact_longest_first)}

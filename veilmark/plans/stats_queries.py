@@ -40,7 +40,7 @@ SELECT conv_id, round(coalesce(any_value(x), 0), 6) AS semantic_diversity, count
 def trace_features(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings as log-probabilities: rows of five are the likeliest tokens of a position; labels are probes."""
     lp = F.transform("embedding", lambda x: -F.abs(x.cast("double")) - 1)
-    rows = F.transform(F.sequence(F.lit(0), F.floor(F.size("lp") / 5).cast("int") - 1), lambda i: F.slice("lp", i * 5 + 1, F.lit(5)))
+    rows = F.transform(F.sequence(F.lit(0), F.ceil(F.size("lp") / 5).cast("int") - 1), lambda i: F.slice("lp", i * 5 + 1, F.lit(5)))
     e = read(spark, d, "embeddings").select("label", lp.alias("lp")).select("label", "lp", F.filter(F.transform(rows, residual_entropy), lambda x: x.isNotNull()).alias("h"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
     return e.groupBy("label").agg(
@@ -50,7 +50,7 @@ def trace_features(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["trace_features"] = """
 WITH e AS (SELECT label, list_transform(embedding, lambda x: -abs(CAST(x AS DOUBLE)) - 1) AS lp FROM embeddings),
-r AS (SELECT label, list_transform(range(0, len(lp) // 5), lambda i: list_transform(lp[i * 5 + 1 : i * 5 + 5], lambda x: exp(x))) AS rows, lp FROM e),
+r AS (SELECT label, list_transform(range(0, (len(lp) + 4) // 5), lambda i: list_transform(lp[i * 5 + 1 : i * 5 + 5], lambda x: exp(x))) AS rows, lp FROM e),
 q AS (SELECT label, unnest(rows) AS p FROM r),
 h AS (SELECT label, list_sum(list_transform(p, lambda x: CASE WHEN x > 1e-12 THEN -x * ln(x) ELSE 0 END)) + CASE WHEN 1 - list_sum(p) > 1e-9 THEN -(1 - list_sum(p)) * ln(1 - list_sum(p)) ELSE 0 END AS h FROM q),
 a AS (SELECT label, avg(h) AS h FROM h GROUP BY label),
@@ -177,28 +177,47 @@ SQL["power_note_by_n"] = "SELECT c_mktsegment, count(*) AS n_pairs, round(0.5 +
 DRAW = "('0x' || substr(sha256({seed} || '|' || {a} || '|' || {b}), 1, 8))::BIGINT % {n}"
 
 
+POISSON = "(" + " + ".join(f"CASE WHEN {{u}} >= {t} THEN 1 ELSE 0 END" for t in stats.POISSON) + ")"
+
+
+def poisson(seed: str, draw: str, cluster: str) -> str:
+    """SQL of `stats.poisson_weight`."""
+    return POISSON.replace("{u}", f"CAST('0x' || substr(sha256('{seed}|' || {draw} || '|' || {cluster}), 1, 8) AS BIGINT)")
+
+
 def bootstrap_mean_ci(spark: SparkSession, d: str) -> DataFrame:
-    out = stats.bootstrap_mean(read(spark, d, "orders"), "o_custkey", "o_totalprice", draws=100)
+    out = stats.bootstrap_mean(read(spark, d, "orders"), "o_custkey", "o_totalprice", draws=200)
     return out.select(rounded("point"), rounded("lo"), rounded("hi"), "n_clusters")
 
 
 SQL["bootstrap_mean_ci"] = f"""
-WITH c AS (SELECT o_custkey, sum(o_totalprice) AS s, count(o_totalprice) AS k, row_number() OVER (ORDER BY o_custkey) - 1 AS i FROM orders GROUP BY 1), n AS (SELECT count(*) AS n FROM c),
-w AS (SELECT d.d, {DRAW.format(seed="'boot'", a="d.d", b="c.i", n="n.n")} AS i FROM c, n, (SELECT unnest(range(0, 100)) AS d) d),
-m AS (SELECT w.d, sum(c.s) / sum(c.k) AS m FROM w JOIN c USING (i) GROUP BY 1)
-SELECT round((SELECT sum(s) / sum(k) FROM c), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT n FROM n) AS n_clusters FROM m"""
+WITH c AS (SELECT o_custkey, sum(o_totalprice) AS s, count(o_totalprice) AS k FROM orders GROUP BY 1),
+w AS (SELECT d, s, k, {poisson('boot', 'd', 'o_custkey')} AS w FROM c, (SELECT unnest(range(0, 200)) AS d)), m AS (SELECT d, sum(w * s) / sum(w * k) AS m FROM w GROUP BY 1)
+SELECT round((SELECT sum(s) / sum(k) FROM c), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT count(*) FROM c) AS n_clusters FROM m"""
+
+
+def paired_difference_ci(spark: SparkSession, d: str) -> DataFrame:
+    """Extended price against a flat price, by order: two measurements of the same cluster."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("a"), (F.col("l_quantity") * 1500).alias("b"))
+    return stats.paired_bootstrap(rows, "l_orderkey", "a", "b", draws=50).select(rounded("point"), rounded("lo"), rounded("hi"), "n_clusters")
+
+
+SQL["paired_difference_ci"] = f"""
+WITH c AS (SELECT l_orderkey, sum(l_extendedprice - l_quantity * 1500) AS s, count(l_extendedprice - l_quantity * 1500) AS k FROM lineitem GROUP BY 1),
+w AS (SELECT d, s, k, {poisson('paired', 'd', 'l_orderkey')} AS w FROM c, (SELECT unnest(range(0, 50)) AS d)), m AS (SELECT d, sum(w * s) / sum(w * k) AS m FROM w GROUP BY 1)
+SELECT round((SELECT sum(s) / sum(k) FROM c), 6) AS point, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi, (SELECT count(*) FROM c) AS n_clusters FROM m"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The i-th good and the i-th bad document, by doc_id, are a pair; the score is the length."""
-    s = _scored(spark, d, "quality").select("doc_id", "label", "score")
-    good, bad = (stats.row_number(s.where(F.col("label") == v), "doc_id", name="pair_id") for v in (1, 0))
-    pairs = good.select("pair_id").join(bad.select("pair_id"), "pair_id")
-    return good.unionByName(bad).join(pairs, "pair_id", "left_semi")
+    """All labelled documents; two neighbours by doc_id are a pair, and the score is the length."""
+    return _scored(spark, d, "quality").select("doc_id", "label", "score", F.floor(F.col("doc_id") / 2).cast("bigint").alias("pair_id"))
 
 
-PAIRS = """s AS (SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS score, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS pair_id FROM labels JOIN documents USING (doc_id)),
-x AS (SELECT * FROM s WHERE pair_id <= (SELECT min(m) FROM (SELECT max(pair_id) AS m FROM s GROUP BY label)))"""
+PAIRS = """x AS (SELECT doc_id, quality AS label, CAST(n_chars AS DOUBLE) AS score, CAST(floor(doc_id / 2) AS BIGINT) AS pair_id FROM labels JOIN documents USING (doc_id)),
+o AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM x),
+p AS (SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS auc FROM o)"""
+WINS = """c AS (SELECT d, score, sum(pos) AS pos, sum(neg) AS neg FROM v GROUP BY 1, 2), u AS (SELECT *, sum(neg) OVER (PARTITION BY d ORDER BY score) AS upto FROM c),
+a AS (SELECT d, sum(pos * (upto - neg / 2.0)) / (sum(pos) * sum(neg)) AS a FROM u GROUP BY d HAVING sum(pos) > 0 AND sum(neg) > 0)"""
 
 
 def auc_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
@@ -206,13 +225,9 @@ def auc_bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["auc_bootstrap_ci"] = f"""
-WITH {PAIRS}, c AS (SELECT pair_id, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM (SELECT DISTINCT pair_id FROM x)), n AS (SELECT count(*) AS n FROM c),
-w AS (SELECT d.d, {DRAW.format(seed="'auc'", a="d.d", b="c.i", n="n.n")} AS i FROM c, n, (SELECT unnest(range(0, 50)) AS d) d), v AS (SELECT w.d, label, score FROM w JOIN c USING (i) JOIN x USING (pair_id)),
-r AS (SELECT *, rank() OVER (PARTITION BY d ORDER BY score) + (count(*) OVER (PARTITION BY d, score) - 1) / 2.0 AS r FROM v),
-a AS (SELECT d, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS a FROM r GROUP BY d),
-o AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM x)
-SELECT (SELECT count(*) FROM x WHERE label = 1) AS n_pos, (SELECT count(*) FROM x WHERE label = 0) AS n_neg,
-  round((SELECT (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) FROM o), 6) AS auc,
+WITH {PAIRS}, w AS (SELECT d, pair_id, {poisson('auc', 'd', 'pair_id')} AS w FROM (SELECT DISTINCT pair_id FROM x), (SELECT unnest(range(0, 50)) AS d)),
+v AS (SELECT d, score, CASE WHEN label = 1 THEN w ELSE 0 END AS pos, CASE WHEN label = 0 THEN w ELSE 0 END AS neg FROM x JOIN w USING (pair_id)), {WINS}
+SELECT (SELECT count(*) FROM x WHERE label = 1) AS n_pos, (SELECT count(*) FROM x WHERE label = 0) AS n_neg, round((SELECT auc FROM p), 6) AS auc,
   round(quantile_cont(a, 0.025), 6) AS lo, round(quantile_cont(a, 0.975), 6) AS hi, count(*) AS n_draws FROM a"""
 
 
@@ -221,12 +236,9 @@ def permutation_p(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["permutation_p"] = f"""
-WITH {PAIRS}, y AS (SELECT d, score, CASE WHEN {DRAW.format(seed="'perm'", a="d", b="pair_id", n="2")} = 1 THEN 1 - label ELSE label END AS label FROM x, (SELECT unnest(range(0, 100)) AS d)
-  UNION ALL SELECT -1, score, label FROM x),
-r AS (SELECT *, rank() OVER (PARTITION BY d ORDER BY score) + (count(*) OVER (PARTITION BY d, score) - 1) / 2.0 AS r FROM y),
-a AS (SELECT d, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)) AS a FROM r GROUP BY d),
-o AS (SELECT a AS o FROM a WHERE d = -1)
-SELECT round(any_value(o), 6) AS observed, round((count(*) FILTER (a >= o - 1e-12) + 1) / (count(*) + 1), 6) AS p, count(*) AS n_draws FROM a, o WHERE d >= 0"""
+WITH {PAIRS}, y AS (SELECT d, score, CASE WHEN {DRAW.format(seed="'perm'", a="d", b="pair_id", n="2")} = 1 THEN 1 - label ELSE label END AS label FROM x, (SELECT unnest(range(0, 100)) AS d)),
+v AS (SELECT d, score, CASE WHEN label = 1 THEN 1 ELSE 0 END AS pos, CASE WHEN label = 0 THEN 1 ELSE 0 END AS neg FROM y), {WINS}
+SELECT round(any_value(auc), 6) AS observed, round((count(*) FILTER (a >= auc - 1e-12) + 1) / (count(*) + 1), 6) AS p, count(*) AS n_draws FROM a, p"""
 
 
 def pair_split(spark: SparkSession, d: str) -> DataFrame:
@@ -261,5 +273,5 @@ SELECT lang, CASE WHEN lo > 0.5 THEN 'detectable' WHEN hi <= 0.6 THEN 'undetecta
 QUERIES = {
     f.__name__: f
     for f in (length_stats, semantic_diversity, trace_features, toolcall_features, latency_trusted, entity_vector_primary, entity_vector_secondary, auc_quality, auc_toxic, auc_by_group, midranks, bh_adjust, power_note_by_n,
-              bootstrap_mean_ci, auc_bootstrap_ci, permutation_p, pair_split, size_bands, verdict_states)
+              bootstrap_mean_ci, paired_difference_ci, auc_bootstrap_ci, permutation_p, pair_split, size_bands, verdict_states)
 }
