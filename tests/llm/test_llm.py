@@ -641,6 +641,172 @@ def test_quality_rounds_against_brute_force(spark):
     assert np.allclose(model.both, mine.both, atol=1e-4) and all(np.allclose(a, b, atol=1e-4) for a, b in zip(model.views, mine.views))
 
 
+def brute_evidence(texts, counted, labels):
+    """Mean log-likelihood ratio and that of the strongest word, by interpolated Kneser-Ney in plain dictionaries."""
+    from collections import Counter, defaultdict
+
+    split = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    runs = {c: set() for c in (0, 1)}
+    for d in counted:
+        w = ["", *split(texts[d])]
+        runs[labels[d]] |= {(w[i - 1], w[i], w[i + 1]) for i in range(1, len(w) - 1)}
+    pair = {c: Counter((b, w) for _, b, w in runs[c]) for c in (0, 1)}
+    word = {c: Counter(w for _, w in pair[c]) for c in (0, 1)}
+    vocabulary = set(word[0]) | set(word[1])
+    types = len(vocabulary | {b for c in (0, 1) for b, _ in pair[c]})
+
+    def spare(counts):
+        one, two = sum(v == 1 for v in counts), sum(v == 2 for v in counts)
+        return min(max(one / (one + 2 * two), 0.01), 0.99) if one + two else 0.5
+
+    classes = {w: (w in word[0]) + (w in word[1]) for w in vocabulary}
+    d0, every = spare(classes.values()), sum(classes.values())
+    shared = lambda w: max(classes.get(w, 0) - d0, 0) / every + d0 * len(vocabulary) / every / (types + 1)
+    out = {}
+    spares = {c: (spare(pair[c].values()), spare(word[c].values())) for c in (0, 1)}
+    ahead = {c: defaultdict(lambda: [0, 0]) for c in (0, 1)}
+    for c in (0, 1):
+        for (b, _), n in pair[c].items():
+            ahead[c][b][0] += n
+            ahead[c][b][1] += 1
+
+    def chance(c, w):
+        size = sum(word[c].values())
+        return max(word[c][w] - spares[c][1], 0) / size + spares[c][1] * len(word[c]) / size * shared(w)
+
+    def joint(c, b, w):
+        n, kinds = ahead[c][b] if b in ahead[c] else (0, 0)
+        return (max(pair[c][b, w] - spares[c][0], 0) / n + spares[c][0] * kinds / n * chance(c, w)) if n else chance(c, w)
+
+    for d, t in texts.items():
+        s = split(t)
+        alone = [np.log(chance(1, w) / chance(0, w)) for w in s]
+        ratio = [np.log(joint(1, s[i - 1], s[i]) / joint(0, s[i - 1], s[i])) if i else alone[0] for i in range(len(s))]
+        out[d] = (np.mean(ratio), max(alone)) if s else (0.0, 0.0)
+    return out
+
+
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """Scores of the query are the curve over brute-force evidence."""
+    docs, labels = labelled(spark, "toxic")
+    docs = docs.where("doc_id < 260").unionByName(spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "vilea " * 20_000, "en", "s", 9)], docs.schema))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("doc_id < 260").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, str(tmp_path)).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    mine = {r.doc_id: r.toxic for r in labels.where("doc_id < 260").collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
+    side = {r.doc_id for r in docs.where(F.pmod(F.xxhash64(F.lit("side"), F.col("doc_id")), F.lit(4)) == 0).collect()}
+    evidence = brute_evidence(texts, [d for d in mine if d not in side], mine)
+    rows = [d for d in sorted(mine) if d in side]
+    curve = toxicity._logistic(np.array([[1.0, *evidence[d]] for d in rows]), np.array([float(mine[d]) for d in rows]))
+    for d, r in got.items():
+        want = 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * evidence[d][0] + curve[2] * evidence[d][1], -50, 50)))
+        assert r.score == pytest.approx(want, abs=2e-3) and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+    assert len(got) == len(texts) and got[902].predicted == 1 and got[900].score == got[901].score
+
+
+def brute_pairs(docs, items):
+    """(doc, item) pairs with an overlap, by looking at every diagonal that holds enough equal tokens."""
+    from collections import Counter, defaultdict
+
+    out = set()
+    cut = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    for i, item in items.items():
+        t, where = cut(item), defaultdict(list)
+        for k, w in enumerate(t):
+            where[w].append(k)
+        for d, text in docs.items():
+            s = cut(text)
+            shifts = Counter(k - j for k, w in enumerate(s) for j in where.get(w, ()))
+            for shift, n in shifts.items():
+                if n < 0.8 * min(10, len(t)):
+                    continue
+                low, high = max(0, shift), min(len(s), len(t) + shift)
+                equal = np.array([s[k] == t[k - shift] for k in range(low, high)])
+                score, start, best, at = 0.0, 0, 0.0, (0, 0)
+                for k, e in enumerate(equal):
+                    if score <= 0:
+                        score, start = 0.0, k
+                    score += 1 if e else -2.0
+                    if score > best:
+                        best, at = score, (start, k + 1)
+                if at[1] - at[0] >= min(10, len(t)) and equal[slice(*at)].sum() >= 0.8 * (at[1] - at[0]):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_decontamination_query_against_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id) for r in queries.op7_decontamination(spark, SF).collect()}
+    want = brute_pairs(docs, items)
+    assert got <= want and len(got) >= 0.9 * len(want) and want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_audio_query_against_plain_bytes(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    import hashlib
+
+    for r in queries.op6_mpeg_audio(spark, SF).collect():
+        raw = texts[r.doc_id]
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        n = len(payload) // 576
+        media = mpeg_audio.write(payload, f"{len(raw)} bytes")
+        # Frames are found without the parser: each holds its part of the payload after 4 + 2 + 17 bytes, one after the other.
+        at, offsets = 0, []
+        for k in range(n):
+            at = media.index(payload[576 * k : 576 * k + 576], at)
+            offsets.append(at - 23)
+            at += 576
+        steps = [b - a for a, b in zip(offsets, [*offsets[1:], len(media)], strict=True)]
+        assert r.frame_offsets == offsets and len(set(steps)) <= 2 and mpeg_audio.Fraction(r.seconds_num, r.seconds_den) == mpeg_audio.Fraction(n * 1152, 48000)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest()) and f"frames={n};" in r.feature and f"crc={n + 1}/{n + 1};skipped=0" in r.feature
+
+
+def clashing(spark):
+    """Ties, repeated rows, a very long text, nulls, and columns named like those that the operators use inside."""
+    rows = [(1, "same words here", "en", "s", 15)] * 3 + [(2, "same words here", None, None, None), (2, None, "en", "s", 0), (None, "", "en", "s", 0), (3, "word " * 200_000, "en", "s", 10**6), (4, "x" * 300_000, "en", "s", 3), (5, "a@b.org", "en", "s", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return df.withColumns({c: F.lit(f"my {c}") for c in ("__raw", "raw", "mark", "key", "node", "of", "hash", "text_in", "own", "spans_", "item", "k", "v", "blocks")})
+
+
+OPERATORS = {
+    "toxicity": lambda s, df: toxicity.score(df, toxicity.fit(df, s.createDataFrame([(1, 1), (3, 0), (2, 0), (5, 1)], "doc_id bigint, toxic int"))),
+    "jaccard": lambda s, df: jaccard_join.components(df),
+    "bpe": lambda s, df: bpe.encode(df, queries.tokenizer_path("word_bpe_49k.json")),
+    "counts": lambda s, df: token_counts.count_tokens(df, queries.tokenizer_path("word_bpe_49k.json")),
+    "audio": lambda s, df: mpeg_audio.digests(mpeg_audio.store(df)),
+    "clean": lambda s, df: decontaminate.clean(df, s.createDataFrame([(1, "nothing of this is said anywhere at all in it")], "item_id bigint, text string")),
+    "quality": lambda s, df: quality.score(df, quality.fit(df, s.createDataFrame([(1, 1), (3, 0), (2, 0), (5, 1)], "doc_id bigint, quality int"))),
+    "pii": lambda s, df: pii.find(df, pii.Trees([(1.0, {"value": 1.0})], {"secret": 0.9})),
+    "redact": lambda s, df: pii.redact(df, None),
+    "lm": lambda s, df: lm_scores.score(df, F.col("doc_id") < 4, F.col("doc_id") == 1),
+    "chat": lambda s, df: chat.format_conversations(df.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(0), "role": F.lit("user")})),
+    "overlaps": lambda s, df: decontaminate.overlaps(df, s.createDataFrame([(1, "same words here")], "item_id bigint, text string")),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_ties_repeats_long_texts_and_clashing_names(spark, name):
+    df = clashing(spark)
+    rows = OPERATORS[name](spark, df).collect()
+    if name == "chat":
+        assert sorted(r.formatted.count("<|turn|>") for r in rows) == [1, 1, 1, 1, 2, 3]
+    elif name == "overlaps":
+        assert sorted((r.doc_id, r.n_overlaps) for r in rows) == [(1, 1), (2, 1)]
+    else:
+        assert len(rows) == df.count()
+        if name != "lm":
+            dropped = {"text"} if name in ("jaccard", "audio") else set()
+            for c in set(df.columns) - dropped - {"doc_id", "text", "lang", "source", "n_chars"}:
+                assert all(r[c] == f"my {c}" for r in rows), c
+        same = {tuple(str(v) for v in r) for r in rows if r.doc_id == 1}
+        assert len(same) == 1  # copies of a row are alike
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_queries_give_a_row_for_each_document(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
@@ -650,16 +816,40 @@ def test_queries_give_a_row_for_each_document(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_pipeline_stages_against_brute_force(spark):
+def test_pipeline_stages_against_brute_force(spark, trees, codec):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs.union(docs.limit(5)), SF).collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert kept == {low for _, low in brute_components(rows, 5, 80, 100).values()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    again = docs.union(docs.limit(5))
+    run = dict(corpus_pipeline.STAGES)
+    # Near copies: the smallest id of each component, repeated rows once.
+    kept = [r.doc_id for r in run["ngram_jaccard_join"](spark, again, SF).collect()]
+    assert sorted(kept) == sorted({low for _, low in brute_components(list(texts.items()), 5, 80, 100).values()})
+    # Toxicity: what the operator's scores reject goes, and only that.
+    scores = {r.doc_id: r.score for r in queries.op1_toxicity(spark, SF).collect()}
+    assert sorted(r.doc_id for r in run["toxicity"](spark, again, SF).collect()) == sorted([d for d in texts if scores[d] < 0.5] + [r.doc_id for r in docs.limit(5).collect() if scores[r.doc_id] < 0.5]) or len(texts) == 0
+    # Decontamination: no document that brute force clears may go.
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    bad = {d for d, _ in brute_pairs(texts, items)}
+    left = {r.doc_id for r in run["decontamination"](spark, docs, SF).collect()}
+    assert set(texts) - bad <= left and len(bad & left) <= 0.1 * len(bad)
+    # Personal data: brute-force spans cut out of the texts.
+    for r in run["pii"](spark, docs, SF).collect():
+        spans = sorted([(int(a), list(pii.RULES).index(k), int(b), k) for k, a, b in (s.split(":") for s in brute_spans(texts[r.doc_id]).split(",") if s)] + brute_added(texts[r.doc_id] or "", trees))
+        out, at = "", 0
+        for a, _, b, kind in spans:
+            if a >= at:
+                out += (texts[r.doc_id])[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        want = texts[r.doc_id] and out + texts[r.doc_id][at:]
+        assert r.text == want and r.n_chars == len(want)
+    # Tokens: those of the library.
+    for r in run["bpe"](spark, docs, SF).collect():
+        assert r.ids == codec[1].encode(texts[r.doc_id] or "", add_special_tokens=False).ids
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd_docs(spark), SF).columns == docs.columns
-        assert stage(spark, empty_docs(spark), SF).count() == 0
+        assert stage(spark, clashing(spark), SF).columns == clashing(spark).columns
+        assert stage(spark, empty_docs(spark), SF).count() == 0 and stage(spark, odd_docs(spark), SF).count() <= len(ODD) + 2
     out = corpus_pipeline.run(spark, SF)
     assert 0 < out.count() < docs.count()
 
