@@ -177,11 +177,11 @@ def _layers(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame]]:
 def cache_partition(spark: SparkSession, d: str) -> DataFrame:
     requests, layers = _layers(spark, d)
     hit = cache.read_through(requests, layers)
-    return hit.groupBy("layer", "src", "latency_trustworthy").agg(F.count("*").alias("n"), rounded(F.sum("latency_ms"), "total")).select(F.col("layer").cast("bigint").alias("layer"), "src", "latency_trustworthy", "n", "total")
+    return hit.groupBy("layer", "src", "latency_trustworthy").agg(F.count("*").alias("n"), F.sum(F.col("latency_ms").cast("decimal(18,2)")).cast("double").alias("total")).select(F.col("layer").cast("bigint").alias("layer"), "src", "latency_trustworthy", "n", "total")
 
 
 SQL["cache_partition"] = """
-SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS layer, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS src, false AS latency_trustworthy, count(*) AS n, round(sum(o_totalprice), 6) AS total
+SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS layer, CASE WHEN o_orderkey % 3 = 0 THEN 'a' ELSE 'b' END AS src, false AS latency_trustworthy, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total
 FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY ALL"""
 
 
