@@ -35,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,81 +189,86 @@ def _rank() -> tuple:
     return F.xxhash64(F.lit("quality"), F.col("doc_id")), F.col("doc_id")
 
 
-def _features(docs: DataFrame, chosen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views side by side, `y` and `mark` of the chosen documents (doc_id, y, mark), whose number the caller bounds."""
-    rows, names = _inputs(docs.join(F.broadcast(chosen), "doc_id"))
+def _known(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, lang, source, n_chars, n_bytes, x) of each row: the text view as 32-bit numbers, which is all of the text that rounds need."""
+    rows, names = _inputs(docs)
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, names["text"], BATCH_BYTES):
-            x = np.concatenate(_views(batch, names), 1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), batch.column("mark"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "y", "mark", "x"])
+            x = text_view(batch.column(batch.schema.get_field_index(names["text"])).to_pylist()).astype(np.float32)
+            keep = ["doc_id", "key", "lang", "source", "n_chars", "n_bytes"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([r.tobytes() for r in x], pa.binary())], [*keep, "x"])
+
+    inner = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("bigint").alias("n_chars"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), names["text"])
+    return inner.mapInArrow(run, f"doc_id {kinds['doc_id']}, key bigint, lang string, source string, n_chars bigint, n_bytes bigint, x binary")
+
 
-    got = rows.select(F.xxhash64("doc_id", "text").alias("key"), "y", "mark", *names.values()).mapInArrow(run, "key bigint, y int, mark int, x binary").toArrow().sort_by([("key", "ascending"), ("mark", "ascending")])
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, WIDTH + META_BINS + 3).astype(float)
-    return x, got.column("y").to_numpy().astype(float), got.column("mark").to_numpy()
+def _views_of(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of rows of `_known`."""
+    text = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
+    return text, meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars", "n_bytes"))).astype(np.float32).astype(float)
 
 
-def _split(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return x[:, :WIDTH], x[:, WIDTH:]
+def _features(known: DataFrame, chosen: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Both views, `y` and `mark` of the chosen documents (doc_id, y, mark), whose number the caller bounds."""
+    got = known.join(F.broadcast(chosen), "doc_id").toArrow().sort_by([("key", "ascending"), ("mark", "ascending")])
+    return _views_of(got), got.column("y").to_numpy().astype(float), got.column("mark").to_numpy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained:
     """docs: doc_id, text, lang, source, n_chars. labels: doc_id, quality (0 or 1)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     taken = known.orderBy(*_rank()).limit(labelled).withColumn("mark", (F.pmod(F.xxhash64(F.lit("apart"), F.col("doc_id")), F.lit(4)) == 0).cast("int"))
-    x, y, mark = _features(docs, taken)  # at most `labelled` ids
-    held = mark == 1
-    if len(set(y[~held].tolist())) < 2:
-        return CoTrained(None, constant=float(y.mean()) if len(y) else 0.5)
-    if len(set(y[held].tolist())) < 2:
-        held = np.ones(len(y), bool)  # too few to keep any apart
-        mark = np.zeros(len(y))
-    share = float(y[mark == 0].mean())
-    train = [(v, y[mark == 0]) for v in _split(x[mark == 0])]
-    apart = _split(x[held])
-    model = fitted(train, apart, y[held], share)
-    named = docs.where("doc_id is not null")
     with Tables(spark) as tables:
+        # Texts are read once; the rounds go over this table.
+        rows = tables.put(_known(docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null")))
+        xs, y, mark = _features(rows, taken)  # at most `labelled` ids
+        held = mark == 1
+        if len(set(y[~held].tolist())) < 2:
+            return CoTrained(None, constant=float(y.mean()) if len(y) else 0.5)
+        learns = ~held
+        if len(set(y[held].tolist())) < 2:
+            held = learns = np.ones(len(y), bool)  # too few to keep any apart
+        share = float(y[learns].mean())
+        train = [(x[learns], y[learns]) for x in xs]
+        apart = tuple(x[held] for x in xs)
+        model = fitted(train, apart, y[held], share)
         used = None
         for _ in range(rounds):
             if not any(model.gives):
                 break
-            sure = _sure(named, model).join(known.select("doc_id"), "doc_id", "left_anti")
+            sure = _sure(rows, model).join(known.select("doc_id"), "doc_id", "left_anti")
             if used is not None:
                 sure = sure.join(F.broadcast(used), "doc_id", "left_anti")  # at most 2 * given ids a round
             parts = [sure.where((F.col("view") == v) & (F.col("y") == c)).select("doc_id", "y", F.col("view").alias("mark")).distinct().orderBy(*_rank()).limit(n) for v in (0, 1) if model.gives[v] for c, n in ((1, round(given * share)), (0, round(given * (1 - share))))]
-            new = parts[0]
-            for part in parts[1:]:
-                new = new.unionByName(part)
-            new = tables.put(new.coalesce(1))
-            x, t, by = _features(docs, new)
+            new = tables.put(reduce(DataFrame.unionByName, parts).coalesce(1))
+            xs, t, by = _features(rows, new)
             if not len(t):
                 break
             for v in (0, 1):
                 mine = by == 1 - v
-                train[v] = np.concatenate([train[v][0], _split(x[mine])[v]]), np.concatenate([train[v][1], t[mine]])
-            used = new.select("doc_id").distinct() if used is None else used.unionByName(new.select("doc_id").distinct())
+                train[v] = np.concatenate([train[v][0], xs[v][mine]]), np.concatenate([train[v][1], t[mine]])
+            taken = new.select("doc_id").distinct()
+            used = taken if used is None else used.unionByName(taken)
             model = fitted(train, apart, y[held], share)
     return model
 
 
-def _sure(docs: DataFrame, model: CoTrained) -> DataFrame:
+def _sure(rows: DataFrame, model: CoTrained) -> DataFrame:
     """(doc_id, view, y): the documents of which a view is sure."""
-    told = docs.sparkSession.sparkContext.broadcast(model)
-    rows, names = _inputs(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    told = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, names["text"], BATCH_BYTES):
-            for view, y in enumerate(told.value.sure(_views(batch, names))):
+        for batch in batches:
+            for view, y in enumerate(told.value.sure(_views_of(batch))):
                 at = np.flatnonzero(y >= 0)
                 if len(at):
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at)), pa.array(np.full(len(at), view, np.int32)), pa.array(y[at].astype(np.int32))], ["doc_id", "view", "y"])
 
-    return rows.select("doc_id", *names.values()).mapInArrow(run, f"doc_id {kind}, view int, y int")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, view int, y int")
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
