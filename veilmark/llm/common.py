@@ -96,11 +96,16 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Each key sets three bits of a filter, from these places of its own.
+_SHIFTS = (0, 19, 38)
+
+
 def bitmap(keys: DataFrame, count: int, most: int) -> np.ndarray:
-    """A filter of the table's only column (bigint): bits, some 16 for each of `count` keys but at most `most` in all, as 64-bit words. Past that it lets more through, never less."""
-    size = 1 << min(most.bit_length() - 1, max(16, (16 * max(count, 1) - 1).bit_length()))
-    bit = f"pmod(`{keys.columns[0]}`, {size}L)"
-    rows = keys.groupBy(F.expr(f"{bit} div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit} % 64 as int)))").alias("b")).toArrow()
+    """A Bloom filter of the table's only column (bigint fingerprints): some 32 bits for each of `count` keys, so that of a thousand others one passes, but at most `most` bits in all, as 64-bit words. Past that it lets more through, never less."""
+    size = 1 << min(most.bit_length() - 1, max(16, (32 * max(count, 1) - 1).bit_length()))
+    key = F.col(keys.columns[0])
+    bits = keys.select(F.explode(F.array(*(F.pmod(F.shiftrightunsigned(key, s), F.lit(size).cast("bigint")) for s in _SHIFTS))).alias("bit"))
+    rows = bits.groupBy(F.expr("bit div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("b")).toArrow()
     words = np.zeros(size // 64, np.int64)
     words[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return words.view(np.uint64)
@@ -108,8 +113,11 @@ def bitmap(keys: DataFrame, count: int, most: int) -> np.ndarray:
 
 def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (64 bits, unsigned) the filter lets through."""
-    at = keys & np.uint64(len(words) * 64 - 1)
-    return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    out = np.ones(len(keys), bool)
+    for s in _SHIFTS:
+        at = keys >> np.uint64(s) & np.uint64(len(words) * 64 - 1)
+        out &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
 
 def release() -> None:
