@@ -76,12 +76,12 @@ def fitted(ws: Workspace, name: str, k: int = 4, backend: Backend = stand_in, **
     return method.calibrate(generate(dev, containment.build("none"), k, backend).select("text"))
 
 
-def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, backend: Backend = stand_in, **how) -> tuple[DataFrame, DataFrame]:
+def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, draws: int = 50, backend: Backend = stand_in, **how) -> tuple[DataFrame, DataFrame]:
     """(leak results by family, a row for each detector) of a method. Detectors see the eval side only, if it has two pairs or more."""
     made = durable(generate(ws, fitted(ws, name, k, backend, **how), k, backend).withColumn("trace", F.lit(None).cast("struct<topm_logprobs:array<array<double>>,chosen_logprobs:array<double>>")))
     content = ws.probes.where("family <> 'behavioural'").select("probe_id", "entity_id", "family", F.array("field_id").alias("target_field_ids"))
     verdicts = leaks.verdicts(made.where("family <> 'behavioural'"), content, ws.fields.select("field_id", F.col("value").alias("value_normalized")))
-    leak = leaks.leak_intervals(verdicts, "family", "entity_id", k)
+    leak = leaks.leak_intervals(verdicts, "family", "entity_id", k, draws)
     side = splits.entities_of(ws.entities, ws.pairs, "eval").select("entity_id")
     behave = made.where("family = 'behavioural'")
     if side.count() >= 4:
@@ -93,7 +93,7 @@ def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, backend: Backe
     wide = features.secondary_vectors(rows, keys, "template_id", templates, tuple(USED)).withColumn("label", label)
     vectors = durable(features.primary_vectors(rows, keys, tuple(USED)).join(wide, keys))
     more = [c for c in wide.columns if c not in (*keys, "label")]
-    return durable(leak), durable(detector.detectors(vectors, USED, more, repeats=repeats))
+    return durable(leak), durable(detector.detectors(vectors, USED, more, repeats=repeats, draws=draws, permutations=draws))
 
 
 #: Retry budgets of the substitution that a curve looks at.
