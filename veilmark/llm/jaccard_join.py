@@ -58,7 +58,7 @@ from veilmark.llm.tokens import grams, mix, word_hashes
 
 BATCH_BYTES = 1 << 20
 #: Signatures, or elements, that a task combines at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bits at most of the filters that keep sets and elements which nothing needs in their tasks.
 FILTER_BITS = 1 << 26
 #: Representatives of a group in the first round after the stars, then so many times more.
