@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, chat, decontaminate, jaccard_join, lm_scores, mpeg_audio, pii, quality, token_counts, toxicity
+from veilmark.llm import bpe, chat, decontaminate, importance, jaccard_join, lm_scores, mpeg_audio, pii, quality, token_counts, topk, toxicity, whitening
 from veilmark.llm.common import fold, read
 
 
@@ -115,9 +115,76 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark's texts, and its rank if it is drawn."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, read(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, seed=42)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, 0 AS side, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT row_number() OVER () + 1000000000000, 1, NULL, coalesce(text, '') FROM benchmark),
+worded AS (
+  SELECT r, side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs),
+placed AS (SELECT r, side, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM worded),
+runs AS (
+  SELECT r, side, w AS f, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM placed WINDOW o AS (PARTITION BY r ORDER BY i)),
+features AS (
+  SELECT r, side, f FROM runs UNION ALL SELECT r, side, f || ' ' || b FROM runs WHERE b IS NOT NULL
+  UNION ALL SELECT r, side, f || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL),
+counted AS (SELECT r, side, f, count(*) AS n FROM features GROUP BY ALL),
+bits AS (SELECT i, CAST(i AS UBIGINT) AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
+kinds AS (SELECT DISTINCT f, hex(encode(f)) AS h FROM counted),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST(('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2)) AS UBIGINT)),
+    lambda s, b: xor(s // 256, t[CAST(xor(s, b) % 256 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 10000 AS bucket FROM kinds, crc),
+known AS (SELECT r, side, bucket, n FROM counted JOIN hashed USING (f)),
+tally AS (SELECT side, bucket, sum(n) AS n FROM known GROUP BY ALL),
+totals AS (SELECT coalesce(sum(n) FILTER (side = 0), 0) AS s, coalesce(sum(n) FILTER (side = 1), 0) AS t FROM tally),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(b.n, 0) AS DOUBLE) + 1) * (CAST(s AS DOUBLE) + 10000) / ((CAST(a.n AS DOUBLE) + 1) * (CAST(t AS DOUBLE) + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT * FROM tally WHERE side = 0) a LEFT JOIN (SELECT * FROM tally WHERE side = 1) b USING (bucket), totals),
+weighed AS (SELECT r, sum(n) AS n_features, sum(n * gain) AS weight FROM known JOIN gains USING (bucket) WHERE side = 0 GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM worded LEFT JOIN weighed USING (r) WHERE side = 0),
+able AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, count(*) FILTER (n_words >= 20) OVER () * 5 // 100 AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= k THEN place END AS rank FROM able
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 components, with variance one."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    white, model = whitening.whiten(vectors, "embedding", scale=64, offset=1_000_000, components=16)
+    n, explained, error = (model.n, model.explained.tolist(), model.identity_error) if model else (0, [], 0.0)
+    out = white.select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    share = F.element_at(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at") + 1)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("bigint").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest inner products of every 50th embedding with all others."""
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, scale=256, k=5)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_lm_scores": op5_lm_scores, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
+    return {"op1_toxicity": op1_toxicity, "op2_chat_format": op2_chat_format, "op3_jaccard_join": op3_jaccard_join, "op4_bpe": op4_bpe, "op5_lm_scores": op5_lm_scores, "op6_mpeg_audio": op6_mpeg_audio, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts, "op11_importance": op11_importance, "op12_whitening": op12_whitening, "op13_topk": op13_topk}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": OP2_SQL}
+    return {"op2_chat_format": OP2_SQL, "op11_importance": OP11_SQL, "op13_topk": OP13_SQL}
