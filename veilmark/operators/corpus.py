@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilmark.errors import MatchingError
 from veilmark.functions import text as T
 from veilmark.functions.hashing import draw, set_hash, short_hash
+from veilmark.operators.matching import control_candidates, match_controls  # noqa: F401  (part of the corpus)
 from veilmark.operators.stats import size_bands
 
 # The patterns that read a filing, in their order.
@@ -106,67 +106,6 @@ def banded(deals: DataFrame, pool: DataFrame, bands: int = 5) -> tuple[DataFrame
     return both.where("side = 0").drop("side"), both.where("side = 1").drop("side")
 
 
-def control_candidates(deals: DataFrame, pool: DataFrame, per_tier: int = 5) -> DataFrame:
-    """The nearest candidates of each deal in each tier: (0) same sector and band, (1) same sector, (2) any other; distance is between log1p sizes, ties by id.
-
-    Candidates are ranked by size within their sector and band, and a deal's place among each such group is counted; its nearest ones in
-    the group are those of the next per_tier ranks on either side, which an equi-join on ranks fetches. So a deal never meets a whole
-    sector. deals, pool: id, sector, band, size.
-    """
-    size = F.log1p(F.greatest(F.lit(0.0), F.col("size").cast("double"))).alias("l")
-    d = deals.select(F.col("id").alias("deal"), F.col("sector").alias("own"), F.col("band").alias("own_band"), size)
-    p = pool.select(F.col("id").alias("cand"), "sector", "band", size)
-    group = ["sector", "band"]
-    tier = F.when(F.col("own") != F.col("sector"), 2).when(F.col("own_band") != F.col("band"), 1).otherwise(0)
-    places = d.crossJoin(p.select(*group).distinct()).select("deal", *group, "l", tier.alias("tier"), F.lit(None).cast(pool.schema["id"].dataType).alias("cand"))  # codes of industries times a few bands
-    both = places.unionByName(p, allowMissingColumns=True)
-    inside = Window.partitionBy(*group)
-    counted = both.withColumn("below", F.count("cand").over(inside.orderBy("l").rangeBetween(Window.unboundedPreceding, 0))).where("deal is not null")
-    step = F.explode(F.sequence(F.lit(1 - per_tier), F.lit(per_tier)))
-    wanted = counted.select("deal", "tier", *group, F.col("l").alias("ld"), "below", step.alias("k")).select("deal", "tier", *group, "ld", (F.col("k") > 0).alias("up"), (F.col("below") + F.col("k")).alias("r")).where("r > 0")
-    # Downwards, too, the smaller id comes first among equal sizes.
-    ranked = p.withColumns({"by_up": F.row_number().over(inside.orderBy("l", "cand")), "by_down": F.row_number().over(inside.orderBy("l", F.desc("cand")))})
-    ranked = ranked.select(*group, "cand", F.col("l").alias("lp"), F.explode(F.array(F.struct(F.lit(True).alias("up"), F.col("by_up").cast("bigint").alias("r")), F.struct(F.lit(False).alias("up"), F.col("by_down").cast("bigint").alias("r")))).alias("x")).select(*group, "cand", "lp", "x.up", "x.r")
-    near = wanted.join(ranked, [*group, "up", "r"]).select("deal", "cand", "tier", F.round(F.abs(F.col("lp") - F.col("ld")), 9).alias("distance"))
-    order = Window.partitionBy("deal", "tier").orderBy("distance", "cand")  # at most 2 * per_tier rows a group
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tier).select("deal", "cand", "tier", "distance", "rank")
-
-
-def match_controls(deals: DataFrame, pool: DataFrame, at_once: int = 8) -> DataFrame:
-    """One control for each deal, none used twice: deals in order of id take the nearest free candidate of their first tier that has one.
-
-    The choice is sequential over all deals, so the driver walks them; it holds `at_once` candidates of each tier for each deal (the
-    study's pairs, not the pool), and fetches four times more for the deals left when one finds all of a tier's taken.
-    """
-    n = deals.count()
-    if pool.count() < n:
-        raise MatchingError(f"{n} controls are needed, the pool has fewer")
-    left = [r["id"] for r in deals.select("id").orderBy("id").collect()]
-    used: set = set()
-    out: list[tuple] = []
-    depth = at_once
-    while left:
-        rows = control_candidates(deals.where(F.col("id") >= left[0]), pool, depth).orderBy("deal", "tier", "rank").collect()
-        near: dict = {}
-        for r in rows:
-            near.setdefault(r["deal"], {}).setdefault(r["tier"], []).append((r["cand"], r["distance"]))
-        while left:
-            pick, more = None, False
-            for tier in (0, 1, 2):
-                mine = near.get(left[0], {}).get(tier, [])
-                pick = next(((c, tier, x) for c, x in mine if c not in used), None)
-                more = pick is None and len(mine) == depth
-                if pick or more:
-                    break
-            if pick is None:
-                break
-            used.add(pick[0])
-            out.append((left.pop(0), pick[0], pick[1], float(pick[2])))
-        depth *= 4
-    kinds = {f.name: f.dataType.simpleString() for f in deals.schema.fields}
-    return deals.sparkSession.createDataFrame(out, f"deal {kinds['id']}, cand {pool.schema['id'].dataType.simpleString()}, tier int, distance double")
-
-
 def matched_entities(matches: DataFrame, deals: DataFrame, pool: DataFrame, bands: int = 5) -> DataFrame:
     """Two entities of each matched pair, restricted and control, with a common pair_id and size bands over the matched ones only.
 

@@ -14,17 +14,26 @@ from pyspark.sql import functions as F
 CUTS = 255
 
 
-def running(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """df with, for each name in sums, the sum of its column over this row and all before it in the order that key leads; null keys come first."""
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias("c")).first()["c"]
-    edges = sorted(set(cuts or []))
-    ranged = df.withColumn("__range", F.coalesce(F.size(F.filter(F.array(*map(F.lit, edges)) if edges else F.array().cast("array<double>"), lambda c: c < F.col(key).cast("double"))), F.lit(-1)))
+def cuts(df: DataFrame, key: str) -> list[float]:
+    """Where the ranges of a key end."""
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / (CUTS + 1) for i in range(1, CUTS + 1)], 10_000).alias("c")).first()["c"]
+    return sorted(set(found or []))
+
+
+def running(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column], by: tuple[str, ...] = (), edges: list[float] | None = None) -> DataFrame:
+    """df with, for each name in sums, the sum of its column over this row and all before it in the order that key leads; null keys come first.
+
+    by: columns (not null) whose groups have sums of their own. edges: where ranges end, if they are known from `cuts`.
+    """
+    edges = cuts(df, key) if edges is None else edges
+    ends = F.split(F.lit(" ".join(map(repr, edges))), " ").cast("array<double>") if edges else F.array().cast("array<double>")  # one literal, once it is folded
+    ranged = df.withColumn("__range", F.coalesce(F.size(F.filter(ends, lambda c: c < F.col(key).cast("double"))), F.lit(-1)))
     ranged = ranged.withColumns({f"__{n}": c for n, c in sums.items()})
-    totals = ranged.groupBy("__range").agg(*(F.sum(f"__{n}").alias(f"__{n}") for n in sums))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # of CUTS + 2 rows at most
-    offsets = totals.select("__range", *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums))
-    inside = Window.partitionBy("__range").orderBy(F.col(key).asc_nulls_first(), *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = ranged.withColumns({n: F.sum(f"__{n}").over(inside) for n in sums}).join(F.broadcast(offsets), "__range")
+    totals = ranged.groupBy("__range", *by).agg(*(F.sum(f"__{n}").alias(f"__{n}") for n in sums))
+    before = (Window.partitionBy(*by) if by else Window).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # of CUTS + 2 rows at most
+    offsets = totals.select("__range", *by, *(F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in sums))
+    inside = Window.partitionBy("__range", *by).orderBy(F.col(key).asc_nulls_first(), *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({n: F.sum(f"__{n}").over(inside) for n in sums}).join(offsets if by else F.broadcast(offsets), ["__range", *by])
     return out.withColumns({n: F.col(n) + F.col(f"__before_{n}") for n in sums}).drop("__range", *(f"__{n}" for n in sums), *(f"__before_{n}" for n in sums))
 
 

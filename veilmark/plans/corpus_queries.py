@@ -95,8 +95,19 @@ SELECT deal, cand, CAST(tier AS BIGINT) AS tier, round(distance, 6) AS distance,
 
 
 def control_match_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """Sequential over all deals, so SQL has no plain form; tests compare it with a walk in Python."""
-    return corpus.match_controls(*_deals(spark, d))
+    """A control for each supplier. The SQL walks the deals one by one."""
+    return corpus.match_controls(*_deals(spark, d)).select("deal", "cand", F.col("tier").cast("bigint").alias("tier"), rounded("distance"))
+
+
+SQL["control_match_greedy"] = _POOL.replace("WITH", "WITH RECURSIVE", 1) + """,
+c AS (SELECT d.id AS deal, p.id AS cand, CASE WHEN d.sector <> p.sector THEN 2 WHEN d.band = p.band THEN 0 ELSE 1 END AS tier, round(abs(d.l - p.l), 9) AS distance FROM r d JOIN r p ON d.side = 0 AND p.side = 1),
+wish AS (SELECT row_number() OVER (ORDER BY deal) AS i, deal, list({'cand': cand, 'tier': tier, 'distance': distance} ORDER BY tier, distance, cand) AS w FROM c GROUP BY deal),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS deal, CAST(NULL AS STRUCT(cand BIGINT, tier INTEGER, distance DOUBLE)) AS pick, CAST([] AS BIGINT[]) AS used
+  UNION ALL
+  SELECT i, deal, pick, list_append(used, pick.cand) FROM (
+    SELECT wish.i, wish.deal, list_filter(wish.w, lambda x: NOT list_contains(walk.used, x.cand))[1] AS pick, walk.used AS used FROM walk JOIN wish ON wish.i = walk.i + 1))
+SELECT deal, pick.cand AS cand, CAST(pick.tier AS BIGINT) AS tier, round(pick.distance, 6) AS distance FROM walk WHERE i > 0"""
 
 
 def _filings(spark: SparkSession, d: str) -> DataFrame:
