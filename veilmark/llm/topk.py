@@ -212,7 +212,7 @@ def search(vectors: DataFrame, queries: Column, vec_id: str = "vec_id", vec: str
     salts = min(-(-count // len(edges)), -(-SHELVES // len(edges)))
     shelved = buckets.withColumns({"shelf": over(F.col("longest")), "salt": F.pmod(F.xxhash64("ids"), F.lit(salts))}).drop("longest")
     meeting = blocks.withColumn("shelf", F.explode(F.sequence(F.lit(0), over(F.col("q_need"))))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).drop("q_need")
-    cells = meeting.join(shelved, ["shelf", "salt"]).select("q_ids", "q_rows", "q_least", "ids", "rows")
+    cells = meeting.hint("merge").join(shelved, ["shelf", "salt"]).select("q_ids", "q_rows", "q_least", "ids", "rows")
     found = cells.mapInArrow(_verified(d, k), "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
