@@ -14,7 +14,7 @@ from veilmark import config
 from veilmark.errors import BudgetExceeded, ConfigError, DeferredError, FetchError, MatchingError, SplitError, VeilmarkError
 from veilmark.functions import identity
 from veilmark.functions import text as T
-from veilmark.operators import containment, context, corpus, detector, features, leaks, planning, report, splits, stats
+from veilmark.operators import boosting, containment, context, corpus, detector, features, leaks, planning, report, splits, stats
 from veilmark.operators.backend import stand_in
 from veilmark.sources import fetch
 
@@ -321,10 +321,12 @@ def test_folds_are_stratified(spark):
 def test_boosting_learns_what_no_line_can(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 2))
-    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
-    f = detector.boosted(x[:200], y[:200], x[200:])
-    assert ((f > 0) == (y[200:] == 1)).mean() > 0.85
-    assert np.allclose(detector.boosted(np.zeros((4, 1)), np.array([0.0, 1, 0, 1]), np.zeros((2, 1))), 0.0)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(v), [int(i < 200)], [0]) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))], "id int, a double, b double, y int, w array<int>, m array<int>")
+    f = np.array([row.scores[0] for row in boosting.decide(df, ["a", "b"], boosting.fit(df, ["a", "b"], "y", "w", trees=60), "m").orderBy("id").collect()])
+    assert ((f[200:] > 0) == (y[200:] == 1)).mean() > 0.85
+    flat = df.selectExpr("id", "0.0 AS a", "id % 2 AS y", "array(1) AS w", "m")
+    assert {row.scores[0] for row in boosting.decide(flat, ["a"], boosting.fit(flat, ["a"], "y", "w", trees=3), "m").collect()} == {0.0}
 
 
 def test_adversary_and_ranking(spark):

@@ -1,20 +1,21 @@
-"""Pair-grouped cross-validated detectors of a barrier, fitted by draw in grouped pandas functions.
+"""Pair-grouped cross-validated detectors of a barrier.
 
-The design matrix has a row for each entity (120 in a study), so what is distributed is the refits: one group for each repeat and
-fold, or for each resampled draw. Imputation by medians and standardising happen inside training folds.
+All folds of all repeats, and all resampled draws, are models over the same rows, which carry a weight for each of them. Imputation by
+medians and standardising happen inside training folds.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilmark.functions.hashing import digest
 from veilmark.functions.metrics import detectability_state, resolvable_auc
-from veilmark.operators import stats
+from veilmark.operators import boosting, logistic, stats
 from veilmark.operators.durable import durable
-from veilmark.operators.stats import auc, cluster_draws, row_number
+from veilmark.operators.ordering import running
+from veilmark.operators.stats import auc, poisson_weight
 
 C = 1.0
 # The second detector's trees, their depth and learning rate; the threshold of an invisible barrier.
@@ -22,108 +23,47 @@ TREES, DEPTH, RATE = 100, 2, 0.1
 UNDETECTABLE = 0.60
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, c: float = C) -> np.ndarray:
-    """L2-penalised logistic weights, the bias last and free, by Newton steps."""
-    x = np.concatenate([x, np.ones((len(x), 1))], 1)
-    hold = np.full(x.shape[1], 1 / c)
-    hold[-1] = 1e-9
-    b = np.zeros(x.shape[1])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (w * (p - y)) + hold * b)
-        scale = min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        b = b - scale * step
-        if np.abs(step).max() < 1e-9:
-            break
-    return b
-
-
-def _prepared(train: np.ndarray, test: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Medians for missing values and standardised columns, both from the training rows; a column without values becomes 0."""
-    with np.errstate(all="ignore"):
-        rows = np.repeat(train, w.astype(int), axis=0)
-        empty = np.isnan(rows).all(0)
-        med = np.where(empty, 0.0, np.nanmedian(np.where(empty, 0.0, rows), 0))
-    fill = lambda m: np.where(np.isnan(m), med, m)
-    rows = fill(rows)
-    mean, sd = rows.mean(0), rows.std(0)
-    sd[sd < 1e-12] = 1.0
-    return (fill(train) - mean) / sd, (fill(test) - mean) / sd
-
-
-def _split(x: np.ndarray, g: np.ndarray, rows: np.ndarray) -> tuple[int, float] | None:
-    """The cut (feature, value) that lowers the squared error of g most, between two neighbouring values; None if none does."""
-    best, cut = 1e-12, None
-    total, n = g[rows].sum(), len(rows)
-    for j in range(x.shape[1]):
-        order = rows[np.argsort(x[rows, j], kind="stable")]
-        v, left = x[order, j], np.cumsum(g[order])[:-1]
-        k = np.arange(1, n)
-        gain = np.where(v[1:] > v[:-1], left**2 / k + (total - left) ** 2 / (n - k) - total**2 / n, 0.0)
-        if n > 1 and gain.max() > best:
-            at = int(gain.argmax())
-            best, cut = gain[at], (j, (v[at] + v[at + 1]) / 2)
-    return cut
-
-
-def boosted(x: np.ndarray, y: np.ndarray, test: np.ndarray, trees: int = TREES, depth: int = DEPTH, rate: float = RATE) -> np.ndarray:
-    """Log-odds of the test rows under gradient boosting of logistic loss: least-squares trees of residuals, one Newton step a leaf."""
-    start = np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))
-    f, out = np.full(len(y), start), np.full(len(test), start)
-    for _ in range(trees):
-        p = 1 / (1 + np.exp(-f))
-        leaves = [(np.arange(len(y)), np.arange(len(test)))]
-        for _ in range(depth):
-            grown = []
-            for mine, theirs in leaves:
-                cut = _split(x, y - p, mine)
-                if cut is None:
-                    grown.append((mine, theirs))
-                    continue
-                j, v = cut
-                grown += [(mine[x[mine, j] <= v], theirs[test[theirs, j] <= v]), (mine[x[mine, j] > v], theirs[test[theirs, j] > v])]
-            leaves = grown
-        for mine, theirs in leaves:
-            hold = (p[mine] * (1 - p[mine])).sum()
-            step = rate * ((y - p)[mine].sum() / hold if hold > 1e-12 else 0.0)
-            f[mine] += step
-            out[theirs] += step
-    return out
-
-
-def _decisions(kind: str, train: np.ndarray, y: np.ndarray, test: np.ndarray) -> np.ndarray:
-    a, b = _prepared(train, test, np.ones(len(train)))
-    if kind == "gbt_secondary":
-        return boosted(a, y, b)
-    beta = _logistic(a, y, np.ones(len(a)))
-    return b @ beta[:-1] + beta[-1]
+def dealt(vectors: DataFrame, repeats: int = 5, folds: int = 5, seed: str = "17") -> tuple[DataFrame, int]:
+    """vectors (pair_id, label and more) with `folds`: its pair's fold in each repeat; and how many folds there are.
+
+    Folds are stratified: within a repeat, pairs of like make-up (numbers of each class) are dealt in turn, in the order of their
+    hashes, so repeats deal pairs anew.
+    """
+    n = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
+    k = max(2, min(folds, n))
+    pairs = vectors.groupBy("pair_id").agg(F.count_if(F.col("label") == 1).alias("up"), F.count_if(F.col("label") == 0).alias("down"))
+    each = pairs.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("h", digest(seed, F.col("repeat"), F.col("pair_id")))
+    placed = running(each.withColumn("key", F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint")), "key", [F.col("h"), F.col("pair_id")], {"place": F.lit(1)}, ("repeat", "up", "down"))
+    found = placed.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("repeat", ((F.col("place") - 1) % k).cast("int").alias("fold")))), lambda s: s["fold"]).alias("folds"))  # one for each repeat
+    return vectors.join(found, "pair_id"), k
+
+
+def fold_weights(k: int) -> Column:
+    """Weights of the models (repeat, fold) in that order: 1 but in the model's own fold."""
+    return F.flatten(F.transform("folds", lambda f: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: (f != j).cast("int"))))
 
 
 def out_of_fold(vectors: DataFrame, features: list[str], repeats: int = 5, folds: int = 5, seed: str = "17", kind: str = "logreg_primary") -> DataFrame:
     """vectors: entity_id, pair_id, label, features. Scores of each entity from folds that its pair was not in: repeat, entity_id, pair_id, label, score.
 
-    Folds are stratified: within a repeat, pairs of like make-up (numbers of each class) are dealt in turn, in the order of their
-    hashes, so repeats deal pairs anew. Training folds of one class are skipped. kind: logreg_primary or gbt_secondary.
+    Folds are those of `dealt`; training folds of one class are skipped. All folds of all repeats are fitted together. kind:
+    logreg_primary or gbt_secondary (histogram boosting of `TREES` trees).
     """
-    n = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
-    k = max(2, min(folds, n))
-    each = vectors.crossJoin(F.broadcast(vectors.sparkSession.range(repeats).select(F.col("id").cast("int").alias("repeat"))))
-    dealt = each.withColumn("h", F.sha2(F.concat_ws("|", F.lit(seed), F.col("repeat").cast("string"), F.col("pair_id").cast("string")), 256))
-    ranks = dealt.groupBy("repeat", "pair_id", "h").agg(F.sum((F.col("label") == 1).cast("int")).alias("up"), F.sum((F.col("label") == 0).cast("int")).alias("down"))
-    ranks = ranks.withColumn("fold", ((F.row_number().over(Window.partitionBy("repeat").orderBy("up", "down", "h", "pair_id")) - 1) % k).cast("int")).select("repeat", "pair_id", "fold")
-    rows = each.join(ranks, ["repeat", "pair_id"]).withColumn("test", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    rows, k = dealt(vectors, repeats, folds, seed)
+    rows = durable(rows.select("entity_id", "pair_id", F.col("label").cast("int").alias("label"), "folds", *features))
+    if kind == "gbt_secondary":
+        return _boosted_out_of_fold(rows, features, k)
+    models = logistic.fit(rows.withColumn("w", fold_weights(k)), features, "label", "w", 1 / C)
+    asked = rows.select("entity_id", "pair_id", "label", logistic.design(features).alias("x"), F.posexplode("folds").alias("repeat", "fold")).withColumn("model", F.col("repeat") * k + F.col("fold"))
+    scored = asked.join(F.broadcast(models.table(rows.sparkSession)), "model")  # a row for each repeat and fold
+    return scored.select("repeat", "entity_id", "pair_id", "label", logistic.decision(F.col("x")).alias("score"))
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("entity_id")
-        x, y = frame[features].to_numpy(float), frame["label"].to_numpy(float)
-        out = (frame["fold"] == frame["test"]).to_numpy()
-        empty = frame.loc[out, ["repeat", "entity_id", "pair_id", "label"]].assign(score=np.nan)
-        if len(set(y[~out])) < 2 or not out.any():
-            return empty
-        return empty.assign(score=_decisions(kind, x[~out], y[~out], x[out]))
 
-    kinds = dict(vectors.dtypes)
-    return rows.groupBy("repeat", "test").applyInPandas(one, f"repeat int, entity_id {kinds['entity_id']}, pair_id {kinds['pair_id']}, label int, score double").where("score is not null and not isnan(score)")
+def _boosted_out_of_fold(rows: DataFrame, features: list[str], k: int) -> DataFrame:
+    trees = boosting.fit(rows.withColumn("w", fold_weights(k)), features, "label", "w", TREES, DEPTH, RATE)
+    asked = rows.withColumn("models", F.transform("folds", lambda f, repeat: repeat * k + f))
+    each = boosting.decide(asked, features, trees, "models").select("entity_id", "pair_id", "label", F.posexplode("scores").alias("repeat", "score"))
+    return each.where(~F.isnan("score")).select("repeat", "entity_id", "pair_id", "label", "score")
 
 
 def cv_auc(scores: DataFrame) -> DataFrame:
@@ -133,20 +73,13 @@ def cv_auc(scores: DataFrame) -> DataFrame:
 
 
 def importance(vectors: DataFrame, features: list[str], draws: int = 50, seed: str = "19") -> DataFrame:
-    """Mean coefficient of each feature and its percentile interval over resampled pairs, each as often as it is drawn."""
-    pairs = row_number(vectors.select("pair_id").distinct(), "pair_id", name="c_ord").withColumn("c_ord", F.col("c_ord") - 1)
-    drawn = cluster_draws(pairs, draws, seed).join(pairs, "c_ord").join(vectors, "pair_id")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pair_id", "label"])
-        x, y, w = frame[features].to_numpy(float), frame["label"].to_numpy(float), frame["weight"].to_numpy(float)
-        if len(set(y)) < 2:
-            return pd.DataFrame({"draw": [], "feature": [], "coefficient": []})
-        a, _ = _prepared(x, x, w)
-        return pd.DataFrame({"draw": int(frame["draw"].iloc[0]), "feature": features, "coefficient": _logistic(a, y, w)[:-1]})
-
-    each = drawn.groupBy("draw").applyInPandas(one, "draw bigint, feature string, coefficient double")
-    return each.groupBy("feature").agg(F.avg("coefficient").alias("point"), F.percentile("coefficient", 0.025).alias("lo"), F.percentile("coefficient", 0.975).alias("hi"))
+    """Mean coefficient of each feature and its percentile interval over resampled pairs, each as often as it is drawn. All draws are fitted together."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: poisson_weight(seed, d, F.col("pair_id")))
+    pairs = vectors.select("pair_id").distinct().withColumn("w", drawn)
+    models = logistic.fit(vectors.join(pairs, "pair_id"), features, "label", "w", 1 / C)
+    fits = models.betas[models.fitted, :-1]
+    rows = [(f, float(v.mean()), float(np.quantile(v, 0.025)), float(np.quantile(v, 0.975))) for f, v in zip(features, fits.T, strict=True)] if len(fits) else []  # a row for each draw and feature
+    return vectors.sparkSession.createDataFrame(rows, "feature string, point double, lo double, hi double")
 
 
 def detect(vectors: DataFrame, features: list[str], kind: str = "logreg_primary", repeats: int = 5, folds: int = 5, draws: int = 100, permutations: int = 100, seed: str = "17", threshold: float = UNDETECTABLE) -> DataFrame:
@@ -176,25 +109,21 @@ def detectors(vectors: DataFrame, primary: list[str], secondary: list[str], q: f
 
 
 class Adversary:
-    """The detector that a method is calibrated against: fitted on the dev side only, and apart from the one that reports."""
+    """The detector that a method is calibrated against: fitted once, on the dev side only, and apart from the one that reports."""
 
     def __init__(self, vectors: DataFrame, features: list[str]):
-        """vectors: entity_id, label, features: a row for each entity of the dev side, which the driver holds."""
-        rows = vectors.select("entity_id", "label", *features).toPandas().sort_values("entity_id")
-        if rows["label"].nunique() < 2:
+        """vectors: label, features: a row for each entity of the dev side."""
+        self.features = features
+        self.models = logistic.fit(vectors.withColumn("w", F.array(F.lit(1))), features, "label", "w", 1 / C)
+        if not self.models.fitted.any():
             raise ValueError("the dev side needs both classes")
-        self.features, self.train, self.labels = features, rows[features].to_numpy(float), rows["label"].to_numpy(float)
 
     def score(self, vectors: DataFrame) -> DataFrame:
-        """vectors with `score`, in batches."""
-        features, train, labels = self.features, self.train, self.labels
-
-        def run(frames):
-            for frame in frames:
-                yield frame.assign(score=_decisions("logreg_primary", train, labels, frame[features].to_numpy(float)))
-
-        schema = vectors.drop("score").withColumn("score", F.lit(0.0)).schema
-        return vectors.drop("score").mapInPandas(run, schema)
+        """vectors with `score`, as one expression."""
+        medians, slopes, bias = self.models.table(vectors.sparkSession).select("medians", "slopes", "bias").first()
+        model = {"medians": F.array(*map(F.lit, medians)), "slopes": F.array(*map(F.lit, slopes))}
+        filled = F.zip_with(logistic.design(self.features), model["medians"], lambda v, m: F.coalesce(v, m))
+        return vectors.withColumn("score", F.aggregate(F.zip_with(filled, model["slopes"], lambda v, s: v * s), F.lit(bias), lambda a, b: a + b))
 
     def auc(self, vectors: DataFrame) -> DataFrame:
         """The AUC on other entities; 0.5 where a class is missing."""

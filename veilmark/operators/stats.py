@@ -37,13 +37,6 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p", name: str = "name", q: fl
     return adjusted.withColumn("rejected", F.col("p_adjusted") <= q).drop("__rank", "__m")
 
 
-def cluster_draws(clusters: DataFrame, draws: int, seed: str) -> DataFrame:
-    """clusters (c_ord from 0, n clusters in all) with how often each is drawn in each draw: draw, c_ord, weight."""
-    n = clusters.agg(F.count("*").alias("n"))
-    slots = clusters.select(F.col("c_ord").alias("slot"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(draws - 1).cast("bigint"))).alias("draw")).crossJoin(F.broadcast(n))
-    return slots.withColumn("c_ord", draw(F.col("n"), seed, F.col("draw"), F.col("slot"))).groupBy("draw", "c_ord").agg(F.count("*").alias("weight"))
-
-
 #: Chances, in 2^32nds, that a Poisson number of mean one is at most 0, 1, 2 and so on.
 POISSON = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(10))
 
