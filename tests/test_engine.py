@@ -170,3 +170,23 @@ def test_query_is_its_sql(spark, name):
     assert sorted(names) == sorted(got.columns)
     show = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
     assert sorted([show(r[c]) for c in names] for r in got.collect()) == sorted([show(v) for v in r] for r in want.fetchall())
+
+
+@pytest.mark.parametrize("part", [12, 2_000_000])
+def test_short_values_against_brute_force(spark, monkeypatch, part):
+    """Values that overlap, hold or begin one another, in one part and in many; inside words, too."""
+    from veilmark.functions.text import soft
+    from veilmark.operators import automaton
+
+    monkeypatch.setattr(automaton, "PART", part)
+    r = random.Random(part)
+    word = lambda: "".join(r.choice("abc") for _ in range(r.randrange(1, 5)))
+    texts = [(i, " ".join(word() for _ in range(r.randrange(30)))) for i in range(40)] + [(90, None), (91, ""), (92, "x" * 50_000 + " abca, CAB!")]
+    values = [(i, " ".join(word() for _ in range(r.randrange(1, 6)))) for i in range(40)] + [(80, ""), (81, None), (82, "ABCA  cab"), (83, "abca cab"), (84, "--")]
+    docs, held = spark.createDataFrame(texts, "d int, t string").repartition(3), spark.createDataFrame(values, "v int, s string")
+    plain = {row.v: row.s for row in held.select("v", soft(F.col("s")).alias("s")).collect()}
+    softened = {row.d: row.t for row in docs.select("d", soft(F.col("t")).alias("t")).collect()}
+    want = {(d, v) for d, t in softened.items() for v, s in plain.items() if t and s and s in t}
+    got = [(row.d, row.v) for row in leaks.contained(docs, "d", "t", held, "v", "s").collect()]
+    assert set(got) == want and len(got) == len(want) and (92, 82) in want
+    assert leaks.contained(docs, "d", "t", held.limit(0), "v", "s").count() == 0

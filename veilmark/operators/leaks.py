@@ -7,36 +7,39 @@ from pyspark.sql import functions as F
 
 from veilmark.functions.metrics import leak_at_k
 from veilmark.functions.text import reveals, soft
+from veilmark.operators.automaton import holding
 from veilmark.operators.stats import bootstrap_mean, poisson_weight
 
 #: A value of at least SEED + 2 words has SEED inner ones, which stand as whole words wherever the value does.
 SEED = 4
-#: Values up to which their hashes go to all tasks, so that only runs which meet one leave their document; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes of values up to which they go to all tasks, so that only runs which meet one leave their document; more are joined by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
 def contained(docs: DataFrame, doc: str, text: str, values: DataFrame, value_id: str, value: str) -> DataFrame:
     """Pairs (doc, value_id) whose soft text holds the soft value.
 
-    Long values join on their inner words, as hashes of runs of SEED words, and what meets is compared; only values too short
-    for that are compared with every document.
+    Long values join on their inner words, as hashes of runs of SEED words, and what meets is compared; values too short for that are
+    looked for together, by one walk over each text.
     """
     d = docs.select(doc, soft(F.col(text)).alias("__t"))
     v = values.select(value_id, soft(F.col(value)).alias("__v")).where("__v <> ''").withColumn("__w", F.split("__v", " "))
-    # Only numbers of the values' table are looked at here, to leave out a branch without rows.
-    n_short = v.where(F.size("__w") < SEED + 2).count()
-    run = lambda w, i: F.xxhash64(*(F.element_at(w, (i + k).cast("int")) for k in range(SEED)))
-    keyed = v.where(F.size("__w") >= SEED + 2).select(value_id, "__v", run(F.col("__w"), F.lit(2)).alias("__seed"))
-    words = d.withColumn("__w", F.split("__t", " ")).where(F.size("__w") >= SEED)
-    n_long = keyed.count()
-    if n_long <= BROADCAST_ROWS:
-        keyed = F.broadcast(keyed)  # two longs and a value each, no more than so many
-    runs = words.select(doc, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - (SEED - 1)), lambda i: run(F.col("__w"), i)))).alias("__seed"))
-    near = runs.join(keyed, "__seed").select(doc, value_id, "__v").distinct()
-    out = near.join(d, doc).where(F.contains("__t", F.col("__v"))).select(doc, value_id)
-    if n_short:
-        short = v.where(F.size("__w") < SEED + 2)
-        out = out.unionByName(d.join(short, F.contains("__t", F.col("__v"))).select(doc, value_id))
+    long = F.size("__w") >= SEED + 2
+    # Only sums over the values' table are looked at here.
+    sizes = v.agg(F.count_if(long).alias("long"), F.count_if(~long).alias("short"), F.sum(F.when(long, F.octet_length("__v") + 32)).alias("bytes")).first()
+    out = docs.sparkSession.createDataFrame([], f"`{doc}` {dict(d.dtypes)[doc]}, `{value_id}` {dict(v.dtypes)[value_id]}")
+    if sizes["long"]:
+        run = lambda w, i: F.xxhash64(*(F.element_at(w, (i + k).cast("int")) for k in range(SEED)))
+        keyed = v.where(long).select(value_id, "__v", run(F.col("__w"), F.lit(2)).alias("__seed"))
+        if sizes["bytes"] <= BROADCAST_BYTES:
+            keyed = F.broadcast(keyed)
+        words = d.withColumn("__w", F.split("__t", " ")).where(F.size("__w") >= SEED)
+        runs = words.select(doc, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__w") - (SEED - 1)), lambda i: run(F.col("__w"), i)))).alias("__seed"))
+        near = runs.join(keyed, "__seed").select(doc, value_id, "__v").distinct()
+        out = out.unionByName(near.join(d, doc).where(F.contains("__t", F.col("__v"))).select(doc, value_id))
+    if sizes["short"]:
+        short = v.where(~long)
+        out = out.unionByName(holding(d, doc, "__t", short, "__v").join(short, "__v").select(doc, value_id))
     return out.distinct()
 
 

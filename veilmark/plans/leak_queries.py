@@ -44,6 +44,21 @@ HITS = f"SELECT doc_id, item_id FROM documents d JOIN benchmark b ON {SOFT % 'b.
 SQL["leak_soft_containment"] = HITS
 
 
+def leak_short_values(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a short value, whole words or not: the first word, the first three and the last two of each benchmark item, without the first letter."""
+    words = F.split(F.trim(F.col("text")), " +")
+    items = read(spark, d, "benchmark").select("item_id", F.posexplode(F.array(F.slice(words, 1, 1), F.slice(words, 1, 3), F.slice(words, -2, 2))).alias("part", "w"))
+    values = items.select((F.col("item_id") * 3 + F.col("part")).alias("value_id"), F.substr(F.array_join("w", " "), F.lit(2)).alias("value"))
+    return leaks.contained(read(spark, d, "documents"), "doc_id", "text", values, "value_id", "value")
+
+
+SQL["leak_short_values"] = f"""
+WITH w AS (SELECT item_id, regexp_split_to_array(trim(text), ' +') AS w FROM benchmark),
+v AS (SELECT item_id * 3 + part AS value_id, {SOFT % "substr(array_to_string(CASE part WHEN 0 THEN w[1:1] WHEN 1 THEN w[1:3] ELSE w[-2:] END, ' '), 2)"} AS v FROM w, (SELECT unnest([0, 1, 2]) AS part)),
+t AS (SELECT doc_id, {SOFT % "text"} AS t FROM documents)
+SELECT doc_id, value_id FROM t JOIN v ON v <> '' AND contains(t, v)"""
+
+
 def _carriers(spark: SparkSession, d: str) -> DataFrame:
     """Prices written in four ways, two of them another price."""
     p = read(spark, d, "part").withColumn("cents", F.round(F.col("p_retailprice") * 100).cast("bigint"))
@@ -200,4 +215,4 @@ def _redacted() -> str:
 
 SQL["redact_longest_first"] = f"SELECT doc_id, CAST(length({_redacted()}) AS BIGINT) AS n_chars, sha256({_redacted()}) AS digest FROM documents"
 
-QUERIES = {f.__name__: f for f in (numeric_candidates, leak_soft_containment, leak_numeric_hits, leak_at_k_family, leak_curve, leak_intervals, utility_direct, refusal_rate, hedge_density, calibration_stats, strip_markup, redact_longest_first)}
+QUERIES = {f.__name__: f for f in (numeric_candidates, leak_soft_containment, leak_short_values, leak_numeric_hits, leak_at_k_family, leak_curve, leak_intervals, utility_direct, refusal_rate, hedge_density, calibration_stats, strip_markup, redact_longest_first)}
