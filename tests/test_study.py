@@ -417,3 +417,24 @@ def test_deferred_frames_have_the_schema(spark):
 
     made, off = planning.run_batches(requests, fail, "cache_key string, text string, n int")
     assert made.count() == 0 and off.first().unit_id == "u"
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_stored_index_gives_the_best_of_all(spark, monkeypatch, tmp_path, k):
+    """Skewed terms, ties, equal texts, empty and null ones; blocks are skipped, answers are not."""
+    from veilmark.operators import blockmax, retrieval
+
+    monkeypatch.setattr(blockmax, "BLOCK", 2)
+    monkeypatch.setattr(blockmax, "FIRST", 1)
+    r = random.Random(k)
+    word = lambda: f"w{min(int(r.expovariate(0.15)), 40)}"
+    texts = [(i, " ".join(word() for _ in range(r.randrange(12)))) for i in range(80)] + [(100, None), (101, ""), (102, "w1 w2 w3"), (103, "w1 w2 w3")]
+    queries = spark.createDataFrame([(i, " ".join(word() for _ in range(4))) for i in range(12)] + [(50, None), (51, "none of these"), (52, "w1 w1 w2")], "q int, s string")
+    docs = spark.createDataFrame(texts, "d int, t string").repartition(3)
+    index = blockmax.Index.build(docs, "d", "t", str(tmp_path / "index"))
+    found, work = blockmax.Index.open(spark, str(tmp_path / "index")).top(queries, "q", "s", k)
+    want = retrieval.bm25_top(docs.fillna("", "t"), "d", "t", queries, "q", "s", k)
+    assert sorted(tuple(x) for x in found.select("query", "doc", "score", "rank").collect()) == sorted(tuple(x) for x in want.select("query", "doc", "score", "rank").collect())
+    rows = work.collect()
+    assert all(0 < x.scored <= x.blocks for x in rows) and sum(x.scored for x in rows) < 0.9 * sum(x.blocks for x in rows) and not {50, 51} & {x["query"] for x in rows}
+    assert {x.term for x in index.postings.select("term").distinct().collect()} == {x.term for x in index.tops.select("term").distinct().collect()}

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_path(spark: SparkSession) -> str:
     """A new path in the shared checkpoint folder: spark.checkpoint.dir, or on one machine, where it is unset, a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -21,7 +21,7 @@ def _shared(spark: SparkSession) -> str:
 
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written as Parquet to the shared checkpoint folder and read again; they stay there, for plans are read lazily."""
-    path = _shared(df.sparkSession)
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,6 +41,6 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def put(self, df: DataFrame) -> DataFrame:
-        self.paths.append(_shared(self.spark))
+        self.paths.append(shared_path(self.spark))
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from veilmark.functions.hashing import content_hash as hash_of
 from veilmark.functions.hashing import short_hash
 from veilmark.functions.hashing import stable_seed as seed_of
-from veilmark.operators import cache, corpus, retrieval
+from veilmark.operators import blockmax, cache, corpus, retrieval
+from veilmark.operators.durable import shared_path
 from veilmark.operators.stats import rounded
 from veilmark.sources.tables import read
 
@@ -41,6 +42,37 @@ r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 SELECT item_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
 
 
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Each whole benchmark text asked of a stored index of all documents."""
+    index = blockmax.Index.build(read(spark, d, "documents"), "doc_id", "text", shared_path(spark))
+    return index.top(read(spark, d, "benchmark"), "item_id", "text", k=3)
+
+
+def bm25_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _searched(spark, d)[0].select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), rounded("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+SQL["bm25_index_topk"] = SQL["bm25_topk"]
+
+
+def bm25_index_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """How many blocks could hold an answer, and how many were scored."""
+    return _searched(spark, d)[1].select(F.col("query").alias("item_id"), "blocks", "scored", (F.col("blocks") - F.col("scored")).alias("skipped"))
+
+
+SQL["bm25_index_blocks"] = f"""
+WITH d AS (SELECT doc_id, {TOKENS.format(c='text')} AS t, (row_number() OVER (ORDER BY doc_id) - 1) // {blockmax.BLOCK} AS block FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+q AS (SELECT item_id, unnest({TOKENS.format(c='text')}) AS term FROM benchmark), w AS (SELECT item_id, term, count(*) AS k FROM q GROUP BY ALL),
+p AS (SELECT doc_id, block, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, block, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+g AS (SELECT term, block, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) AS weight FROM tf JOIN df USING (term), s),
+b AS (SELECT item_id, block, sum(k * top) AS bound FROM w JOIN (SELECT term, block, max(weight) AS top FROM g GROUP BY ALL) USING (term) GROUP BY ALL),
+f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY bound DESC, block) <= {3 * blockmax.FIRST} AS first FROM b),
+x AS (SELECT item_id, doc_id, round(sum(k * weight), 9) AS score FROM w JOIN g USING (term) JOIN f USING (item_id, block) WHERE first GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, count(*) AS blocks, count(*) FILTER (first OR least IS NULL OR bound >= least - {blockmax.SLACK}) AS scored, count(*) FILTER (NOT (first OR least IS NULL OR bound >= least - {blockmax.SLACK})) AS skipped
+FROM f LEFT JOIN (SELECT item_id, score AS least FROM r WHERE rank = 3) USING (item_id) GROUP BY item_id"""
+
+
 def private_filter_context(spark: SparkSession, d: str) -> DataFrame:
     """Toxic documents are private, sources of an even number restricted; a context is what its source may show, without texts that hold a value."""
     docs = read(spark, d, "documents").join(read(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
@@ -256,6 +288,6 @@ SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, round(coalesce(any_valu
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, private_filter_context, exclusion_counts, dedupe_first, control_candidates, control_match_greedy, parse_filings, probe_suite, artifact_text, cache_partition, cache_missing, plan_budget,
+    for f in (bm25_stats, bm25_topk, bm25_index_topk, bm25_index_blocks, private_filter_context, exclusion_counts, dedupe_first, control_candidates, control_match_greedy, parse_filings, probe_suite, artifact_text, cache_partition, cache_missing, plan_budget,
               content_hash, stable_seed, json_fact_latest)
 }
