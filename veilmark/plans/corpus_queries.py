@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilmark.functions.hashing import content_hash as hash_of
 from veilmark.functions.hashing import short_hash
 from veilmark.functions.hashing import stable_seed as seed_of
-from veilmark.operators import blockmax, cache, corpus, retrieval
+from veilmark.operators import blockmax, cache, corpus, retrieval, store
 from veilmark.operators.durable import shared_path
 from veilmark.operators.stats import rounded
 from veilmark.sources.tables import read
@@ -228,12 +228,40 @@ SELECT CAST(CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS layer,
 FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY ALL"""
 
 
+def _stores(spark: SparkSession, d: str) -> tuple[store.Store, list[store.Store]]:
+    """The same requests and layers as tables of a store; each layer comes in two appends, the second with keys that are held already."""
+    requests, layers = _layers(spark, d)
+    kind = "cache_key string, src string, latency_ms double, latency_trustworthy boolean"
+    asked = store.Store(spark, shared_path(spark), "cache_key string, o_orderkey bigint", buckets=16)
+    asked.append(requests.select("cache_key", "o_orderkey"))
+    held = []
+    for layer in layers:
+        rows = layer.select("cache_key", "src", F.col("latency_ms").cast("double").alias("latency_ms"), "latency_trustworthy")
+        held.append(store.Store(spark, shared_path(spark), kind, buckets=16))
+        held[-1].append(rows.where("latency_ms < 100000"))
+        held[-1].append(rows.withColumn("src", F.when(F.col("latency_ms") < 50000, "late").otherwise(F.col("src"))).where("latency_ms < 50000 or latency_ms >= 100000"))
+    return asked, held
+
+
+def store_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """What bucketed layers hold of bucketed requests, joined without an exchange."""
+    hit = store.lookup(*_stores(spark, d))
+    return hit.groupBy("layer", "src", "latency_trustworthy").agg(F.count("*").alias("n"), F.sum(F.col("latency_ms").cast("decimal(18,2)")).cast("double").alias("total")).select(F.col("layer").cast("bigint").alias("layer"), "src", "latency_trustworthy", "n", "total")
+
+
+SQL["store_lookup"] = SQL["cache_partition"]
+
+
+def store_missing(spark: SparkSession, d: str) -> DataFrame:
+    return store.missing(*_stores(spark, d)).select("o_orderkey", F.substring("cache_key", 1, 2).alias("shard"))
+
+
 def cache_missing(spark: SparkSession, d: str) -> DataFrame:
     requests, layers = _layers(spark, d)
     return cache.missing(requests, layers).select("o_orderkey", F.substring("cache_key", 1, 2).alias("shard"))
 
 
-SQL["cache_missing"] = "SELECT o_orderkey, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2) AS shard FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0"
+SQL["store_missing"] = SQL["cache_missing"] = "SELECT o_orderkey, substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 2) AS shard FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0"
 
 
 def plan_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -288,6 +316,6 @@ SELECT lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS cik, round(coalesce(any_valu
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_stats, bm25_topk, bm25_index_topk, bm25_index_blocks, private_filter_context, exclusion_counts, dedupe_first, control_candidates, control_match_greedy, parse_filings, probe_suite, artifact_text, cache_partition, cache_missing, plan_budget,
+    for f in (bm25_stats, bm25_topk, bm25_index_topk, bm25_index_blocks, private_filter_context, exclusion_counts, dedupe_first, control_candidates, control_match_greedy, parse_filings, probe_suite, artifact_text, cache_partition, cache_missing, store_lookup, store_missing, plan_budget,
               content_hash, stable_seed, json_fact_latest)
 }
