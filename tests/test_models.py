@@ -87,7 +87,7 @@ def test_boosted_trees_are_those_of_brute_force(spark, monkeypatch):
     features = ["a", "b", "c"]
     model = boosting.fit(df, features, "y", "w", trees=5, bins=8)
     assert model.fitted.tolist() == [True, True, True, False, False] and model.edges[2] == [7.0]
-    binned = {r.id: r.x for r in model.binned(df, features).collect()}
+    binned = {r.id: r["__bins"] for r in model.binned(df, features).collect()}
     scores = {r.id: r.scores for r in boosting.decide(df.selectExpr("*", "array(2, 0, 1, 3) AS asked"), features, model, "asked").collect()}
     x, y = np.array([binned[row[0]] for row in rows]), np.array([row[2] for row in rows], float)
     for place, m in enumerate((2, 0, 1)):

@@ -28,9 +28,9 @@ class Workspace:
     artifacts: DataFrame
 
 
-def prepare(spark: SparkSession, n_deals: int, seed: str = "11", dev_fraction: float = 0.3) -> Workspace:
-    """Seeded deals, each with a matched control; fields, probes, public and private documents; pairs on a dev and an eval side."""
-    deals = corpus.synthetic_deals(spark, n_deals, seed)
+def prepare(spark: SparkSession, n_deals: int, seed: str = "11", dev_fraction: float = 0.3, deals: DataFrame | None = None) -> Workspace:
+    """Deals, seeded ones if none are given, each with a matched control; fields, probes, public and private documents; pairs on a dev and an eval side."""
+    deals = corpus.synthetic_deals(spark, n_deals, seed) if deals is None else deals
     pair = short_hash("pair", F.col("deal_id"))
     controls = deals.select("deal_id", F.concat(F.lit("Control of "), F.col("target_name")).alias("display_name"), pair.alias("pair_id"))
     restricted = deals.select(short_hash("r", F.col("deal_id")).alias("entity_id"), F.col("target_name").alias("display_name"), F.lit("restricted").alias("entity_class"), pair.alias("pair_id"), "deal_id")
@@ -76,35 +76,49 @@ def fitted(ws: Workspace, name: str, k: int = 4, backend: Backend = stand_in, **
     return method.calibrate(generate(dev, containment.build("none"), k, backend).select("text"))
 
 
-def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, draws: int = 50, backend: Backend = stand_in, **how) -> tuple[DataFrame, DataFrame]:
-    """(leak results by family, a row for each detector) of a method. Detectors see the eval side only, if it has two pairs or more."""
-    made = durable(generate(ws, fitted(ws, name, k, backend, **how), k, backend).withColumn("trace", F.lit(None).cast("struct<topm_logprobs:array<array<double>>,chosen_logprobs:array<double>>")))
-    content = ws.probes.where("family <> 'behavioural'").select("probe_id", "entity_id", "family", F.array("field_id").alias("target_field_ids"))
+def audits(ws: Workspace, methods: dict[str, tuple[str, dict]], k: int = 4, repeats: int = 3, draws: int = 50, backend: Backend = stand_in) -> tuple[DataFrame, DataFrame]:
+    """(leak results by method and family, a row for each method and detector) of methods: a label, a name of the registry and its settings.
+
+    All methods are measured together: an id is a method's own, so generations of all are one table, and leaks, features and detectors
+    one pass over it. Detectors see the eval side only; with fewer than two pairs there nothing is claimed.
+    """
+    own = lambda c: F.concat_ws("|", "method", c).alias(c)
+    made = reduce(DataFrame.unionByName, [generate(ws, fitted(ws, name, k, backend, **how), k, backend).withColumn("method", F.lit(label)) for label, (name, how) in methods.items()])
+    made = durable(made.withColumns({"probe_id": own("probe_id"), "entity_id": own("entity_id"), "trace": F.lit(None).cast("struct<topm_logprobs:array<array<double>>,chosen_logprobs:array<double>>")}))
+    each = ws.probes.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    content = each.where("family <> 'behavioural'").select(own("probe_id"), own("entity_id"), own("family"), F.array("field_id").alias("target_field_ids"))
     verdicts = leaks.verdicts(made.where("family <> 'behavioural'"), content, ws.fields.select("field_id", F.col("value").alias("value_normalized")))
-    leak = leaks.leak_intervals(verdicts, "family", "entity_id", k, draws)
+    split = lambda c, part: F.element_at(F.split(c, r"\|"), part)
+    leak = leaks.leak_intervals(verdicts, "family", "entity_id", k, draws).withColumns({"method": split("family", 1), "family": split("family", -1)})
     side = splits.entities_of(ws.entities, ws.pairs, "eval").select("entity_id")
-    behave = made.where("family = 'behavioural'")
-    if side.count() >= 4:
-        behave = behave.join(side, "entity_id", "left_semi")
-    rows = durable(features.feature_rows(behave, behave.select("probe_id", "entity_id", "pair_id", "entity_class", "template_id", "tools_exposed").distinct()))
+    behave = made.where("family = 'behavioural'").join(side.withColumnRenamed("entity_id", "__entity"), split("entity_id", -1) == F.col("__entity"), "left_semi")
+    rows = durable(features.feature_rows(behave, behave.select("probe_id", "method", "entity_id", "pair_id", "entity_class", "template_id", "tools_exposed").distinct()))
     label = (F.col("entity_class") == "restricted").cast("int")
-    keys = ["entity_id", "pair_id", "entity_class"]
+    keys = ["method", "entity_id", "pair_id", "entity_class"]
     templates = sorted(r[0] for r in rows.select("template_id").distinct().collect())  # the behavioural templates
     wide = features.secondary_vectors(rows, keys, "template_id", templates, tuple(USED)).withColumn("label", label)
     vectors = durable(features.primary_vectors(rows, keys, tuple(USED)).join(wide, keys))
     more = [c for c in wide.columns if c not in (*keys, "label")]
-    return durable(leak), durable(detector.detectors(vectors, USED, more, repeats=repeats, draws=draws, permutations=draws))
+    found = detector.detectors(vectors, USED, more, by="method", repeats=repeats, draws=draws, permutations=draws)
+    return durable(leak), durable(found)
+
+
+def audit(ws: Workspace, name: str, k: int = 4, repeats: int = 3, draws: int = 50, backend: Backend = stand_in, **how) -> tuple[DataFrame, DataFrame]:
+    """The same of one method."""
+    leak, found = audits(ws, {name: (name, how)}, k, repeats, draws, backend)
+    return leak.drop("method"), found.drop("method")
 
 
 #: Retry budgets of the substitution that a curve looks at.
 RETRY_BUDGETS = (0, 1, 3, 6, 12, 24)
 
 
-def _row(name: str, leak: DataFrame, point: DataFrame) -> DataFrame:
-    first = point.where("detector = 'logreg_primary'").select("auc", "lo", "hi", "state", "n_pairs")
-    second = point.where("detector <> 'logreg_primary'").select(F.col("auc").alias("auc_secondary"), F.col("p_adjusted").alias("p_secondary"))
-    worst = leak.agg(F.coalesce(F.max("leak_at_k"), F.lit(0.0)).alias("worst_leak"))
-    return worst.crossJoin(first).crossJoin(second).select(F.lit(name).alias("method"), "*")  # one row each
+def _rows(leak: DataFrame, found: DataFrame) -> DataFrame:
+    """One row for each method: the worst family's leak, and both detectors."""
+    first = found.where("detector = 'logreg_primary'").select("method", "auc", "lo", "hi", "state", "n_pairs")
+    second = found.where("detector <> 'logreg_primary'").select("method", F.col("auc").alias("auc_secondary"), F.col("p_adjusted").alias("p_secondary"))
+    worst = leak.groupBy("method").agg(F.max("leak_at_k").alias("worst_leak"))
+    return first.join(worst, "method", "left").join(second, "method").withColumn("worst_leak", F.coalesce("worst_leak", F.lit(0.0))).select("method", "worst_leak", "auc", "lo", "hi", "state", "n_pairs", "auc_secondary", "p_secondary")
 
 
 def _verdict(rows: DataFrame) -> DataFrame:
@@ -115,12 +129,13 @@ def _verdict(rows: DataFrame) -> DataFrame:
 def sweep(spark: SparkSession, n_deals: int = 8, k: int = 4, methods: list[str] | None = None, backend: Backend = stand_in, ws: Workspace | None = None) -> DataFrame:
     """The comparison table: method, worst leak, both detectors' AUCs, interval, state and verdict; the clean reference first."""
     ws = ws or prepare(spark, n_deals)
-    return _verdict(reduce(DataFrame.unionByName, [_row(name, *audit(ws, name, k, backend=backend)) for name in methods or list(containment.REGISTRY)]))
+    return _verdict(_rows(*audits(ws, {name: (name, {}) for name in methods or list(containment.REGISTRY)}, k, backend=backend)))
 
 
-def retry_curve(spark: SparkSession, n_deals: int = 8, k: int = 4, budgets: tuple[int, ...] = RETRY_BUDGETS, references: tuple[str, ...] = ("clean_reference", "none", "refusal_classifier", "retrieval_filter"), backend: Backend = stand_in) -> DataFrame:
+def retry_curve(spark: SparkSession, n_deals: int = 8, k: int = 4, budgets: tuple[int, ...] = RETRY_BUDGETS, references: tuple[str, ...] = ("clean_reference", "none", "refusal_classifier", "retrieval_filter"), backend: Backend = stand_in, ws: Workspace | None = None) -> DataFrame:
     """The same table for the substitution at each retry budget, beside the reference methods; `retries` is null for these."""
-    ws = prepare(spark, n_deals)
-    fixed = [_row(name, *audit(ws, name, k, backend=backend)).withColumn("retries", F.lit(None).cast("int")) for name in references]
-    tried = [_row(f"silent_substitution r={r}", *audit(ws, "silent_substitution", k, backend=backend, retries=r)).withColumn("retries", F.lit(r)) for r in budgets]
-    return _verdict(reduce(DataFrame.unionByName, fixed + tried))
+    ws = ws or prepare(spark, n_deals)
+    tried = {f"silent_substitution r={r}": r for r in budgets}
+    rows = _rows(*audits(ws, {name: (name, {}) for name in references} | {label: ("silent_substitution", {"retries": r}) for label, r in tried.items()}, k, backend=backend))
+    retries = F.coalesce(*(F.when(F.col("method") == label, r) for label, r in tried.items()), F.lit(None).cast("int"))
+    return _verdict(rows.withColumn("retries", retries))

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,11 @@ class Trees:
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def binned(self, rows: DataFrame, features: list[str]) -> DataFrame:
-        """rows with x, the bins of their features; a missing value has the bin of the feature's median."""
-        x = design(features)
-        one = lambda f: F.size(F.filter(F.split(F.lit(" ".join(map(repr, self.edges[f]))), " ").cast("array<double>"), lambda e: e < F.coalesce(F.get(x, F.lit(f)), F.lit(self.fill[f])))) if self.edges[f] else F.lit(0)
-        return rows.withColumn("x", F.array(*(one(f).cast("double") for f in range(len(features)))))
+        """rows with __bins, those of their features; a missing value has the bin of the feature's median."""
+        ends = F.array(*(F.split(F.lit(" ".join(map(repr, e))), " ").cast("array<double>") if e else F.array().cast("array<double>") for e in self.edges))
+        fill = F.split(F.lit(" ".join(map(repr, self.fill))), " ").cast("array<double>")
+        cut = F.zip_with(F.zip_with(design(features), fill, lambda v, m: F.coalesce(v, m)), ends, lambda v, e: F.size(F.filter(e, lambda c: c < v)).cast("double"))
+        return rows.withColumn("__bins", cut)
 
     def leaf(self, tree: int, model: int, x: np.ndarray, levels: int) -> np.ndarray:
         """Each row's node after so many levels, from 0 on the left."""
@@ -91,14 +93,14 @@ def fit(rows: DataFrame, features: list[str], label: str, weights: str, trees: i
     """
     f = len(features)
     with Scratch(rows.sparkSession) as scratch:
-        raw = rows.select(design(features).alias("v"), F.when(F.col(label) == 1, 1.0).when(F.col(label).isNotNull(), 0.0).alias("y"), F.transform(weights, lambda w: w.cast("double")).alias("w"), *features).where("y is not null and w is not null")
+        raw = rows.select(design(features).alias("__v"), F.when(F.col(label) == 1, 1.0).when(F.col(label).isNotNull(), 0.0).alias("__y"), F.transform(weights, lambda w: w.cast("double")).alias("__w"), *features).where("__y is not null and __w is not null")
         shares = [i / bins for i in range(1, bins)]
-        cut = raw.agg(*(F.percentile_approx(F.get("v", F.lit(i)), shares, 10_000).alias(f"c{i}") for i in range(f)), *(F.percentile_approx(F.get("v", F.lit(i)), 0.5, 10_000).alias(f"m{i}") for i in range(f)), F.max(F.size("w")).alias("models")).first()
+        cut = raw.agg(*(F.percentile_approx(F.get("__v", F.lit(i)), shares, 10_000).alias(f"c{i}") for i in range(f)), *(F.percentile_approx(F.get("__v", F.lit(i)), 0.5, 10_000).alias(f"m{i}") for i in range(f)), F.max(F.size("__w")).alias("models")).first()
         m = cut["models"] or 0
         model = Trees([sorted(set(cut[f"c{i}"] or [])) for i in range(f)], [cut[f"m{i}"] or 0.0 for i in range(f)], np.zeros(m), np.zeros(m, bool), depth)
         if not m:
             return model
-        kept = scratch.put(model.binned(raw.select("y", "w", *features), features).select("x", "y", "w"))
+        kept = scratch.put(model.binned(raw, features).select(F.col("__bins").alias("x"), "__y", "__w").toDF("x", "y", "w"))
         counts = total(kept, 2 * m, lambda x, y, w: np.concatenate([w.sum(0), w.T @ y]))
         n, ups = counts[:m], counts[m:]
         model.fitted = (ups > 0) & (ups < n)
@@ -115,19 +117,21 @@ def fit(rows: DataFrame, features: list[str], label: str, weights: str, trees: i
 
 def _sums(kept: DataFrame, model: Trees, done: int, m: int, f: int, bins: int, feature: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
     """(model, node, feature, bin, [w, g, h]) of a level of the tree that is growing."""
-    nodes, on = 1 << level, np.flatnonzero(model.fitted)
+    cells, on = (1 << level) * bins, np.flatnonzero(model.fitted)
 
     def part(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        out = np.zeros((m, 3, f, nodes * bins))
+        out = np.zeros((m, f * cells, 3))
         for i in on:
-            p = 1 / (1 + np.exp(-model.margins(i, x, done, w[:, m + i])))
-            at = descend(feature[i], last[i], x, level) * bins
-            for k, s in enumerate((w[:, i], w[:, i] * (y - p), w[:, i] * p * (1 - p))):
-                for j in range(f):
-                    out[i, k, j] = np.bincount(at + x[:, j].astype(np.int64), weights=s, minlength=nodes * bins)
-        return out.ravel()
+            own = np.flatnonzero(w[:, i])
+            if len(own):
+                mine, weight = x[own], w[own, i]
+                p = 1 / (1 + np.exp(-model.margins(i, mine, done, w[own, m + i])))
+                at = (descend(feature[i], last[i], mine, level) * bins)[:, None] + mine.astype(np.int64) + np.arange(f) * cells
+                for k, s in enumerate((weight, weight * (y[own] - p), weight * p * (1 - p))):
+                    out[i, :, k] = np.bincount(at.ravel(), weights=np.repeat(s, f), minlength=f * cells)
+        return out
 
-    return total(kept, m * 3 * f * nodes * bins, part).reshape(m, 3, f, nodes, bins).transpose(0, 3, 2, 4, 1)
+    return total(kept, m * f * cells, part, 3).reshape(m, f, 1 << level, bins, 3).transpose(0, 2, 1, 3, 4)
 
 
 def _grown(kept: DataFrame, model: Trees, done: int, m: int, f: int, bins: int, depth: int, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,15 +168,19 @@ def _written(kept: DataFrame, model: Trees, done: int, m: int) -> DataFrame:
 def decide(rows: DataFrame, features: list[str], model: Trees, models: str, name: str = "scores") -> DataFrame:
     """rows with the log-odds of those models that an array column of theirs names, in its order; NaN for models that weren't fitted."""
 
-    def scores(x: pa.Array, asked: pa.Array) -> pa.Array:
-        bins, numbers = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1), asked.flatten().to_numpy(zero_copy_only=False)
-        ends = asked.offsets.to_numpy() - asked.offsets[0].as_py()
-        row, out = np.repeat(np.arange(len(x)), np.diff(ends)), np.full(len(numbers), np.nan)
-        for i in np.unique(numbers):
-            if model.fitted[i]:
-                at = np.flatnonzero(numbers == i)
-                out[at] = model.margins(i, bins[row[at]], 0, np.full(len(at), model.start[i]))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
-
-    scores.__annotations__ = {"x": pa.Array, "asked": pa.Array, "return": pa.Array}
-    return model.binned(rows, features).withColumn(name, F.arrow_udf(scores, "array<double>")("x", models)).drop("x")
+    kept = [c for c in rows.columns if c != name]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                asked = batch.column(models)
+                bins, numbers = batch.column("__bins").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1), asked.flatten().to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(asked).to_numpy(zero_copy_only=False))])
+                row, out = np.repeat(np.arange(len(asked)), np.diff(ends)), np.full(len(numbers), np.nan)
+                for i in np.unique(numbers):
+                    if model.fitted[i]:
+                        at = np.flatnonzero(numbers == i)
+                        out[at] = model.margins(i, bins[row[at]], 0, np.full(len(at), model.start[i]))
+                yield pa.record_batch([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))], [*kept, name])
+
+    return model.binned(rows, features).select(*kept, "__bins").mapInArrow(scored, rows.select(*kept).withColumn(name, F.array(F.lit(0.0))).schema)

@@ -221,10 +221,15 @@ def artifacts(deals: DataFrame, seed: str = "7") -> DataFrame:
 
 def synthetic_deals(spark, n: int, seed: str = "11") -> DataFrame:
     """n seeded deals; every draw is an index from SHA-256 of the seed and the row."""
+    return seeded_deals(spark.range(n), seed)
+
+
+def seeded_deals(ids: DataFrame, seed: str = "11") -> DataFrame:
+    """A deal for each id."""
     i = F.col("id")
     at = lambda what, m: draw(F.lit(m), seed, what, i)
     cents = 1000 + at("price", 19000)
-    return spark.range(n).select(
+    return ids.select(
         short_hash(seed, i).alias("deal_id"), F.concat(F.lit("Acquirer "), i.cast("string")).alias("acquirer_name"), F.concat(F.lit("Target "), i.cast("string")).alias("target_name"),
         F.date_add(F.lit("2019-01-01").cast("date"), at("date", 900).cast("int")).cast("string").alias("announcement_date"), F.element_at(F.array(*map(F.lit, ("20", "28", "35", "36", "48", "60", "73", "87"))), (at("sector", 8) + 1).cast("int")).alias("sector"),
         F.round(F.exp(F.lit(15.0) + at("size", 1000) / 200.0), 2).alias("size"), F.format_string("%d.%02d", F.floor(cents / 100), cents % 100).alias("price"), F.format_string("%d.%d", 10 + at("premium", 40), at("tenth", 10)).alias("premium"),

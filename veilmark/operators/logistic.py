@@ -55,22 +55,26 @@ def decision(x: Column) -> Column:
     return F.aggregate(F.zip_with(filled, "slopes", lambda v, s: v * s), F.col("bias"), lambda a, b: a + b)
 
 
-def total(rows: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum over all rows (x, y, w: arrays of doubles with NaN for missing, a label, arrays of weights) of `part`, which gives `size` numbers for a block of them."""
+def total(rows: DataFrame, size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], width: int = 1) -> np.ndarray:
+    """The sums over all rows (x, y, w: arrays of doubles with NaN for missing, a label, arrays of weights) of `part`, which gives `size` times `width` numbers for a block of them. Places where all are 0 don't travel."""
+    names = [f"v{i}" for i in range(width)]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size)
+        out = np.zeros((size, width))
         for batch in batches:
             if batch.num_rows:
                 n = batch.num_rows
                 x, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("x", "w"))
-                out += part(x, batch.column("y").to_numpy(zero_copy_only=False), w)
-        yield pa.record_batch([pa.array(range(size), pa.int64()), pa.array(out)], ["at", "value"])
-
-    out = np.zeros(size)
-    for at, value in rows.select("x", "y", "w").mapInArrow(tasks, "at bigint, value double").groupBy("at").agg(F.sum("value").alias("value")).collect():
-        out[at] = value
-    return out
+                out += part(x, batch.column("y").to_numpy(zero_copy_only=False), w).reshape(size, width)
+        at = np.flatnonzero(out.any(axis=1))
+        yield pa.record_batch([pa.array(at), *(pa.array(np.ascontiguousarray(out[at, i])) for i in range(width))], ["at", *names])
+
+    kind = "at bigint, " + ", ".join(f"{n} double" for n in names)
+    found = rows.select("x", "y", "w").mapInArrow(tasks, kind).groupBy("at").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
+    out = np.zeros((size, width))
+    for i, n in enumerate(names):
+        out[found.column("at").to_numpy(), i] = found.column(n).to_numpy()
+    return out.ravel()
 
 
 def _medians(rows: DataFrame, missing: np.ndarray, models: int) -> np.ndarray:

@@ -136,6 +136,30 @@ def permutation_p(scored: DataFrame, pair: str = "pair_id", score: str = "score"
     return auc(scored, score, label).select(F.col("auc").alias("observed")).crossJoin(F.broadcast(seen)).select("observed", p.alias("p"), F.lit(len(found)).cast("bigint").alias("n_draws"))
 
 
+def weighted_aucs(rows: DataFrame, by: list[str], score: str, pos: Column, neg: Column) -> DataFrame:
+    """The AUC of each group of rows that weigh as positives and as negatives: by, auc (null where a class has no weight). Scores are summed before they are ordered."""
+    counts = rows.groupBy(*by, score).agg(F.sum(pos).cast("double").alias("__p"), F.sum(neg).cast("double").alias("__q"))
+    ranked = running(counts, score, [], {"__u": F.col("__q")}, tuple(by))
+    wins = F.sum(F.col("__p") * (F.col("__u") - F.col("__q") / 2))
+    return ranked.groupBy(*by).agg((wins / F.nullif(F.sum("__p") * F.sum("__q"), F.lit(0.0))).alias("auc"))
+
+
+def auc_intervals(scored: DataFrame, by: str, pair: str = "pair_id", score: str = "score", label: str = "label", draws: int = 100, level: float = 0.95, seed: str = "auc", permute: str = "perm") -> DataFrame:
+    """`auc_bootstrap` and `permutation_p` of every group at once, with draws as many of either: by, lo, hi, p. A draw of a group is a group of one aggregate."""
+    rows = scored.where(F.col(score).isNotNull())
+    is_pos, is_neg = _sides(score, label)
+    each = rows.withColumn("__draw", F.explode(_draws(0, draws)))
+    drawn = each.withColumn("__w", poisson_weight(seed, F.col("__draw"), F.col(pair))).where("__w > 0")
+    tail = (1 - level) / 2
+    ends = weighted_aucs(drawn, [by, "__draw"], score, is_pos * F.col("__w"), is_neg * F.col("__w")).groupBy(by).agg(F.percentile("auc", tail).alias("lo"), F.percentile("auc", 1 - tail).alias("hi"))
+    flipped = each.withColumn("__s", draw(F.lit(2), permute, F.col("__draw"), F.col(pair)) == 1)
+    swap = lambda a, b: F.when(F.col("__s"), b).otherwise(a)
+    chance = weighted_aucs(flipped, [by, "__draw"], score, swap(is_pos, is_neg), swap(is_neg, is_pos)).where("auc is not null").withColumnRenamed("auc", "__a")
+    seen = weighted_aucs(rows, [by], score, is_pos, is_neg).join(rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n")), by)
+    reached = chance.join(seen, by).groupBy(by).agg(((F.count_if(F.col("__a") >= F.col("auc") - 1e-12) + 1) / (F.count(F.lit(1)) + 1)).alias("p"))
+    return seen.join(ends, by, "left").join(reached, by, "left").select(by, "lo", "hi", F.when((F.col("__n") >= 4) & F.col("auc").isNotNull(), F.col("p")).alias("p"))
+
+
 def size_bands(values: DataFrame, size: str, ord_: str, bands: int = 5) -> DataFrame:
     """values with band: the rank by log1p of the size (negative ones count as 0, ties by ord) cut into equal parts."""
     sized = values.withColumn("__log", F.log1p(F.greatest(F.lit(0.0), F.col(size).cast("double"))))

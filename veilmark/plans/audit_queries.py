@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.operators import audit, boosting, detector
+from veilmark.operators import audit, boosting, corpus, detector
 from veilmark.operators.durable import durable
 from veilmark.operators.stats import auc, rounded
 from veilmark.plans.stats_queries import poisson
@@ -122,8 +122,15 @@ n AS (SELECT r, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0, su
 SELECT r AS repeat, n1 AS n_pos, n0 AS n_neg, round((k1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc FROM n"""
 
 
+def _workspace(spark: SparkSession, d: str) -> audit.Workspace:
+    """A deal of each supplier."""
+    deals = corpus.seeded_deals(read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), "s_name"))
+    return audit.prepare(spark, 0, deals=deals)
+
+
 def sweep_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return audit.sweep(spark, n_deals=8, k=4)
+    """All methods on deals of all suppliers, measured together."""
+    return audit.sweep(spark, k=4, ws=_workspace(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (detector_oof, detector_importance, detector_boosting, sweep_comparison)}
