@@ -1,61 +1,88 @@
 """A stored BM25 index whose blocks of documents say how much each term can give at most.
 
-Documents are numbered and fall into blocks of `BLOCK` in that order. Two tables
-are kept: postings (term, block, and the weights of the block's documents) and
-tops (term, block, the highest of these weights), both sorted by term, so that a
-reader of few terms skips the other row groups. A query's bound for a block is the
-sum of its terms' tops. Its `FIRST` blocks by bound are scored; their k-th best score
-is a threshold, and of the other blocks only those that can reach it are scored.
+A block is a range of `BLOCK` ids. Postings (term, block, and how often which of
+the block's documents has the term) are counted where the texts are and grouped by
+one exchange, into groups that a block bounds. Beside them stand tops (term, block,
+the highest weight of a posting but for the term's rarity) and terms. A query's
+bound for a block is the sum of its terms' tops. Its `FIRST` blocks by bound are
+scored; their k-th best score is a threshold, and of the other blocks only those
+that can reach it are scored.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilmark.functions.text import retrieval_tokens
 from veilmark.operators.durable import Scratch, durable
-from veilmark.operators.ordering import row_number
 from veilmark.operators.retrieval import K1, B
 
-#: Documents of a block; blocks of a query that are scored first, for each result it wants.
+#: Ids of a block; blocks of a query that are scored first, for each result it wants.
 BLOCK, FIRST = 8, 4
 #: Scores are compared at nine decimals; a bound must be lower than the threshold by more than this to skip its block.
 SLACK = 1e-8
-#: Postings of a file of the index.
-FILE = 4_000_000
+_TOKEN = re.compile("[a-z0-9$.%]+")
+_POSTING = "term string, doc bigint, tf int, dl int"
+
+
+#: Postings after which a task hands on what it has counted.
+ROWS = 50_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's distinct terms with their counts."""
+    terms: list[str] = []
+    rows: list[tuple[int, int, int]] = []
+
+    def out() -> pa.RecordBatch:
+        docs, tfs, dls = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.record_batch([pa.array(terms, pa.string()), pa.array(docs, pa.int64()), pa.array(tfs, pa.int32()), pa.array(dls, pa.int32())], ["term", "doc", "tf", "dl"])
+
+    for batch in batches:
+        for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            found = _TOKEN.findall(text.as_py())
+            for term, tf in Counter(found).items():
+                terms.append(term)
+                rows.append((doc, tf, len(found)))
+            if len(rows) >= ROWS:
+                yield out()
+                terms, rows = [], []
+    yield out()
 
 
 @dataclass
 class Index:
-    """postings: term, block, entries (doc, weight). tops: term, block, top. Weights hold everything but how often a query repeats a term."""
+    """postings: term, block, entries (doc, tf, dl). tops: term, block, top. terms: term, df. size: documents and their mean length."""
 
     postings: DataFrame
     tops: DataFrame
+    terms: DataFrame
+    size: tuple[int, float]
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/tops"))
+        row = spark.read.parquet(f"{path}/size").first()
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "tops", "terms")), (row["n"], row["mean"]))
 
     @classmethod
     def build(cls, docs: DataFrame, doc: str, text: str, path: str) -> Index:
-        """Writes the index of all documents (ids are unique; null texts have no terms) to a new folder."""
+        """Writes the index of all documents to a new folder. Ids are unique integers; null texts have no terms."""
         spark = docs.sparkSession
-        with Scratch(spark) as scratch:
-            tokens = scratch.put(docs.select(F.col(doc).alias("doc"), retrieval_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")))
-            n, mean = tokens.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.size("t")), F.lit(0.0))).first()
-            blocks = row_number(tokens.select("doc"), "doc", name="place").select("doc", F.floor((F.col("place") - 1) / BLOCK).alias("block"))
-            counts = scratch.put(tokens.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf")).join(blocks, "doc"))
-            df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-            idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-            weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(mean, 1e-9))))
-            grouped = counts.join(df, "term").groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", weight.alias("weight")))).alias("entries"))  # of one block's documents
-            files = 1 + counts.count() // FILE
-            grouped.repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
-            postings = spark.read.parquet(f"{path}/postings")
-            postings.select("term", "block", F.array_max(F.transform("entries", lambda e: e["weight"])).alias("top")).repartitionByRange(files, "term", "block").sortWithinPartitions("term", "block").write.parquet(f"{path}/tops")
+        lower = docs.select(F.col(doc).cast("bigint").alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+        found = lower.mapInArrow(_counted, _POSTING).withColumn("block", F.floor(F.col("doc") / BLOCK))
+        grouped = found.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("doc", "tf", "dl"))).alias("entries"))  # of one block's documents
+        grouped.sortWithinPartitions("term", "block").write.parquet(f"{path}/postings")
+        lower.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(retrieval_tokens(F.col("text")))), F.lit(0.0)).alias("mean")).write.parquet(f"{path}/size")
+        postings, mean = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/size").first()["mean"]
+        postings.select("term", "block", F.array_max(F.transform("entries", lambda e: _share(e, mean))).alias("top")).write.parquet(f"{path}/tops")
+        postings.groupBy("term").agg(F.sum(F.size("entries")).alias("df")).write.parquet(f"{path}/terms")
         return cls.open(spark, path)
 
     def top(self, queries: DataFrame, query: str, text: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +93,9 @@ class Index:
         spark = queries.sparkSession
         with Scratch(spark) as scratch:
             tokens = F.explode(retrieval_tokens(F.coalesce(F.col(text), F.lit(""))))
-            wanted = scratch.put(queries.select(F.col(query).alias("query"), tokens.alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times")))
+            asked = queries.select(F.col(query).alias("query"), tokens.alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+            idf = F.ln(1 + (F.lit(self.size[0]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+            wanted = scratch.put(asked.join(self.terms, "term").select("query", "term", (F.col("times") * idf).alias("times")))
             bounds = self.tops.join(wanted, "term").groupBy("query", "block").agg(F.sum(F.col("times") * F.col("top")).alias("bound"))
             best = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
             placed = scratch.put(bounds.withColumn("first", F.row_number().over(best) <= FIRST * k))
@@ -84,6 +113,11 @@ class Index:
         """The k best documents of each query within its blocks (query, block)."""
         asked = pairs.select("query", "block").join(wanted, "query")
         met = self.postings.join(asked, ["term", "block"]).select("query", "times", F.explode("entries").alias("e"))
-        scores = met.groupBy("query", F.col("e.doc").alias("doc")).agg(F.round(F.sum(F.col("times") * F.col("e.weight")), 9).alias("score")).where("score > 0")
+        scores = met.groupBy("query", F.col("e.doc").alias("doc")).agg(F.round(F.sum(F.col("times") * _share(F.col("e"), self.size[1])), 9).alias("score")).where("score > 0")
         best = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
         return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _share(entry: Column, mean: float) -> Column:
+    """A posting's weight but for its term's rarity."""
+    return entry["tf"] * (K1 + 1) / (entry["tf"] + K1 * (1 - B + B * entry["dl"] / F.lit(max(mean, 1e-9))))

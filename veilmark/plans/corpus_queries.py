@@ -61,7 +61,7 @@ def bm25_index_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["bm25_index_blocks"] = f"""
-WITH d AS (SELECT doc_id, {TOKENS.format(c='text')} AS t, (row_number() OVER (ORDER BY doc_id) - 1) // {blockmax.BLOCK} AS block FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+WITH d AS (SELECT doc_id, {TOKENS.format(c='text')} AS t, doc_id // {blockmax.BLOCK} AS block FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
 q AS (SELECT item_id, unnest({TOKENS.format(c='text')}) AS term FROM benchmark), w AS (SELECT item_id, term, count(*) AS k FROM q GROUP BY ALL),
 p AS (SELECT doc_id, block, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT doc_id, block, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM w) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 g AS (SELECT term, block, doc_id, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) AS weight FROM tf JOIN df USING (term), s),
