@@ -17,10 +17,12 @@ _FEATURES = ["n_chars", "lines", "bars"]
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     """All labelled documents, two neighbours by doc_id a pair; features are counts of their text."""
     text = F.coalesce("text", F.lit(""))
-    return read(spark, d, "labels").join(read(spark, d, "documents"), "doc_id").select(
-        F.col("doc_id").alias("entity_id"), F.floor(F.col("doc_id") / 2).cast("bigint").alias("pair_id"), F.col("quality").alias("label"), F.col("n_chars").cast("double").alias("n_chars"),
-        F.size(F.split(text, "\n")).cast("double").alias("lines"), (F.char_length(text) - F.char_length(F.replace(text, F.lit("|"), F.lit("")))).cast("double").alias("bars"),
+    counted = read(spark, d, "documents").select(
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split(text, "\n")).cast("double").alias("lines"),
+        (F.char_length(text) - F.char_length(F.replace(text, F.lit("|"), F.lit("")))).cast("double").alias("bars"),
     )
+    marked = read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"), F.floor(F.col("doc_id") / 2).cast("bigint").alias("pair_id"))
+    return marked.join(counted, "doc_id").withColumnRenamed("doc_id", "entity_id")
 
 
 _ROWS = """e AS (SELECT doc_id, CAST(floor(doc_id / 2) AS BIGINT) AS pair_id, CAST(quality AS DOUBLE) AS y, CAST(n_chars AS DOUBLE) AS x1,
