@@ -67,12 +67,17 @@ WITH p AS (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, unnest(['direct', 'me
 SELECT substr(sha256(probe_id || '|' || entity_id || '|16|config|none|backend'), 1, 20) AS unit_id, probe_id, entity_id, family, CAST(16 AS BIGINT) AS k FROM q"""
 
 
-def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _customers(spark: SparkSession, d: str) -> DataFrame:
     """Customers are entities; two neighbours by key are a pair, every second of them restricted, with a deal."""
     c = read(spark, d, "customer")
     pair = F.floor((F.col("c_custkey") + 1) / 2).cast("bigint")
     restricted = F.col("c_custkey") % 2 == 0
-    entities = c.select(F.col("c_custkey").alias("entity_id"), pair.alias("pair_id"), F.when(restricted, "restricted").otherwise("control").alias("entity_class"), F.when(restricted, F.col("c_custkey")).alias("deal_id"))
+    return c.select(F.col("c_custkey").alias("entity_id"), pair.alias("pair_id"), F.when(restricted, "restricted").otherwise("control").alias("entity_class"), F.when(restricted, F.col("c_custkey")).alias("deal_id"))
+
+
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """These entities, and their pairs on two sides."""
+    entities = _customers(spark, d)
     return entities, pair_split(entities.select("pair_id").distinct(), "pair_id", 0.3, "split").select("pair_id", "split")
 
 
@@ -183,8 +188,7 @@ SELECT source AS candidate, round(auc, 6) AS auc, round(leak, 6) AS leak, leak >
 
 
 def corpus_manifest(spark: SparkSession, d: str) -> DataFrame:
-    entities, _ = _sides(spark, d)
-    return corpus.manifest(read(spark, d, "supplier"), entities, read(spark, d, "nation"), "synthetic")
+    return corpus.manifest(read(spark, d, "supplier"), _customers(spark, d), read(spark, d, "nation"), "synthetic")
 
 
 SQL["corpus_manifest"] = f"""
