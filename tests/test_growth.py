@@ -24,3 +24,20 @@ def test_manifest_tells_ids_apart_once(spark):
     audit = splits.audit(sides, members)
     assert "Expand" not in plan_of(audit.select("dev_ids_hash", "eval_ids_hash", "n_dev_pairs", "n_eval_pairs"))
     assert audit.select("n_dev_pairs", "n_eval_pairs", "splits_disjoint").first() == (1, 1, True)
+
+
+def test_pair_split_selects_without_ranking(spark, monkeypatch):
+    """The same as ranks of the hashes, at any size; no window over the pairs."""
+    import hashlib
+
+    from veilmark.operators import stats
+
+    for n, share in ((1, 0.3), (2, 0.9), (7, 0.0), (500, 0.3), (500, 1.0)):
+        for digits in (1, 4):
+            monkeypatch.setattr(stats, "DIGITS", digits)
+            made = stats.pair_split(spark.range(n), "id", share, "s")
+            order = sorted(range(n), key=lambda i: hashlib.sha256(f"s|{i}".encode()).hexdigest())
+            n_dev = max(1, min(n - 1, round(n * share)))
+            assert {r.id for r in made.where("split = 'dev'").collect()} == set(order[:n_dev]) and made.count() == n
+            assert "Window" not in plan_of(made) and "SortMergeJoin" not in plan_of(made)
+    assert stats.pair_split(spark.range(0), "id", 0.3, "s").count() == 0
