@@ -41,3 +41,14 @@ def test_pair_split_selects_without_ranking(spark, monkeypatch):
             assert {r.id for r in made.where("split = 'dev'").collect()} == set(order[:n_dev]) and made.count() == n
             assert "Window" not in plan_of(made) and "SortMergeJoin" not in plan_of(made)
     assert stats.pair_split(spark.range(0), "id", 0.3, "s").count() == 0
+
+
+def test_bootstrap_reads_clusters_once(spark):
+    """Point, draws and number of clusters come from one pass: one scan, and no second telling apart of clusters."""
+    from veilmark.operators import stats
+
+    rows = spark.createDataFrame([(i % 40, float(i), float(i % 7)) for i in range(400)], "c int, a double, b double")
+    made = stats.paired_bootstrap(rows, "c", "a", "b", draws=20)
+    assert plan_of(made).count("Scan ExistingRDD") == 1 and "Expand" not in plan_of(made)
+    got, several = made.first(), stats.cluster_bootstrap(rows.withColumn("d", F.col("a") - F.col("b")), "c", lambda total: total(F.col("d")) / total(F.lit(1.0)), 20, seed="paired").first()
+    assert got.n_clusters == 40 and all(abs(got[x] - several[x]) < 1e-9 for x in ("point", "lo", "hi")) and got.lo < got.point < got.hi
