@@ -52,3 +52,22 @@ def test_bootstrap_reads_clusters_once(spark):
     assert plan_of(made).count("Scan ExistingRDD") == 1 and "Expand" not in plan_of(made)
     got, several = made.first(), stats.cluster_bootstrap(rows.withColumn("d", F.col("a") - F.col("b")), "c", lambda total: total(F.col("d")) / total(F.lit(1.0)), 20, seed="paired").first()
     assert got.n_clusters == 40 and all(abs(got[x] - several[x]) < 1e-9 for x in ("point", "lo", "hi")) and got.lo < got.point < got.hi
+
+
+def test_bm25_scores_where_documents_are(spark, monkeypatch):
+    """Few queries: no exchange of documents' postings; many ties and tasks; the same as by the shuffle."""
+    import random
+
+    from veilmark.operators import retrieval
+
+    r = random.Random(5)
+    texts = [(i, " ".join(f"w{r.randrange(12)}" for _ in range(r.randrange(9)))) for i in range(300)] + [(i, "w1 w2 w3") for i in range(300, 360)] + [(400, None)]
+    docs = spark.createDataFrame(texts, "d bigint, t string").repartition(5).fillna("", "t")
+    queries = spark.createDataFrame([(1, "w1 w1 w2"), (2, "w3 w11 none"), (3, ""), (4, None), (5, "W5")], "q int, s string")
+    read = lambda: [tuple(x) for x in retrieval.bm25_top(docs, "d", "t", queries, "q", "s", 4).orderBy("query", "rank").collect()]
+    quick = retrieval.bm25_top(docs, "d", "t", queries, "q", "s", 4)
+    assert "SortMergeJoin" not in plan_of(quick) and "MapInArrow" in plan_of(quick)
+    here = read()
+    monkeypatch.setattr(retrieval, "BROADCAST_TERMS", 1)
+    there = read()
+    assert len(here) == len(there) > 8 and all(a[:2] + a[3:] == b[:2] + b[3:] and abs(a[2] - b[2]) < 1e-8 for a, b in zip(here, there, strict=True))
