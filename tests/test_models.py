@@ -107,3 +107,25 @@ def test_folds_keep_pairs_apart(spark):
             by.setdefault(r.pair_id, set()).add(r.folds[repeat])
         sizes = [sum(1 for v in by.values() if v == {f}) for f in range(4)]
         assert all(len(v) == 1 for v in by.values()) and max(sizes) - min(sizes) <= 1
+
+
+def test_boosting_moves_rows_once_or_passes_over_them(spark, monkeypatch):
+    """Few rows: some jobs in all, however many trees. Many: passes over all rows. Both give the same trees."""
+    _, df = table(spark, 7, 90)
+    features, tracker = ["a", "b", "c"], spark.sparkContext.statusTracker()
+
+    def grown(group):
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            model = boosting.fit(df, features, "y", "w", trees=12, bins=8)
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return model, len(tracker.getJobIdsForGroup(group))
+
+    once, jobs = grown("boosting once")
+    monkeypatch.setattr(boosting, "WHOLE", 0)
+    passes, more = grown("boosting in passes")
+    assert jobs <= 12 < 24 <= more and len(once.trees) == len(passes.trees) == 12
+    for (f1, last1, step1), (f2, last2, step2) in zip(once.trees, passes.trees, strict=True):
+        on = once.fitted
+        assert (f1[on] == f2[on]).all() and (last1[on] == last2[on]).all() and np.allclose(step1[on], step2[on])
