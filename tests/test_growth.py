@@ -136,3 +136,30 @@ def test_stored_index_keeps_a_document_without_id(spark, tmp_path):
     found, work = blockmax.Index.build(docs, "d", "t", str(tmp_path / "i")).top(spark.createDataFrame([(1, "a"), (2, "c")], "q int, s string"), "q", "s", 3)
     assert [(x["query"], x["doc"], x["rank"]) for x in found.orderBy("query", "rank").collect()] == [(1, 1, 1), (1, None, 2), (2, 2**62, 1), (2, 1, 2)]
     assert sorted(tuple(x) for x in work.collect()) == [(1, 2, 2), (2, 2, 2)]
+
+
+def test_sample_diversity_is_the_same_both_ways(spark, monkeypatch):
+    """Small groups are compared in one row each, as samples that meet by what they share."""
+    from veilmark.operators import features
+
+    r = random.Random(5)
+    texts = [(k, i, r.choice([None, "", "a b", "ab", "alpha beta  gamma", " ".join(r.choice(["alpha", "beta", "x"]) for _ in range(5))])) for k in range(9) for i in range(k)]
+    df = spark.createDataFrame(texts, "k int, i int, t string")
+    found = lambda: {x.k: (round(x.semantic_diversity, 12), x.n_samples) for x in features.semantic_diversity(df, "k", "i", "t").collect()}
+    small = found()
+    monkeypatch.setattr(features, "TOGETHER", 0)
+    assert small == found() and small[1] == (0.0, 1)
+
+
+def test_auc_intervals_are_those_of_each_group(spark):
+    """Ties, a missing score, a group of one class and one of three rows."""
+    from veilmark.operators import stats
+
+    r = random.Random(6)
+    rows = [(g, i // 2, r.choice([round(r.gauss(i % 2, 1), 1), 0.0, None]), 1 if g == "one" else i % 2) for g, n in (("a", 60), ("one", 10), ("few", 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "m string, pair_id int, score double, label int").repartition(3)
+    got = {x.m: x for x in stats.auc_intervals(df, "m", draws=20, seed="s", permute="t").collect()}
+    own = df.where("m = 'a'")
+    want, p = stats.auc_bootstrap(own, draws=20, seed="s").first(), stats.permutation_p(own, draws=20, seed="t").first()["p"]
+    assert abs(got["a"].lo - want.lo) < 1e-12 and abs(got["a"].hi - want.hi) < 1e-12 and abs(got["a"].p - p) < 1e-12
+    assert got["one"].lo is None and got["one"].p is None and ("few" not in got or got["few"].p is None)
